@@ -105,6 +105,7 @@ METRICS = {
 # The metrics that differ only in key and measure; the trend is grouped by time as well.
 ONE_PASS = tuple(m for m in METRICS.values() if not m.per_window)
 ONE_PASS_KEYS = tuple(dict.fromkeys(m.key for m in ONE_PASS))
+ONE_PASS_FIELDS = tuple(dict.fromkeys(field for m in ONE_PASS for field in m.fields))
 
 
 def compute_all(lines: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tillstream.functions.fields import event_time
 from tillstream.operators.prepare import with_types
-from tillstream.schema import WIRE_SCHEMA, strict_schema
+from tillstream.schema import FIELD_NAMES, WIRE_SCHEMA, strict_schema
 
 
 def _from_value(messages: DataFrame, schema: T.StructType, keep: Sequence[str]) -> DataFrame:
@@ -21,9 +21,11 @@ def _from_value(messages: DataFrame, schema: T.StructType, keep: Sequence[str])
     )
 
 
-def wire_lines(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The 21 fields as text, just as they were sent. `keep` names message columns to keep."""
-    return _from_value(messages, WIRE_SCHEMA, keep)
+def wire_lines(
+    messages: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] = FIELD_NAMES
+) -> DataFrame:
+    """The asked fields as text, just as they were sent. `keep` names message columns to keep."""
+    return _from_value(messages, T.StructType([WIRE_SCHEMA[name] for name in fields]), keep)
 
 
 def parse_orders(
@@ -32,17 +34,22 @@ def parse_orders(
     strict: bool = False,
     accept_date_only: bool = False,
     keep: Sequence[str] = (),
+    fields: Sequence[str] = FIELD_NAMES,
 ) -> DataFrame:
-    """Typed order lines plus `timestamp`, the event time.
+    """Typed order lines plus, if `date_` is among the fields, `timestamp`, the event time.
 
     The sender quotes every value, so numbers are read from text; `strict` instead wants JSON
     numbers and gives NULL for quoted ones. A message that is no JSON becomes a row of NULLs.
-    Works on tables and streams; fields nobody uses are not parsed.
+    Works on tables and streams. Ask for the fields that are needed: the planner keeps the
+    JSON parser from reading the others only where a single one is used.
     """
     if strict:
-        lines = _from_value(messages, strict_schema(), keep)
+        typed = strict_schema()
+        lines = _from_value(messages, T.StructType([typed[name] for name in fields]), keep)
     else:
-        lines = with_types(wire_lines(messages, keep), money, keep)
+        lines = with_types(wire_lines(messages, keep, fields), money, keep)
+    if "date_" not in fields:
+        return lines
     return lines.withColumn("timestamp", event_time(F.col("date_"), accept_date_only))
 
 

@@ -52,7 +52,9 @@ def prepare(sales: DataFrame, products: DataFrame, key: str = "product_id") -> D
 def with_types(
     rows: DataFrame, money: T.DataType | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """Order-line fields to their types, in field order, and the `keep` columns as they are."""
+    """The order-line fields among the columns to their types, and the `keep` columns as they
+    are."""
+    fields = [f for f in order_schema(money) if f.name in rows.columns]
     return rows.select(
-        *[read_as(F.col(f.name), f.dataType).alias(f.name) for f in order_schema(money)], *keep
+        *[read_as(F.col(f.name), f.dataType).alias(f.name) for f in fields], *keep
     )

@@ -7,6 +7,8 @@ of epochs; it exists because the dashboards this replaces work that way.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,19 +19,21 @@ from tillstream.schema import RESULT_SCHEMA, TOP_N
 HISTOGRAM_BINS = 20  # fixed value
 
 
-def result_rows(messages: DataFrame) -> DataFrame:
-    """Messages of mixed metrics as one table with every field any of them carries.
+def result_rows(messages: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """Messages of mixed metrics as one table with every field any of them carries, or with
+    the asked fields besides metric and epoch.
 
     Where the log is split into folders by metric and epoch, those columns come from the
     folder names, so filters on them skip the other folders.
     """
-    body = F.from_json(F.col("value").cast("string"), RESULT_SCHEMA)
-    rows = messages.withColumn("data", body)
-    fields = [
-        F.col(f.name) if f.name in messages.columns else F.col(f"data.{f.name}").alias(f.name)
-        for f in RESULT_SCHEMA
-    ]
-    return rows.select(*fields).withColumn("metric", metric_label(F.col("metric")))
+    wanted = dict.fromkeys(["metric", "epoch_id", *(fields or RESULT_SCHEMA.names)])
+    in_body = [RESULT_SCHEMA[name] for name in wanted if name not in messages.columns]
+    body = F.from_json(F.col("value").cast("string"), T.StructType(in_body))
+    rows = messages.withColumn("data", body) if in_body else messages
+    return rows.select(*[
+        F.col(name) if name in messages.columns else F.col(f"data.{name}").alias(name)
+        for name in wanted
+    ]).withColumn("metric", metric_label(F.col("metric")))
 
 
 def of_metric(rows: DataFrame, metric: str, mode: str = "latest") -> DataFrame:

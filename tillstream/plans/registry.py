@@ -60,8 +60,7 @@ def sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_metric_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = dict.fromkeys(field for m in metrics.ONE_PASS for field in m.fields)
-    totals = metrics.compute_all(star.order_lines(spark, sf_dir, *fields))
+    totals = metrics.compute_all(star.order_lines(spark, sf_dir, *metrics.ONE_PASS_FIELDS))
     tables = [metrics.labelled(m, metrics.pick(totals, m)) for m in metrics.ONE_PASS]
     return _plain(metrics.union_of(tables))
 
@@ -120,8 +119,9 @@ def land_raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Read side -----------------------------------------------------------------------------
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readside.result_rows(staging.metric_results(spark, sf_dir).replay(spark))
+def _results(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    messages = staging.metric_results(spark, sf_dir).replay(spark)
+    return readside.result_rows(messages, fields)
 
 
 def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,25 +129,25 @@ def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readside.messages_per_metric(_results(spark, sf_dir))
+    return readside.messages_per_metric(_results(spark, sf_dir, "metric"))
 
 
 def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readside.metric_names(_results(spark, sf_dir))
+    return readside.metric_names(_results(spark, sf_dir, "metric"))
 
 
 def export_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replayed results as CSV, read back."""
-    rows = replay_results(spark, sf_dir)
+    rows = readside.flat_results(_results(spark, sf_dir).drop("error"))
     path = staging.exported_results(spark, sf_dir, rows)
-    return read_csv(spark, path).select(*[
+    return _plain(read_csv(spark, path).select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema
-    ])
+    ]))
 
 
 def _dash_total(metric: str, key: str, measure: str, ranked: bool, mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = readside.of_metric(_results(spark, sf_dir), metric, mode)
+        rows = readside.of_metric(_results(spark, sf_dir, key, measure), metric, mode)
         totals = readside.total_per_key(rows, key, measure)
         return readside.top(totals, key, measure) if ranked else totals
 
@@ -155,20 +155,23 @@ def _dash_total(metric: str, key: str, measure: str, ranked: bool, mode: str) ->
 
 
 def dash_product_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = readside.of_metric(_results(spark, sf_dir), "top_products", "cumulative")
+    results = _results(spark, sf_dir, "product_name")
+    rows = readside.of_metric(results, "top_products", "cumulative")
     counts = readside.message_counts(rows, "product_name")
     return readside.top(counts, "product_name", "count")
 
 
 def _dash_aov(mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = readside.of_metric(_results(spark, sf_dir), "aov_by_customer", mode)
-        return readside.mean_per_key(rows, "dim_customer_key", "average_order_value")
+        key, measure = "dim_customer_key", "average_order_value"
+        results = _results(spark, sf_dir, key, measure)
+        rows = readside.of_metric(results, "aov_by_customer", mode)
+        return readside.mean_per_key(rows, key, measure)
 
     return query
 
 
-def dash_quantity_by_city(mode: str) -> Query:
+def _dash_quantity_by_city(mode: str) -> Query:
     totals = _dash_total(
         "quantity_by_city", "city_name", "total_procured_quantity", False, mode)
     return lambda spark, sf_dir: totals(spark, sf_dir).orderBy(
@@ -203,9 +206,10 @@ def last_100_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _snapshot_query(name: str, results: Callable[[SparkSession, str], FolderTopic]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = readside.result_rows(results(spark, sf_dir).replay(spark))
+        outputs = metrics.METRICS[name].outputs
+        rows = readside.result_rows(results(spark, sf_dir).replay(spark), outputs)
         newest = readside.of_metric(rows, name, "latest")
-        return _plain(newest.select(*metrics.METRICS[name].outputs))
+        return _plain(newest.select(*outputs))
 
     return query
 
@@ -278,7 +282,7 @@ def all_queries() -> dict[str, Query]:
                 "top_brands", "brand_name", "brand_count", True, mode),
             f"dash_sales_by_category{suffix}": _dash_total(
                 "sales_by_category", "l1_category", "total_sales", False, mode),
-            f"dash_quantity_by_city{suffix}": dash_quantity_by_city(mode),
+            f"dash_quantity_by_city{suffix}": _dash_quantity_by_city(mode),
             f"dash_aov{suffix}": _dash_aov(mode),
         }
     registered |= {

@@ -77,11 +77,10 @@ def order_lines(
         orders = table(spark, sf_dir, "orders")
         lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
     if "customer" in needed:
-        # The two small tables meet first; the lines are joined to the result once.
-        customer = table(spark, sf_dir, "customer").join(
-            table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
-        )
+        customer = table(spark, sf_dir, "customer")
+        nation = table(spark, sf_dir, "nation")
         lines = lines.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+        lines = lines.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
     if ordered_before:
         lines = lines.where(F.col("o_orderdate") < F.lit(ordered_before).cast("timestamp_ntz"))

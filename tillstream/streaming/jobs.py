@@ -10,6 +10,8 @@ for the cluster before that.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,12 @@ def _start(
     )
 
 
+def _lines(
+    spark: SparkSession, orders: Topic, limit: int | None, fields: Sequence[str]
+) -> DataFrame:
+    return parse_orders(orders.stream(spark, limit), EXACT_MONEY, fields=fields)
+
+
 def start_metrics(
     spark: SparkSession,
     orders: Topic,
@@ -51,7 +59,7 @@ def start_metrics(
     queries = []
     for name in names or list(metrics.METRICS):
         metric = metrics.METRICS[name]
-        lines = parse_orders(orders.stream(spark, limit), EXACT_MONEY)
+        lines = _lines(spark, orders, limit, metric.fields)
         queries.append(_start(
             metric.compute(lines), "complete", sinks.metric_sink(results, metric),
             checkpoint, trigger, name,
@@ -68,8 +76,7 @@ def start_metrics_one_pass(
     limit: int | None = None,
 ) -> list[StreamingQuery]:
     """The same result with two queries: messages are read and parsed twice, not nine times."""
-    lines = parse_orders(orders.stream(spark, limit), EXACT_MONEY)
-    totals = metrics.compute_all(lines)
+    totals = metrics.compute_all(_lines(spark, orders, limit, metrics.ONE_PASS_FIELDS))
     one_pass = _start(
         totals, "complete", sinks.one_pass_sink(results), checkpoint, trigger, "one_pass"
     )
@@ -89,8 +96,9 @@ def start_bounded_trend(
     """The sales trend with bounded state: a window is dropped from the state once `lateness`
     has passed, and lines that come even later do not count. Only changed windows are
     written. Off by default elsewhere, because the plain trend counts late lines."""
-    lines = parse_orders(orders.stream(spark, limit), EXACT_MONEY)
-    trend = metrics.METRICS["sales_trend"].compute(lines.withWatermark("timestamp", lateness))
+    metric = metrics.METRICS["sales_trend"]
+    lines = _lines(spark, orders, limit, metric.fields)
+    trend = metric.compute(lines.withWatermark("timestamp", lateness))
     return _start(trend, "update", sinks.rows_sink(path), checkpoint, trigger, "bounded_trend")
 
 
