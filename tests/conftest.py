@@ -1,0 +1,73 @@
+import json
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from tillstream.schema import EXACT_MONEY, FIELD_NAMES, order_schema  # noqa: E402
+from tillstream.session import build_session  # noqa: E402
+from tillstream.sources.topics import FolderTopic  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = build_session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "4",
+        "spark.driver.memory": "8g",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+    })
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def lines(spark):
+    """Order lines with a `timestamp` from dictionaries of the fields that matter."""
+
+    def make(*rows):
+        schema = order_schema()
+        typed = order_schema(EXACT_MONEY)
+        table = spark.createDataFrame(
+            [tuple(row.get(name) for name in FIELD_NAMES) for row in rows], schema
+        ).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in typed])
+        return table.withColumn(
+            "timestamp", F.try_to_timestamp("date_", F.lit("yyyy-MM-dd HH:mm:ss")))
+
+    return make
+
+
+@pytest.fixture
+def messages(spark):
+    """Topic messages from texts or from objects."""
+
+    def make(*values):
+        texts = [v if isinstance(v, str) or v is None else json.dumps(v) for v in values]
+        return spark.createDataFrame([(t,) for t in texts], "value string").select(
+            F.col("value").cast("binary").alias("value"))
+
+    return make
+
+
+@pytest.fixture
+def topic(spark, tmp_path):
+    """An empty order topic and a function that sends it objects or texts."""
+    orders = FolderTopic(str(tmp_path / "orders"), "ecommerce")
+
+    def send(*values):
+        texts = [v if isinstance(v, str) else json.dumps(v) for v in values]
+        table = spark.createDataFrame([(t,) for t in texts], "value string")
+        orders.append(table.coalesce(1))  # one file per call
+
+    return orders, send
+
+
+@pytest.fixture
+def rows():
+    """Rows of a table as tuples, in an order of their own."""
+    return lambda table: sorted((tuple(r) for r in table.collect()), key=repr)

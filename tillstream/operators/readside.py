@@ -9,12 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstream.functions.fields import metric_label
 from tillstream.schema import RESULT_SCHEMA, TOP_N
+from tillstream.sources.topics import ARRIVAL
 
 HISTOGRAM_BINS = 20  # fixed value
 
@@ -36,6 +37,22 @@ def result_rows(messages: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
     ]).withColumn("metric", metric_label(F.col("metric")))
 
 
+def feed_rows(messages: DataFrame, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
+    """Messages by the JSON fields of `schema`, plus their place in the topic."""
+    return messages.select(
+        F.from_json(F.col("value").cast("string"), schema).alias("data"),
+        F.struct(*ARRIVAL).alias("position"),
+    ).select("data.*", "position")
+
+
+def is_error() -> Column:
+    return F.col("error").isNotNull()
+
+
+def has_metric() -> Column:
+    return F.col("metric").isNotNull() & (F.col("metric") != "")
+
+
 def of_metric(rows: DataFrame, metric: str, mode: str = "latest") -> DataFrame:
     """Rows of one metric: of its newest epoch, or of all epochs."""
     mine = rows.where(F.col("metric") == metric)
@@ -60,7 +77,7 @@ def non_numeric(rows: DataFrame, measure: str) -> DataFrame:
     return rows.agg(F.count_if(bad).alias("non_numeric"))
 
 
-def _numeric(rows: DataFrame, measure: str):
+def _numeric(rows: DataFrame, measure: str) -> Column:
     if isinstance(rows.schema[measure].dataType, T.NumericType):
         return F.col(measure)
     return F.col(measure).try_cast("double")

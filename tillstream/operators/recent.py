@@ -15,7 +15,8 @@ def last_per_key(
     """The last `size` rows of every key.
 
     The bound on the row number lets every task cut each key to `size` rows before the
-    shuffle, so a hot key does not pile up in one task.
+    shuffle, so a hot key does not pile up in one task. The planner does so for sizes up to
+    spark.sql.optimizer.windowGroupLimitThreshold (1000).
     """
     latest_first = Window.partitionBy(key).orderBy(*[F.desc(name) for name in order])
     return (

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tillstream.plans.staging import SECOND_DELIVERY
-from tillstream.schema import FIELD_NAMES, ORDER_FIELDS
+from tillstream.schema import FIELD_NAMES, MISSING_TOKENS, ORDER_FIELDS
 
 _FAMILY_OF = {name: family for name, _, family in ORDER_FIELDS}
 _MONEY = [name for name, kind, _ in ORDER_FIELDS if kind == "money"]
@@ -134,6 +134,13 @@ _JSON = "json_object(" + ", ".join(
     f"'{name}', CAST({name} AS VARCHAR)" for name in FIELD_NAMES) + ")"
 
 
+_TOKENS = ", ".join(f"'{token}'" for token in MISSING_TOKENS)
+_COMPLETE = " AND ".join(
+    f"{name} NOT IN ({_TOKENS})" if kind == "text" else f"{name} IS NOT NULL"
+    for name, kind, _ in ORDER_FIELDS
+)
+
+
 def _last_line_per_order(fields: str, lines: str) -> str:
     return (
         f"SELECT CAST(order_id AS VARCHAR) AS row_key, {fields} FROM (SELECT *, row_number() "
@@ -188,7 +195,10 @@ def all_sql() -> dict[str, str]:
     sql = {name: _with_lines(_metric(name)) for name in _METRIC_NAMES if name != "sales_trend"}
     trend_over_events = _trend(_EVENT_LINES, "ts", "price")
     one_pass = tuple(name for name in _METRIC_NAMES if name != "sales_trend")
-    last_messages = "SELECT event_type AS metric, event_id, user_id, value FROM events"
+    last_messages = (
+        "SELECT event_type AS metric, event_id, user_id, value FROM events "
+        "WHERE event_type <> ''"
+    )
     sql |= {
         "sales_trend": trend_over_events,
         "sales_trend_orders": _with_lines(_metric("sales_trend")),
@@ -196,7 +206,7 @@ def all_sql() -> dict[str, str]:
         "metric_log": _with_lines(_stacked(_METRIC_NAMES)),
         "prep_sales": _with_lines(
             f"SELECT {_TYPED_FIELDS} FROM order_lines "
-            "WHERE total_discount_amount <> 0 AND unit <> '1'"),
+            f"WHERE total_discount_amount <> 0 AND unit <> '1' AND {_COMPLETE}"),
         "publish_orders": _with_lines(f"SELECT CAST({_JSON} AS VARCHAR) AS value FROM order_lines"),
         "parse_orders": _with_lines(
             f'SELECT {_TYPED_FIELDS}, CAST(date_ AS TIMESTAMP) AS "timestamp" FROM order_lines'),
@@ -235,13 +245,13 @@ def all_sql() -> dict[str, str]:
             "row_number() OVER (PARTITION BY metric ORDER BY event_id DESC) <= 100"),
         "last_100_messages": f"{last_messages} ORDER BY event_id DESC LIMIT 100",
         "sales_trend_bounded_stream": trend_over_events,
-        "result_feed_stream": f"{last_messages} WHERE event_type NOT IN ('error', 'signup')",
+        "result_feed_stream": f"{last_messages} AND event_type NOT IN ('error', 'signup')",
         "result_feed_errors_stream": (
             "SELECT props AS error, event_id, user_id, value FROM events "
-            "WHERE event_type = 'error'"),
+            "WHERE event_type = 'error' AND props IS NOT NULL"),
         "recent_messages_stream": (
             f"SELECT metric, event_id, user_id, value FROM ({last_messages} "
-            "WHERE event_type NOT IN ('error', 'signup')) QUALIFY "
+            "AND event_type NOT IN ('error', 'signup')) QUALIFY "
             "row_number() OVER (PARTITION BY metric ORDER BY event_id DESC) <= 100"),
     }
     for suffix, mode in (("", "latest"), ("_cumulative", "cumulative")):

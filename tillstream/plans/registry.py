@@ -76,9 +76,12 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Preparation, messages, storage --------------------------------------------------------
 
 def prep_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw files to typed order lines. Spark wrote them in parts, so one task per part is
+    enough and cells may contain line breaks."""
     path = staging.raw_files(spark, sf_dir)
     rows = prepare.prepare(
-        read_csv(spark, f"{path}/sales"), read_csv(spark, f"{path}/products"))
+        read_csv(spark, f"{path}/sales", multi_line=True),
+        read_csv(spark, f"{path}/products", multi_line=True))
     return _plain(prepare.with_types(rows, EXACT_MONEY))
 
 
@@ -140,7 +143,7 @@ def export_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replayed results as CSV, read back."""
     rows = readside.flat_results(_results(spark, sf_dir).drop("error"))
     path = staging.exported_results(spark, sf_dir, rows)
-    return _plain(read_csv(spark, path).select(*[
+    return _plain(read_csv(spark, path, multi_line=True).select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema
     ]))
 
@@ -190,8 +193,10 @@ def category_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages, their type as metric; those without a metric do not count."""
     return star.table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("metric"), "event_id", "user_id", "value")
+        F.col("event_type").alias("metric"), "event_id", "user_id", "value",
+    ).where(readside.has_metric())
 
 
 def last_100_per_metric(spark: SparkSession, sf_dir: str) -> DataFrame:

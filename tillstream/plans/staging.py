@@ -42,8 +42,8 @@ def _publish(topic: FolderTopic, lines: DataFrame) -> None:
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [
-        star.order_lines(spark, sf_dir, ordered_before=SECOND_DELIVERY),
-        star.order_lines(spark, sf_dir, ordered_from=SECOND_DELIVERY),
+        star.order_lines(spark, sf_dir, first_before=SECOND_DELIVERY),
+        star.order_lines(spark, sf_dir, first_before=SECOND_DELIVERY, rest=True),
     ]
 
 

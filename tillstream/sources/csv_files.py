@@ -15,11 +15,15 @@ _FORMAT = {
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Every column as text, no inference pass. Files stay splittable unless cells may
-    contain line breaks (`multi_line`)."""
-    return spark.read.options(**_FORMAT, multiLine=str(multi_line).lower()).csv(path)
+    """Every column as text, no inference pass; a blank cell is NULL. Files stay splittable
+    unless cells may contain line breaks (`multi_line`)."""
+    # With a null text that no cell holds, a quoted empty cell stays an empty text.
+    return spark.read.options(
+        **_FORMAT, nullValue="\u0000", multiLine=str(multi_line).lower()
+    ).csv(path)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """A folder of CSV files, each with a header; NULL becomes an empty cell."""
+    """A folder of CSV files, each with a header; NULL becomes a blank cell, an empty text a
+    quoted one."""
     rows.write.mode("overwrite").options(**_FORMAT, emptyValue='""').csv(path)

@@ -49,10 +49,11 @@ def order_lines(
     spark: SparkSession,
     sf_dir: str,
     *fields: str,
-    ordered_before: str | None = None,
-    ordered_from: str | None = None,
+    first_before: str | None = None,
+    rest: bool = False,
 ) -> DataFrame:
-    """Order lines with the asked fields (default: all 21), exact money.
+    """Order lines with the asked fields (default: all 21), exact money. `first_before` keeps
+    the lines ordered before that date, or with `rest` the others.
 
     Lookups go by primary key and are left joins, so a line never gets lost or doubled and a
     lookup no asked field needs can be left out without changing the others. That leaves,
@@ -63,7 +64,7 @@ def order_lines(
     known = _field_sources()
     sources = {name: known[name] for name in wanted}
     needed = {lookup for lookup, _ in sources.values() if lookup}
-    if ordered_before or ordered_from:
+    if first_before:
         needed.add("orders")
 
     lines = table(spark, sf_dir, "lineitem")
@@ -82,10 +83,10 @@ def order_lines(
         lines = lines.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         lines = lines.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
 
-    if ordered_before:
-        lines = lines.where(F.col("o_orderdate") < F.lit(ordered_before).cast("timestamp_ntz"))
-    if ordered_from:
-        lines = lines.where(F.col("o_orderdate") >= F.lit(ordered_from).cast("timestamp_ntz"))
+    if first_before:
+        early = F.col("o_orderdate") < F.lit(first_before).cast("timestamp_ntz")
+        # A line without a date belongs to the later part.
+        lines = lines.where(~F.coalesce(early, F.lit(False)) if rest else early)
     types = order_schema(EXACT_MONEY)
     return lines.select(*[
         expression.cast(types[name].dataType).alias(name)

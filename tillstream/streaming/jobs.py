@@ -12,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from tillstream.operators import metrics
+from tillstream.operators import metrics, readside
 from tillstream.operators.keyed import has_key
 from tillstream.operators.parse import parse_orders, wire_lines
 from tillstream.schema import EXACT_MONEY
@@ -159,22 +159,6 @@ def start_landing(
     )
 
 
-def read_feed(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    """Result messages by their JSON fields, plus their place in the topic."""
-    return messages.select(
-        F.from_json(F.col("value").cast("string"), schema).alias("data"),
-        F.struct(*ARRIVAL).alias("position"),
-    ).select("data.*", "position")
-
-
-def is_error() -> Column:
-    return F.col("error").isNotNull()
-
-
-def has_metric() -> Column:
-    return F.col("metric").isNotNull() & (F.col("metric") != "")
-
-
 def start_feed(
     spark: SparkSession,
     results: Topic,
@@ -189,11 +173,11 @@ def start_feed(
     the error messages, and `recent` holds the last messages of every metric. Messages with
     neither metric nor error are left out. `order` tells which messages are the last ones;
     by default the order of arrival."""
-    rows = read_feed(results.stream(spark, limit), schema)
-    feed = rows.where(~is_error() & has_metric())
+    rows = readside.feed_rows(results.stream(spark, limit), schema)
+    feed = rows.where(~readside.is_error() & readside.has_metric())
     return [
         _start(feed, "append", sinks.rows_sink(f"{path}/feed"), checkpoint, trigger, "feed"),
-        _start(rows.where(is_error()), "append", sinks.rows_sink(f"{path}/errors"),
+        _start(rows.where(readside.is_error()), "append", sinks.rows_sink(f"{path}/errors"),
                checkpoint, trigger, "feed_errors"),
         _start(feed, "append",
                sinks.recent_sink(f"{path}/recent", "metric", order or ["position"]),
