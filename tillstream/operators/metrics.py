@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.schema import TOP_N, TREND_WINDOW
+from tillstream.schema import TOP_N, TREND_WINDOW, order_schema
 
 
 @dataclass(frozen=True)
@@ -108,30 +108,75 @@ ONE_PASS_KEYS = tuple(dict.fromkeys(m.key for m in ONE_PASS))
 ONE_PASS_FIELDS = tuple(dict.fromkeys(field for m in ONE_PASS for field in m.fields))
 
 
+# What a line adds to the totals of a key: some money, some pieces, and whether it counts.
+# Every measure of a key can be had from these three, so a total is that small.
+_PARTS_OF = {"money": ("money",), "sum": ("pieces",), "count": ("counted",),
+             "mean": ("money", "counted")}
+
+
+def _fields_of_key(key: str) -> dict[str, str]:
+    """The field behind each part of the totals of `key`, for the parts its metrics use."""
+    return {
+        part: measure.field
+        for metric in ONE_PASS if metric.key == key
+        for measure in metric.measures
+        for part in _PARTS_OF[measure.how]
+    }
+
+
 def compute_all(lines: DataFrame) -> DataFrame:
-    """Totals of all unwindowed metrics from one pass over `lines`.
+    """Totals for all unwindowed metrics from one pass over `lines`.
 
-    One row per key value of every key. `key_set` says which key a row belongs to; whether
-    the key column is NULL does not, because NULL is a key value too.
+    A line becomes one row per key, which stays within its task: the rows are added up there
+    before the shuffle. `key_set` names the key; its value is in `key`, as text.
     """
-    measures = [
-        m.column().alias(f"{metric.name}__{m.name}")
-        for metric in ONE_PASS for m in metric.measures
-    ]
-    keys = [F.col(key) for key in ONE_PASS_KEYS]
-    return lines.groupingSets([[key] for key in keys], *keys).agg(
-        F.grouping_id(*keys).alias("key_set"), *measures
+    types = {f.name: f.dataType for f in lines.schema}
+
+    def row(key: str) -> Column:
+        fields = _fields_of_key(key)
+        money = F.col(fields["money"]) if "money" in fields else F.lit(None)
+        pieces = F.col(fields["pieces"]) if "pieces" in fields else F.lit(None)
+        counted = F.col(fields["counted"]).isNotNull() if "counted" in fields else F.lit(False)
+        return F.struct(
+            F.lit(key).alias("key_set"),
+            F.col(key).cast("string").alias("key"),
+            money.cast(types["unit_selling_price"]).alias("money"),
+            pieces.cast(types["procured_quantity"]).alias("pieces"),
+            counted.alias("counted"),
+        )
+
+    rows = lines.select(F.inline(F.array(*[row(key) for key in ONE_PASS_KEYS])))
+    return rows.groupBy("key_set", "key").agg(
+        F.sum("money").alias("money"),
+        F.sum("pieces").alias("pieces"),
+        F.count_if("counted").alias("counted"),
     )
 
 
+def compute_all_once(lines: DataFrame, path: str) -> dict[str, DataFrame]:
+    """The unwindowed metrics of a table, their totals kept under `path`.
+
+    Without the written totals every metric would push its own filter down to the scan and
+    make a pass of its own. They hold one row per key value and are split by key, so a metric
+    reads only its part.
+    """
+    compute_all(lines).write.partitionBy("key_set").mode("overwrite").parquet(path)
+    totals = lines.sparkSession.read.parquet(path)
+    return {metric.name: pick(totals, metric) for metric in ONE_PASS}
+
+
 def pick(totals: DataFrame, metric: Metric) -> DataFrame:
     """One metric out of the rows of `compute_all`."""
-    # Each key has one bit, the last key the lowest; it is 0 where the key is grouped by.
-    bit = 1 << (len(ONE_PASS_KEYS) - 1 - ONE_PASS_KEYS.index(metric.key))
-    key_set = (1 << len(ONE_PASS_KEYS)) - 1 - bit
-    mine = totals.where(F.col("key_set") == key_set).select(
-        metric.key,
-        *[F.col(f"{metric.name}__{m.name}").alias(m.name) for m in metric.measures],
+    value = {
+        "money": F.col("money").cast("double"),
+        "sum": F.col("pieces"),
+        "count": F.col("counted"),
+        "mean": F.try_divide(F.col("money").cast("double"), F.col("counted")),
+    }
+    key_type = order_schema()[metric.key].dataType
+    mine = totals.where(F.col("key_set") == metric.key).select(
+        F.col("key").cast(key_type).alias(metric.key),
+        *[value[m.how].alias(m.name) for m in metric.measures],
     )
     return metric.finish(mine)
 

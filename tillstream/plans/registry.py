@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 from tillstream.operators import keyed, metrics, parse, prepare, readside, recent
 from tillstream.plans import staging
-from tillstream.schema import DATE_FORMAT, EXACT_MONEY, FIELD_NAMES
+from tillstream.schema import EXACT_MONEY, FIELD_NAMES
+from tillstream.session import work_folder
 from tillstream.sources import star
 from tillstream.sources.csv_files import read_csv
 from tillstream.sources.topics import FolderTopic
@@ -39,14 +40,10 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 # Metrics over tables -------------------------------------------------------------------
 
-def _timed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("timestamp", F.try_to_timestamp("date_", F.lit(DATE_FORMAT)))
-
-
 def _metric(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     metric = metrics.METRICS[name]
-    lines = star.order_lines(spark, sf_dir, *metric.fields)
-    return metric.compute(_timed(lines) if metric.per_window else lines)
+    fields = ["timestamp" if field == "date_" else field for field in metric.fields]
+    return metric.compute(star.order_lines(spark, sf_dir, *fields))
 
 
 def _metric_query(name: str) -> Query:
@@ -55,22 +52,28 @@ def _metric_query(name: str) -> Query:
 
 def sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trend over events, which have a time of day."""
-    lines = _timed(star.event_lines(spark, sf_dir))
-    return _plain(metrics.METRICS["sales_trend"].compute(lines))
+    return _plain(metrics.METRICS["sales_trend"].compute(star.event_lines(spark, sf_dir)))
+
+
+def _one_pass(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    lines = star.order_lines(spark, sf_dir, *metrics.ONE_PASS_FIELDS)
+    return metrics.compute_all_once(lines, work_folder(spark, "totals"))
+
+
+def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
+    return _plain(metrics.union_of([
+        metrics.labelled(metrics.METRICS[name], rows) for name, rows in tables.items()
+    ]))
 
 
 def multi_metric_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    totals = metrics.compute_all(star.order_lines(spark, sf_dir, *metrics.ONE_PASS_FIELDS))
-    tables = [metrics.labelled(m, metrics.pick(totals, m)) for m in metrics.ONE_PASS]
-    return _plain(metrics.union_of(tables))
+    return _stacked(_one_pass(spark, sf_dir))
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = [
-        metrics.labelled(metric, _metric(spark, sf_dir, name))
-        for name, metric in metrics.METRICS.items()
-    ]
-    return _plain(metrics.union_of(tables))
+    """All nine metrics in one table, from two passes over the lines."""
+    trend = {"sales_trend": _metric(spark, sf_dir, "sales_trend")}
+    return _stacked(_one_pass(spark, sf_dir) | trend)
 
 
 # Preparation, messages, storage --------------------------------------------------------

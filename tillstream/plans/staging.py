@@ -188,12 +188,13 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         events = FolderTopic(f"{path}/events", "ecommerce")
         lines = star.event_lines(spark, sf_dir)
-        time = F.unix_timestamp("date_", "yyyy-MM-dd HH:mm:ss")
+        time = F.unix_seconds("timestamp")
         low, high = lines.agg(F.min(time), F.max(time)).first()
         third = (high - low) // 3
         for start, end in ((low, low + third), (low + third, low + 2 * third),
                            (low + 2 * third, high + 1)):
-            _publish(events, lines.where((time >= start) & (time < end)))
+            part = lines.where((time >= start) & (time < end))
+            _publish(events, part.drop("timestamp"))
             jobs.finish([jobs.start_bounded_trend(
                 spark, events, f"{path}/trend", f"{path}/checkpoints", jobs.DRAIN, "1 hour")])
 

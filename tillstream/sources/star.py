@@ -33,6 +33,7 @@ def _field_sources() -> dict[str, tuple[str | None, Column]]:
         "l1_category_id": ("part", F.col("p_size")),
         "l2_category_id": (None, F.col("l_partkey")),
         "date_": ("orders", F.date_format("o_orderdate", DATE_FORMAT)),
+        "timestamp": ("orders", F.date_trunc("second", "o_orderdate")),
         "city_name": ("customer", F.col("n_name")),
         "order_id": (None, F.col("l_orderkey")),
         "cart_id": (None, F.col("l_orderkey")),
@@ -52,8 +53,9 @@ def order_lines(
     first_before: str | None = None,
     rest: bool = False,
 ) -> DataFrame:
-    """Order lines with the asked fields (default: all 21), exact money. `first_before` keeps
-    the lines ordered before that date, or with `rest` the others.
+    """Order lines with the asked fields (default: all 21), exact money. `timestamp` may be
+    asked for too, instead of reading it from `date_`. `first_before` keeps the lines ordered
+    before that date, or with `rest` the others.
 
     Lookups go by primary key and are left joins, so a line never gets lost or doubled and a
     lookup no asked field needs can be left out without changing the others. That leaves,
@@ -87,15 +89,15 @@ def order_lines(
         early = F.col("o_orderdate") < F.lit(first_before).cast("timestamp_ntz")
         # A line without a date belongs to the later part.
         lines = lines.where(~F.coalesce(early, F.lit(False)) if rest else early)
-    types = order_schema(EXACT_MONEY)
+    types = {f.name: f.dataType for f in order_schema(EXACT_MONEY)} | {"timestamp": "timestamp"}
     return lines.select(*[
-        expression.cast(types[name].dataType).alias(name)
-        for name, (_, expression) in sources.items()
+        expression.cast(types[name]).alias(name) for name, (_, expression) in sources.items()
     ])
 
 
 def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as order lines with a time of day: type as category, value as price."""
+    """Events as order lines with a time of day: type as category, value as price. Has the
+    event time as `timestamp` too."""
     event_fields = {
         "l1_category": F.col("event_type"),
         "date_": F.date_format("ts", DATE_FORMAT),
@@ -104,7 +106,8 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unit_selling_price": F.col("value").cast("decimal(18,2)"),
     }
     types = order_schema(EXACT_MONEY)
-    return table(spark, sf_dir, "events").select(*[
-        event_fields.get(name, F.lit(None)).cast(types[name].dataType).alias(name)
-        for name in FIELD_NAMES
-    ])
+    return table(spark, sf_dir, "events").select(
+        *[event_fields.get(name, F.lit(None)).cast(types[name].dataType).alias(name)
+          for name in FIELD_NAMES],
+        F.date_trunc("second", "ts").alias("timestamp"),
+    )
