@@ -34,7 +34,8 @@ def test_families_hold_all_fields(lines):
 
 def upsert(spark, orders, tmp_path, **options):
     query = jobs.start_upsert(
-        spark, orders, str(tmp_path / "table"), str(tmp_path / "cp"), jobs.DRAIN, **options)
+        spark, orders, str(tmp_path / "table"), jobs.Run(str(tmp_path / "cp"), jobs.DRAIN),
+        **options)
     jobs.finish([query])
     return query
 

@@ -35,7 +35,7 @@ def test_snapshots_equal_the_metrics_over_the_table(spark, topic, tmp_path, rows
     results = result_folder(str(tmp_path / "results"))
 
     def run():
-        jobs.finish(start(spark, orders, results, str(tmp_path / "cp"), jobs.DRAIN))
+        jobs.finish(start(spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN)))
 
     send(*FIRST)
     run()
@@ -57,7 +57,8 @@ def test_files_per_batch_can_be_limited(spark, topic, tmp_path):
     for message in FIRST:
         send(message)
     jobs.finish(jobs.start_metrics(
-        spark, orders, results, str(tmp_path / "cp"), jobs.DRAIN, ["orders_by_city"], limit=1))
+        spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN, limit=1),
+        ["orders_by_city"]))
     assert results.replay(spark).select("epoch_id").distinct().count() == 3
 
 
@@ -67,7 +68,8 @@ def test_empty_snapshot_is_not_published(spark, topic, tmp_path, rows):
 
     def run():
         jobs.finish(jobs.start_metrics(
-            spark, orders, results, str(tmp_path / "cp"), jobs.DRAIN, ["orders_by_city"]))
+            spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN),
+            ["orders_by_city"]))
 
     send()
     run()
@@ -77,12 +79,26 @@ def test_empty_snapshot_is_not_published(spark, topic, tmp_path, rows):
     assert rows(results.replay(spark).select("epoch_id").distinct()) == [(1,)]
 
 
+def test_partitions_are_those_of_the_job(spark, topic, tmp_path):
+    orders, send = topic
+    results = result_folder(str(tmp_path / "results"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    send(*FIRST)
+    (query,) = jobs.start_metrics(
+        spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN, partitions=2),
+        ["aov_by_customer"])
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    jobs.finish([query])
+    assert query.lastProgress.stateOperators[0].numShufflePartitions == 2
+
+
 def test_live_job_takes_new_messages(spark, topic, tmp_path, rows):
     orders, send = topic
     results = result_folder(str(tmp_path / "results"))
     send(*FIRST)
     (query,) = jobs.start_metrics(
-        spark, orders, results, str(tmp_path / "cp"), {"processingTime": "100 milliseconds"},
+        spark, orders, results,
+        jobs.Run(str(tmp_path / "cp"), {"processingTime": "100 milliseconds"}),
         ["orders_by_city"])
     try:
         query.processAllAvailable()
@@ -106,9 +122,10 @@ def test_bounded_trend_drops_late_lines_and_the_plain_one_does_not(spark, topic,
     def run():
         jobs.finish([
             jobs.start_bounded_trend(
-                spark, orders, trend, str(tmp_path / "cp"), jobs.DRAIN, "1 hour"),
+                spark, orders, trend, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN), "1 hour"),
             *jobs.start_metrics(
-                spark, orders, results, str(tmp_path / "cp2"), jobs.DRAIN, ["sales_trend"]),
+                spark, orders, results, jobs.Run(str(tmp_path / "cp2"), jobs.DRAIN),
+                ["sales_trend"]),
         ])
 
     send(price("2022-04-01 10:00:00", "1"), price("2022-04-01 12:00:00", "2"))
@@ -131,7 +148,8 @@ def test_landing_keeps_every_message_once(spark, topic, tmp_path, rows):
     path = str(tmp_path / "documents")
 
     def run():
-        jobs.finish([jobs.start_landing(spark, orders, path, str(tmp_path / "cp"), jobs.DRAIN)])
+        jobs.finish([jobs.start_landing(
+            spark, orders, path, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN))])
 
     send(*FIRST)
     run()
@@ -154,7 +172,7 @@ def test_feed(spark, tmp_path, rows):
     def send(*texts):
         results.append(spark.createDataFrame([(t,) for t in texts], "value string"))
         jobs.finish(jobs.start_feed(spark, results, str(tmp_path / "feed"),
-                                    str(tmp_path / "cp"), jobs.DRAIN, schema))
+                                    jobs.Run(str(tmp_path / "cp"), jobs.DRAIN), schema))
 
     send('{"metric":"a","n":1}', '{"n":2}', '{"metric":"","n":3}', '{"error":"down"}')
     send(*[f'{{"metric":"a","n":{n}}}' for n in range(10, 130)], '{"metric":"b","n":1}')

@@ -137,6 +137,11 @@ def feed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
 
 # Job results ---------------------------------------------------------------------------
 
+def _drain(spark: SparkSession, path: str) -> jobs.Run:
+    cores = spark.sparkContext.defaultParallelism
+    return jobs.Run(f"{path}/checkpoints", jobs.DRAIN, partitions=cores)
+
+
 def _two_runs(spark: SparkSession, sf_dir: str, name: str, start: Callable) -> FolderTopic:
     """Results of a metric job that is run after each of the two deliveries."""
 
@@ -145,7 +150,7 @@ def _two_runs(spark: SparkSession, sf_dir: str, name: str, start: Callable) -> F
         for lines in _deliveries(spark, sf_dir):
             _publish(orders, lines)
             jobs.finish(start(
-                spark, orders, result_folder(f"{path}/results"), f"{path}/checkpoints", jobs.DRAIN))
+                spark, orders, result_folder(f"{path}/results"), _drain(spark, path)))
 
     return result_folder(f"{_once(spark, sf_dir, name, make)}/results")
 
@@ -166,8 +171,8 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
 
     def make(path: str) -> None:
         jobs.finish([jobs.start_upsert(
-            spark, order_topic(spark, sf_dir), f"{path}/table", f"{path}/checkpoints",
-            jobs.DRAIN, order_by=list(FIELD_NAMES))])
+            spark, order_topic(spark, sf_dir), f"{path}/table", _drain(spark, path),
+            order_by=list(FIELD_NAMES))])
 
     return f"{_once(spark, sf_dir, 'upsert_job', make)}/table"
 
@@ -175,8 +180,7 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
 def landed_orders(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish([jobs.start_landing(
-            spark, order_topic(spark, sf_dir), f"{path}/documents", f"{path}/checkpoints",
-            jobs.DRAIN)])
+            spark, order_topic(spark, sf_dir), f"{path}/documents", _drain(spark, path))])
 
     return f"{_once(spark, sf_dir, 'landing_job', make)}/documents"
 
@@ -196,7 +200,7 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
             part = lines.where((time >= start) & (time < end))
             _publish(events, part.drop("timestamp"))
             jobs.finish([jobs.start_bounded_trend(
-                spark, events, f"{path}/trend", f"{path}/checkpoints", jobs.DRAIN, "1 hour")])
+                spark, events, f"{path}/trend", _drain(spark, path), "1 hour")])
 
     return f"{_once(spark, sf_dir, 'trend_job', make)}/trend"
 
@@ -204,7 +208,7 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
 def feed(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish(jobs.start_feed(
-            spark, feed_topic(spark, sf_dir), f"{path}/feed", f"{path}/checkpoints", jobs.DRAIN,
+            spark, feed_topic(spark, sf_dir), f"{path}/feed", _drain(spark, path),
             FEED_SCHEMA, order=["event_id"]))
 
     return f"{_once(spark, sf_dir, 'feed_job', make)}/feed"

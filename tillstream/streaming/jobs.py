@@ -4,18 +4,21 @@ The same job runs in two ways: `DRAIN` takes what has arrived since the last run
 for a schedule; `LIVE` keeps going. The checkpoint folder is what makes the next run go on
 where the last one ended, so every job needs one.
 
-State partitions are fixed by `spark.sql.shuffle.partitions` at a job's first start; set it
-for the cluster before that.
+`partitions` is the number of shuffle and state partitions of a job, by default that of the
+session. The first start fixes it for good, so it should suit the cluster: the number of its
+cores is a good choice. Streams are not re-planned at run time, so too many partitions cost
+one task and one small file each, in every batch.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from tillstream.operators import metrics, readside
 from tillstream.operators.keyed import has_key
@@ -28,42 +31,51 @@ DRAIN = {"availableNow": True}
 LIVE = {"processingTime": "2 seconds"}
 
 
+@dataclass(frozen=True)
+class Run:
+    """How a job runs. `limit` caps the files (folder topic) or messages (Kafka) per batch."""
+
+    checkpoint: str
+    trigger: dict
+    limit: int | None = None
+    partitions: int | None = None
+
+
 def _start(
-    rows: DataFrame, mode: str, write: sinks.BatchWriter, checkpoint: str, trigger: dict, name: str
+    rows: DataFrame, mode: str, write: sinks.BatchWriter, run: Run, name: str
 ) -> StreamingQuery:
-    writer: DataStreamWriter = rows.writeStream.outputMode(mode).queryName(name)
-    return (
-        writer.foreachBatch(write)
-        .option("checkpointLocation", f"{checkpoint}/{name}")
-        .trigger(**trigger)
-        .start()
-    )
+    writer = rows.writeStream.outputMode(mode).queryName(name).foreachBatch(write)
+    writer = writer.option("checkpointLocation", f"{run.checkpoint}/{name}").trigger(**run.trigger)
+    # A query copies the session's settings when it starts.
+    conf = rows.sparkSession.conf
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(run.partitions or before))
+    try:
+        return writer.start()
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
 
 
 def _lines(
-    spark: SparkSession, orders: Topic, limit: int | None, fields: Sequence[str]
+    spark: SparkSession, orders: Topic, run: Run, fields: Sequence[str]
 ) -> DataFrame:
-    return parse_orders(orders.stream(spark, limit), EXACT_MONEY, fields=fields)
+    return parse_orders(orders.stream(spark, run.limit), EXACT_MONEY, fields=fields)
 
 
 def start_metrics(
     spark: SparkSession,
     orders: Topic,
     results: Topic,
-    checkpoint: str,
-    trigger: dict,
+    run: Run,
     names: list[str] | None = None,
-    limit: int | None = None,
 ) -> list[StreamingQuery]:
     """One query per metric, each publishing its whole table after every batch."""
     queries = []
     for name in names or list(metrics.METRICS):
         metric = metrics.METRICS[name]
-        lines = _lines(spark, orders, limit, metric.fields)
+        lines = _lines(spark, orders, run, metric.fields)
         queries.append(_start(
-            metric.compute(lines), "complete", sinks.metric_sink(results, metric),
-            checkpoint, trigger, name,
-        ))
+            metric.compute(lines), "complete", sinks.metric_sink(results, metric), run, name))
     return queries
 
 
@@ -71,78 +83,67 @@ def start_metrics_one_pass(
     spark: SparkSession,
     orders: Topic,
     results: Topic,
-    checkpoint: str,
-    trigger: dict,
-    limit: int | None = None,
+    run: Run,
 ) -> list[StreamingQuery]:
     """The same result with two queries: messages are read and parsed twice, not nine times."""
-    totals = metrics.compute_all(_lines(spark, orders, limit, metrics.ONE_PASS_FIELDS))
-    one_pass = _start(
-        totals, "complete", sinks.one_pass_sink(results), checkpoint, trigger, "one_pass"
-    )
-    return [one_pass, *start_metrics(
-        spark, orders, results, checkpoint, trigger, ["sales_trend"], limit)]
+    totals = metrics.compute_all(_lines(spark, orders, run, metrics.ONE_PASS_FIELDS))
+    one_pass = _start(totals, "complete", sinks.one_pass_sink(results), run, "one_pass")
+    return [one_pass, *start_metrics(spark, orders, results, run, ["sales_trend"])]
 
 
 def start_bounded_trend(
     spark: SparkSession,
     orders: Topic,
     path: str,
-    checkpoint: str,
-    trigger: dict,
+    run: Run,
     lateness: str,
-    limit: int | None = None,
 ) -> StreamingQuery:
     """The sales trend with bounded state: a window is dropped from the state once `lateness`
     has passed, and lines that come even later do not count. Only changed windows are
     written. Off by default elsewhere, because the plain trend counts late lines."""
     metric = metrics.METRICS["sales_trend"]
-    lines = _lines(spark, orders, limit, metric.fields)
+    lines = _lines(spark, orders, run, metric.fields)
     trend = metric.compute(lines.withWatermark("timestamp", lateness))
-    return _start(trend, "update", sinks.rows_sink(path), checkpoint, trigger, "bounded_trend")
+    return _start(trend, "update", sinks.rows_sink(path), run, "bounded_trend")
 
 
 def start_upsert(
     spark: SparkSession,
     orders: Topic,
     path: str,
-    checkpoint: str,
-    trigger: dict,
+    run: Run,
     key: str = "order_id",
     order_by: list[str] | None = None,
-    limit: int | None = None,
 ) -> StreamingQuery:
     """Orders into the keyed table, as the text they were sent as.
 
     The progress reports of the query carry the number of lines and of lines without a key,
     counted while the batch is written.
     """
-    messages = orders.stream(spark, limit).withColumn("position", F.struct(*ARRIVAL))
+    messages = orders.stream(spark, run.limit).withColumn("position", F.struct(*ARRIVAL))
     lines = wire_lines(messages, ("position",)).observe(
         "upsert_input",
         F.count("*").alias("lines"),
         F.count_if(~has_key(key)).alias("without_key"),
     )
     write = sinks.upsert_sink(path, key, order_by)
-    return _start(lines, "append", write, checkpoint, trigger, "upsert_orders")
+    return _start(lines, "append", write, run, "upsert_orders")
 
 
 def start_landing(
     spark: SparkSession,
     orders: Topic,
     path: str,
-    checkpoint: str,
-    trigger: dict,
+    run: Run,
     sink_format: str = "parquet",
     options: dict[str, str] | None = None,
-    limit: int | None = None,
 ) -> StreamingQuery:
     """Every message as a document: its text, its fields and where it came from.
 
     The file sink of Spark itself commits each message once. `sink_format` and `options`
     address a document store instead, if its connector is on the class path.
     """
-    messages = orders.stream(spark, limit).withColumns({
+    messages = orders.stream(spark, run.limit).withColumns({
         "raw": F.col("value").cast("string"),
         "source": F.struct("topic", *ARRIVAL),
     })
@@ -153,8 +154,8 @@ def start_landing(
         documents.writeStream.outputMode("append").queryName("land_orders")
         .format(sink_format)
         .options(**(options or {}))
-        .option("checkpointLocation", f"{checkpoint}/land_orders")
-        .trigger(**trigger)
+        .option("checkpointLocation", f"{run.checkpoint}/land_orders")
+        .trigger(**run.trigger)
         .start(path)
     )
 
@@ -163,25 +164,23 @@ def start_feed(
     spark: SparkSession,
     results: Topic,
     path: str,
-    checkpoint: str,
-    trigger: dict,
+    run: Run,
     schema: T.StructType,
     order: list[str] | None = None,
-    limit: int | None = None,
 ) -> list[StreamingQuery]:
     """The live feed of result messages: `feed` takes every message with a metric, `errors`
     the error messages, and `recent` holds the last messages of every metric. Messages with
     neither metric nor error are left out. `order` tells which messages are the last ones;
     by default the order of arrival."""
-    rows = readside.feed_rows(results.stream(spark, limit), schema)
+    rows = readside.feed_rows(results.stream(spark, run.limit), schema)
     feed = rows.where(~readside.is_error() & readside.has_metric())
     return [
-        _start(feed, "append", sinks.rows_sink(f"{path}/feed"), checkpoint, trigger, "feed"),
+        _start(feed, "append", sinks.rows_sink(f"{path}/feed"), run, "feed"),
         _start(rows.where(readside.is_error()), "append", sinks.rows_sink(f"{path}/errors"),
-               checkpoint, trigger, "feed_errors"),
+               run, "feed_errors"),
         _start(feed, "append",
                sinks.recent_sink(f"{path}/recent", "metric", order or ["position"]),
-               checkpoint, trigger, "feed_recent"),
+               run, "feed_recent"),
     ]
 
 
