@@ -4,6 +4,7 @@ import pytest
 
 from tillstream.operators import keyed, metrics, readside, recent
 from tillstream.operators.parse import parse_orders
+from tillstream.operators.prepare import prepare
 from tillstream.sources import star
 from tillstream.sources.topics import FolderTopic, result_folder
 from tillstream.streaming.sinks import publish_metrics
@@ -49,6 +50,36 @@ def test_large_lookups_are_not_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_hot_join_partitions_are_split(spark):
+    """A third of the sales are of one product; the lookup is too large to broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        sales = spark.range(60000).selectExpr(
+            "CAST(if(id % 3 = 0, 7, id % 3000) AS STRING) AS product_id",
+            "CAST(id AS STRING) AS order_id", "'Pune' AS city_name")
+        products = spark.range(3000).selectExpr(
+            "CAST(id AS STRING) AS product_id", "concat('name ', id) AS product_name")
+        table = prepare(sales.repartition(8), products)
+        assert len(table.collect()) == 60000
+        assert "SortMergeJoin(skew=true)" in plan(table)
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def test_parsing_reads_only_the_asked_fields(messages):
     metric = metrics.METRICS["aov_by_customer"]
     text = plan(metric.compute(parse_orders(messages({"x": 1}), fields=metric.fields)))

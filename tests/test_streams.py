@@ -35,7 +35,8 @@ def test_snapshots_equal_the_metrics_over_the_table(spark, topic, tmp_path, rows
     results = result_folder(str(tmp_path / "results"))
 
     def run():
-        jobs.finish(start(spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN)))
+        jobs.finish(start(spark, orders, results, jobs.Run(
+            str(tmp_path / "cp"), jobs.DRAIN, money=EXACT_MONEY)))
 
     send(*FIRST)
     run()
@@ -111,6 +112,17 @@ def test_live_job_takes_new_messages(spark, topic, tmp_path, rows):
     assert rows(newest.select("city_name", "total_orders")) == [("x", 2), ("y", 1), (None, 0)]
 
 
+def test_prices_are_doubles_unless_asked_otherwise(spark, topic, tmp_path, rows):
+    orders, send = topic
+    results = result_folder(str(tmp_path / "results"))
+    send({"l1_category": "a", "unit_selling_price": "0.123456789"})
+    jobs.finish(jobs.start_metrics(
+        spark, orders, results, jobs.Run(str(tmp_path / "cp"), jobs.DRAIN),
+        ["sales_by_category"]))
+    log = readside.result_rows(results.replay(spark))
+    assert rows(log.select("total_sales")) == [(0.123456789,)]
+
+
 def price(time, amount):
     return {"l1_category": "a", "date_": time, "unit_selling_price": amount}
 

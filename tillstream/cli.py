@@ -15,13 +15,14 @@ since its last run and ends; with --live it keeps going.
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
 from tillstream.operators import readside
 from tillstream.operators.prepare import prepare
-from tillstream.schema import RESULT_SCHEMA
+from tillstream.schema import EXACT_MONEY, RESULT_SCHEMA
 from tillstream.session import build_session
 from tillstream.sources.csv_files import read_csv, write_csv
 from tillstream.sources.topics import (
@@ -51,6 +52,8 @@ def _parser() -> argparse.ArgumentParser:
             added.add_argument("--live", action="store_true")
             added.add_argument("--limit", type=int, help="files or messages per batch")
             added.add_argument("--partitions", type=int, help="shuffle and state partitions")
+            added.add_argument("--exact-money", action="store_true",
+                               help="prices as decimals with four places, for exact sums")
         return added
 
     for name, required in (("prepare", ("sales", "products", "out")), ("publish", ("rows", "orders"))):
@@ -86,6 +89,8 @@ def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
     run = jobs.Run(
         options.checkpoint, jobs.LIVE if options.live else jobs.DRAIN,
         options.limit, options.partitions)
+    if options.exact_money:
+        run = replace(run, money=EXACT_MONEY)
     if options.command == "feed":
         results = _topic(options.results, results=True)
         queries = jobs.start_feed(spark, results, options.path, run, RESULT_SCHEMA)

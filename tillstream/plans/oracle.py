@@ -134,6 +134,7 @@ _JSON = "json_object(" + ", ".join(
     f"'{name}', CAST({name} AS VARCHAR)" for name in FIELD_NAMES) + ")"
 
 
+_STRICT_TYPES = {"id": "INTEGER", "quantity": "INTEGER", "money": "DOUBLE"}
 _TOKENS = ", ".join(f"'{token}'" for token in MISSING_TOKENS)
 _COMPLETE = " AND ".join(
     f"{name} NOT IN ({_TOKENS})" if kind == "text" else f"{name} IS NOT NULL"
@@ -210,6 +211,11 @@ def all_sql() -> dict[str, str]:
         "publish_orders": _with_lines(f"SELECT CAST({_JSON} AS VARCHAR) AS value FROM order_lines"),
         "parse_orders": _with_lines(
             f'SELECT {_TYPED_FIELDS}, CAST(date_ AS TIMESTAMP) AS "timestamp" FROM order_lines'),
+        "parse_orders_strict": _with_lines(
+            "SELECT " + ", ".join(
+                name if kind == "text" else f"CAST(NULL AS {_STRICT_TYPES[kind]}) AS {name}"
+                for name, kind, _ in ORDER_FIELDS
+            ) + ', CAST(date_ AS TIMESTAMP) AS "timestamp" FROM order_lines'),
         "upsert_orders": _with_lines(_last_line_per_order(_TYPED_FIELDS, "order_lines")),
         "upsert_orders_stream": _with_lines(_last_line_per_order(
             ", ".join(FIELD_NAMES), f"(SELECT {_TEXT_FIELDS} FROM order_lines)")),

@@ -98,6 +98,12 @@ def parse_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(parse.parse_orders(messages, EXACT_MONEY))
 
 
+def parse_orders_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same messages read strictly: their numbers are quoted, so all of them are NULL."""
+    messages = staging.order_topic(spark, sf_dir).replay(spark)
+    return _plain(parse.parse_orders(messages, strict=True))
+
+
 def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = keyed.upsert(star.order_lines(spark, sf_dir))
     return _plain(table.select("row_key", *keyed.family_fields()))
@@ -263,6 +269,7 @@ def all_queries() -> dict[str, Query]:
         "prep_sales": prep_sales,
         "publish_orders": publish_orders,
         "parse_orders": parse_orders,
+        "parse_orders_strict": parse_orders_strict,
         "upsert_orders": upsert_orders,
         "order_families": order_families,
         "land_raw_orders": land_raw_orders,

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.schema import FIELD_NAMES
+from tillstream.schema import EXACT_MONEY, FIELD_NAMES
 from tillstream.session import work_folder
 from tillstream.sources import star
 from tillstream.sources.csv_files import write_csv
@@ -137,9 +137,13 @@ def feed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
 
 # Job results ---------------------------------------------------------------------------
 
-def _drain(spark: SparkSession, path: str) -> jobs.Run:
+def _drain(spark: SparkSession, path: str, files_per_core: int | None = None) -> jobs.Run:
+    """A draining run for this cluster. Jobs that shuffle whole rows take a backlog in
+    batches of some files per core; the metric jobs shuffle totals only and take it at once."""
     cores = spark.sparkContext.defaultParallelism
-    return jobs.Run(f"{path}/checkpoints", jobs.DRAIN, partitions=cores)
+    return jobs.Run(
+        f"{path}/checkpoints", jobs.DRAIN, files_per_core and files_per_core * cores,
+        partitions=cores, money=EXACT_MONEY)
 
 
 def _two_runs(spark: SparkSession, sf_dir: str, name: str, start: Callable) -> FolderTopic:
@@ -171,7 +175,7 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
 
     def make(path: str) -> None:
         jobs.finish([jobs.start_upsert(
-            spark, order_topic(spark, sf_dir), f"{path}/table", _drain(spark, path),
+            spark, order_topic(spark, sf_dir), f"{path}/table", _drain(spark, path, 8),
             order_by=list(FIELD_NAMES))])
 
     return f"{_once(spark, sf_dir, 'upsert_job', make)}/table"
@@ -180,7 +184,7 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
 def landed_orders(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish([jobs.start_landing(
-            spark, order_topic(spark, sf_dir), f"{path}/documents", _drain(spark, path))])
+            spark, order_topic(spark, sf_dir), f"{path}/documents", _drain(spark, path, 8))])
 
     return f"{_once(spark, sf_dir, 'landing_job', make)}/documents"
 
@@ -208,7 +212,7 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
 def feed(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish(jobs.start_feed(
-            spark, feed_topic(spark, sf_dir), f"{path}/feed", _drain(spark, path),
+            spark, feed_topic(spark, sf_dir), f"{path}/feed", _drain(spark, path, 8),
             FEED_SCHEMA, order=["event_id"]))
 
     return f"{_once(spark, sf_dir, 'feed_job', make)}/feed"

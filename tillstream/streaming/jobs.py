@@ -23,7 +23,6 @@ from pyspark.sql.streaming import StreamingQuery
 from tillstream.operators import metrics, readside
 from tillstream.operators.keyed import has_key
 from tillstream.operators.parse import parse_orders, wire_lines
-from tillstream.schema import EXACT_MONEY
 from tillstream.sources.topics import ARRIVAL, Topic
 from tillstream.streaming import sinks
 
@@ -33,12 +32,14 @@ LIVE = {"processingTime": "2 seconds"}
 
 @dataclass(frozen=True)
 class Run:
-    """How a job runs. `limit` caps the files (folder topic) or messages (Kafka) per batch."""
+    """How a job runs. `limit` caps the files (folder topic) or messages (Kafka) per batch.
+    `money` is the type prices are read as; a decimal makes sums exact for prices that fit it."""
 
     checkpoint: str
     trigger: dict
     limit: int | None = None
     partitions: int | None = None
+    money: T.DataType = T.DoubleType()
 
 
 def _start(
@@ -59,7 +60,7 @@ def _start(
 def _lines(
     spark: SparkSession, orders: Topic, run: Run, fields: Sequence[str]
 ) -> DataFrame:
-    return parse_orders(orders.stream(spark, run.limit), EXACT_MONEY, fields=fields)
+    return parse_orders(orders.stream(spark, run.limit), run.money, fields=fields)
 
 
 def start_metrics(
@@ -147,7 +148,7 @@ def start_landing(
         "raw": F.col("value").cast("string"),
         "source": F.struct("topic", *ARRIVAL),
     })
-    documents = parse_orders(messages, EXACT_MONEY, keep=("raw", "source")).withColumn(
+    documents = parse_orders(messages, run.money, keep=("raw", "source")).withColumn(
         "ingested_at", F.current_timestamp()
     )
     return (
