@@ -79,15 +79,26 @@ def test_one_pass_equals_the_single_metrics(lines, rows):
             "procured_quantity": rng.choice([1, 2, 3, None]),
             "unit_selling_price": rng.choice([0.1, 0.2, 99.99, None]),
             "total_discount_amount": rng.choice([0.0, 0.01, None]),
+            "date_": rng.choice(["2022-04-01 10:09:59", "2022-04-01 10:10:00",
+                                 "1969-12-31 23:59:59", "2022-04-01", None]),
             **(hot if i % 3 == 0 else {}),
         }
         for i in range(600)
     ])
     totals = metrics.compute_all(table)
-    for metric in metrics.ONE_PASS:
+    for metric in metrics.ALL:
         assert rows(metrics.pick(totals, metric)) == rows(metric.compute(table)), metric.name
 
 
+def test_one_pass_of_some_metrics_keeps_totals_in_a_table(lines, rows, tmp_path):
+    table = lines({"l1_category": "a", "unit_selling_price": 1.0}, {"l1_category": None})
+    wanted = [METRICS["sales_by_category"], METRICS["sales_trend"]]
+    found = metrics.compute_all_once(table, str(tmp_path / "totals"), wanted)
+    assert rows(found["sales_by_category"]) == [("a", 1.0), (None, None)]
+    assert rows(found["sales_trend"]) == []
+    assert {p.name for p in (tmp_path / "totals").glob("key_set=*")} == {"key_set=l1_category"}
+
+
 def test_messages_leave_null_keys_out(lines, rows):
     table = lines({"brand_name": None}, {"brand_name": "b"})
     sent = metrics.result_messages({"top_brands": compute("top_brands", table)}, 3)

@@ -60,7 +60,7 @@ def _parser() -> argparse.ArgumentParser:
         command(name, *required).add_argument(
             "--multi-line", action="store_true", help="cells may contain line breaks")
     command("metrics", "orders", "results", streaming=True).add_argument(
-        "--one-pass", action="store_true", help="two queries instead of one per metric")
+        "--one-pass", action="store_true", help="one query instead of one per metric")
     command("store", "orders", "table", streaming=True).add_argument("--key", default="order_id")
     command("land", "orders", "path", streaming=True)
     command("feed", "results", "path", streaming=True)

@@ -7,13 +7,14 @@ shuffle: a brand or city that holds a third of all lines sends one row per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillstream.schema import TOP_N, TREND_WINDOW, order_schema
+from tillstream.schema import TOP_N, TREND_MINUTES, order_schema
 
 
 @dataclass(frozen=True)
@@ -45,6 +46,11 @@ class Metric:
     ratio: tuple[str, str, str] | None = None  # (output, dividend, divisor)
     per_window: bool = False
 
+    @property
+    def key_set(self) -> str:
+        """Name of the kind of key the metric is grouped by."""
+        return f"{self.key}_by_window" if self.per_window else self.key
+
     @property
     def fields(self) -> tuple[str, ...]:
         """Order-line fields the metric reads."""
@@ -59,7 +65,7 @@ class Metric:
 
     def compute(self, lines: DataFrame) -> DataFrame:
         """The metric over `lines`. NULL keys form a group of their own."""
-        keys = [F.window("timestamp", TREND_WINDOW)] if self.per_window else []
+        keys = [F.window("timestamp", f"{TREND_MINUTES} minutes")] if self.per_window else []
         grouped = lines.groupBy(*keys, self.key)
         return self.finish(grouped.agg(*[m.column() for m in self.measures]))
 
@@ -102,11 +108,7 @@ METRICS = {
     )
 }
 
-# The metrics that differ only in key and measure; the trend is grouped by time as well.
-ONE_PASS = tuple(m for m in METRICS.values() if not m.per_window)
-ONE_PASS_KEYS = tuple(dict.fromkeys(m.key for m in ONE_PASS))
-ONE_PASS_FIELDS = tuple(dict.fromkeys(field for m in ONE_PASS for field in m.fields))
-
+ALL = tuple(METRICS.values())
 
 # What a line adds to the totals of a key: some money, some pieces, and whether it counts.
 # Every measure of a key can be had from these three, so a total is that small.
@@ -114,55 +116,72 @@ _PARTS_OF = {"money": ("money",), "sum": ("pieces",), "count": ("counted",),
              "mean": ("money", "counted")}
 
 
-def _fields_of_key(key: str) -> dict[str, str]:
-    """The field behind each part of the totals of `key`, for the parts its metrics use."""
-    return {
-        part: measure.field
-        for metric in ONE_PASS if metric.key == key
-        for measure in metric.measures
-        for part in _PARTS_OF[measure.how]
-    }
+def fields_of(wanted: Sequence[Metric] = ALL) -> tuple[str, ...]:
+    """Order-line fields the metrics read."""
+    return tuple(dict.fromkeys(field for metric in wanted for field in metric.fields))
+
 
+def _window_start() -> Column:
+    """Start of the trend window a line falls into; NULL without an event time. As a plain
+    expression, since the window function drops lines without a time for all metrics."""
+    length = TREND_MINUTES * 60
+    return F.timestamp_seconds(F.floor(F.unix_seconds("timestamp") / length) * length)
 
-def compute_all(lines: DataFrame) -> DataFrame:
-    """Totals for all unwindowed metrics from one pass over `lines`.
 
-    A line becomes one row per key, which stays within its task: the rows are added up there
-    before the shuffle. `key_set` names the key; its value is in `key`, as text.
+def compute_all(lines: DataFrame, wanted: Sequence[Metric] = ALL) -> DataFrame:
+    """Totals for all wanted metrics from one pass over `lines`.
+
+    A line becomes one row per kind of key, which stays within its task: the rows are added
+    up there before the shuffle. `key_set` names the kind of key; its value is in `key`, as
+    text, and for the trend in `window_start` too.
     """
     types = {f.name: f.dataType for f in lines.schema}
+    no_window = F.lit(None).cast("timestamp")
+
+    def row(key_set: str) -> Column:
+        mine = [metric for metric in wanted if metric.key_set == key_set]
+        fields = {
+            part: measure.field
+            for metric in mine for measure in metric.measures for part in _PARTS_OF[measure.how]
+        }
+
+        def amount(part: str, kind: str) -> Column:
+            value = F.col(fields[part]) if part in fields else F.lit(None)
+            return value.cast(types.get(kind, "int")).alias(part)
 
-    def row(key: str) -> Column:
-        fields = _fields_of_key(key)
-        money = F.col(fields["money"]) if "money" in fields else F.lit(None)
-        pieces = F.col(fields["pieces"]) if "pieces" in fields else F.lit(None)
         counted = F.col(fields["counted"]).isNotNull() if "counted" in fields else F.lit(False)
         return F.struct(
-            F.lit(key).alias("key_set"),
-            F.col(key).cast("string").alias("key"),
-            money.cast(types["unit_selling_price"]).alias("money"),
-            pieces.cast(types["procured_quantity"]).alias("pieces"),
+            F.lit(key_set).alias("key_set"),
+            (_window_start() if mine[0].per_window else no_window).alias("window_start"),
+            F.col(mine[0].key).cast("string").alias("key"),
+            amount("money", "unit_selling_price"),
+            amount("pieces", "procured_quantity"),
             counted.alias("counted"),
         )
 
-    rows = lines.select(F.inline(F.array(*[row(key) for key in ONE_PASS_KEYS])))
-    return rows.groupBy("key_set", "key").agg(
+    key_sets = dict.fromkeys(metric.key_set for metric in wanted)
+    windowed = [metric.key_set for metric in wanted if metric.per_window]
+    rows = lines.select(F.inline(F.array(*[row(key_set) for key_set in key_sets])))
+    rows = rows.where(~F.col("key_set").isin(windowed) | F.col("window_start").isNotNull())
+    return rows.groupBy("key_set", "window_start", "key").agg(
         F.sum("money").alias("money"),
         F.sum("pieces").alias("pieces"),
         F.count_if("counted").alias("counted"),
     )
 
 
-def compute_all_once(lines: DataFrame, path: str) -> dict[str, DataFrame]:
-    """The unwindowed metrics of a table, their totals kept under `path`.
+def compute_all_once(
+    lines: DataFrame, path: str, wanted: Sequence[Metric] = ALL
+) -> dict[str, DataFrame]:
+    """The wanted metrics of a table, their totals kept under `path`.
 
     Without the written totals every metric would push its own filter down to the scan and
-    make a pass of its own. They hold one row per key value and are split by key, so a metric
-    reads only its part.
+    make a pass of its own. They hold one row per key value and are split by kind of key, so
+    a metric reads only its part.
     """
-    compute_all(lines).write.partitionBy("key_set").mode("overwrite").parquet(path)
+    compute_all(lines, wanted).write.partitionBy("key_set").mode("overwrite").parquet(path)
     totals = lines.sparkSession.read.parquet(path)
-    return {metric.name: pick(totals, metric) for metric in ONE_PASS}
+    return {metric.name: pick(totals, metric) for metric in wanted}
 
 
 def pick(totals: DataFrame, metric: Metric) -> DataFrame:
@@ -174,11 +193,14 @@ def pick(totals: DataFrame, metric: Metric) -> DataFrame:
         "mean": F.try_divide(F.col("money").cast("double"), F.col("counted")),
     }
     key_type = order_schema()[metric.key].dataType
-    mine = totals.where(F.col("key_set") == metric.key).select(
-        F.col("key").cast(key_type).alias(metric.key),
-        *[value[m.how].alias(m.name) for m in metric.measures],
-    )
-    return metric.finish(mine)
+    columns = [F.col("key").cast(key_type).alias(metric.key)]
+    if metric.per_window:
+        end = F.col("window_start") + F.expr(f"INTERVAL {TREND_MINUTES} MINUTES")
+        columns.append(
+            F.struct(F.col("window_start").alias("start"), end.alias("end")).alias("window"))
+    mine = totals.where(F.col("key_set") == metric.key_set)
+    return metric.finish(mine.select(
+        *columns, *[value[m.how].alias(m.name) for m in metric.measures]))
 
 
 def labelled(metric: Metric, rows: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +42,7 @@ def _plain(rows: DataFrame) -> DataFrame:
 
 def _metric(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     metric = metrics.METRICS[name]
-    fields = ["timestamp" if field == "date_" else field for field in metric.fields]
-    return metric.compute(star.order_lines(spark, sf_dir, *fields))
+    return metric.compute(star.order_lines(spark, sf_dir, *_line_fields(metric.fields)))
 
 
 def _metric_query(name: str) -> Query:
@@ -55,25 +54,29 @@ def sales_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(metrics.METRICS["sales_trend"].compute(star.event_lines(spark, sf_dir)))
 
 
-def _one_pass(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lines = star.order_lines(spark, sf_dir, *metrics.ONE_PASS_FIELDS)
-    return metrics.compute_all_once(lines, work_folder(spark, "totals"))
+def _line_fields(fields: Sequence[str]) -> list[str]:
+    """From the tables the event time comes as a time, not as text to be read."""
+    return ["timestamp" if field == "date_" else field for field in fields]
 
 
-def _stacked(tables: dict[str, DataFrame]) -> DataFrame:
+def _one_pass(
+    spark: SparkSession, sf_dir: str, wanted: Sequence[metrics.Metric]
+) -> DataFrame:
+    lines = star.order_lines(spark, sf_dir, *_line_fields(metrics.fields_of(wanted)))
+    tables = metrics.compute_all_once(lines, work_folder(spark, "totals"), wanted)
     return _plain(metrics.union_of([
         metrics.labelled(metrics.METRICS[name], rows) for name, rows in tables.items()
     ]))
 
 
 def multi_metric_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _stacked(_one_pass(spark, sf_dir))
+    """The eight unwindowed metrics in one table."""
+    return _one_pass(spark, sf_dir, [m for m in metrics.ALL if not m.per_window])
 
 
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All nine metrics in one table, from two passes over the lines."""
-    trend = {"sales_trend": _metric(spark, sf_dir, "sales_trend")}
-    return _stacked(_one_pass(spark, sf_dir) | trend)
+    """All nine metrics in one table."""
+    return _one_pass(spark, sf_dir, metrics.ALL)
 
 
 # Preparation, messages, storage --------------------------------------------------------
@@ -229,7 +232,7 @@ def _snapshot_query(name: str, results: Callable[[SparkSession, str], FolderTopi
 
 
 def one_pass_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All snapshots of the two-query job."""
+    """All snapshots of the one-query job."""
     rows = readside.result_rows(staging.one_pass_results(spark, sf_dir).replay(spark))
     return _plain(rows.drop("error"))
 

@@ -31,9 +31,9 @@ ORDER_FIELDS = (
 )
 FAMILIES = ("product_data", "order_data", "customer_data", "pricing", "metadata")
 
-# The format of date_, the length of a trend window and the size of a top list.
+# The format of date_, the length of a trend window in minutes and the size of a top list.
 DATE_FORMAT = "yyyy-MM-dd HH:mm:ss"
-TREND_WINDOW = "10 minutes"
+TREND_MINUTES = 10
 TOP_N = 10
 
 # The cell texts a CSV reader takes as missing.

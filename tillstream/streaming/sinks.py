@@ -43,7 +43,7 @@ def metric_sink(topic: Topic, metric: metrics.Metric) -> BatchWriter:
 def one_pass_sink(topic: Topic) -> BatchWriter:
     """Snapshots of `compute_all`, published as the metrics they contain."""
     return _snapshot_sink(
-        topic, lambda totals: {m.name: metrics.pick(totals, m) for m in metrics.ONE_PASS}
+        topic, lambda totals: {m.name: metrics.pick(totals, m) for m in metrics.ALL}
     )
 
 
