@@ -101,7 +101,32 @@ def test_compaction_keeps_the_table(spark, topic, tmp_path, rows):
     sinks.compact_orders(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
     compact = spark.read.parquet(str(tmp_path / "compact"))
     assert compact.count() == 4
-    assert rows(sinks.latest_orders(compact).drop("batch_id", "position")) == before
+
+    def now():
+        table = spark.read.parquet(str(tmp_path / "compact"))
+        return rows(sinks.latest_orders(table).drop("batch_id", "position"))
+
+    assert now() == before
+    # The last batch runs again, into the new folder; then a new one comes.
+    again = spark.read.parquet(str(tmp_path / "table/batch_id=2"))
+    sinks.rows_sink(str(tmp_path / "compact"))(again, 2)
+    assert now() == before
+    send({"order_id": "1", "city_name": "d"})
+    query = jobs.start_upsert(
+        spark, orders, str(tmp_path / "compact"), jobs.Run(str(tmp_path / "cp"), jobs.DRAIN))
+    jobs.finish([query])
+    assert [row.metadata.city_name for row in sinks.latest_orders(
+        spark.read.parquet(str(tmp_path / "compact"))).where("row_key = '1'").collect()] == ["d"]
+
+
+def test_compaction_by_field(spark, topic, tmp_path):
+    orders, send = topic
+    for city in "ba":
+        send({"order_id": "1", "city_name": city})
+        upsert(spark, orders, tmp_path, order_by=["city_name"])
+    sinks.compact_orders(spark, str(tmp_path / "table"), str(tmp_path / "compact"), ["city_name"])
+    (row,) = spark.read.parquet(str(tmp_path / "compact")).collect()
+    assert row.metadata.city_name == "b"
 
 
 def test_create_table_only_once(spark, topic, tmp_path, rows):

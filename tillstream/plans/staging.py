@@ -7,6 +7,7 @@ working folder, from all rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from threading import RLock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,16 +24,18 @@ from tillstream.streaming import jobs
 SECOND_DELIVERY = "1998-01-01"
 
 _made: dict[tuple[str, str, str], str] = {}
+_making = RLock()  # making one thing may need another
 
 
 def _once(
     spark: SparkSession, sf_dir: str, name: str, make: Callable[[str], None]
 ) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _made:
-        path = work_folder(spark, name)
-        make(path)
-        _made[key] = path
+    with _making:
+        if key not in _made:
+            path = work_folder(spark, name)
+            make(path)
+            _made[key] = path
     return _made[key]
 
 

@@ -16,6 +16,8 @@ from tillstream.sources.topics import Topic
 
 BatchWriter = Callable[[DataFrame, int], None]
 
+COMPACTED = -1
+
 
 def publish_metrics(topic: Topic, rows_by_metric: dict[str, DataFrame], epoch_id: int) -> None:
     """Metric tables to the result topic as one snapshot, in one write."""
@@ -81,17 +83,19 @@ def latest_orders(table: DataFrame, order_by: list[str] | None = None) -> DataFr
     return keyed.latest_per_key(ranked, ["row_key"], list(ranks)).drop(*ranks)
 
 
-def compact_orders(spark: SparkSession, path: str, new_path: str) -> None:
+def compact_orders(
+    spark: SparkSession, path: str, new_path: str, order_by: list[str] | None = None
+) -> None:
     """Rewrite the log of batches as one batch without outdated rows, in a new folder.
 
-    Run it between two runs of the upsert job and give the job the new folder; its batch
-    numbers go on from there. Rows are sorted by key within a file, so a lookup of a key
-    skips most row groups.
+    Run it between two runs of the upsert job and give the job the new folder. The batch is
+    numbered before all others: should the job repeat its last batch, that comes on top and
+    changes nothing. Rows are sorted by key within a file, so a lookup of a key skips most
+    row groups.
     """
-    table = spark.read.parquet(path)
-    newest = table.agg(F.max("batch_id")).first()[0]
-    rows = latest_orders(table).drop("batch_id").sortWithinPartitions("row_key")
-    rows.write.mode("overwrite").parquet(f"{new_path}/batch_id={newest}")
+    rows = latest_orders(spark.read.parquet(path), order_by).drop("batch_id")
+    rows.sortWithinPartitions("row_key").write.mode("overwrite").parquet(
+        f"{new_path}/batch_id={COMPACTED}")
 
 
 def recent_sink(
