@@ -62,6 +62,12 @@ def test_shared_columns_get_suffixes(files):
     assert row.asDict() == {"product_id": "1", "price_x": "5", "price_y": "7"}
 
 
+def test_column_names_with_dots_and_blanks(files):
+    sales, products = files("product_id,a.b,c d\n1,5,x\n1,,x\n", "product_id,a.b\n1,7\n")
+    (row,) = prepare(sales, products).collect()
+    assert row.asDict() == {"product_id": "1", "a.b_x": "5", "c d": "x", "a.b_y": "7"}
+
+
 def test_cells_with_commas_quotes_and_line_breaks(spark, files, tmp_path, rows):
     sales, products = files('product_id,city_name\n1,"a, ""b"""\n2,"two\nlines"\n',
                             "product_id,unit\n1,kg\n2,l\n", multi_line=True)

@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 from tillstream.schema import DATE_FORMAT, MISSING_TOKENS
 
 
+def column(name: str) -> Column:
+    """The column of that very name, which may contain dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def missing_to_null(text: Column) -> Column:
     """NULL for the texts that mean "no value"; any other text unchanged."""
     return F.when(~text.isin(*MISSING_TOKENS), text)

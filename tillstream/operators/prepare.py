@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.functions.fields import missing_to_null, read_as, whole_number
+from tillstream.functions.fields import column, missing_to_null, read_as, whole_number
 from tillstream.schema import order_schema
 
 # Header of a saved row index, as written by the usual tools or as Spark names a blank header.
@@ -18,8 +20,8 @@ _INDEX_COLUMN = re.compile(r"^(Unnamed: .*|_c\d+)$")
 
 def _complete_rows(raw: DataFrame) -> DataFrame:
     kept = [name for name in raw.columns if not _INDEX_COLUMN.match(name)]
-    cells = [missing_to_null(F.col(f"`{name}`")).alias(name) for name in kept]
-    return raw.select(*cells).na.drop("any")
+    rows = raw.select(*[missing_to_null(column(name)).alias(name) for name in kept])
+    return rows.where(reduce(and_, [column(name).isNotNull() for name in kept]))
 
 
 def _join_value(key: Column) -> Column:
@@ -38,13 +40,12 @@ def prepare(sales: DataFrame, products: DataFrame, key: str = "product_id") -> D
     right = _complete_rows(products)
     shared = (set(left.columns) & set(right.columns)) - {key}
     left = left.select(
-        _join_value(F.col(key)).alias("__key"),
-        *[F.col(f"`{c}`").alias(c + "_x" if c in shared else c) for c in left.columns],
+        _join_value(column(key)).alias("__key"),
+        *[column(c).alias(c + "_x" if c in shared else c) for c in left.columns],
     )
     right = right.select(
-        _join_value(F.col(key)).alias("__key"),
-        *[F.col(f"`{c}`").alias(c + "_y" if c in shared else c)
-          for c in right.columns if c != key],
+        _join_value(column(key)).alias("__key"),
+        *[column(c).alias(c + "_y" if c in shared else c) for c in right.columns if c != key],
     )
     return left.join(right, "__key", "inner").drop("__key")
 

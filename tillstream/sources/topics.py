@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillstream.functions.fields import column
 from tillstream.schema import TOPIC_SCHEMA
 
 # Arrival order of messages. Offsets only order messages of one partition, and a folder
@@ -21,7 +22,7 @@ ARRIVAL = ("timestamp", "partition", "offset")
 
 def order_payload(lines: DataFrame) -> Column:
     """One JSON object per row, every value as text, NULL fields kept."""
-    cells = [F.col(name).cast("string").alias(name) for name in lines.columns]
+    cells = [column(name).cast("string").alias(name) for name in lines.columns]
     return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
 
