@@ -25,6 +25,12 @@ def test_latest_and_cumulative(results, rows):
         readside.of_metric(log, "top_brands", "newest")
 
 
+def test_newest_epoch_of_every_metric(results, rows):
+    log = results(brand("a", 1, 0), brand("a", 3, 1), {"metric": "other", "epoch_id": 0})
+    assert rows(readside.newest_of_all(log).select("metric", "epoch_id")) == [
+        ("other", 0), ("top_brands", 1)]
+
+
 def test_metric_names_are_normalised(results, rows):
     log = results({"metric": "Top Brands"}, {"metric": "top_brands"}, {"x": 1})
     assert rows(readside.metric_names(log)) == [("top_brands",)]

@@ -64,6 +64,13 @@ def of_metric(rows: DataFrame, metric: str, mode: str = "latest") -> DataFrame:
     return mine.where(F.col("epoch_id") == newest)
 
 
+def newest_of_all(rows: DataFrame) -> DataFrame:
+    """The newest epoch of every metric. One row per metric meets the log here; the planner
+    sees how few they are once they are counted."""
+    newest = rows.groupBy("metric").agg(F.max("epoch_id").alias("epoch_id"))
+    return rows.join(newest, ["metric", "epoch_id"], "left_semi")
+
+
 def require(rows: DataFrame, *columns: str) -> None:
     """Refuse tables that lack a column."""
     absent = [name for name in columns if name not in rows.columns]

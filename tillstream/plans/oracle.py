@@ -229,7 +229,8 @@ def all_sql() -> dict[str, str]:
             'CAST(date_ AS TIMESTAMP) AS "timestamp" FROM order_lines'),
         "replay_results": _with_results("SELECT * FROM results"),
         "export_results": _with_results("SELECT * FROM results"),
-        "one_pass_stream": _with_results("SELECT * FROM results"),
+        "metric_streams": _with_results("SELECT * FROM results"),
+        "one_pass_stream": _with_lines(_stacked(_METRIC_NAMES)),
         "replay_counts": _with_results(
             "SELECT metric, CAST(grouping(metric) AS TINYINT) AS is_total, "
             "count(*) AS messages FROM results GROUP BY ROLLUP (metric)"),

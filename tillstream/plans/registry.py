@@ -135,7 +135,8 @@ def land_raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Read side -----------------------------------------------------------------------------
 
 def _results(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
-    messages = staging.metric_results(spark, sf_dir).replay(spark)
+    """The log of the one-query job; the nine streams write the same one at a higher price."""
+    messages = staging.one_pass_results(spark, sf_dir).replay(spark)
     return readside.result_rows(messages, fields)
 
 
@@ -231,10 +232,16 @@ def _snapshot_query(name: str, results: Callable[[SparkSession, str], FolderTopi
     return query
 
 
+def metric_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All snapshots of the nine streams."""
+    rows = readside.result_rows(staging.metric_results(spark, sf_dir).replay(spark))
+    return _plain(rows.drop("error"))
+
+
 def one_pass_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All snapshots of the one-query job."""
+    """The newest snapshot of every metric of the one-query job."""
     rows = readside.result_rows(staging.one_pass_results(spark, sf_dir).replay(spark))
-    return _plain(rows.drop("error"))
+    return _plain(readside.newest_of_all(rows).drop("error", "epoch_id"))
 
 
 def sales_trend_bounded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,6 +292,7 @@ def all_queries() -> dict[str, Query]:
         "category_share": category_share,
         "last_100_per_metric": last_100_per_metric,
         "last_100_messages": last_100_messages,
+        "metric_streams": metric_streams,
         "one_pass_stream": one_pass_stream,
         "upsert_orders_stream": upsert_orders_stream,
         "sales_trend_bounded_stream": sales_trend_bounded_stream,
