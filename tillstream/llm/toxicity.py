@@ -42,11 +42,17 @@ DECAY = 0.7
 SPAN = 8  # letters a subsequence may reach over
 CHUNK = 16  # longer words are taken in overlapping chunks of this length
 ROUNDS = 3
+WITNESSES = 4  # words of a toxic document that are taken for toxic ones in training
+LIFT = 3.0  # times as often in toxic as in clean documents stands a word that may be toxic
 COST = 4.0
 CACHE_WORDS = 400_000
 LETTERS = 64  # kinds of letters told apart; others only widen gaps
 
+TOP = 5  # strongest distinct words that decide about a document
+EDGES = "<>"  # stand for the start and the end of a word, and count as letters
+
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
+_AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,6 +62,11 @@ def words_of(text: str | None) -> list[str]:
     return out
 
 
+def edged(word: str) -> str:
+    """The word between edge marks, without the signs around it."""
+    return EDGES[0] + _AROUND.sub("", word) + EDGES[1]
+
+
 # --- the kernel --------------------------------------------------------------------------------
 
 @cache
@@ -119,6 +130,7 @@ class Alphabet:
 
 
 def chunks(word: str) -> list[str]:
+    word = edged(word)
     if len(word) <= CHUNK:
         return [word]
     half = CHUNK // 2
@@ -132,8 +144,7 @@ class Model:
     alphabet: Alphabet
     triples: np.ndarray  # the machine's weight of each triple
     bias: float
-    slope: float
-    offset: float
+    curve: np.ndarray  # of the logistic curve: one weight per document feature, and a constant
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's value of each word; above 0 is suspicious."""
@@ -149,8 +160,15 @@ class Model:
         np.maximum.at(out, np.array(owner, np.int64), value)
         return out
 
-    def score(self, strongest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * strongest + self.offset, -50, 50)))
+    def document(self, values: list[float]) -> list[float]:
+        """What decides about a document: its strongest distinct words."""
+        best = sorted(values, reverse=True)[:TOP]
+        least = self.bias - 1
+        return best + [least] * (TOP - len(best))
+
+    def score(self, features: np.ndarray) -> np.ndarray:
+        x = features @ self.curve[:-1] + self.curve[-1]
+        return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
 def _newton(features: np.ndarray, target: np.ndarray, weight: np.ndarray, kind: str,
@@ -190,8 +208,8 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
             for letter in set(word):
                 if letter.isalnum():
                     letters[letter] += n
-    alphabet = Alphabet("".join(l for l, _ in sorted(
-        letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS - 1]))
+    alphabet = Alphabet(EDGES + "".join(l for l, _ in sorted(
+        letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS - 1 - len(EDGES)]))
     vocabulary = sorted(set(in_toxic) | set(in_clean))
     rate = {}
     for word in vocabulary:
@@ -199,63 +217,80 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
         q = (in_clean[word] + 0.5) / (len(clean) + 1)
         both = (in_toxic[word] + in_clean[word] + 0.5) / (len(toxic) + len(clean) + 1)
         spread = (both * (1 - both) * (1 / len(toxic) + 1 / (len(clean) + 1))) ** 0.5
-        rate[word] = (p - q) / max(spread, 1e-12)
-    usable = [[w for w in words if len(w) >= 3] for words in toxic]
-    witness = [max(words, key=lambda w: (rate[w], w)) for words in usable if words]
-    # Landmarks: suspicious words by how many toxic documents they explain, and common clean ones.
-    picked = [w for w, _ in sorted(Counter(witness).items(), key=lambda x: (-x[1], x[0]))]
+        rate[word] = (p - q) / max(spread, 1e-12) if p >= LIFT * q else -1.0
+    witness = [sorted(words, key=lambda w: (-rate[w], w))[:WITNESSES] for words in toxic]
+    # Landmarks: the words that explain most toxic documents, and common clean ones.
+    explains = Counter(words[0] for words in witness if words)
+    for words in witness:
+        explains.update({w: 0.25 for w in words[1:] if rate[w] > 0})
+    picked = [w for w, _ in sorted(explains.items(), key=lambda x: (-x[1], x[0]))]
     ordinary = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))
-                if len(w) >= 3 and rate[w] < 2]
-    marks = list(dict.fromkeys([w[:CHUNK] for w in
-                                picked[:landmarks * 3 // 4] + ordinary[:landmarks // 4]]))
-    table = np.zeros((LETTERS ** 3, len(marks)))
-    for places, code, weight in alphabet.features(marks):
-        for place, codes, weights in zip(places, code, weight):
-            table[codes, place] += weights
-    gram = table.T @ table
-    values, vectors = np.linalg.eigh(gram)
-    whiten = vectors / np.sqrt(np.maximum(values, 1e-6))[None, :] @ vectors.T
+                if rate[w] < 2]
+    marks = list(dict.fromkeys(chunks(w)[0] for w in picked[:landmarks * 3 // 4]
+                               + ordinary[:landmarks // 4]))
+    found = [(place, codes, weights) for places, code, weight in alphabet.features(marks)
+             for place, codes, weights in zip(places, code, weight)]
+    seen = np.unique(np.concatenate([codes[weights > 0] for _, codes, weights in found]
+                                    or [np.zeros(0, np.int64)]))
+    row = np.zeros(LETTERS ** 3, np.int64)  # row 0 is that of triples no landmark has
+    row[seen] = np.arange(len(seen)) + 1
+    table = np.zeros((len(seen) + 1, len(marks)))
+    for place, codes, weights in found:
+        table[row[codes], place] += weights
+    table[0] = 0
+    values, vectors = np.linalg.eigh(table.T @ table)
+    whiten = vectors / np.sqrt(np.maximum(values, 1e-4))[None, :] @ vectors.T
 
     def mapped(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(marks)))
-        for places, code, weight in alphabet.features([w[:CHUNK] for w in words]):
-            for start in range(0, len(places), 256):
-                part = slice(start, start + 256)
-                out[places[part]] = np.einsum("ij,ijk->ik", weight[part], table[code[part]])
+        for places, code, weight in alphabet.features([chunks(w)[0] for w in words]):
+            for start in range(0, len(places), 4096):
+                part = slice(start, start + 4096)
+                rows = row[code[part]]
+                i, j = np.nonzero((rows > 0) & (weight[part] > 0))
+                if len(i):
+                    first = np.flatnonzero(np.diff(i, prepend=-1))
+                    out[places[part][i[first]]] = np.add.reduceat(
+                        table[rows[i, j]] * weight[part][i, j][:, None], first)
         return out @ whiten
 
-    clean_words = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))
-                   if len(w) >= 3]
-    negative = dict.fromkeys(clean_words[:6000])
-    model = Model(alphabet, np.zeros(LETTERS ** 3), -1.0, 1.0, 0.0)
+    often = sorted(in_clean, key=lambda w: (-in_clean[w], w))
+    negative = dict.fromkeys(often[:8000])
+    model = Model(alphabet, np.zeros(LETTERS ** 3), -1.0, np.zeros(TOP + 1))
     for round_ in range(ROUNDS):
-        positive = Counter(w[:CHUNK] for w in witness)
+        positive: Counter = Counter()
+        for words in witness:
+            for w in words:
+                if rate[w] > 0:
+                    positive[w] += 1 / len(words)
         words = list(positive) + list(negative)
         target = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([float(n) for n in positive.values()] + [
-            1.0 + np.log1p(in_clean[w]) for w in negative])
-        # Both sides weigh the same in all.
+        weight = np.array([*positive.values(), *(in_clean[w] ** 0.5 for w in negative)])
+        # A word on both sides counts on each; both sides weigh the same in all.
         side = target > 0
         weight[side] *= len(weight) / (2 * max(weight[side].sum(), 1e-9))
         weight[~side] *= len(weight) / (2 * max(weight[~side].sum(), 1e-9))
         w = _newton(mapped(words), target, weight, "svm", 1 / COST)
-        model = Model(alphabet, table @ (whiten @ w[:-1]), float(w[-1]), 1.0, 0.0)
+        triples = np.zeros(LETTERS ** 3)
+        triples[seen] = table[1:] @ (whiten @ w[:-1])
+        model = Model(alphabet, triples, float(w[-1]), np.zeros(TOP + 1))
         if round_ + 1 < ROUNDS:
             known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
-            # A toxic document's word must also be rarer among clean documents.
-            witness = [max(words, key=lambda w: (known[w] if rate[w] > 0 else -9, rate[w], w))
-                       for words in usable if words]
-            hardest = sorted((w for w in in_clean if len(w) >= 3),
-                             key=lambda w: (-known[w], w))[:2000]
-            negative.update(dict.fromkeys(hardest))
+            witness = [sorted(words, key=lambda w: (-known[w], w))[:WITNESSES]
+                       for words in toxic]
+            negative.update(dict.fromkeys(sorted(in_clean, key=lambda w: (-known[w], w))[:3000]))
     known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
-    empty = float(model.decide([""])[0])
-    strongest = np.array([max((known[w] for w in words), default=empty)
-                          for words in toxic + clean])
+    features = np.array([model.document([known[w] for w in words]) for words in toxic + clean])
     target = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     weight = np.where(target > 0, toxic_weight, clean_weight)
-    model.slope, model.offset = map(float, _newton(
-        strongest[:, None], target, weight / weight.mean(), "logistic", 1e-3))
+    # More suspicion never lowers a score: features that would are left out.
+    used = list(range(TOP))
+    while True:
+        w = _newton(features[:, used], target, weight / weight.mean(), "logistic", 1e-2)
+        if (w[:-1] >= 0).all():
+            break
+        used = [i for i, value in zip(used, w) if value > 0]
+    model.curve[[*used, TOP]] = w
     return model
 
 
@@ -310,19 +345,18 @@ def score_column(spark, model: Model | None, text: Column) -> Column:
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = shared.value
         known: dict[str, float] = {}
-        empty = float(machine.decide([""])[0])
         for array in texts:
             values = array.to_pylist()
-            strongest = np.zeros(len(values))
+            features = np.zeros((len(values), TOP))
             for a, b in common.slices(values):
-                split = [words_of(value) for value in values[a:b]]
+                split = [set(words_of(value)) for value in values[a:b]]
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 new = list(set().union(*split).difference(known))
                 known.update(zip(new, machine.decide(new).tolist()))
-                strongest[a:b] = [max(map(known.__getitem__, words), default=empty)
-                                  for words in split]
-            yield pa.array(machine.score(strongest), pa.float64())
+                features[a:b] = [machine.document(list(map(known.__getitem__, words)))
+                                 for words in split]
+            yield pa.array(machine.score(features), pa.float64())
 
     return score(text)
 
