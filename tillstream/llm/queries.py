@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.llm import bpe, common, contamination, line_dedup, simhash, toxicity
+from tillstream.llm import (
+    bpe, common, contamination, licenses, line_dedup, pii, simhash, toxicity, winnowing)
 
 HELD_OUT_TOXIC = 5  # every document whose crc32 is 0 modulo this is not learned from
 
@@ -23,10 +24,22 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.fit(docs, tokenizer_path()))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(common.table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(common.table(spark, sf_dir, "documents"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(common.table(spark, sf_dir, "documents"))
+
+
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare(common.table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.hits(
         common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
@@ -53,7 +66,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_licenses": op6_licenses,
+    "op7_winnowing": op7_winnowing,
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
