@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import (
-    bpe, common, contamination, licenses, line_dedup, pii, simhash, toxicity, winnowing)
+    bpe, common, contamination, extraction, langid, licenses, line_dedup, pii, simhash, toxicity,
+    winnowing)
 
+HELD_OUT_LANGUAGE = 4  # documents whose crc32 is 2 modulo this are not learned from
 HELD_OUT_TOXIC = 5  # every document whose crc32 is 0 modulo this is not learned from
 
 
@@ -24,6 +26,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, bpe.fit(docs, tokenizer_path()))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    held_out = F.coalesce(common.crc_remainder("doc_id", HELD_OUT_LANGUAGE) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, model).withColumn("held_out", held_out)
+
+
+def op3_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(common.table(spark, sf_dir, "documents"))
 
@@ -66,6 +79,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_language": op2_language,
+    "op3_extraction": op3_extraction,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_licenses": op6_licenses,
