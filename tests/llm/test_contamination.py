@@ -1,0 +1,100 @@
+import random
+
+import numpy as np
+import pytest
+
+from tillstream.llm import contamination as C
+from tillstream.llm import queries
+
+
+def words(text):
+    return [w for w in C.Words([text]).data.decode().split(" ") if w]
+
+
+def brute(text, items, window=13):
+    """Hit words and found items of a text, by comparing all windows."""
+    mine, hit, found = words(text), set(), set()
+    for item, other in items:
+        theirs = words(other)
+        n = min(len(theirs), window)
+        for i in range(len(theirs) - n + 1 if n else 0):
+            for j in range(len(mine) - n + 1):
+                if mine[j:j + n] == theirs[i:i + n]:
+                    hit.update(range(j, j + n))
+                    found.add(item)
+    return len(mine), len(hit), sorted(found)
+
+
+@pytest.fixture
+def items(spark):
+    def make(*rows):
+        return spark.createDataFrame(list(rows), "item_id long, text string")
+    return make
+
+
+def test_winnow_keeps_the_last_of_equals_in_every_window():
+    grams = np.array([5, 3, 3, 7, 9, 3, 8, 8], np.uint64)
+    expected = sorted({max(range(i, i + 4), key=lambda j: (-int(grams[j]), j)) for i in range(5)})
+    assert C.winnow(grams, 4).tolist() == expected
+    assert C.winnow(grams[:3], 4).tolist() == []
+
+
+def test_words_of_texts_side_by_side():
+    got = C.Words([None, "A-b É2", "", "c"])
+    assert got.counts.tolist() == [0, 3, 0, 1]
+    assert [got.run(int(i), 1).decode() for i in np.flatnonzero(got.text >= 0)] == [
+        "a", "b", "É2", "c"]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_equals_all_windows(seed):
+    pick = random.Random(seed)
+    some = lambda n: " ".join(pick.choice("abc") for _ in range(n))
+    items = [(str(i), some(pick.choice([0, 1, 4, 6, 13, 15, 30]))) for i in range(8)]
+    items = [(i, t) for i, t in items if len(t.split()) > 5 or pick.random() < 0.2]
+    texts = [some(pick.randint(0, 60)) + " " + pick.choice(items)[1] + " " + some(9)
+             for _ in range(12)] + [None, ""]
+    block, got = C.Block(items, 13), C.Words(texts)
+    hit, found = block.search(got)
+    for i, text in enumerate(texts):
+        n, n_hit, ids = brute(text, items)
+        assert got.counts[i] == n
+        assert int(hit[got.text == i].sum()) == n_hit
+        assert sorted({items[k][0] for t, k in found if t == i}) == ids
+
+
+def test_blocks_of_the_benchmark_add_up(documents, items):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    bench = items((1, text), (2, text.replace("one", "zero")), (3, "alpha beta"), (4, None), (5, ""))
+    docs = documents((1, f"x {text} alpha beta"), (2, "nothing"), (3, None), (4, "alpha"))
+    one = sorted(map(tuple, C.hits(docs, bench).collect()), key=str)
+    many = sorted(map(tuple, C.hits(docs, bench, block_words=3).collect()), key=str)
+    assert one == many
+    row = next(r for r in one if r[0] == 1)
+    assert row[2:4] == (17, 16) and row[5] == ["1", "2", "3"]
+
+
+def test_query_on_odd_rows(spark, odd_documents, items, write):
+    bench = items((1, "the same words in the same order"), (10, "words"), (2, "xyz"), (None, "no id"),
+                  (2, "ñ"), (2, "ñ"))
+    folder = write(documents=odd_documents, benchmark=bench)
+    import hashlib
+    pairs = [(str(r.item_id) if r.item_id is not None else "", r.text) for r in bench.collect()]
+    expected = []
+    for r in odd_documents.collect():
+        text = (r.text or "")
+        n, n_hit, ids = brute(text[:2000], pairs) if len(text) < 2000 or " " not in text else (
+            len(words(text)), text.count("words"), ["10"])
+        expected.append((r.doc_id, n, n_hit, len(ids), hashlib.sha256(
+            ",".join(ids).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n))
+    rows = queries.op8_decontamination(spark, folder).collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(expected, key=str)
+
+
+def test_clashing_columns_and_empty_tables(clashing, items):
+    assert C.hits(clashing.limit(0), items((1, "a"))).count() == 0
+    assert C.hits(clashing, items((1, "a")).limit(0)).where("n_hit > 0").count() == 0
+    kept = C.drop_contaminated(clashing, items((1, "the same words in the same order")))
+    assert kept.columns == clashing.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
+        ["3", "None", "4", "5", "6", "7", "8", "9"])

@@ -1,0 +1,83 @@
+import random
+import zlib
+
+import numpy as np
+
+from tillstream.llm import langid, queries
+
+WORDS = {"en": "the house and water over there with mother thing".split(),
+         "de": "das haus und wasser drüben mit mutter schön".split(),
+         "fr": "la maison avec de l'eau où mère était".split()}
+
+
+def corpus(documents, n=120):
+    pick = random.Random(1)
+    rows = []
+    for i in range(n):
+        lang = pick.choice(list(WORDS))
+        rows.append((i, " ".join(pick.choice(WORDS[lang]) for _ in range(pick.randint(5, 40))), lang))
+    return documents(*rows), rows
+
+
+def test_grams_stay_within_words():
+    texts = ["ab cd", None, "ab", "cd!!12 ab"]
+    hashes, owner, letters = langid.grams(texts)
+    sets = [set(hashes[owner == i].tolist()) for i in range(4)]
+    assert letters.tolist() == [True, False, True, True]
+    assert sets[0] == sets[3] and sets[2] < sets[0] and not sets[1]
+
+
+def test_filter_masks_all_languages_of_a_gram(documents):
+    docs, rows = corpus(documents)
+    model = langid.fit(docs, min_relative=0.0)
+    assert model.languages == ["de", "en", "fr"]
+    hashes, _, _ = langid.grams(["mother"])
+    masks = [model.masks[0][s] for s in langid._slots(hashes)]
+    found = masks[0] & masks[1] & masks[2]
+    assert (found & np.uint64(2)).all()  # English holds them all
+
+
+def test_chance_is_the_share_of_unknown_grams_found(documents):
+    docs, _ = corpus(documents)
+    model = langid.fit(docs)
+    model.masks[0, ::3] |= np.uint64(1)  # a third of the slots for the first language
+    assert abs(model.chance()[0] - (1 / 3) ** langid.HASHES) < 0.02
+    # Such chance hits alone do not win.
+    assert model.predict(["water over there with mother thing"])[0] == ["en"]
+
+
+def test_held_out_documents(spark, documents, write):
+    docs, rows = corpus(documents, 300)
+    got = queries.op2_language(spark, write(documents=docs)).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert len(held) > 40 and np.mean([r.lang_pred == truth[r.doc_id] for r in held]) > 0.97
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_held_out_labels_do_not_matter(spark, documents, tmp_path):
+    docs, rows = corpus(documents, 100)
+    wrong = documents(*[(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang)
+                        for i, t, lang in rows])
+    results = []
+    for name, table in (("a", docs), ("b", wrong)):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+        results.append(sorted(map(tuple, queries.op2_language(spark, str(tmp_path / name)).collect())))
+    assert results[0] == results[1]
+
+
+def test_odd_rows(spark, odd_documents, write):
+    got = queries.op2_language(spark, write(documents=odd_documents)).collect()
+    assert len(got) == odd_documents.count()
+    text = {r.doc_id: r.text for r in odd_documents.collect()}
+    for r in got:
+        blank = not any(c.isalpha() for c in text[r.doc_id] or "")
+        assert (r.lang_pred == "und") == blank and (not blank or r.score == 0)
+
+
+def test_nothing_learned_clashing_columns_and_empty_table(clashing):
+    assert langid.fit(clashing.limit(0)) is None
+    got = langid.identify(clashing, None).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    assert langid.identify(clashing.limit(0), langid.fit(clashing)).count() == 0

@@ -1,0 +1,90 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from tillstream.llm import pii, queries
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(x) * (1 + i % 2), 10)) for i, x in enumerate(digits[::-1])) % 10 == 0
+
+
+def brute(text):
+    """Base spans by the plain patterns."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[ -]", "", m[0])
+        if 14 <= len(digits) <= 19 and luhn(digits):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return [f"{pii.KINDS[k]}:{a}:{e}" for a, k, e in sorted(out)]
+
+
+def base_of(spans):
+    return [s for s in spans.split(",") if s and s.split(":")[0] in pii.BASE_KINDS]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_base_spans_equal_the_plain_patterns(documents, seed):
+    pick = random.Random(seed)
+    pieces = ["a", "B", "@", ".", "-", " ", "+", "1", "255", "256", "0", "4", "é", "😀", "_", "%",
+              "(", ")", "4111111111111111", "4111 1111 1111 1111", "me@x.org", "1.2.3.4", "\n",
+              "+1 (017) 555-7713", "00", "79927398713", "--", "  "]
+    texts = ["".join(pick.choice(pieces) for _ in range(pick.randint(1, 30))) for _ in range(400)]
+    rows = pii.report(documents(*enumerate(texts))).collect()
+    for r in rows:
+        expected = brute(texts[r.doc_id])
+        assert base_of(r.spans) == expected, texts[r.doc_id]
+        assert r.base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest()
+        counts = [sum(s.startswith(f"{k}:") for s in expected) for k in pii.BASE_KINDS]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts
+
+
+def spans(documents, text):
+    return [(s.kind, s.value, round(s.score, 2)) for s in pii.spans(
+        documents((1, text))).first().spans]
+
+
+def test_method_adds_spans_by_checksum_and_context(documents):
+    assert spans(documents, "account GB82 WEST 1234 5698 7654 32, bank") == [
+        ("iban", "GB82 WEST 1234 5698 7654 32", 1.0)]
+    assert spans(documents, "GB83 WEST 1234 5698 7654 32") == []
+    assert spans(documents, "call (319) 555-5132 now") == [("tel", "(319) 555-5132", 0.8)]
+    assert spans(documents, "no 078-05-1120") == []
+    assert spans(documents, "her SSN is 078-05-1120") == [("ssn", "078-05-1120", 0.6)]
+    assert spans(documents, "see +1 (017) 555-7713") == [("phone", "+1 (017) 555-7713", 0.7)]
+
+
+def test_context_raises_the_score(documents):
+    assert spans(documents, "1.2.3.4") == [("ip", "1.2.3.4", 0.6)]
+    assert spans(documents, "server 1.2.3.4") == [("ip", "1.2.3.4", 0.9)]
+
+
+def test_very_long_stretches_and_many_spans(documents):
+    many = " ".join(f"user{i}@mail.example.com" for i in range(3000))
+    long = "a" * 5_000 + " " + "1" * 100_000 + " " + "1." * 50_000
+    rows = {r.doc_id: r for r in pii.report(documents((1, many), (2, long))).collect()}
+    assert rows[1].n_email == 3000 and base_of(rows[1].spans) == brute(many)
+    assert rows[2].n_email == 0 and rows[2].n_card == 0
+    assert base_of(rows[2].spans) == brute(long)
+
+
+def test_query_on_odd_rows(spark, odd_documents, write):
+    rows = queries.op4_pii(spark, write(documents=odd_documents)).collect()
+    assert len(rows) == odd_documents.count()
+    assert {tuple(r)[1:] for r in rows} == {
+        (0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), "")}
+
+
+def test_clashing_columns_and_empty_table(clashing):
+    assert pii.report(clashing.limit(0)).count() == 0
+    assert pii.report(clashing).count() == clashing.count()

@@ -143,32 +143,52 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
+def _rooted(bits: DataFrame, max_bits: int, blocks: int, hot: int) -> DataFrame:
+    """(bits, root) for every distinct fingerprint: the group it belongs to."""
+    classes = common.written(bits.select("bits").distinct(), "simhash-classes")
+    linked = components(links(classes, max_bits, blocks, hot))
+    return common.written(classes.join(linked.withColumnRenamed("node", "bits"), "bits", "left")
+                          .select("bits", F.coalesce("root", "bits").alias("root")),
+                          "simhash-roots")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
            max_bits: int = MAX_BITS, blocks: int = BLOCKS, hot: int = HOT) -> DataFrame:
     """(doc_id, fingerprint, component_id) per document; the component's id is the smallest
     document id reachable over links, and the fingerprint 16 hexadecimal digits."""
     marked = common.written(fingerprints(docs, doc_id, text, shingle).select(
         F.col(doc_id).alias("doc"), "bits"), "simhash-fingerprints")
-    classes = common.written(marked.groupBy("bits").agg(F.min("doc").alias("first")),
-                             "simhash-classes")
-    rooted = components(links(classes.select("bits"), max_bits, blocks, hot))
-    placed = classes.join(rooted.withColumnRenamed("node", "bits"), "bits", "left").select(
-        "bits", "first", F.coalesce("root", "bits").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.written(placed.join(lowest, "root").select("bits", "component_id"),
-                           "simhash-components")
+    rooted = _rooted(marked, max_bits, blocks, hot)
+    lowest = marked.groupBy("bits").agg(F.min("doc").alias("first")).join(rooted, "bits")
+    named = common.written(lowest.select("bits", "root").join(lowest.groupBy("root").agg(
+        F.min("first").alias("component_id")), "root").select("bits", "component_id"),
+        "simhash-components")
     return marked.join(named, "bits").select(
         F.col("doc").alias(doc_id),
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns stay.
-
-    Rows that repeat that id and text stay once each, so a repeated row is cut by
-    `dropDuplicates` on the id among the kept ones.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+               shingle: int = SHINGLE, max_bits: int = MAX_BITS, blocks: int = BLOCKS,
+               hot: int = HOT) -> DataFrame:
+    """One row of each group, with all its columns: the one with the smallest id. Of rows that
+    repeat that id one stays, and rows without an id stay only where no row of the group has one.
     """
-    kept = groups(docs, doc_id, text, **how).where(
-        F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("_kept")).distinct()
-    return docs.join(kept, docs[doc_id] == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
+    common.ship_code(docs.sparkSession)
+
+    @F.arrow_udf("long")
+    def bits_of(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(value.as_py(), shingle) for value in texts], pa.int64())
+
+    # Rows are numbered in a written table, so the numbers hold when a task runs again.
+    whole = common.written(docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        bits_of(F.col(text)).alias("bits"), F.monotonically_increasing_id().alias("number")),
+        "simhash-documents")
+    marked = whole.select("bits", "number", F.col("row").getField(doc_id).alias("doc"))
+    kept = marked.join(_rooted(marked, max_bits, blocks, hot), "bits").groupBy("root").agg(
+        F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "number")).alias("first"))
+    stay = kept.select(F.col("first.number").alias("number"))
+    return whole.join(stay, "number", "left_semi").select(
+        *[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -319,9 +319,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 names=["doc", "kind", "words"])
 
     # The sample of labels is bounded by per_class, so it may be broadcast.
-    chosen = docs.join(F.broadcast(sample), docs[doc_id] == F.col("label_id")).select(
-        F.col("label_id").cast("string").alias("doc"), (F.col("toxic") > 0).cast("int").alias(
-            "kind"), docs[text].alias("text"))
+    whole = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    chosen = whole.join(F.broadcast(sample), F.col("doc") == F.col("label_id")).select(
+        F.col("doc").cast("string").alias("doc"), (F.col("toxic") > 0).cast("int").alias("kind"),
+        "text")
     rows = sorted(tuple(r) for r in common.mapped(
         chosen, step, "doc string, kind int, words string").collect())
     kinds = [[words.split("\n") if words else [] for _, k, words in rows if k == kind]
