@@ -77,6 +77,22 @@ def test_word_counts_cover_all_texts(documents, monkeypatch):
     assert counts == {"a": 2, "b": 3}
 
 
+def test_frequent_words_are_at_most_so_many(spark):
+    counts = spark.createDataFrame([(f"w{i}", i // 10 + 1) for i in range(200)], "word string, n long")
+    got = {r.word for r in bpe.frequent_words(counts, 55).collect()}
+    assert got == {f"w{i}" for i in range(150, 200)}
+    assert bpe.frequent_words(counts, 5).count() == 0
+    assert bpe.frequent_words(counts, 1000).count() == 200
+    assert bpe.frequent_words(counts.limit(0)).count() == 0
+
+
+def test_encode_and_decode_one_after_the_other(odd_documents):
+    codec = bpe.fit(odd_documents, queries.tokenizer_path())
+    both = bpe.decode(bpe.encode(odd_documents, codec), codec)
+    once = bpe.round_trip(odd_documents, codec)
+    assert sorted(map(tuple, both.collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+
+
 def test_query_on_odd_rows(spark, odd_documents, write, library):
     folder = write(documents=odd_documents)
     rows = queries.op1_bpe(spark, folder).collect()

@@ -57,7 +57,8 @@ def test_spelled_and_long_words():
     assert T.words_of(None) == T.words_of(" \n") == []
     assert T.edged("(idiot!)") == "<idiot>"
     assert all(len(c) <= T.CHUNK for c in T.chunks("x" * 1000))
-    assert "".join(T.chunks("abc")) == "<abc>"
+    assert T.chunks("abc") == ["<abc>"]
+    assert T.chunks("a.b-c!") == ["<a.b-c>", "<abc>"]
 
 
 def test_gapped_and_inserted_letters_are_tolerated():

@@ -30,10 +30,11 @@ from tillstream.llm import common
 
 # Fixed value: the published split pattern of byte-level BPE.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEXICON_WORDS = 1 << 17
+LEXICON_WORDS = 1 << 16
 LONGEST_WORD = 64  # bytes of a word in the lexicon; longer ones are merged
-COUNT_FLUSH = 400_000  # distinct words a counting task holds at a time
-CACHE_WORDS = 400_000  # words a worker remembers; beyond that it starts anew
+COUNT_FLUSH = 150_000  # distinct words a counting task holds at a time
+CACHE_WORDS = 150_000  # words a worker remembers; beyond that it starts anew
+COUNT_STEPS = 32  # steps for every doubling of a word's count
 SHORT = 48  # pieces up to this length are merged by plain scans, others with a heap
 
 
@@ -320,17 +321,37 @@ class OpenCodec:
                 .decode("utf-8", "replace") for p in packed]
 
 
+def frequent_words(counts: DataFrame, most: int = LEXICON_WORDS) -> DataFrame:
+    """The most frequent words, as many as possible but at most `most`, equally frequent ones
+    together.
+
+    Words are put on steps of their count, COUNT_STEPS for every doubling. The words of each step
+    are counted, and the highest steps that hold `most` words are taken: no task sorts all
+    words, and none sends a list of its own.
+    """
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    held, least = 0, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(
+            F.desc("step")).collect():
+        held += row["words"]
+        if held > most:
+            break
+        least = row["step"]
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word")
+
+
 def fit(docs: DataFrame, path: str, lexicon_words: int = LEXICON_WORDS, text: str = "text"
         ) -> Codec:
     """A codec for the vocabulary at `path`, with a lexicon of the corpus's frequent words.
 
-    The driver gets the `lexicon_words` most frequent words and nothing else of the corpus.
+    The driver gets at most `lexicon_words` frequent words and the number of words per step of
+    counts, and nothing else of the corpus.
     """
     spark = docs.sparkSession
     vocabulary = load_vocabulary(path)
-    top = word_counts(docs, text).orderBy(F.desc("n"), "word").limit(lexicon_words)
+    counts = common.written(word_counts(docs, text), "bpe-words")
     words, unknown = {}, frozenset(vocabulary.unknown_letters)
-    for row in top.select("word").collect():
+    for row in frequent_words(counts, lexicon_words).collect():
         if unknown.isdisjoint(row.word):
             data = f" {row.word}".encode()
             words[data] = merge(vocabulary, data)
@@ -345,10 +366,9 @@ def encode(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "t
     def step(batches) -> Iterator[pa.RecordBatch]:
         tools = codec.open()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
+            for a, b, texts in common.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], pa.array(tools.encode(texts[a:b]), pa.binary())],
+                    [batch.column(0)[a:b], pa.array(tools.encode(texts), pa.binary())],
                     names=[doc_id, "ids"])
 
     return common.mapped(
@@ -362,11 +382,10 @@ def decode(encoded: DataFrame, codec: Codec, doc_id: str = "doc_id", ids: str =
     def step(batches) -> Iterator[pa.RecordBatch]:
         tools = codec.open()
         for batch in batches:
-            packed = batch.column(1).to_pylist()
-            for a, b in common.slices(packed, 4 * common.SLICE_CHARS):
+            for a, b, packed in common.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], batch.column(1)[a:b],
-                     pa.array(tools.decode(packed[a:b]), pa.string())],
+                     pa.array(tools.decode(packed), pa.string())],
                     names=[doc_id, "ids", "decoded"])
 
     return common.mapped(
@@ -374,11 +393,29 @@ def decode(encoded: DataFrame, codec: Codec, doc_id: str = "doc_id", ids: str =
               " decoded string")
 
 
+def round_trip(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text"
+               ) -> DataFrame:
+    """(doc_id, ids, decoded): `encode` and `decode` in one pass, with one worker per task."""
+
+    def step(batches) -> Iterator[pa.RecordBatch]:
+        tools = codec.open()
+        for batch in batches:
+            for a, b, texts in common.slices(batch.column(1)):
+                packed = tools.encode(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array(packed, pa.binary()),
+                     pa.array(tools.decode(packed), pa.string())],
+                    names=[doc_id, "ids", "decoded"])
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return common.mapped(docs.select(doc_id, text), step,
+                         f"`{doc_id}` {kind}, ids binary, decoded string")
+
+
 def digests(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "text"
             ) -> DataFrame:
     """Per document: number of ids, SHA-256 of the ids and of the text decoded from them."""
-    whole = decode(encode(docs, codec, doc_id, text), codec, doc_id)
-    return whole.select(
+    return round_trip(docs, codec, doc_id, text).select(
         doc_id,
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

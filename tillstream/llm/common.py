@@ -11,14 +11,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.session import work_folder
 
-# Texts handled at a time inside a task are cut into groups of about so many characters.
-SLICE_CHARS = 1_000_000
+# Texts handled at a time inside a task are cut into groups of about so many bytes.
+SLICE_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,16 +57,17 @@ def mapped(frame: DataFrame, step: Callable[[Iterable[pa.RecordBatch]], Iterator
     return frame.mapInArrow(step, schema)
 
 
-def slices(texts: list[str | None], size: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts that hold about `size` characters, one text at least."""
-    start = total = 0
-    for i, text in enumerate(texts):
-        total += len(text or "")
-        if total >= size:
-            yield start, i + 1
-            start, total = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def slices(values: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, list]]:
+    """Consecutive texts or binaries of about `size` bytes together, one at least, as
+    (start, end, values); only those at hand are Python objects."""
+    lengths = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths)
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield start, end, values.slice(start, end - start).to_pylist()
+        start = end
 
 
 def crc_remainder(doc_id: str, modulus: int) -> Column:

@@ -218,10 +218,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 def _search(block):
     def step(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
-                yield _search_slice(block.value if block else None, batch.slice(a, b - a),
-                                    texts[a:b])
+            for a, b, texts in common.slices(batch.column(1)):
+                yield _search_slice(block.value if block else None, batch.slice(a, b - a), texts)
 
     return step
 

@@ -144,9 +144,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     def count(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers = np.array(batch.column(0).to_pylist(), np.int64)
-            texts = batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
-                hashes, owner, _ = grams(texts[a:b])
+            for a, b, texts in common.slices(batch.column(1)):
+                hashes, owner, _ = grams(texts)
                 order = np.lexsort((hashes, owner))
                 hashes, owner = hashes[order], owner[order]
                 new = np.ones(len(hashes), bool)  # each n-gram once per document
@@ -195,9 +194,8 @@ def identify(docs: DataFrame, model: Filter | None, doc_id: str = "doc_id", text
     def step(batches) -> Iterator[pa.RecordBatch]:
         machine = shared.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in common.slices(texts):
-                names, scores = machine.predict(texts[a:b]) if machine else (
+            for a, b, texts in common.slices(batch.column(1)):
+                names, scores = machine.predict(texts) if machine else (
                     [UNKNOWN] * (b - a), [0.0] * (b - a))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[a:b], pa.array(names, pa.string()),

@@ -23,6 +23,7 @@ kinds every score is 0. Only `text` decides a score; other columns are left alon
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -45,7 +46,10 @@ ROUNDS = 3
 WITNESSES = 4  # words of a toxic document that are taken for toxic ones in training
 LIFT = 3.0  # times as often in toxic as in clean documents stands a word that may be toxic
 COST = 4.0
-CACHE_WORDS = 400_000
+CERTAIN = 2.0  # values beyond twice the machine's margin say no more
+DISGUISED_SHARE = 0.08  # of toxic documents hold a word that is learned in disguises as well
+SEED = 7
+CACHE_WORDS = 150_000
 LETTERS = 64  # kinds of letters told apart; others only widen gaps
 
 TOP = 5  # strongest distinct words that decide about a document
@@ -53,6 +57,7 @@ EDGES = "<>"  # stand for the start and the end of a word, and count as letters
 
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W_]\s+){2,}[^\W_](?!\S)")
 _AROUND = re.compile(r"^[\W_]+|[\W_]+$")
+_SIGNS = re.compile(r"[\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -107,7 +112,7 @@ class Alphabet:
             at, weights = _triples(length)
             if not len(at):
                 continue
-            step = max(1, 2_000_000 // len(at))
+            step = max(1, 200_000 // len(at))
             for start in range(0, len(places), step):
                 chosen = places[start:start + step]
                 codes = self.table[np.frombuffer("".join(words[i] for i in chosen).encode(
@@ -130,11 +135,26 @@ class Alphabet:
 
 
 def chunks(word: str) -> list[str]:
-    word = edged(word)
-    if len(word) <= CHUNK:
-        return [word]
-    half = CHUNK // 2
-    return [word[i:i + CHUNK] for i in range(0, len(word) - half, half)]
+    """The forms a word is looked at in: as it stands, and its letters alone where other signs
+    stand between them; long forms in overlapping chunks."""
+    whole = edged(word)
+    out = []
+    for form in (whole,) if whole[1:-1].isalpha() else (whole, edged(_SIGNS.sub("", word))):
+        if len(form) <= CHUNK:
+            out.append(form)
+        else:
+            half = CHUNK // 2
+            out.extend(form[i:i + CHUNK] for i in range(0, len(form) - half, half))
+    return out
+
+
+def disguised(word: str, pick: random.Random) -> list[str]:
+    """The word with a letter put in, doubled, or left out, as insults are disguised."""
+    at = pick.randrange(1, len(word))
+    other = pick.randrange(1, len(word))
+    return [word[:at] + pick.choice("abcdefghijklmnopqrstuvwxyz") + word[at:],
+            word[:other] + pick.choice("xqzjkw") + word[other:],
+            word[:at] + word[at - 1] + word[at:], word[:other] + word[other + 1:]]
 
 
 # --- the model ---------------------------------------------------------------------------------
@@ -144,7 +164,7 @@ class Model:
     alphabet: Alphabet
     triples: np.ndarray  # the machine's weight of each triple
     bias: float
-    curve: np.ndarray  # of the logistic curve: one weight per document feature, and a constant
+    curves: np.ndarray  # of two logistic curves: a weight per document feature, and a constant
 
     def decide(self, words: list[str]) -> np.ndarray:
         """The machine's value of each word; above 0 is suspicious."""
@@ -162,12 +182,13 @@ class Model:
 
     def document(self, values: list[float]) -> list[float]:
         """What decides about a document: its strongest distinct words."""
-        best = sorted(values, reverse=True)[:TOP]
+        best = [min(v, CERTAIN) for v in sorted(values, reverse=True)[:TOP]]
         least = self.bias - 1
         return best + [least] * (TOP - len(best))
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        x = features @ self.curve[:-1] + self.curve[-1]
+        """One word may be enough, and so may several weaker ones."""
+        x = (features @ self.curves[:, :-1].T + self.curves[:, -1]).max(1)
         return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
@@ -256,13 +277,22 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
 
     often = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     negative = dict.fromkeys(often[:8000])
-    model = Model(alphabet, np.zeros(LETTERS ** 3), -1.0, np.zeros(TOP + 1))
+    model = Model(alphabet, np.zeros(LETTERS ** 3), -1.0, np.zeros((2, TOP + 1)))
     for round_ in range(ROUNDS):
         positive: Counter = Counter()
         for words in witness:
             for w in words:
                 if rate[w] > 0:
                     positive[w] += 1 / len(words)
+        # Disguised forms of likely insults are learned along with them.
+        pick = random.Random(SEED)
+        for word, n in list(positive.items()):
+            bare = _AROUND.sub("", word)
+            often = in_toxic[word] >= DISGUISED_SHARE * len(toxic)
+            if often and len(bare) >= 4 and bare.isalpha():
+                for form in disguised(bare, pick):
+                    if form not in in_clean:
+                        positive[form] += n / 4
         words = list(positive) + list(negative)
         target = np.array([1.0] * len(positive) + [-1.0] * len(negative))
         weight = np.array([*positive.values(), *(in_clean[w] ** 0.5 for w in negative)])
@@ -273,7 +303,7 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
         w = _newton(mapped(words), target, weight, "svm", 1 / COST)
         triples = np.zeros(LETTERS ** 3)
         triples[seen] = table[1:] @ (whiten @ w[:-1])
-        model = Model(alphabet, triples, float(w[-1]), np.zeros(TOP + 1))
+        model = Model(alphabet, triples, float(w[-1]), np.zeros((2, TOP + 1)))
         if round_ + 1 < ROUNDS:
             known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
             witness = [sorted(words, key=lambda w: (-known[w], w))[:WITNESSES]
@@ -284,13 +314,13 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
     target = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
     weight = np.where(target > 0, toxic_weight, clean_weight)
     # More suspicion never lowers a score: features that would are left out.
-    used = list(range(TOP))
-    while True:
-        w = _newton(features[:, used], target, weight / weight.mean(), "logistic", 1e-2)
-        if (w[:-1] >= 0).all():
-            break
-        used = [i for i, value in zip(used, w) if value > 0]
-    model.curve[[*used, TOP]] = w
+    for curve, used in zip(model.curves, ([0], list(range(TOP)))):
+        while True:
+            w = _newton(features[:, used], target, weight / weight.mean(), "logistic", 1e-2)
+            if (w[:-1] >= 0).all():
+                break
+            used = [i for i, value in zip(used, w) if value > 0]
+        curve[[*used, TOP]] = w
     return model
 
 
@@ -325,8 +355,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         "text")
     rows = sorted(tuple(r) for r in common.mapped(
         chosen, step, "doc string, kind int, words string").collect())
-    kinds = [[words.split("\n") if words else [] for _, k, words in rows if k == kind]
-             for kind in (1, 0)]
+    same: dict[str, str] = {}  # equal words of different documents are one object
+    kinds = [[[same.setdefault(w, w) for w in words.split("\n")] if words else []
+              for _, k, words in rows if k == kind] for kind in (1, 0)]
+    del rows
     if not kinds[0] or not kinds[1]:
         return None
     weights = [counts[kind] / len(part) for kind, part in zip((1, 0), kinds)]
@@ -347,10 +379,9 @@ def score_column(spark, model: Model | None, text: Column) -> Column:
         machine = shared.value
         known: dict[str, float] = {}
         for array in texts:
-            values = array.to_pylist()
-            features = np.zeros((len(values), TOP))
-            for a, b in common.slices(values):
-                split = [set(words_of(value)) for value in values[a:b]]
+            features = np.zeros((len(array), TOP))
+            for a, b, values in common.slices(array):
+                split = [set(words_of(value)) for value in values]
                 if len(known) > CACHE_WORDS:
                     known.clear()
                 new = list(set().union(*split).difference(known))
