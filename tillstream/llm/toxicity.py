@@ -265,8 +265,8 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
     def mapped(words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(marks)))
         for places, code, weight in alphabet.features([chunks(w)[0] for w in words]):
-            for start in range(0, len(places), 4096):
-                part = slice(start, start + 4096)
+            for start in range(0, len(places), 512):
+                part = slice(start, start + 512)
                 rows = row[code[part]]
                 i, j = np.nonzero((rows > 0) & (weight[part] > 0))
                 if len(i):
