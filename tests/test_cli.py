@@ -1,5 +1,7 @@
 """The commands one after another, from raw files to the exported results."""
 
+import pytest
+
 from tillstream import cli
 from tillstream.schema import FIELD_NAMES
 from tillstream.sources.csv_files import read_csv
@@ -45,6 +47,8 @@ def test_from_files_to_results(spark, tmp_path, rows):
         ("10", "Milk"), ("12", "Milk")]
     assert spark.read.parquet(at("documents")).count() == 2
     exported = read_csv(spark, at("export"))
+    run("compact", table=at("table"), out=at("compact"))
+    assert spark.read.parquet(at("compact")).count() == 2
     assert rows(exported.where("metric = 'quantity_by_city'").select(
         "city_name", "total_procured_quantity")) == [("Delhi", "3"), ("Pune", "2")]
     assert spark.read.parquet(at("feed/feed")).count() == exported.count()
@@ -52,4 +56,15 @@ def test_from_files_to_results(spark, tmp_path, rows):
 
 def test_topic_addresses():
     topic = cli._topic("kafka://broker:9092/ecommerce")
-    assert topic == KafkaTopic("broker:9092", "ecommerce")
+    assert topic == KafkaTopic("broker:9092", "ecommerce", "earliest")
+    topic = cli._topic("kafka://broker:9092/x", True, "latest", ["kafka.security.protocol=SSL"])
+    assert topic == KafkaTopic("broker:9092", "x", "latest", {"kafka.security.protocol": "SSL"})
+
+
+@pytest.mark.parametrize("command, extra", [
+    ("metrics", ["--results", "r"]), ("changes", ["--path", "p"]), ("store", ["--table", "t"]),
+    ("land", ["--path", "p"])])
+def test_commands_read_a_topic_from_its_start_unless_asked(command, extra):
+    given = [command, "--orders", "kafka://b:1/o", "--checkpoint", "c", *extra]
+    assert cli._parser().parse_args(given).starting == "earliest"
+    assert cli._parser().parse_args([*given, "--starting", "latest"]).starting == "latest"

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tillstream.operators import keyed
 from tillstream.schema import FIELD_NAMES
+from tillstream.sources.topics import FolderTopic
 from tillstream.streaming import jobs, sinks
 
 
@@ -97,19 +98,20 @@ def test_compaction_keeps_the_table(spark, topic, tmp_path, rows):
     for city in "abc":
         send({"order_id": "1", "city_name": city}, {"order_id": city})
         upsert(spark, orders, tmp_path)
-    before = rows(stored(spark, tmp_path).drop("batch_id", "position"))
+    before = rows(stored(spark, tmp_path).drop("position"))
     sinks.compact_orders(spark, str(tmp_path / "table"), str(tmp_path / "compact"))
     compact = spark.read.parquet(str(tmp_path / "compact"))
     assert compact.count() == 4
 
     def now():
         table = spark.read.parquet(str(tmp_path / "compact"))
-        return rows(sinks.latest_orders(table).drop("batch_id", "position"))
+        return rows(sinks.latest_orders(table).drop("position"))
 
     assert now() == before
     # The last batch runs again, into the new folder; then a new one comes.
-    again = spark.read.parquet(str(tmp_path / "table/batch_id=2"))
-    sinks.rows_sink(str(tmp_path / "compact"))(again, 2)
+    again = spark.read.parquet(str(tmp_path / "table")).where("batch_id = 2").drop(
+        "run_id", "batch_id", "stored_at")
+    sinks.rows_sink(str(tmp_path / "compact"), "bucket")(again, 2)
     assert now() == before
     send({"order_id": "1", "city_name": "d"})
     query = jobs.start_upsert(
@@ -135,12 +137,48 @@ def test_create_table_only_once(spark, topic, tmp_path, rows):
     upsert(spark, orders, tmp_path)
     for _ in range(2):
         keyed.create_keyed_table(spark, "ecommerce_data", str(tmp_path / "table"))
-    spark.catalog.recoverPartitions("ecommerce_data")
     try:
-        found = spark.table("ecommerce_data").select("row_key", "metadata.city_name", "batch_id")
-        assert rows(found) == [("1", "a", 0)]
+        found = lambda: rows(spark.table("ecommerce_data").select(
+            "row_key", "metadata.city_name"))
+        assert found() == [("1", "a")]
+        send({"order_id": "1", "city_name": "b"}, {"order_id": "2"})
+        upsert(spark, orders, tmp_path)
+        assert found() == [("1", "b"), ("2", None)]  # one row per order, new batches included
     finally:
-        spark.sql("DROP TABLE ecommerce_data")
+        spark.sql("DROP VIEW ecommerce_data")
+
+
+def test_table_before_the_first_batch_is_empty(spark, tmp_path):
+    keyed.create_keyed_table(spark, "no_orders", str(tmp_path / "table"))
+    try:
+        assert spark.table("no_orders").columns[0] == "row_key"
+        assert spark.table("no_orders").count() == 0
+    finally:
+        spark.sql("DROP VIEW no_orders")
+
+
+def test_new_checkpoint_keeps_stored_orders(spark, topic, tmp_path, rows):
+    orders, send = topic
+    send({"order_id": "1"}, {"order_id": "2"})
+    upsert(spark, orders, tmp_path)
+    other = FolderTopic(str(tmp_path / "other"), "ecommerce")
+    other.append(spark.createDataFrame([('{"order_id": "3"}',)], "value string"))
+    jobs.finish([jobs.start_upsert(
+        spark, other, str(tmp_path / "table"), jobs.Run(str(tmp_path / "cp2"), jobs.DRAIN))])
+    assert rows(stored(spark, tmp_path).select("row_key")) == [("1",), ("2",), ("3",)]
+
+
+def test_lookup_opens_the_buckets_of_its_keys_only(spark, topic, tmp_path, rows):
+    orders, send = topic
+    send(*[{"order_id": str(i)} for i in range(60)])
+    upsert(spark, orders, tmp_path)
+    path = str(tmp_path / "table")
+    found = sinks.lookup_orders(spark, path, ["7"])
+    assert rows(found.select("row_key")) == [("7",)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert rows(sinks.lookup_orders(spark, path, ["7", "8", "x"]).select("row_key")) == [
+        ("7",), ("8",)]
 
 
 def test_failing_batch_fails_the_job(spark, topic, tmp_path):

@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import datetime
 
@@ -101,14 +102,50 @@ def test_one_pass_of_some_metrics_keeps_totals_in_a_table(lines, rows, tmp_path)
 
 def test_messages_leave_null_keys_out(lines, rows):
     table = lines({"brand_name": None}, {"brand_name": "b"})
-    sent = metrics.result_messages({"top_brands": compute("top_brands", table)}, 3)
-    assert rows(sent) == [
-        ("top_brands", 3, '{"brand_count":0,"metric":"top_brands","epoch_id":3}'),
-        ("top_brands", 3, '{"brand_name":"b","brand_count":1,"metric":"top_brands","epoch_id":3}'),
-    ]
+    sent = metrics.result_messages({"top_brands": compute("top_brands", table)}, 3, "r")
+    found = [(m, run, epoch, json.loads(value)) for m, run, epoch, value in rows(sent)]
+    times = {value.pop("published_at") for *_, value in found}
+    assert len(times) == 1
+    envelope = {"metric": "top_brands", "run_id": "r", "epoch_id": 3}
+    assert [value for *_, value in found] == [
+        {"brand_count": 0, **envelope}, {"brand_name": "b", "brand_count": 1, **envelope}]
 
 
 def test_no_lines_no_groups(lines):
     table = lines({"l1_category": "a"}).where("false")
     for metric in METRICS.values():
         assert metric.compute(table).count() == 0
+
+
+EXTRA = (
+    metrics.Metric("lines_by_brand", "brand_name",
+                   (metrics.Measure("n", "count", "procured_quantity"),
+                    metrics.Measure("mean", "mean", "total_discount_amount"))),
+    metrics.Metric("landing_by_city", "city_name",
+                   (metrics.Measure("landing", "money", "total_weighted_landing_price"),)),
+)
+
+
+@pytest.mark.parametrize("first", range(11))
+def test_one_pass_gives_any_two_metrics(lines, tmp_path, rows, first):
+    """Over just the fields the two read, as a job selects them."""
+    every = [*metrics.ALL, *EXTRA]
+    table = lines(*[
+        {"order_id": i if i % 3 else None, "l1_category": "ab"[i % 2], "city_name": "xyz"[i % 3],
+         "brand_name": "pq"[i % 2] if i % 5 else None, "product_name": "uv"[i % 2],
+         "dim_customer_key": i % 4, "procured_quantity": i if i % 4 else None,
+         "unit_selling_price": 0.75 * i, "total_discount_amount": 0.75 if i % 2 else None,
+         "total_weighted_landing_price": 1.25 * i, "date_": "2022-04-01 10:00:00"}
+        for i in range(1, 13)]).persist()
+    for second in range(first, len(every)):
+        wanted = list(dict.fromkeys([every[first], every[second]]))
+        fields = [f if f != "date_" else "timestamp" for f in metrics.fields_of(wanted)]
+        totals = metrics.compute_all(table.select(*fields), wanted)
+        for metric in wanted:
+            assert rows(metrics.pick(totals, metric)) == rows(metric.compute(table)), (
+                metric.name, wanted)
+
+
+def test_one_pass_refuses_lines_without_a_field(lines):
+    with pytest.raises(ValueError, match="total_discount_amount"):
+        metrics.compute_all(lines().select("brand_name"), [metrics.METRICS["discount_by_brand"]])

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillstream.operators import readside, recent
-from tillstream.sources.topics import result_folder
+from tillstream.sources.topics import FolderTopic, newest_snapshots, result_folder
 from tillstream.streaming.sinks import publish_metrics
 
 
@@ -33,13 +33,13 @@ def test_newest_epoch_of_every_metric(results, rows):
 
 def test_metric_names_are_normalised(results, rows):
     log = results({"metric": "Top Brands"}, {"metric": "top_brands"}, {"x": 1})
-    assert rows(readside.metric_names(log)) == [("top_brands",)]
+    assert rows(readside.metric_names(log)) == [("top_brands",), (None,)]
     assert rows(readside.messages_per_metric(log)) == [
         ("top_brands", 0, 2), (None, 0, 1), (None, 1, 3)]
 
 
 def test_rows_without_key_are_left_out_and_empty_sums_are_zero(results, rows):
-    log = results(brand(None, 5, 0), brand("a", None, 0))
+    log = results(brand(None, 5, 0), brand("a", None, 0))  # some message carries the measure
     assert rows(readside.total_per_key(log, "brand_name", "brand_count")) == [("a", 0)]
 
 
@@ -48,6 +48,43 @@ def test_missing_measure_counts_messages(results, rows):
     assert rows(readside.total_per_key(log, "brand_name", "brand_count")) == [("a", 2), ("b", 1)]
 
 
+def test_measure_that_no_message_carries_counts_messages(results, rows):
+    log = results(*[{"metric": "top_brands", "brand_name": "a"}] * 3)
+    assert rows(readside.total_per_key(log, "brand_name", "brand_count")) == [("a", 3)]
+
+
+def test_every_field_of_the_messages_is_kept(messages, rows):
+    log = readside.all_result_rows(messages(
+        {"metric": "new", "x": 1, "deep": {"y": "z"}}, {"metric": "new", "x": 2.5, "none": None},
+        "not json", {"metric": "top_brands", "brand_count": 3}))
+    assert {"x", "deep", "brand_count"} <= set(log.columns)
+    assert rows(log.where("metric = 'new'").selectExpr("cast(x as double)", "deep.y")) == [
+        (1.0, "z"), (2.5, None)]
+    assert rows(log.where("metric = 'top_brands'").select("brand_count")) == [(3,)]
+    assert rows(readside.all_result_rows(messages("not json")).select("metric")) == [(None,)]
+
+
+def test_newest_is_the_snapshot_published_last(results, rows):
+    def snapshot(run, epoch, at, total):
+        return {"metric": "m", "run_id": run, "epoch_id": epoch, "total_sales": total,
+                "published_at": f"2024-01-01T00:00:{at:02d}.000Z"}
+
+    log = results(*[snapshot("old", e, e, float(e)) for e in range(6)], snapshot("new", 0, 30, 999.0))
+    assert rows(readside.of_metric(log, "m").select("total_sales")) == [(999.0,)]
+    assert rows(readside.newest_of_all(log).select("total_sales")) == [(999.0,)]
+
+
+def test_messages_of_a_batch_that_ran_twice_count_once(spark, tmp_path, rows):
+    log = FolderTopic(str(tmp_path / "log"), "eda_results")
+    message = spark.createDataFrame(
+        [('{"metric":"sales_by_category","run_id":"r","epoch_id":0,"l1_category":"a",'
+          '"total_sales":5.0}',)], "value string")
+    for _ in range(2):
+        log.append(message)
+    found = readside.without_repeats(log.replay(spark), ["l1_category", "total_sales"])
+    assert rows(readside.total_per_key(found, "l1_category", "total_sales")) == [("a", 5.0)]
+
+
 def test_missing_key_column_is_refused(results):
     with pytest.raises(ValueError, match="brand_name"):
         readside.total_per_key(results(brand("a", 7, 0)).drop("brand_name"), "brand_name", "x")
@@ -103,6 +140,23 @@ def test_last_messages(spark, rows):
     assert recent.last_overall(table, ["n"], 2).collect() == [("a", 249), ("a", 248)]
 
 
+def test_dashboards_open_one_snapshot_of_many(spark, tmp_path):
+    log = result_folder(str(tmp_path / "log"))
+    for epoch in range(6):
+        table = spark.createDataFrame([("a", float(epoch))], "l1_category string, total_sales double")
+        publish_metrics(log, {"sales_by_category": table}, epoch)
+    newest = newest_snapshots(log, spark)
+    assert newest == {"sales_by_category": ("batch", 5)}
+    everything = readside.result_rows(log.replay(spark), ["l1_category", "total_sales"])
+    for found in (readside.of_metric(everything, "sales_by_category", newest=newest),
+                  readside.newest_of_all(everything, newest)):
+        assert [r.total_sales for r in found.collect()] == [5.0]
+        scan = found._jdf.queryExecution().executedPlan().toString()
+        (partitions,) = [line for line in scan.split("PartitionFilters: [")[1:2]]
+        assert "epoch_id" in partitions.split("]")[0] and "run_id" in partitions.split("]")[0]
+        assert len(found.inputFiles()) >= 1
+
+
 def test_snapshot_published_twice_is_there_once(spark, tmp_path, rows):
     log = result_folder(str(tmp_path / "log"))
     table = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "l1_category string, total_sales double")
@@ -112,7 +166,9 @@ def test_snapshot_published_twice_is_there_once(spark, tmp_path, rows):
     publish_metrics(log, {"sales_by_category": table.limit(1)}, 1)
     found = readside.result_rows(log.replay(spark), ["l1_category", "total_procured_quantity"])
     assert rows(found.groupBy("metric", "epoch_id").count()) == [
-        ("quantity_by_city", 0, 1), ("sales_by_category", 0, 2), ("sales_by_category", 1, 1)]
+        ("quantity_by_city", 0, 1), ("sales_by_category", 0, 2), ("sales_by_category", 1, 2)]
+    assert newest_snapshots(log, spark) == {
+        "quantity_by_city": ("batch", 0), "sales_by_category": ("batch", 1)}
 
 
 def test_export_has_no_nested_columns(results):

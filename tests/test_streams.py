@@ -5,11 +5,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstream.operators import keyed, readside
-from tillstream.operators.metrics import METRICS
+from tillstream.operators.metrics import METRICS, pick
 from tillstream.operators.parse import parse_orders
 from tillstream.schema import EXACT_MONEY
-from tillstream.sources.topics import FolderTopic, result_folder
-from tillstream.streaming import jobs
+from tillstream.sources.topics import FolderTopic, newest_snapshots, result_folder
+from tillstream.streaming import jobs, sinks
 
 FIRST = [
     {"order_id": "1", "l1_category": "a", "city_name": "x", "brand_name": "p",
@@ -183,16 +183,97 @@ def test_feed(spark, tmp_path, rows):
 
     def send(*texts):
         results.append(spark.createDataFrame([(t,) for t in texts], "value string"))
-        jobs.finish(jobs.start_feed(spark, results, str(tmp_path / "feed"),
-                                    jobs.Run(str(tmp_path / "cp"), jobs.DRAIN), schema))
+        jobs.finish([jobs.start_feed(spark, results, str(tmp_path / "feed"),
+                                     jobs.Run(str(tmp_path / "cp"), jobs.DRAIN), schema)])
 
     send('{"metric":"a","n":1}', '{"n":2}', '{"metric":"","n":3}', '{"error":"down"}')
     send(*[f'{{"metric":"a","n":{n}}}' for n in range(10, 130)], '{"metric":"b","n":1}')
     feed = spark.read.parquet(str(tmp_path / "feed/feed"))
     assert feed.groupBy("metric").count().orderBy("metric").collect() == [("a", 121), ("b", 1)]
     assert rows(spark.read.parquet(str(tmp_path / "feed/errors")).select("error")) == [("down",)]
-    kept = spark.read.parquet(str(tmp_path / "feed/recent")).where("version = 1")
+    kept = sinks.recent_rows(spark, str(tmp_path / "feed/recent"))
     assert kept.where("metric = 'a'").count() == 100
     assert kept.where("metric = 'b'").count() == 1
     # Arrival order within a publish follows the task and the row, so all are of the second.
     assert kept.where("metric = 'a' AND n = 1").count() == 0
+
+
+def test_recent_messages_go_on_after_a_new_checkpoint(spark, tmp_path, rows):
+    results = FolderTopic(str(tmp_path / "topic"), "eda_results")
+    schema = T.StructType([T.StructField("metric", T.StringType()),
+                           T.StructField("error", T.StringType()),
+                           T.StructField("n", T.IntegerType())])
+    path = str(tmp_path / "feed")
+    for n, checkpoint in enumerate(("a", "a", "a", "b")):
+        results.append(spark.createDataFrame([(f'{{"metric":"m","n":{n}}}',)], "value string"))
+        jobs.finish([jobs.start_feed(
+            spark, results, path, jobs.Run(str(tmp_path / checkpoint), jobs.DRAIN), schema)])
+    last = sinks.recent_rows(spark, f"{path}/recent")
+    assert {n for _, n in rows(last.select("metric", "n"))} == {0, 1, 2, 3}
+    assert len(sinks.recent_versions(spark, f"{path}/recent")) == 2
+    assert spark.read.parquet(f"{path}/feed").select("run_id").distinct().count() == 2
+
+
+@pytest.mark.parametrize("start", [jobs.start_metrics, jobs.start_metrics_one_pass])
+def test_new_checkpoint_adds_a_run_to_the_log(spark, topic, tmp_path, rows, start):
+    orders, send = topic
+    results = result_folder(str(tmp_path / "results"))
+    for n, messages in enumerate((FIRST, SECOND)):
+        send(*messages)
+        jobs.finish(start(spark, orders, results, jobs.Run(
+            str(tmp_path / f"cp{n}"), jobs.DRAIN, money=EXACT_MONEY)))
+    newest = newest_snapshots(results, spark)
+    table = parse_orders(orders.replay(spark), EXACT_MONEY)
+    log = readside.result_rows(results.replay(spark))
+    assert log.select("run_id", "epoch_id").distinct().count() == (
+        18 if start is jobs.start_metrics else 2)
+    for name, metric in METRICS.items():
+        for told in (newest, None):
+            found = readside.of_metric(log, name, newest=told).select(*metric.outputs)
+            assert rows(found) == rows(metric.compute(table)), name
+
+
+def test_changed_totals_hold_the_changed_keys_only(spark, topic, tmp_path, rows):
+    orders, send = topic
+    path = str(tmp_path / "changes")
+
+    def run():
+        jobs.finish([jobs.start_metric_changes(spark, orders, path, jobs.Run(
+            str(tmp_path / "cp"), jobs.DRAIN, money=EXACT_MONEY))])
+
+    send(*FIRST)
+    run()
+    send(*SECOND)
+    run()
+    second = spark.read.parquet(path).where("batch_id = 1")
+    assert rows(second.where("key_set = 'city_name'").select("key")) == [("x",)]
+    assert rows(second.where("key_set = 'dim_customer_key'").select("key")) == [("1",)]
+    table = parse_orders(orders.replay(spark), EXACT_MONEY)
+    totals = sinks.current_totals(spark, path)
+    for name, metric in METRICS.items():
+        assert rows(pick(totals, metric)) == rows(metric.compute(table)), name
+
+
+def test_progress_reports_count_what_could_not_be_read(spark, topic, tmp_path):
+    orders, send = topic
+    send("not json", {"order_id": "x1", "city_name": "a"}, {"order_id": "2", "city_name": "a"})
+    (query,) = jobs.start_metrics(
+        spark, orders, result_folder(str(tmp_path / "results")),
+        jobs.Run(str(tmp_path / "cp"), jobs.DRAIN), ["orders_by_city"])
+    jobs.finish([query])
+    counts = [p.observedMetrics["order_input"] for p in query.recentProgress
+              if "order_input" in p.observedMetrics]
+    assert sum(c.lines for c in counts) == 3
+    assert sum(c.malformed for c in counts) == 1
+    assert sum(c.unread_order_id for c in counts) == 1
+
+
+def test_live_job_ends_with_its_first_query(spark, topic, tmp_path):
+    orders, send = topic
+    send(*FIRST)
+    live = jobs.Run(str(tmp_path / "cp"), {"processingTime": "100 milliseconds"})
+    queries = jobs.start_metrics(spark, orders, result_folder(str(tmp_path / "results")), live,
+                                 ["orders_by_city", "top_brands"])
+    queries[1].stop()
+    jobs.run_until_any_ends(spark, queries)
+    assert not any(query.isActive for query in queries)

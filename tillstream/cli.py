@@ -3,13 +3,16 @@
     prepare   raw sales and product files -> complete order rows
     publish   order rows -> order topic
     metrics   order topic -> result topic
+    changes   order topic -> table of changed totals
     store     order topic -> keyed table
+    compact   keyed table -> keyed table without outdated rows
     land      order topic -> documents
     feed      result topic -> feed, errors and recent messages
     export    result topic -> CSV
 
 A topic is a folder, or kafka://server:port/name. A streaming command takes what has arrived
-since its last run and ends; with --live it keeps going.
+since its last run and ends; with --live it keeps going until its first query ends. A Kafka
+topic is read from its start (--starting earliest) unless asked otherwise.
 """
 
 from __future__ import annotations
@@ -26,16 +29,20 @@ from tillstream.schema import EXACT_MONEY, RESULT_SCHEMA
 from tillstream.session import build_session
 from tillstream.sources.csv_files import read_csv, write_csv
 from tillstream.sources.topics import (
-    FolderTopic, KafkaTopic, Topic, order_payload, result_folder,
+    FolderTopic, KafkaTopic, Topic, order_folder, order_payload, result_folder,
 )
-from tillstream.streaming import jobs
+from tillstream.streaming import jobs, sinks
 
 
-def _topic(address: str, results: bool = False) -> Topic:
+def _topic(
+    address: str, results: bool = False, starting: str = "earliest",
+    options: list[str] | None = None,
+) -> Topic:
     if address.startswith("kafka://"):
         parts = urlparse(address)
-        return KafkaTopic(parts.netloc, parts.path.strip("/"))
-    return result_folder(address) if results else FolderTopic(address, "ecommerce")
+        settings = dict(option.split("=", 1) for option in options or [])
+        return KafkaTopic(parts.netloc, parts.path.strip("/"), starting, settings)
+    return result_folder(address) if results else order_folder(address)
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -54,13 +61,19 @@ def _parser() -> argparse.ArgumentParser:
             added.add_argument("--partitions", type=int, help="shuffle and state partitions")
             added.add_argument("--exact-money", action="store_true",
                                help="prices as decimals with four places, for exact sums")
+            added.add_argument("--starting", default="earliest",
+                               help="where a first run begins: earliest, latest or offsets")
+            added.add_argument("--source-option", action="append", metavar="NAME=VALUE",
+                               help="option of the Kafka source or sink; may be repeated")
         return added
 
     for name, required in (("prepare", ("sales", "products", "out")), ("publish", ("rows", "orders"))):
         command(name, *required).add_argument(
             "--multi-line", action="store_true", help="cells may contain line breaks")
     command("metrics", "orders", "results", streaming=True).add_argument(
-        "--one-pass", action="store_true", help="one query instead of one per metric")
+        "--per-metric", action="store_true", help="a query per metric instead of one for all")
+    command("changes", "orders", "path", streaming=True)
+    command("compact", "table", "out")
     command("store", "orders", "table", streaming=True).add_argument("--key", default="order_id")
     command("land", "orders", "path", streaming=True)
     command("feed", "results", "path", streaming=True)
@@ -79,10 +92,16 @@ def main(arguments: list[str] | None = None) -> None:
         write_csv(prepare(sales, products), options.out)
     elif options.command == "publish":
         rows = read_csv(spark, options.rows, options.multi_line)
-        _topic(options.orders).append(rows.select(order_payload(rows).alias("value")))
+        payload = order_payload(rows, blank="")  # a blank cell is an empty text
+        _topic(options.orders).append(rows.select(payload.alias("value")))
+    elif options.command == "compact":
+        sinks.compact_orders(spark, options.table, options.out)
     else:
-        messages = _topic(options.results, results=True).replay(spark)
-        write_csv(readside.flat_results(readside.result_rows(messages)), options.out)
+        topic = _topic(options.results, results=True)
+        messages = topic.replay(spark)
+        rows = (readside.all_result_rows(messages) if isinstance(topic, FolderTopic)
+                else readside.without_repeats(messages))
+        write_csv(readside.flat_results(rows), options.out)
 
 
 def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
@@ -92,20 +111,24 @@ def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
     if options.exact_money:
         run = replace(run, money=EXACT_MONEY)
     if options.command == "feed":
-        results = _topic(options.results, results=True)
-        queries = jobs.start_feed(spark, results, options.path, run, RESULT_SCHEMA)
+        results = _topic(options.results, True, options.starting, options.source_option)
+        queries = [jobs.start_feed(spark, results, options.path, run, RESULT_SCHEMA)]
     else:
-        orders = _topic(options.orders)
+        orders = _topic(options.orders, False, options.starting, options.source_option)
         if options.command == "metrics":
-            start = jobs.start_metrics_one_pass if options.one_pass else jobs.start_metrics
-            queries = start(spark, orders, _topic(options.results, results=True), run)
+            start = jobs.start_metrics if options.per_metric else jobs.start_metrics_one_pass
+            results = _topic(options.results, True, options.starting, options.source_option)
+            queries = start(spark, orders, results, run)
+        elif options.command == "changes":
+            queries = [jobs.start_metric_changes(spark, orders, options.path, run)]
         elif options.command == "store":
             queries = [jobs.start_upsert(spark, orders, options.table, run, options.key)]
         else:
             queries = [jobs.start_landing(spark, orders, options.path, run)]
     if options.live:
-        jobs.run_until_any_ends(spark)
-    jobs.finish(queries)
+        jobs.run_until_any_ends(spark, queries)
+    else:
+        jobs.finish(queries)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.schema import FAMILIES, FIELD_NAMES, ORDER_FIELDS
+from tillstream.sources.topics import exists
 
 
 def has_key(key: str) -> Column:
@@ -56,15 +57,26 @@ def upsert(lines: DataFrame, key: str = "order_id", order: list[str] | None = No
 
 
 def create_keyed_table(spark: SparkSession, name: str, path: str) -> None:
-    """Register the keyed table over the folder the upsert job writes; no effect if there."""
+    """Register the keyed table over the folder the upsert job writes: a view with one current
+    row per key, the one that came last in the topic. The folder is looked at anew whenever the
+    view is read, so new batches are there at once; no effect if the view is there."""
     families = ", ".join(
         f"{wanted} STRUCT<" + ", ".join(
             f"{field}: STRING" for field, _, family in ORDER_FIELDS if family == wanted
         ) + ">"
         for wanted in FAMILIES
     )
+    layout = (f"row_key STRING, {families}, position STRUCT<timestamp: TIMESTAMP, "
+              "partition: INT, offset: BIGINT>, stored_at TIMESTAMP")
+    # A table without rows gives an empty folder the layout of the log.
+    empty = spark.createDataFrame([], layout).withColumns({
+        "run_id": F.lit("none"), "batch_id": F.lit(0), "bucket": F.lit(0)})
+    empty.write.mode("append").parquet(f"{path}/run_id=none/batch_id=0/bucket=0") if (
+        not exists(spark, path)) else None
+    names = ", ".join(FAMILIES)
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} (row_key STRING, {families}, position STRUCT<"
-        "timestamp: TIMESTAMP, partition: INT, offset: BIGINT>, batch_id BIGINT) "
-        f"USING PARQUET PARTITIONED BY (batch_id) LOCATION '{path}'"
+        f"CREATE VIEW IF NOT EXISTS {name} AS SELECT row_key, newest.position, "
+        + ", ".join(f"newest.{family}" for family in FAMILIES)
+        + f" FROM (SELECT row_key, max(struct(position, {names})) AS newest "
+        f"FROM parquet.`{path}` GROUP BY row_key)"
     )

@@ -65,9 +65,12 @@ class Metric:
 
     def compute(self, lines: DataFrame) -> DataFrame:
         """The metric over `lines`. NULL keys form a group of their own."""
+        return self.finish(self.totals(lines))
+
+    def totals(self, lines: DataFrame) -> DataFrame:
+        """The measures per key, without ratio and top list."""
         keys = [F.window("timestamp", f"{TREND_MINUTES} minutes")] if self.per_window else []
-        grouped = lines.groupBy(*keys, self.key)
-        return self.finish(grouped.agg(*[m.column() for m in self.measures]))
+        return lines.groupBy(*keys, self.key).agg(*[m.column() for m in self.measures])
 
     def finish(self, totals: DataFrame) -> DataFrame:
         """Ratio and top list, from one row per key."""
@@ -110,10 +113,14 @@ METRICS = {
 
 ALL = tuple(METRICS.values())
 
-# What a line adds to the totals of a key: some money, some pieces, and whether it counts.
-# Every measure of a key can be had from these three, so a total is that small.
-_PARTS_OF = {"money": ("money",), "sum": ("pieces",), "count": ("counted",),
-             "mean": ("money", "counted")}
+# The totals a measure is made of, each a sum or a count of its field.
+_TOTALS_OF = {"money": ("sum",), "sum": ("sum",), "count": ("count",), "mean": ("sum", "count")}
+
+
+def _totals(metric: Metric) -> list[tuple[str, str]]:
+    """(kind, field) of every total the metric needs."""
+    return list(dict.fromkeys(
+        (kind, measure.field) for measure in metric.measures for kind in _TOTALS_OF[measure.how]))
 
 
 def fields_of(wanted: Sequence[Metric] = ALL) -> tuple[str, ...]:
@@ -133,41 +140,42 @@ def compute_all(lines: DataFrame, wanted: Sequence[Metric] = ALL) -> DataFrame:
 
     A line becomes one row per kind of key, which stays within its task: the rows are added
     up there before the shuffle. `key_set` names the kind of key; its value is in `key`, as
-    text, and for the trend in `window_start` too.
+    text, and for the trend in `window_start` too. There is one column per distinct total
+    (`sum_<field>`, `count_<field>`), with the field's own type; a kind of key leaves those
+    it does not need empty.
     """
     types = {f.name: f.dataType for f in lines.schema}
+    absent = sorted({field for m in wanted for _, field in _totals(m)} - set(types))
+    if absent:
+        raise ValueError(f"missing fields: {', '.join(absent)}")
+    totals = list(dict.fromkeys(total for metric in wanted for total in _totals(metric)))
     no_window = F.lit(None).cast("timestamp")
 
     def row(key_set: str) -> Column:
         mine = [metric for metric in wanted if metric.key_set == key_set]
-        fields = {
-            part: measure.field
-            for metric in mine for measure in metric.measures for part in _PARTS_OF[measure.how]
-        }
+        needed = {total for metric in mine for total in _totals(metric)}
 
-        def amount(part: str, kind: str) -> Column:
-            value = F.col(fields[part]) if part in fields else F.lit(None)
-            return value.cast(types.get(kind, "int")).alias(part)
+        def amount(kind: str, field: str) -> Column:
+            if kind == "count":
+                value = F.col(field).isNotNull() if (kind, field) in needed else F.lit(False)
+            else:
+                value = F.col(field) if (kind, field) in needed else F.lit(None).cast(types[field])
+            return value.alias(f"{kind}_{field}")
 
-        counted = F.col(fields["counted"]).isNotNull() if "counted" in fields else F.lit(False)
         return F.struct(
             F.lit(key_set).alias("key_set"),
             (_window_start() if mine[0].per_window else no_window).alias("window_start"),
             F.col(mine[0].key).cast("string").alias("key"),
-            amount("money", "unit_selling_price"),
-            amount("pieces", "procured_quantity"),
-            counted.alias("counted"),
+            *[amount(*total) for total in totals],
         )
 
     key_sets = dict.fromkeys(metric.key_set for metric in wanted)
     windowed = [metric.key_set for metric in wanted if metric.per_window]
     rows = lines.select(F.inline(F.array(*[row(key_set) for key_set in key_sets])))
     rows = rows.where(~F.col("key_set").isin(windowed) | F.col("window_start").isNotNull())
+    added = {"sum": F.sum, "count": F.count_if}
     return rows.groupBy("key_set", "window_start", "key").agg(
-        F.sum("money").alias("money"),
-        F.sum("pieces").alias("pieces"),
-        F.count_if("counted").alias("counted"),
-    )
+        *[added[kind](f"{kind}_{field}").alias(f"{kind}_{field}") for kind, field in totals])
 
 
 def compute_all_once(
@@ -186,12 +194,14 @@ def compute_all_once(
 
 def pick(totals: DataFrame, metric: Metric) -> DataFrame:
     """One metric out of the rows of `compute_all`."""
-    value = {
-        "money": F.col("money").cast("double"),
-        "sum": F.col("pieces"),
-        "count": F.col("counted"),
-        "mean": F.try_divide(F.col("money").cast("double"), F.col("counted")),
-    }
+    def value(measure: Measure) -> Column:
+        if measure.how == "count":
+            return F.col(f"count_{measure.field}")
+        total = F.col(f"sum_{measure.field}")
+        if measure.how == "mean":
+            return F.try_divide(total.cast("double"), F.col(f"count_{measure.field}"))
+        return total.cast("double") if measure.how == "money" else total
+
     key_type = order_schema()[metric.key].dataType
     columns = [F.col("key").cast(key_type).alias(metric.key)]
     if metric.per_window:
@@ -200,7 +210,7 @@ def pick(totals: DataFrame, metric: Metric) -> DataFrame:
             F.struct(F.col("window_start").alias("start"), end.alias("end")).alias("window"))
     mine = totals.where(F.col("key_set") == metric.key_set)
     return metric.finish(mine.select(
-        *columns, *[value[m.how].alias(m.name) for m in metric.measures]))
+        *columns, *[value(m).alias(m.name) for m in metric.measures]))
 
 
 def labelled(metric: Metric, rows: DataFrame) -> DataFrame:
@@ -212,12 +222,16 @@ def union_of(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def result_messages(rows_by_metric: dict[str, DataFrame], epoch_id: int) -> DataFrame:
-    """Metric tables as JSON messages: metric, epoch_id and `value`. NULL fields are left
-    out of the JSON."""
+def result_messages(
+    rows_by_metric: dict[str, DataFrame], epoch_id: int, run_id: str = ""
+) -> DataFrame:
+    """Metric tables as JSON messages in `value`, next to metric, run_id and epoch_id. NULL
+    fields are left out of the JSON. All messages of a snapshot have one publish time."""
     messages = []
     for name, rows in rows_by_metric.items():
-        body = labelled(METRICS[name], rows).withColumn("epoch_id", F.lit(epoch_id).cast("long"))
+        body = labelled(METRICS[name], rows).withColumns({
+            "run_id": F.lit(run_id), "epoch_id": F.lit(epoch_id).cast("long"),
+            "published_at": F.current_timestamp()})
         messages.append(body.select(
-            "metric", "epoch_id", F.to_json(F.struct("*")).alias("value")))
+            "metric", "run_id", "epoch_id", F.to_json(F.struct("*")).alias("value")))
     return union_of(messages)

@@ -3,29 +3,73 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.functions.fields import event_time
+from tillstream.functions.fields import event_time, read_as
 from tillstream.operators.prepare import with_types
-from tillstream.schema import FIELD_NAMES, WIRE_SCHEMA, strict_schema
+from tillstream.schema import FIELD_NAMES, WIRE_SCHEMA, order_schema, strict_schema
 
 
-def _from_value(messages: DataFrame, schema: T.StructType, keep: Sequence[str]) -> DataFrame:
+def _from_value(
+    messages: DataFrame, schema: T.StructType, keep: Sequence[str], malformed: str | None = None
+) -> DataFrame:
+    options = {}
+    if malformed:
+        schema = T.StructType([*schema.fields, T.StructField(malformed, T.StringType())])
+        options["columnNameOfCorruptRecord"] = malformed
     return (
         messages.select(F.col("value").cast("string").alias("json_str"), *keep)
-        .select(F.from_json("json_str", schema).alias("data"), *keep)
+        .select(F.from_json("json_str", schema, options).alias("data"), *keep)
         .select("data.*", *keep)
     )
 
 
 def wire_lines(
-    messages: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] = FIELD_NAMES
+    messages: DataFrame, keep: Sequence[str] = (), fields: Sequence[str] = FIELD_NAMES,
+    malformed: str | None = None,
 ) -> DataFrame:
-    """The asked fields as text, just as they were sent. `keep` names message columns to keep."""
-    return _from_value(messages, T.StructType([WIRE_SCHEMA[name] for name in fields]), keep)
+    """The asked fields as text, just as they were sent. `keep` names message columns to keep;
+    `malformed` a column for the text of messages that are no JSON object."""
+    schema = T.StructType([WIRE_SCHEMA[name] for name in fields])
+    return _from_value(messages, schema, keep, malformed)
+
+
+def unread_numbers(fields: Sequence[str], money: T.DataType | None = None) -> dict[str, Column]:
+    """For every number among the fields of `wire_lines`: is it set but not readable as one? A
+    price that does not fit a decimal `money` type counts as unreadable."""
+    typed = order_schema(money)
+    return {
+        name: F.col(name).isNotNull() & read_as(F.col(name), typed[name].dataType).isNull()
+        for name in fields if not isinstance(typed[name].dataType, T.StringType)
+    }
+
+
+# How a variant names its numbers.
+_WHOLE, _FRACTIONS = ("BIGINT",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+
+
+def _strict_lines(messages: DataFrame, fields: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Fields with the type they have in JSON: a number only if it is one there, a text only
+    if it is one. Read without errors, which quoted numbers would raise one by one."""
+    body = messages.select(
+        F.try_parse_json(F.col("value").cast("string")).alias("data"), *keep)
+
+    def read(name: str) -> Column:
+        to = strict_schema()[name].dataType
+        value = F.try_variant_get("data", f"$.{name}", to.simpleString())
+        kind = F.schema_of_variant(F.try_variant_get("data", f"$.{name}", "variant"))
+        if isinstance(to, T.StringType):
+            return value.alias(name)
+        kinds = _WHOLE if isinstance(to, T.IntegralType) else _FRACTIONS
+        number = reduce(or_, [F.startswith(kind, F.lit(k)) for k in kinds])
+        return F.when(number, value).alias(name)
+
+    return body.select(*[read(name) for name in fields], *keep)
 
 
 def parse_orders(
@@ -35,6 +79,7 @@ def parse_orders(
     accept_date_only: bool = False,
     keep: Sequence[str] = (),
     fields: Sequence[str] = FIELD_NAMES,
+    malformed: str | None = None,
 ) -> DataFrame:
     """Typed order lines plus, if `date_` is among the fields, `timestamp`, the event time.
 
@@ -44,17 +89,17 @@ def parse_orders(
     JSON parser from reading the others only where a single one is used.
     """
     if strict:
-        typed = strict_schema()
-        lines = _from_value(messages, T.StructType([typed[name] for name in fields]), keep)
+        lines = _strict_lines(messages, fields, keep)
     else:
-        lines = with_types(wire_lines(messages, keep, fields), money, keep)
+        wire = wire_lines(messages, keep, fields, malformed)
+        lines = with_types(wire, money, [*keep, malformed] if malformed else keep)
     if "date_" not in fields:
         return lines
     return lines.withColumn("timestamp", event_time(F.col("date_"), accept_date_only))
 
 
 def malformed_messages(messages: DataFrame) -> DataFrame:
-    """Quarantine: the messages that are no JSON object, with their text."""
+    """Quarantine: the messages that are no JSON object, with their text in `malformed`."""
     marked = T.StructType(WIRE_SCHEMA.fields + [T.StructField("_malformed", T.StringType())])
     text = F.col("value").cast("string")
     parsed = F.from_json(text, marked, {"columnNameOfCorruptRecord": "_malformed"})

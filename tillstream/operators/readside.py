@@ -7,36 +7,85 @@ of epochs; it exists because the dashboards this replaces work that way.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstream.functions.fields import metric_label
-from tillstream.schema import RESULT_SCHEMA, TOP_N
+from tillstream.operators import keyed
+from tillstream.schema import ENVELOPE, RESULT_SCHEMA, TOP_N
 from tillstream.sources.topics import ARRIVAL
 
 HISTOGRAM_BINS = 20  # fixed value
 
 
 def result_rows(messages: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
-    """Messages of mixed metrics as one table with every field any of them carries, or with
-    the asked fields besides metric and epoch.
+    """Messages of mixed metrics as one table with every field the jobs' messages carry, or
+    with the asked fields besides the envelope.
 
-    Where the log is split into folders by metric and epoch, those columns come from the
+    Where the log is split into folders by metric, run and epoch, those columns come from the
     folder names, so filters on them skip the other folders.
     """
-    wanted = dict.fromkeys(["metric", "epoch_id", *(fields or RESULT_SCHEMA.names)])
-    in_body = [RESULT_SCHEMA[name] for name in wanted if name not in messages.columns]
+    wanted = dict.fromkeys([*ENVELOPE, *(fields or RESULT_SCHEMA.names)])
+    known = T.StructType([RESULT_SCHEMA[name] for name in wanted])
+    return _fields_of(messages, known)
+
+
+def all_result_rows(messages: DataFrame) -> DataFrame:
+    """Messages as one table with every field that any message carries, known or not.
+
+    One pass over the messages finds their fields and types; fields of the jobs keep theirs.
+    """
+    body = F.try_parse_json(F.col("value").cast("string"))
+    found = messages.agg(F.schema_of_variant_agg(body)).first()[0] or ""
+    carried = _struct_of(found)
+    extra = [f for f in carried if f.name not in RESULT_SCHEMA.names]
+    return _fields_of(messages, T.StructType(RESULT_SCHEMA.fields + extra))
+
+
+def _struct_of(variant_schema: str) -> T.StructType:
+    """The fields of a variant's schema; mixed and always empty ones are text."""
+    if not variant_schema.startswith("OBJECT<") or variant_schema == "OBJECT<>":
+        return T.StructType()
+    ddl = re.sub(r"\b(VARIANT|VOID)\b(?=[,>])", "STRING", variant_schema)
+    return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
+
+
+def _fields_of(messages: DataFrame, schema: T.StructType) -> DataFrame:
+    in_body = [f for f in schema if f.name not in messages.columns or f.name == "value"]
     body = F.from_json(F.col("value").cast("string"), T.StructType(in_body))
-    rows = messages.withColumn("data", body) if in_body else messages
+    rows = messages.withColumn("__data", body) if in_body else messages
+    inside = {f.name for f in in_body}
     return rows.select(*[
-        F.col(name) if name in messages.columns else F.col(f"data.{name}").alias(name)
-        for name in wanted
+        F.col("__data").getField(f.name).alias(f.name) if f.name in inside else F.col(f.name)
+        for f in schema
     ]).withColumn("metric", metric_label(F.col("metric")))
 
 
+# What a row of a metric is about. Two messages of one snapshot with the same values here are
+# the same message, sent twice.
+_KEYS = ("l1_category", "city_name", "brand_name", "product_name", "dim_customer_key", "window")
+
+
+def without_repeats(messages: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
+    """`result_rows` of an append-only log, in which a batch that ran twice left its messages
+    twice: of every metric, run, epoch and key the message that came last."""
+    place = "__position"
+    placed = messages.withColumn(place, F.struct(*ARRIVAL))
+    keys = ["metric", "run_id", "epoch_id", *_KEYS]
+    wanted = list(dict.fromkeys([*ENVELOPE, *(fields or RESULT_SCHEMA.names)]))
+    schema = T.StructType([RESULT_SCHEMA[n] for n in dict.fromkeys([*wanted, *_KEYS])])
+    body = F.from_json(F.col("value").cast("string"), schema)
+    rows = placed.select(body.alias("__data"), place).select("__data.*", place).withColumn(
+        "metric", metric_label(F.col("metric")))
+    return keyed.latest_per_key(rows, keys, [place]).select(*wanted)
+
+
 def feed_rows(messages: DataFrame, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:
     """Messages by the JSON fields of `schema`, plus their place in the topic."""
     return messages.select(
@@ -53,22 +102,51 @@ def has_metric() -> Column:
     return F.col("metric").isNotNull() & (F.col("metric") != "")
 
 
-def of_metric(rows: DataFrame, metric: str, mode: str = "latest") -> DataFrame:
-    """Rows of one metric: of its newest epoch, or of all epochs."""
+Snapshots = dict[str, tuple[str, int]]  # run and epoch of every metric's newest snapshot
+
+
+def of_metric(
+    rows: DataFrame, metric: str, mode: str = "latest", newest: Snapshots | None = None
+) -> DataFrame:
+    """Rows of one metric: of its newest snapshot, or of all.
+
+    `newest` tells the snapshot by value, so that only its folder is opened. Without it the
+    snapshot that was published last is looked for in the log, which reads all of the metric.
+    """
     mine = rows.where(F.col("metric") == metric)
     if mode == "cumulative":
         return mine
     if mode != "latest":
         raise ValueError(f"mode is latest or cumulative, not {mode!r}")
-    newest = mine.agg(F.max("epoch_id")).scalar()
-    return mine.where(F.col("epoch_id") == newest)
+    if newest is not None:
+        return mine.where(_is_snapshot(newest[metric]) if metric in newest else F.lit(False))
+    last = mine.agg(F.max(F.struct("published_at", "epoch_id", "run_id"))).scalar()
+    return mine.where((F.col("epoch_id") == last["epoch_id"]) & F.col("run_id").eqNullSafe(
+        last["run_id"]))
 
 
-def newest_of_all(rows: DataFrame) -> DataFrame:
-    """The newest epoch of every metric. One row per metric meets the log here; the planner
-    sees how few they are once they are counted."""
-    newest = rows.groupBy("metric").agg(F.max("epoch_id").alias("epoch_id"))
-    return rows.join(newest, ["metric", "epoch_id"], "left_semi")
+def _is_snapshot(snapshot: tuple[str, int]) -> Column:
+    run_id, epoch_id = snapshot
+    return (F.col("run_id") == run_id) & (F.col("epoch_id") == epoch_id)
+
+
+def is_newest(rows: DataFrame, newest: Snapshots) -> Column:
+    """Does a row of the split log belong to the newest snapshot of its metric?"""
+    wanted = [(F.col("metric") == name) & _is_snapshot(at) for name, at in newest.items()]
+    return reduce(or_, wanted, F.lit(False))
+
+
+def newest_of_all(rows: DataFrame, newest: Snapshots | None = None) -> DataFrame:
+    """The newest snapshot of every metric: of those told by `newest`, only their folders are
+    opened; otherwise one row per metric meets the whole log."""
+    if newest is not None:
+        return rows.where(is_newest(rows, newest))
+    last = rows.groupBy("metric").agg(F.max(F.struct("published_at", "epoch_id", "run_id")).alias(
+        "__last")).select(F.col("metric").alias("__metric"), "__last.epoch_id", "__last.run_id")
+    last = last.withColumnsRenamed({"epoch_id": "__epoch", "run_id": "__run"})
+    return rows.join(last, (F.col("metric") == F.col("__metric"))
+                     & (F.col("epoch_id") == F.col("__epoch"))
+                     & F.col("run_id").eqNullSafe(F.col("__run")), "left_semi")
 
 
 def require(rows: DataFrame, *columns: str) -> None:
@@ -91,14 +169,16 @@ def _numeric(rows: DataFrame, measure: str) -> Column:
 
 
 def total_per_key(rows: DataFrame, key: str, measure: str) -> DataFrame:
-    """Sum of the measure per key; the number of rows if the measure is not there at all.
+    """Sum of the measure per key; the number of rows if no row carries the measure.
     Rows without a key are left out; a key with no values sums to 0."""
     require(rows, key)
-    keyed = rows.where(F.col(key).isNotNull()).groupBy(key)
+    keyed_rows = rows.where(F.col(key).isNotNull()).groupBy(key)
     if measure not in rows.columns:
-        return keyed.agg(F.count("*").alias(measure))
-    total = F.sum(_numeric(rows, measure))
-    return keyed.agg(F.coalesce(total, F.lit(0)).alias(measure))
+        return keyed_rows.agg(F.count("*").alias(measure))
+    carried = rows.agg(F.count(measure)).scalar()
+    total = F.coalesce(F.sum(_numeric(rows, measure)), F.lit(0))
+    return keyed_rows.agg(total.alias("__total"), F.count("*").alias("__rows")).select(
+        key, F.when(carried == 0, F.col("__rows")).otherwise(F.col("__total")).alias(measure))
 
 
 def top(rows: DataFrame, key: str, measure: str, size: int = TOP_N) -> DataFrame:
@@ -128,8 +208,8 @@ def histogram(rows: DataFrame, measure: str, bins: int = HISTOGRAM_BINS) -> Data
     """Counts in `bins` bins of equal width between the smallest and the largest value; one
     bin if they are the same. Bins nothing falls into have no row."""
     values = rows.where(F.col(measure).isNotNull())
-    low = values.agg(F.min(measure)).scalar()
-    high = values.agg(F.max(measure)).scalar()
+    ends = values.agg(F.struct(F.min(measure).alias("low"), F.max(measure).alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     width = (high - low) / F.lit(bins)
     number = F.when(high == low, F.lit(1)).otherwise(
         F.least(F.lit(bins), F.floor(F.try_divide(F.col(measure) - low, width)) + 1)
@@ -143,7 +223,8 @@ def histogram(rows: DataFrame, measure: str, bins: int = HISTOGRAM_BINS) -> Data
 
 
 def metric_names(rows: DataFrame) -> DataFrame:
-    return rows.select("metric").where(F.col("metric").isNotNull()).distinct()
+    """The metrics that have messages; a NULL stands for messages without one."""
+    return rows.select("metric").distinct()
 
 
 def messages_per_metric(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from tillstream.plans.staging import SECOND_DELIVERY
 from tillstream.schema import FIELD_NAMES, MISSING_TOKENS, ORDER_FIELDS
 
 _FAMILY_OF = {name: family for name, _, family in ORDER_FIELDS}
@@ -41,7 +40,8 @@ _LINES = """order_lines AS (
 )"""
 
 _FIRST_LINES = (
-    f"first_lines AS (SELECT * FROM order_lines WHERE date_ < '{SECOND_DELIVERY}')"
+    "first_lines AS (SELECT * FROM order_lines WHERE 2 * order_id < "
+    "(SELECT min(l_orderkey) + max(l_orderkey) FROM lineitem))"
 )
 
 
@@ -261,6 +261,51 @@ def all_sql() -> dict[str, str]:
             "AND event_type NOT IN ('error', 'signup')) QUALIFY "
             "row_number() OVER (PARTITION BY metric ORDER BY event_id DESC) <= 100"),
     }
+    stored = _last_line_per_order(
+        ", ".join(FIELD_NAMES), f"(SELECT {_TEXT_FIELDS} FROM order_lines)")
+    kind = "split_part(p_name, ' ', 2)"
+    product = {
+        "product_id": "p_partkey", "product_name": "p_name",
+        "unit": "CASE WHEN p_size <> 1 THEN CAST(p_size AS VARCHAR) ELSE '' END",
+        "product_type": kind, "brand_name": "p_brand", "l0_category": kind,
+        "l1_category": "p_type", "l2_category": "p_name", "l0_category_id": "p_size",
+        "l1_category_id": "p_size", "l2_category_id": "p_partkey",
+    }
+    cells = ", ".join(f"'{name}', coalesce(CAST({source} AS VARCHAR), '')"
+                      for name, source in product.items())
+    sql |= {
+        "one_pass_discount_only": _with_lines(_metric("discount_by_brand")),
+        "one_pass_two_counts": _with_lines(
+            f"SELECT l1_category, {_sum_as_double('unit_selling_price')} / "
+            "nullif(count(unit_selling_price), 0) AS avg_unit_selling_price, "
+            "count(procured_quantity) AS lines, "
+            f"{_sum_as_double('total_discount_amount')} AS discount "
+            "FROM order_lines GROUP BY l1_category"),
+        "upsert_orders_new_checkpoint_stream": _with_lines(stored),
+        "compacted_orders": _with_lines(stored),
+        "keyed_table_view": _with_lines(stored),
+        "order_lookup": _with_lines(
+            f"SELECT * FROM ({stored}) WHERE row_key IN "
+            "((SELECT CAST(min(l_orderkey) AS VARCHAR) FROM lineitem), "
+            "(SELECT CAST(max(l_orderkey) AS VARCHAR) FROM lineitem))"),
+        "metric_log_new_checkpoint_stream": _with_lines(_stacked(_METRIC_NAMES)),
+        "result_feed_repeated_stream": _with_lines(_stacked(_METRIC_NAMES)),
+        "replay_unknown_fields": (
+            "SELECT event_type AS metric, event_id, user_id AS customer, value AS amount "
+            "FROM events WHERE event_type NOT IN ('error', 'purchase')"),
+        "malformed_orders": (
+            "SELECT 'failed: ' || event_id AS malformed FROM events "
+            "WHERE event_type = 'error'"),
+        "non_numeric_measures": (
+            "SELECT 'unit_selling_price' AS field, count(*) AS non_numeric FROM events "
+            "WHERE event_type = 'purchase' AND user_id % 10 = 0 HAVING count(*) > 0"),
+        "publish_csv_rows": f"SELECT CAST(json_object({cells}) AS VARCHAR) AS value FROM part",
+        "dash_brands_without_measure": _with_results(
+            "SELECT brand_name, count(*) AS brand_count FROM results "
+            "WHERE metric = 'discount_by_brand' AND brand_name IS NOT NULL "
+            "GROUP BY brand_name"),
+    }
+    sql |= {f"{name}_changes_stream": _with_lines(_metric(name)) for name in _METRIC_NAMES}
     for suffix, mode in (("", "latest"), ("_cumulative", "cumulative")):
         sql |= {
             f"dash_top_products{suffix}": _dash(

@@ -14,7 +14,7 @@ from tillstream.schema import EXACT_MONEY, FIELD_NAMES
 from tillstream.session import work_folder
 from tillstream.sources import star
 from tillstream.sources.csv_files import read_csv
-from tillstream.sources.topics import FolderTopic
+from tillstream.sources.topics import FolderTopic, newest_snapshots, order_payload
 from tillstream.streaming import sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,30 @@ def multi_metric_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _one_pass(spark, sf_dir, [m for m in metrics.ALL if not m.per_window])
 
 
+# Metrics whose totals are of fields that the nine do not combine like that.
+_DISCOUNT_ONLY = metrics.METRICS["discount_by_brand"]
+_TWO_COUNTS = (
+    metrics.METRICS["avg_price_by_category"],
+    metrics.Metric("lines_by_category", "l1_category",
+                   (metrics.Measure("lines", "count", "procured_quantity"),
+                    metrics.Measure("discount", "money", "total_discount_amount"))),
+)
+
+
+def one_pass_discount_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass for a metric without prices."""
+    return _one_pass(spark, sf_dir, [_DISCOUNT_ONLY]).drop("metric")
+
+
+def one_pass_two_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass for two metrics that count and add up different fields of one key."""
+    lines = star.order_lines(spark, sf_dir, *_line_fields(metrics.fields_of(_TWO_COUNTS)))
+    tables = metrics.compute_all_once(lines, work_folder(spark, "totals"), _TWO_COUNTS)
+    average, counted = (tables[m.name] for m in _TWO_COUNTS)
+    return average.join(counted, average.l1_category.eqNullSafe(counted.l1_category)).select(
+        average.l1_category, "avg_unit_selling_price", "lines", "discount")
+
+
 def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nine metrics in one table."""
     return _one_pass(spark, sf_dir, metrics.ALL)
@@ -82,12 +106,10 @@ def metric_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Preparation, messages, storage --------------------------------------------------------
 
 def prep_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw files to typed order lines. Spark wrote them in parts, so one task per part is
-    enough and cells may contain line breaks."""
+    """Raw files to typed order lines. No cell holds a line break, so files are split."""
     path = staging.raw_files(spark, sf_dir)
     rows = prepare.prepare(
-        read_csv(spark, f"{path}/sales", multi_line=True),
-        read_csv(spark, f"{path}/products", multi_line=True))
+        read_csv(spark, f"{path}/sales"), read_csv(spark, f"{path}/products"))
     return _plain(prepare.with_types(rows, EXACT_MONEY))
 
 
@@ -112,12 +134,43 @@ def upsert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(table.select("row_key", *keyed.family_fields()))
 
 
-def upsert_orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = spark.read.parquet(staging.keyed_orders(spark, sf_dir))
-    table = sinks.latest_orders(stored, order_by=list(FIELD_NAMES))
+def _orders_in(spark: SparkSession, path: str) -> DataFrame:
+    table = sinks.latest_orders(spark.read.parquet(path), order_by=list(FIELD_NAMES))
     return table.select("row_key", *keyed.family_fields())
 
 
+def upsert_orders_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _orders_in(spark, staging.keyed_orders(spark, sf_dir))
+
+
+def upsert_orders_new_checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed table that two jobs with their own checkpoints filled."""
+    return _orders_in(spark, staging.keyed_orders_after_new_checkpoint(spark, sf_dir))
+
+
+def compacted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = spark.read.parquet(staging.compacted_orders(spark, sf_dir))
+    return stored.select("row_key", *keyed.family_fields())
+
+
+def order_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders with the smallest and the largest key, from their buckets alone."""
+    ends = star.table(spark, sf_dir, "lineitem").agg(
+        F.min("l_orderkey"), F.max("l_orderkey")).first()
+    keys = [str(key) for key in ends if key is not None]
+    found = sinks.lookup_orders(
+        spark, staging.compacted_orders(spark, sf_dir), keys, list(FIELD_NAMES))
+    return found.select("row_key", *keyed.family_fields())
+
+
+def keyed_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered table over the compacted folder: one row per order."""
+    path = staging.compacted_orders(spark, sf_dir)
+    name = "orders_" + path.rsplit("-", 1)[-1]
+    keyed.create_keyed_table(spark, name, path)
+    return spark.table(name).select("row_key", *keyed.family_fields())
+
+
 def order_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line in the layout of the keyed table, shown as family_field columns."""
     table = keyed.to_families(star.order_lines(spark, sf_dir))
@@ -140,8 +193,55 @@ def _results(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     return readside.result_rows(messages, fields)
 
 
+def _of_metric(
+    spark: SparkSession, sf_dir: str, metric: str, mode: str, *fields: str
+) -> DataFrame:
+    """Rows of one metric from that log; for the latest ones only their folder is opened."""
+    newest = newest_snapshots(staging.one_pass_results(spark, sf_dir), spark)
+    return readside.of_metric(_results(spark, sf_dir, *fields), metric, mode, newest)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Without what differs from run to run."""
+    return _plain(rows.drop("error", "run_id", "published_at"))
+
+
 def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_results(spark, sf_dir).drop("error"))
+    return _told(_results(spark, sf_dir))
+
+
+def replay_unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages with fields that no job sends, found by looking at the messages."""
+    rows = readside.all_result_rows(staging.mixed_topic(spark, sf_dir).replay(spark))
+    return rows.where("metric IS NOT NULL").select(
+        "metric", "event_id", "customer", F.col("details.amount").cast("double").alias("amount"))
+
+
+def malformed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = parse.malformed_messages(staging.mixed_topic(spark, sf_dir).replay(spark))
+    return messages.select("malformed")
+
+
+def non_numeric_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per number field, how many values of all messages are set but no number."""
+    wire = parse.wire_lines(staging.mixed_topic(spark, sf_dir).replay(spark))
+    unread = parse.unread_numbers(FIELD_NAMES, EXACT_MONEY)
+    counts = wire.agg(*[F.count_if(bad).alias(name) for name, bad in unread.items()])
+    return counts.unpivot([], list(unread), "field", "non_numeric").where("non_numeric > 0")
+
+
+def publish_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a CSV file as messages; blank cells are empty texts."""
+    rows = read_csv(spark, f"{staging.raw_files(spark, sf_dir)}/products")
+    rows = rows.select(*[name for name in rows.columns if not name.startswith("Unnamed")])
+    return rows.select(order_payload(rows, blank="").alias("value"))
+
+
+def dash_brands_without_measure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that name a brand but carry no count: each counts as one."""
+    rows = _results(spark, sf_dir, "brand_name", "brand_count").where(
+        "metric = 'discount_by_brand'")
+    return readside.total_per_key(rows, "brand_name", "brand_count")
 
 
 def replay_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,16 +254,16 @@ def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replayed results as CSV, read back."""
-    rows = readside.flat_results(_results(spark, sf_dir).drop("error"))
+    rows = readside.flat_results(_results(spark, sf_dir).drop("error", "run_id", "published_at"))
     path = staging.exported_results(spark, sf_dir, rows)
-    return _plain(read_csv(spark, path, multi_line=True).select(*[
+    return _plain(read_csv(spark, path).select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema
     ]))
 
 
 def _dash_total(metric: str, key: str, measure: str, ranked: bool, mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = readside.of_metric(_results(spark, sf_dir, key, measure), metric, mode)
+        rows = _of_metric(spark, sf_dir, metric, mode, key, measure)
         totals = readside.total_per_key(rows, key, measure)
         return readside.top(totals, key, measure) if ranked else totals
 
@@ -180,8 +280,7 @@ def dash_product_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _dash_aov(mode: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         key, measure = "dim_customer_key", "average_order_value"
-        results = _results(spark, sf_dir, key, measure)
-        rows = readside.of_metric(results, "aov_by_customer", mode)
+        rows = _of_metric(spark, sf_dir, "aov_by_customer", mode, key, measure)
         return readside.mean_per_key(rows, key, measure)
 
     return query
@@ -225,8 +324,9 @@ def last_100_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _snapshot_query(name: str, results: Callable[[SparkSession, str], FolderTopic]) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         outputs = metrics.METRICS[name].outputs
-        rows = readside.result_rows(results(spark, sf_dir).replay(spark), outputs)
-        newest = readside.of_metric(rows, name, "latest")
+        topic = results(spark, sf_dir)
+        rows = readside.result_rows(topic.replay(spark), outputs)
+        newest = readside.of_metric(rows, name, "latest", newest_snapshots(topic, spark))
         return _plain(newest.select(*outputs))
 
     return query
@@ -234,20 +334,44 @@ def _snapshot_query(name: str, results: Callable[[SparkSession, str], FolderTopi
 
 def metric_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All snapshots of the nine streams."""
-    rows = readside.result_rows(staging.metric_results(spark, sf_dir).replay(spark))
-    return _plain(rows.drop("error"))
+    return _told(readside.result_rows(staging.metric_results(spark, sf_dir).replay(spark)))
 
 
 def one_pass_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest snapshot of every metric of the one-query job."""
-    rows = readside.result_rows(staging.one_pass_results(spark, sf_dir).replay(spark))
-    return _plain(readside.newest_of_all(rows).drop("error", "epoch_id"))
+    return _newest_snapshots(spark, staging.one_pass_results(spark, sf_dir))
+
+
+def _newest_snapshots(spark: SparkSession, topic: FolderTopic) -> DataFrame:
+    rows = readside.result_rows(topic.replay(spark))
+    newest = readside.newest_of_all(rows, newest_snapshots(topic, spark))
+    return _told(newest.drop("epoch_id"))
+
+
+def metric_log_new_checkpoint_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest snapshots after a job was started anew: those of the later run."""
+    return _newest_snapshots(spark, staging.results_after_new_checkpoint(spark, sf_dir))
+
+
+def result_feed_repeated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot that was sent twice, read once."""
+    messages = staging.repeated_results(spark, sf_dir).replay(spark)
+    return _told(readside.without_repeats(messages).drop("epoch_id"))
+
+
+def _changes_query(name: str) -> Query:
+    """A metric from the totals that each batch changed."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        totals = sinks.current_totals(spark, staging.changed_totals(spark, sf_dir))
+        return _plain(metrics.pick(totals, metrics.METRICS[name]))
+
+    return query
 
 
 def sales_trend_bounded_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = spark.read.parquet(staging.bounded_trend(spark, sf_dir))
     newest = keyed.latest_per_key(changes, ["window", "l1_category"], ["batch_id"])
-    return _plain(newest.drop("batch_id"))
+    return _plain(newest.drop("batch_id", "run_id", "stored_at"))
 
 
 def result_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,10 +385,8 @@ def result_feed_errors_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent_messages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = spark.read.parquet(f"{staging.feed(spark, sf_dir)}/recent")
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.where(F.col("version") == newest).select(
-        "metric", "event_id", "user_id", "value")
+    rows = sinks.recent_rows(spark, f"{staging.feed(spark, sf_dir)}/recent")
+    return rows.select("metric", "event_id", "user_id", "value")
 
 
 def all_queries() -> dict[str, Query]:
@@ -299,6 +421,19 @@ def all_queries() -> dict[str, Query]:
         "result_feed_stream": result_feed_stream,
         "result_feed_errors_stream": result_feed_errors_stream,
         "recent_messages_stream": recent_messages_stream,
+        "one_pass_discount_only": one_pass_discount_only,
+        "one_pass_two_counts": one_pass_two_counts,
+        "upsert_orders_new_checkpoint_stream": upsert_orders_new_checkpoint_stream,
+        "metric_log_new_checkpoint_stream": metric_log_new_checkpoint_stream,
+        "result_feed_repeated_stream": result_feed_repeated_stream,
+        "compacted_orders": compacted_orders,
+        "order_lookup": order_lookup,
+        "keyed_table_view": keyed_table_view,
+        "replay_unknown_fields": replay_unknown_fields,
+        "malformed_orders": malformed_orders,
+        "non_numeric_measures": non_numeric_measures,
+        "publish_csv_rows": publish_csv_rows,
+        "dash_brands_without_measure": dash_brands_without_measure,
     }
     for suffix, mode in MODES.items():
         registered |= {
@@ -315,4 +450,5 @@ def all_queries() -> dict[str, Query]:
         f"{name}_stream": _snapshot_query(name, staging.metric_results)
         for name in metrics.METRICS
     }
+    registered |= {f"{name}_changes_stream": _changes_query(name) for name in metrics.METRICS}
     return registered

@@ -13,15 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.schema import EXACT_MONEY, FIELD_NAMES
+from tillstream.operators import readside
+from tillstream.schema import EXACT_MONEY, FIELD_NAMES, RESULT_TOPIC
 from tillstream.session import work_folder
 from tillstream.sources import star
 from tillstream.sources.csv_files import write_csv
-from tillstream.sources.topics import FolderTopic, order_payload, result_folder
-from tillstream.streaming import jobs
+from tillstream.sources.topics import (
+    FolderTopic, newest_snapshots, order_folder, order_payload, result_folder,
+)
+from tillstream.streaming import jobs, sinks
 
-# Orders reach the topic in two deliveries, the second one from this order date on.
-SECOND_DELIVERY = "1998-01-01"
+# Orders reach the topic in two deliveries: the first holds the lines of the orders with keys
+# below the middle between the smallest and the largest.
 
 _made: dict[tuple[str, str, str], str] = {}
 _making = RLock()  # making one thing may need another
@@ -44,10 +47,13 @@ def _publish(topic: FolderTopic, lines: DataFrame) -> None:
 
 
 def _deliveries(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
-    return [
-        star.order_lines(spark, sf_dir, first_before=SECOND_DELIVERY),
-        star.order_lines(spark, sf_dir, first_before=SECOND_DELIVERY, rest=True),
-    ]
+    """The order topic's messages in two parts, read back from the topic."""
+    messages = order_topic(spark, sf_dir).replay(spark)
+    order = F.get_json_object(F.col("value").cast("string"), "$.order_id").cast("long")
+    ends = star.table(spark, sf_dir, "lineitem").agg(
+        (F.min("l_orderkey") + F.max("l_orderkey")).alias("x")).scalar()
+    early = F.coalesce(2 * order < ends, F.lit(False))
+    return [messages.where(early), messages.where(~early)]
 
 
 # Raw files -----------------------------------------------------------------------------
@@ -100,13 +106,12 @@ def raw_files(spark: SparkSession, sf_dir: str) -> str:
 # Topics --------------------------------------------------------------------------------
 
 def order_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
-    """All order lines as messages."""
+    """All order lines as messages. The jobs read this one topic, or parts of it."""
 
     def make(path: str) -> None:
-        for lines in _deliveries(spark, sf_dir):
-            _publish(FolderTopic(path, "ecommerce"), lines)
+        _publish(order_folder(path), star.order_lines(spark, sf_dir))
 
-    return FolderTopic(_once(spark, sf_dir, "order_topic", make), "ecommerce")
+    return order_folder(_once(spark, sf_dir, "order_topic", make))
 
 
 FEED_SCHEMA = T.StructType([
@@ -132,10 +137,10 @@ def feed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
     def make(path: str) -> None:
         rows = feed_rows(spark, sf_dir)
-        FolderTopic(path, "eda_results").append(
+        FolderTopic(path, RESULT_TOPIC).append(
             rows.select(F.to_json(F.struct("*")).alias("value")))
 
-    return FolderTopic(_once(spark, sf_dir, "feed_topic", make), "eda_results")
+    return FolderTopic(_once(spark, sf_dir, "feed_topic", make), RESULT_TOPIC)
 
 
 # Job results ---------------------------------------------------------------------------
@@ -149,27 +154,90 @@ def _drain(spark: SparkSession, path: str, files_per_core: int | None = None) ->
         partitions=cores, money=EXACT_MONEY)
 
 
-def _two_runs(spark: SparkSession, sf_dir: str, name: str, start: Callable) -> FolderTopic:
-    """Results of a metric job that is run after each of the two deliveries."""
+def _two_runs(spark: SparkSession, sf_dir: str, name: str, start: Callable) -> str:
+    """Folder of what a metric job leaves that is run after each of the two deliveries."""
 
     def make(path: str) -> None:
-        orders = FolderTopic(f"{path}/orders", "ecommerce")
-        for lines in _deliveries(spark, sf_dir):
-            _publish(orders, lines)
-            jobs.finish(start(
-                spark, orders, result_folder(f"{path}/results"), _drain(spark, path)))
+        orders = order_folder(f"{path}/orders")
+        for messages in _deliveries(spark, sf_dir):
+            orders.append(messages)
+            found = start(orders, path)
+            jobs.finish(found if isinstance(found, list) else [found])
 
-    return result_folder(f"{_once(spark, sf_dir, name, make)}/results")
+    return _once(spark, sf_dir, name, make)
 
 
 def metric_results(spark: SparkSession, sf_dir: str) -> FolderTopic:
     """Result log of the nine metric streams: epoch 0 after the first delivery, epoch 1 after
     both."""
-    return _two_runs(spark, sf_dir, "metric_job", jobs.start_metrics)
+    path = _two_runs(spark, sf_dir, "metric_job", lambda orders, path: jobs.start_metrics(
+        spark, orders, result_folder(f"{path}/results"), _drain(spark, path)))
+    return result_folder(f"{path}/results")
 
 
 def one_pass_results(spark: SparkSession, sf_dir: str) -> FolderTopic:
-    return _two_runs(spark, sf_dir, "one_pass_job", jobs.start_metrics_one_pass)
+    path = _two_runs(spark, sf_dir, "one_pass_job", lambda orders, path: (
+        jobs.start_metrics_one_pass(
+            spark, orders, result_folder(f"{path}/results"), _drain(spark, path))))
+    return result_folder(f"{path}/results")
+
+
+def changed_totals(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the totals that each of the two deliveries changed."""
+    path = _two_runs(spark, sf_dir, "changes_job", lambda orders, path: (
+        jobs.start_metric_changes(spark, orders, f"{path}/totals", _drain(spark, path))))
+    return f"{path}/totals"
+
+
+def results_after_new_checkpoint(spark: SparkSession, sf_dir: str) -> FolderTopic:
+    """Result log of a one-query job that ran over the first delivery, and then over all of the
+    topic with a new checkpoint: both runs publish an epoch 0."""
+
+    def make(path: str) -> None:
+        orders = order_folder(f"{path}/orders")
+        for n, messages in enumerate(_deliveries(spark, sf_dir)):
+            orders.append(messages)
+            jobs.finish(jobs.start_metrics_one_pass(
+                spark, orders, result_folder(f"{path}/results"),
+                _drain(spark, f"{path}/run{n}")))
+
+    return result_folder(f"{_once(spark, sf_dir, 'new_checkpoint_metric_job', make)}/results")
+
+
+def repeated_results(spark: SparkSession, sf_dir: str) -> FolderTopic:
+    """A log that is only appended to, as a broker keeps it, in which the last snapshot of the
+    one-query job was sent twice."""
+
+    def make(path: str) -> None:
+        results = one_pass_results(spark, sf_dir)
+        messages = results.replay(spark)
+        for _ in range(2):
+            FolderTopic(path, RESULT_TOPIC).append(messages.where(readside.is_newest(
+                messages, newest_snapshots(results, spark))))
+
+    return FolderTopic(_once(spark, sf_dir, "repeated_results", make), RESULT_TOPIC)
+
+
+def mixed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
+    """Events as messages of several makers: purchases are orders with a price, with a price in
+    words for every tenth user, errors are plain text, and the others JSON of fields unknown to
+    the jobs."""
+
+    def make(path: str) -> None:
+        kind = F.col("event_type")
+        price = F.when(F.col("user_id") % 10 == 0, "ten").otherwise(
+            F.col("value").cast("string"))
+        body = F.when(kind == "error", F.concat(F.lit("failed: "), F.col("event_id"))).when(
+            kind == "purchase", F.to_json(F.struct(
+                F.col("event_id").cast("string").alias("order_id"),
+                price.alias("unit_selling_price"))))
+        other = F.to_json(F.struct(
+            kind.alias("metric"), "event_id", F.col("user_id").alias("customer"),
+            F.struct(F.col("value").alias("amount")).alias("details")))
+        order_folder(path).append(star.table(spark, sf_dir, "events").select(
+            F.coalesce(body, other).alias("value")))
+
+    return order_folder(_once(spark, sf_dir, "mixed_topic", make))
 
 
 def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
@@ -184,6 +252,25 @@ def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
     return f"{_once(spark, sf_dir, 'upsert_job', make)}/table"
 
 
+def keyed_orders_after_new_checkpoint(spark: SparkSession, sf_dir: str) -> str:
+    """The same table from two jobs, each with its own checkpoint and half of the topic."""
+
+    def make(path: str) -> None:
+        for n, messages in enumerate(_deliveries(spark, sf_dir)):
+            orders = order_folder(f"{path}/orders{n}")
+            orders.append(messages)
+            jobs.finish([jobs.start_upsert(
+                spark, orders, f"{path}/table", _drain(spark, f"{path}/run{n}", 8),
+                order_by=list(FIELD_NAMES))])
+
+    return f"{_once(spark, sf_dir, 'new_checkpoint_upsert_job', make)}/table"
+
+
+def compacted_orders(spark: SparkSession, sf_dir: str) -> str:
+    return _once(spark, sf_dir, "compaction", lambda path: sinks.compact_orders(
+        spark, keyed_orders_after_new_checkpoint(spark, sf_dir), path, list(FIELD_NAMES)))
+
+
 def landed_orders(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish([jobs.start_landing(
@@ -197,10 +284,11 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
     three deliveries, so none is late."""
 
     def make(path: str) -> None:
-        events = FolderTopic(f"{path}/events", "ecommerce")
+        events = order_folder(f"{path}/events")
         lines = star.event_lines(spark, sf_dir)
         time = F.unix_seconds("timestamp")
-        low, high = lines.agg(F.min(time), F.max(time)).first()
+        low, high = lines.agg(F.coalesce(F.min(time), F.lit(0)), F.coalesce(
+            F.max(time), F.lit(0))).first()
         third = (high - low) // 3
         for start, end in ((low, low + third), (low + third, low + 2 * third),
                            (low + 2 * third, high + 1)):
@@ -214,9 +302,9 @@ def bounded_trend(spark: SparkSession, sf_dir: str) -> str:
 
 def feed(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
-        jobs.finish(jobs.start_feed(
+        jobs.finish([jobs.start_feed(
             spark, feed_topic(spark, sf_dir), f"{path}/feed", _drain(spark, path, 8),
-            FEED_SCHEMA, order=["event_id"]))
+            FEED_SCHEMA, order=["event_id"])])
 
     return f"{_once(spark, sf_dir, 'feed_job', make)}/feed"
 

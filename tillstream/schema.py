@@ -83,10 +83,19 @@ TOPIC_SCHEMA = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
 ])
 
-# Every field any result message can carry; `metric` tells which ones are set.
+# The names of the topics.
+ORDER_TOPIC, RESULT_TOPIC = "ecommerce", "eda_results"
+
+# The envelope of a result message: what it tells, which run of a job published it, as which
+# snapshot and when.
+ENVELOPE = ("metric", "run_id", "epoch_id", "published_at")
+
+# Every field a result message of the jobs can carry; `metric` tells which ones are set.
 RESULT_SCHEMA = T.StructType([
     T.StructField("metric", T.StringType()),
+    T.StructField("run_id", T.StringType()),
     T.StructField("epoch_id", T.LongType()),
+    T.StructField("published_at", T.TimestampType()),
     T.StructField("l1_category", T.StringType()),
     T.StructField("city_name", T.StringType()),
     T.StructField("brand_name", T.StringType()),

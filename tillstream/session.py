@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -37,12 +38,13 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder path that every executor can reach.
 
-    The root is `spark.checkpoint.dir`. Only a local master may fall back to a folder of
-    this machine, because there the driver and the executors are one process.
+    The root is `spark.checkpoint.dir`. Only where driver and executors are one process (a
+    master `local` or `local[...]`) and nothing is set, as in tests, it is a folder of this
+    machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_roots:

@@ -13,16 +13,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstream.functions.fields import column
-from tillstream.schema import TOPIC_SCHEMA
+from tillstream.schema import ORDER_TOPIC, RESULT_TOPIC, TOPIC_SCHEMA
 
 # Arrival order of messages. Offsets only order messages of one partition, and a folder
-# counts them anew for every publish, so the publish time comes first.
+# counts them anew for every publish, so the publish time comes first. Within one publish to a
+# folder, partition and offset are the task and the row in it: an order, but a made-up one.
 ARRIVAL = ("timestamp", "partition", "offset")
 
 
-def order_payload(lines: DataFrame) -> Column:
-    """One JSON object per row, every value as text, NULL fields kept."""
-    cells = [column(name).cast("string").alias(name) for name in lines.columns]
+def order_payload(lines: DataFrame, blank: str | None = None) -> Column:
+    """One JSON object per row, every value as text. NULL fields are kept, or written as the
+    `blank` text: rows of a CSV file have blank cells, which are empty texts."""
+    cells = [column(name).cast("string") for name in lines.columns]
+    if blank is not None:
+        cells = [F.coalesce(cell, F.lit(blank)) for cell in cells]
+    cells = [cell.alias(name) for cell, name in zip(cells, lines.columns)]
     return F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
 
 
@@ -100,8 +105,8 @@ class KafkaTopic:
             .save()
         )
 
-    # A broker cannot take messages back: a repeated batch repeats its messages, and readers
-    # tell them apart by the epoch inside the message.
+    # A broker cannot take messages back: a repeated batch repeats its messages. Readers keep
+    # one message per metric, run, epoch and key (`readside.without_repeats`).
     replace = append
 
     def replay(self, spark: SparkSession) -> DataFrame:
@@ -132,8 +137,73 @@ Topic = FolderTopic | KafkaTopic
 
 
 def result_folder(path: str) -> FolderTopic:
-    """The result log as a folder: one sub-folder per metric and epoch."""
+    """The result log as a folder: one sub-folder per metric, run and epoch."""
     return FolderTopic(
-        path, "eda_results",
-        (("metric", T.StringType()), ("epoch_id", T.LongType())),
+        path, RESULT_TOPIC,
+        (("metric", T.StringType()), ("run_id", T.StringType()), ("epoch_id", T.LongType())),
     )
+
+
+def order_folder(path: str) -> FolderTopic:
+    return FolderTopic(path, ORDER_TOPIC)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+# The newest snapshots ------------------------------------------------------------------
+
+_POINTERS = "_snapshots"  # a hidden folder of the log: readers of messages pass it over
+_POINTER_SCHEMA = "metric string, epoch_id long, published_at timestamp"
+
+
+def note_snapshot(
+    topic: Topic, spark: SparkSession, names: list[str], run_id: str, epoch_id: int
+) -> None:
+    """Records that a run has published an epoch of some metrics, once the snapshot is there.
+
+    A run has two small files that take turns, each with the last snapshot of all its metrics,
+    so one is whole whenever the other is being written. Runs do not touch each other's.
+    """
+    if not isinstance(topic, FolderTopic):
+        return
+    path = f"{topic.path}/{_POINTERS}/run_id={run_id}"
+    noted = snapshots(topic, spark, run_id)
+    others = [] if noted is None else noted.where(~F.col("metric").isin(names)).collect()
+    last = {}
+    for row in others:
+        if row.metric not in last or row.published_at > last[row.metric].published_at:
+            last[row.metric] = row
+    rows = [(name, epoch_id, None) for name in names]
+    rows += [(row.metric, row.epoch_id, row.published_at) for row in last.values()]
+    (
+        spark.createDataFrame(rows, _POINTER_SCHEMA)
+        .withColumn("published_at", F.coalesce("published_at", F.current_timestamp()))
+        .coalesce(1).write.mode("overwrite").parquet(f"{path}/turn={epoch_id % 2}")
+    )
+
+
+def snapshots(topic: Topic, spark: SparkSession, run_id: str | None = None) -> DataFrame | None:
+    """The last snapshots of all runs or of one: metric, epoch_id, published_at, run_id. None if
+    none is recorded."""
+    if not isinstance(topic, FolderTopic):
+        return None
+    root = f"{topic.path}/{_POINTERS}"
+    path = root if run_id is None else f"{root}/run_id={run_id}"
+    if not exists(spark, path):
+        return None
+    reader = spark.read.option("basePath", root).option("ignoreMissingFiles", "true")
+    return reader.schema(f"{_POINTER_SCHEMA}, run_id string, turn int").parquet(path).drop("turn")
+
+
+def newest_snapshots(topic: Topic, spark: SparkSession) -> dict[str, tuple[str, int]] | None:
+    """Run and epoch of every metric's newest snapshot, as values a scan can be pruned by.
+    The driver gets one row per metric. None if the log records none."""
+    noted = snapshots(topic, spark)
+    if noted is None:
+        return None
+    newest = noted.groupBy("metric").agg(F.max(F.struct(
+        "published_at", "epoch_id", "run_id")).alias("last"))
+    return {row.metric: (row["last"].run_id, row["last"].epoch_id) for row in newest.collect()}

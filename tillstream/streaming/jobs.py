@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from tillstream.functions.fields import event_time
 from tillstream.operators import metrics, readside
 from tillstream.operators.keyed import has_key
-from tillstream.operators.parse import parse_orders, wire_lines
+from tillstream.operators.parse import parse_orders, unread_numbers, wire_lines
+from tillstream.operators.prepare import with_types
+from tillstream.session import SETTINGS
 from tillstream.sources.topics import ARRIVAL, Topic
 from tillstream.streaming import sinks
 
@@ -46,21 +49,37 @@ def _start(
     rows: DataFrame, mode: str, write: sinks.BatchWriter, run: Run, name: str
 ) -> StreamingQuery:
     writer = rows.writeStream.outputMode(mode).queryName(name).foreachBatch(write)
-    writer = writer.option("checkpointLocation", f"{run.checkpoint}/{name}").trigger(**run.trigger)
-    # A query copies the session's settings when it starts.
-    conf = rows.sparkSession.conf
-    before = conf.get("spark.sql.shuffle.partitions")
-    conf.set("spark.sql.shuffle.partitions", str(run.partitions or before))
-    try:
-        return writer.start()
-    finally:
-        conf.set("spark.sql.shuffle.partitions", before)
+    return writer.option("checkpointLocation", f"{run.checkpoint}/{name}").trigger(
+        **run.trigger).start()
+
+
+def _own_session(spark: SparkSession, run: Run) -> SparkSession:
+    """A session of the job's own: a query copies its settings when it starts, and those of
+    the caller's session stay as they are."""
+    own = spark.newSession()
+    for name in (*SETTINGS, "spark.sql.shuffle.partitions"):
+        if (value := spark.conf.get(name, None)) is not None:
+            own.conf.set(name, value)
+    if run.partitions:
+        own.conf.set("spark.sql.shuffle.partitions", str(run.partitions))
+    return own
 
 
 def _lines(
     spark: SparkSession, orders: Topic, run: Run, fields: Sequence[str]
 ) -> DataFrame:
-    return parse_orders(orders.stream(spark, run.limit), run.money, fields=fields)
+    """Typed lines. The progress reports of the query carry the number of messages, of those
+    that are no JSON object, and per number field of values that could not be read as one."""
+    messages = orders.stream(_own_session(spark, run), run.limit)
+    wire = wire_lines(messages, fields=fields, malformed="__malformed").observe(
+        "order_input",
+        F.count("*").alias("lines"),
+        F.count("__malformed").alias("malformed"),
+        *[F.count_if(unread).alias(f"unread_{name}")
+          for name, unread in unread_numbers(fields, run.money).items()],
+    )
+    lines = with_types(wire, run.money)
+    return lines.withColumn("timestamp", event_time(F.col("date_"))) if "date_" in fields else lines
 
 
 def start_metrics(
@@ -70,13 +89,14 @@ def start_metrics(
     run: Run,
     names: list[str] | None = None,
 ) -> list[StreamingQuery]:
-    """One query per metric, each publishing its whole table after every batch."""
+    """One query per metric, each publishing its whole table after every batch. Every query
+    reads and parses all messages; `start_metrics_one_pass` does so once."""
     queries = []
     for name in names or list(metrics.METRICS):
         metric = metrics.METRICS[name]
         lines = _lines(spark, orders, run, metric.fields)
         queries.append(_start(
-            metric.compute(lines), "complete", sinks.metric_sink(results, metric), run, name))
+            metric.totals(lines), "complete", sinks.metric_sink(results, metric), run, name))
     return queries
 
 
@@ -91,6 +111,21 @@ def start_metrics_one_pass(
     return [_start(totals, "complete", sinks.one_pass_sink(results), run, "one_pass")]
 
 
+def start_metric_changes(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+) -> StreamingQuery:
+    """All metrics as totals of which each batch stores only the keys that its lines changed.
+
+    What is written grows with the new lines, not with the customers and windows so far. Read
+    it with `sinks.current_totals` and `metrics.pick`, which ranks and divides; batches older
+    than the newest one of each key may be removed or compacted at any time."""
+    totals = metrics.compute_all(_lines(spark, orders, run, metrics.fields_of()))
+    return _start(totals, "update", sinks.rows_sink(path, "key_set"), run, "metric_changes")
+
+
 def start_bounded_trend(
     spark: SparkSession,
     orders: Topic,
@@ -120,7 +155,8 @@ def start_upsert(
     The progress reports of the query carry the number of lines and of lines without a key,
     counted while the batch is written.
     """
-    messages = orders.stream(spark, run.limit).withColumn("position", F.struct(*ARRIVAL))
+    stream = orders.stream(_own_session(spark, run), run.limit)
+    messages = stream.withColumn("position", F.struct(*ARRIVAL))
     lines = wire_lines(messages, ("position",)).observe(
         "upsert_input",
         F.count("*").alias("lines"),
@@ -138,18 +174,21 @@ def start_landing(
     sink_format: str = "parquet",
     options: dict[str, str] | None = None,
 ) -> StreamingQuery:
-    """Every message as a document: its text, its fields and where it came from.
+    """Every message as a document: its text, its fields, whether it is `malformed` (no JSON
+    object) and where it came from.
 
     The file sink of Spark itself commits each message once. `sink_format` and `options`
     address a document store instead, if its connector is on the class path.
     """
-    messages = orders.stream(spark, run.limit).withColumns({
+    messages = orders.stream(_own_session(spark, run), run.limit).withColumns({
         "raw": F.col("value").cast("string"),
         "source": F.struct("topic", *ARRIVAL),
     })
-    documents = parse_orders(messages, run.money, keep=("raw", "source")).withColumn(
-        "ingested_at", F.current_timestamp()
-    )
+    documents = parse_orders(
+        messages, run.money, keep=("raw", "source"), malformed="malformed").withColumns({
+        "malformed": F.col("malformed").isNotNull(), "ingested_at": F.current_timestamp(),
+    }).observe("landed", F.count("*").alias("messages"),
+               F.count_if("malformed").alias("malformed"))
     return (
         documents.writeStream.outputMode("append").queryName("land_orders")
         .format(sink_format)
@@ -167,21 +206,17 @@ def start_feed(
     run: Run,
     schema: T.StructType,
     order: list[str] | None = None,
-) -> list[StreamingQuery]:
+) -> StreamingQuery:
     """The live feed of result messages: `feed` takes every message with a metric, `errors`
     the error messages, and `recent` holds the last messages of every metric. Messages with
     neither metric nor error are left out. `order` tells which messages are the last ones;
-    by default the order of arrival."""
-    rows = readside.feed_rows(results.stream(spark, run.limit), schema)
-    feed = rows.where(~readside.is_error() & readside.has_metric())
-    return [
-        _start(feed, "append", sinks.rows_sink(f"{path}/feed"), run, "feed"),
-        _start(rows.where(readside.is_error()), "append", sinks.rows_sink(f"{path}/errors"),
-               run, "feed_errors"),
-        _start(feed, "append",
-               sinks.recent_sink(f"{path}/recent", "metric", order or ["position"]),
-               run, "feed_recent"),
-    ]
+    by default the order of arrival. One query reads the topic and writes all three."""
+    rows = readside.feed_rows(results.stream(_own_session(spark, run), run.limit), schema)
+    rows = rows.observe(
+        "feed_input", F.count("*").alias("messages"),
+        F.count_if(readside.is_error()).alias("errors"),
+        F.count_if(~readside.has_metric() & ~readside.is_error()).alias("without_metric"))
+    return _start(rows, "append", sinks.feed_sink(path, order or ["position"]), run, "feed")
 
 
 def finish(queries: list[StreamingQuery]) -> None:
@@ -190,6 +225,14 @@ def finish(queries: list[StreamingQuery]) -> None:
         query.awaitTermination()
 
 
-def run_until_any_ends(spark: SparkSession) -> None:
-    """Keep live queries running; the first one that ends or fails ends the job."""
-    spark.streams.awaitAnyTermination()
+def run_until_any_ends(spark: SparkSession, queries: list[StreamingQuery]) -> None:
+    """Keep live queries running; when the first one ends or fails, so does the job."""
+    try:
+        while all(query.isActive for query in queries):
+            queries[0].awaitTermination(1)
+    finally:
+        for query in queries:
+            query.stop()
+    for query in queries:
+        if query.exception() is not None:
+            raise query.exception()

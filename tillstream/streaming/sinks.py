@@ -1,117 +1,231 @@
 """What a streaming job does with each micro-batch.
 
-Every sink writes a batch under its batch number and replaces what is there, so a batch that
-runs again after a failure leaves its rows once. An error fails the batch; nothing is skipped.
+Every sink writes a batch under the id of its query and its batch number. The id belongs to the
+checkpoint: a restarted job goes on under it, and a job with a new checkpoint gets a new one and
+never meets the folders of another. A batch that runs again replaces its own rows, so it leaves
+them once. An error fails the batch; nothing is skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstream.operators import keyed, metrics, recent
-from tillstream.sources.topics import Topic
+from tillstream.operators import keyed, metrics, readside, recent
+from tillstream.sources.topics import Topic, exists, note_snapshot, snapshots
 
 BatchWriter = Callable[[DataFrame, int], None]
 
-COMPACTED = -1
+COMPACTED = "compacted"
 
 
-def publish_metrics(topic: Topic, rows_by_metric: dict[str, DataFrame], epoch_id: int) -> None:
-    """Metric tables to the result topic as one snapshot, in one write."""
-    topic.replace(metrics.result_messages(rows_by_metric, epoch_id))
+def run_id(batch: DataFrame) -> str:
+    """The id of the query a batch belongs to, which its checkpoint keeps over restarts."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+
+
+def publish_metrics(
+    topic: Topic, rows_by_metric: dict[str, DataFrame], epoch_id: int, run: str = "batch"
+) -> None:
+    """Metric tables to the result topic as one snapshot, in one write. A snapshot that is
+    noted as published is not written again: its files may have been read already."""
+    spark = next(iter(rows_by_metric.values())).sparkSession
+    noted = snapshots(topic, spark, run)
+    if noted is not None and not noted.where(
+            (F.col("epoch_id") >= epoch_id) & F.col("metric").isin(list(rows_by_metric))).isEmpty():
+        return
+    messages = metrics.result_messages(rows_by_metric, epoch_id, run)
+    # Small tables become one file each, large ones files of the advised size.
+    topic.replace(messages.hint("rebalance", "metric"))
+    note_snapshot(topic, spark, list(rows_by_metric), run, epoch_id)
 
 
 def _snapshot_sink(topic: Topic, split: Callable[[DataFrame], dict[str, DataFrame]]) -> BatchWriter:
     def write(snapshot: DataFrame, epoch_id: int) -> None:
+        run = run_id(snapshot)
         # Kept while it is looked at, written and split, so the state is read only once.
-        snapshot.persist()
+        kept = snapshot.persist()
         try:
-            if not snapshot.isEmpty():
-                publish_metrics(topic, split(snapshot), epoch_id)
+            if not kept.isEmpty():
+                publish_metrics(topic, split(kept), epoch_id, run)
         finally:
-            snapshot.unpersist()
+            kept.unpersist()
 
     return write
 
 
 def metric_sink(topic: Topic, metric: metrics.Metric) -> BatchWriter:
-    """Snapshots of one metric; an empty one is not published."""
-    return _snapshot_sink(topic, lambda snapshot: {metric.name: snapshot})
+    """Snapshots of one metric from its totals; an empty one is not published."""
+    return _snapshot_sink(topic, lambda totals: {metric.name: metric.finish(totals)})
 
 
-def one_pass_sink(topic: Topic) -> BatchWriter:
+def one_pass_sink(topic: Topic, wanted: tuple[metrics.Metric, ...] = metrics.ALL) -> BatchWriter:
     """Snapshots of `compute_all`, published as the metrics they contain."""
     return _snapshot_sink(
-        topic, lambda totals: {m.name: metrics.pick(totals, m) for m in metrics.ALL}
+        topic, lambda totals: {m.name: metrics.pick(totals, m) for m in wanted}
     )
 
 
-def rows_sink(path: str) -> BatchWriter:
-    """The rows of each batch in a folder of their own."""
+def rows_sink(path: str, split_by: str | None = None) -> BatchWriter:
+    """The rows of each batch in a folder of their own, `run_id=.../batch_id=...`, with the
+    time they were stored at; below that, if asked, a folder per value of a column."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        rows = batch.withColumn("stored_at", F.current_timestamp())
+        if split_by:
+            rows = rows.hint("rebalance", split_by)
+        writer = rows.write.mode("overwrite")
+        if split_by:
+            writer = writer.partitionBy(split_by)
+        writer.parquet(f"{path}/run_id={run_id(batch)}/batch_id={batch_id}")
 
     return write
 
 
-def upsert_sink(path: str, key: str = "order_id", order_by: list[str] | None = None) -> BatchWriter:
-    """Keyed table as a log of batches, each holding its latest row per key.
+# Changed totals ------------------------------------------------------------------------
+
+def current_totals(spark: SparkSession, path: str) -> DataFrame:
+    """The totals that changed batches (`rows_sink` of `compute_all` in update mode) add up to:
+    of every key the row of its last batch, in the run that stored last."""
+    changes = spark.read.parquet(path)
+    last_run = changes.agg(F.max_by("run_id", "stored_at")).scalar()
+    rows = changes.where(F.col("run_id") == last_run).drop("run_id", "stored_at")
+    return keyed.latest_per_key(rows, ["key_set", "window_start", "key"], ["batch_id"])
+
+
+# The keyed table -----------------------------------------------------------------------
+
+BUCKETS = 16
+
+
+def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def upsert_sink(
+    path: str, key: str = "order_id", order_by: list[str] | None = None, buckets: int = BUCKETS
+) -> BatchWriter:
+    """Keyed table as a log of batches, each holding its latest row per key, split into
+    buckets of keys: who looks for a key opens one bucket.
 
     Expects wire text fields plus `position`, the place of the message in the topic.
     """
-    store = rows_sink(path)
+    store = rows_sink(path, "bucket")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         marked = batch.where(keyed.has_key(key)).withColumn("row_key", F.col(key).cast("string"))
         latest = keyed.latest_per_key(marked, ["row_key"], order_by or ["position"])
-        store(keyed.to_families(latest, key, "position"), batch_id)
+        rows = keyed.to_families(latest, key, "position")
+        store(rows.withColumn("bucket", bucket_of(F.col("row_key"), buckets)), batch_id)
 
     return write
 
 
 def latest_orders(table: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """The keyed table as it stands, from its log of batches: for every key the row that
-    came last, or the row with the highest `order_by` fields."""
+    """The keyed table as it stands, from its log of batches: for every key the row that came
+    last in the topic, whatever run stored it, or the row with the highest `order_by` fields."""
+    rows = table.drop("run_id", "batch_id", "stored_at")
     if order_by is None:
-        return keyed.latest_per_key(table, ["row_key"], ["batch_id", "position"])
+        return keyed.latest_per_key(rows, ["row_key"], ["position"])
     ranks = {f"__{name}": F.col(f"{keyed.FAMILY_OF[name]}.{name}") for name in order_by}
-    ranked = table.withColumns(ranks)
+    ranked = rows.withColumns(ranks)
     return keyed.latest_per_key(ranked, ["row_key"], list(ranks)).drop(*ranks)
 
 
+def lookup_orders(
+    spark: SparkSession, path: str, keys: list[str], order_by: list[str] | None = None,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """The current rows of some keys; only the buckets of these keys are opened."""
+    texts = [F.lit(str(key)) for key in keys]
+    stored = spark.read.parquet(path).where(
+        F.col("bucket").isin([bucket_of(text, buckets) for text in texts])
+        & F.col("row_key").isin(texts))
+    return latest_orders(stored, order_by)
+
+
 def compact_orders(
     spark: SparkSession, path: str, new_path: str, order_by: list[str] | None = None
 ) -> None:
     """Rewrite the log of batches as one batch without outdated rows, in a new folder.
 
-    Run it between two runs of the upsert job and give the job the new folder. The batch is
-    numbered before all others: should the job repeat its last batch, that comes on top and
-    changes nothing. Rows are sorted by key within a file, so a lookup of a key skips most
-    row groups.
+    Run it between two runs of the upsert job and give the job the new folder; positions tell
+    which row is the last one, so a repeated batch changes nothing. Each bucket becomes a file
+    or some, sorted by key, so a lookup skips most row groups. A bucket holds each key once,
+    so no bucket is hot.
     """
-    rows = latest_orders(spark.read.parquet(path), order_by).drop("batch_id")
-    rows.sortWithinPartitions("row_key").write.mode("overwrite").parquet(
-        f"{new_path}/batch_id={COMPACTED}")
+    rows = latest_orders(spark.read.parquet(path), order_by)
+    (
+        rows.withColumn("stored_at", F.current_timestamp())
+        .hint("rebalance", "bucket").sortWithinPartitions("bucket", "row_key")
+        .write.mode("overwrite").partitionBy("bucket")
+        .parquet(f"{new_path}/run_id={COMPACTED}/batch_id=0")
+    )
+
 
+# The feed ------------------------------------------------------------------------------
 
 def recent_sink(
     path: str, key: str, order: list[str], size: int = recent.BUFFER_SIZE
 ) -> BatchWriter:
-    """The last `size` rows per key over all batches so far, a new version per batch.
+    """The last `size` rows per key over all batches and runs so far.
 
-    Each version is made of the one before and the new rows, and holds `size` rows per key.
+    Two versions are kept, in two folders that take turns: the newer one is what counts, and
+    the older one is what a batch that failed half way starts from again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            earlier = batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}")
-            rows = earlier.unionByName(batch)
-        kept = recent.last_per_key(rows, key, order, size)
-        kept.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        spark, run = batch.sparkSession, run_id(batch)
+        versions = recent_versions(spark, path)
+        rows, slot = batch, 0
+        if versions:
+            slot = 1 - versions[0].slot
+            if (versions[0].run_id, versions[0].batch_id) == (run, batch_id):
+                return
+            earlier = spark.read.parquet(f"{path}/slot={versions[0].slot}")
+            rows = earlier.drop("run_id", "batch_id", "stored_at").unionByName(batch)
+        kept = recent.last_per_key(rows, key, order, size).withColumns({
+            "run_id": F.lit(run), "batch_id": F.lit(batch_id).cast("long"),
+            "stored_at": F.current_timestamp()})
+        kept.write.mode("overwrite").parquet(f"{path}/slot={slot}")
+
+    return write
+
+
+def recent_versions(spark: SparkSession, path: str) -> list:
+    """What the folders of `recent_sink` hold, newest first: slot, run_id, batch_id."""
+    slots = [slot for slot in (0, 1) if exists(spark, f"{path}/slot={slot}/_SUCCESS")]
+    if not slots:
+        return []
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/slot={s}" for s in slots])
+    return rows.select("slot", "run_id", "batch_id", "stored_at").distinct().orderBy(
+        F.desc("stored_at")).collect()
+
+
+def recent_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The last rows per key as they stand."""
+    versions = recent_versions(spark, path)
+    if not versions:
+        raise ValueError(f"nothing stored in {path}")
+    return spark.read.parquet(f"{path}/slot={versions[0].slot}").drop(
+        "run_id", "batch_id", "stored_at")
+
+
+def feed_sink(path: str, order: list[str]) -> BatchWriter:
+    """Messages, errors and the last messages per metric, from one reading of a batch."""
+    feed, errors = rows_sink(f"{path}/feed"), rows_sink(f"{path}/errors")
+    last = recent_sink(f"{path}/recent", "metric", order)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            wanted = batch.where(~readside.is_error() & readside.has_metric())
+            feed(wanted, batch_id)
+            errors(batch.where(readside.is_error()), batch_id)
+            last(wanted, batch_id)
+        finally:
+            batch.unpersist()
 
     return write
