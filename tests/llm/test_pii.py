@@ -64,6 +64,12 @@ def test_method_adds_spans_by_checksum_and_context(documents):
     assert spans(documents, "see +1 (017) 555-7713") == [("phone", "+1 (017) 555-7713", 0.7)]
 
 
+def test_dotted_phone_numbers_need_no_hyphen(documents):
+    assert spans(documents, "call 555.123.4567") == [("tel", "555.123.4567", 0.8)]
+    assert spans(documents, "555 123.4567 x") == [("tel", "555 123.4567", 0.5)]
+    assert spans(documents, "a-b, call (555) 123.4567") == [("tel", "(555) 123.4567", 0.8)]
+
+
 def test_context_raises_the_score(documents):
     assert spans(documents, "1.2.3.4") == [("ip", "1.2.3.4", 0.6)]
     assert spans(documents, "server 1.2.3.4") == [("ip", "1.2.3.4", 0.9)]

@@ -17,6 +17,9 @@ overlap. Other columns are left out, so clashing names do no harm; repeated rows
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +43,8 @@ PATTERNS = {
     "tel": r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z.-])",
 }
-# What a text must contain for a pattern to be worth trying.
-MARKS = {"email": "@", "ip": ".", "phone": "+", "tel": "-", "ssn": "-"}
+# Of these signs a text must contain one for a pattern to be worth trying.
+MARKS = {"email": "@", "ip": ".", "phone": "+", "tel": "-.", "ssn": "-"}
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.95, "tel": 0.5,
           "ssn": 0.3}
 CONTEXT = {
@@ -121,8 +124,8 @@ def _spans_of(kind: str, text: Column, min_score: float) -> Column:
         F.size(matches) > 0, F.filter(place(matches), kept)).otherwise(
         F.array().cast(_SPAN)))
     if kind in MARKS:
-        found = F.when(F.contains(text, F.lit(MARKS[kind])), found).otherwise(
-            F.array().cast(_SPAN))
+        marked = [F.contains(text, F.lit(mark)) for mark in MARKS[kind]]
+        found = F.when(reduce(or_, marked), found).otherwise(F.array().cast(_SPAN))
     return found
 
 
