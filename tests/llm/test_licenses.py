@@ -62,6 +62,18 @@ def test_notice_is_found_anywhere_and_more_than_once(documents):
     assert [r.labels for _, r in sorted(scanned(documents, texts).items())] == ["mit"] * 3
 
 
+def test_files_with_several_notices_keep_every_label(documents):
+    notice = [n for _, n, _ in licenses.TEMPLATES]
+    mit, long_mit, apache, bsd, isc = notice[0], notice[1], notice[2], notice[3], notice[9]
+    texts = ["\n".join(x) for x in (
+        (long_mit, apache, bsd), (mit, apache, bsd), (mit, bsd, isc), notice, notice * 20)]
+    texts.append(" filler ".join(notice[::-1]))
+    every = sorted({x for x, _, _ in licenses.TEMPLATES} | {"cc-by", "gpl"})
+    assert [r.labels.split(",") for _, r in sorted(scanned(documents, texts).items())] == [
+        ["apache-2.0", "bsd", "mit"], ["apache-2.0", "bsd", "mit"], ["bsd", "isc", "mit"],
+        every, every, every]
+
+
 def test_rarest_words_are_posted():
     frequencies = {w: 1.0 for w in licenses.licence_words()} | {"mit": 9.0, "released": 8.0, "the": 0.1}
     mit = licenses.index(frequencies)[0]

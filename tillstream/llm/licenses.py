@@ -1,8 +1,9 @@
 """License scans by a positional index of rare words.
 
 Every template is a short notice. Its rarest words, by their document frequency over the whole
-corpus, are posted with their positions. A file's own rarest licence words are looked up among
-the postings; a posting at position q met at word p speaks for the notice standing at p - q.
+corpus, are posted with their positions. Every word of a file is looked up among the postings,
+however many notices the file holds; a posting at position q met at word p speaks for the notice
+standing at p - q.
 Where enough postings agree on a place, the template's mandatory key phrase is checked word by
 word at that place, and the template's label is given with the share of its postings that agree.
 Three base phrases are counted besides, wherever their words stand one after the other. All of it
@@ -59,7 +60,6 @@ TEMPLATES = (
      "free and unencumbered software"),
 )
 RARE_OF_TEMPLATE = 5  # words of a template that are posted
-RARE_OF_FILE = 16  # licence words of a file that are looked up
 MIN_SHARE = 0.5  # of a template's postings must agree on a place
 
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,7 +120,7 @@ def index(frequencies: dict[str, float]) -> list[Posted]:
     return out
 
 
-def _template_score(posted: Posted, words: Column, rare: Column) -> Column:
+def _template_score(posted: Posted, words: Column) -> Column:
     """Share of the template's postings that agree on a place with the key phrase, or 0."""
     total = len(posted.postings)
     need = max(2, math.ceil(MIN_SHARE * total)) if total > 1 else 1
@@ -128,7 +128,7 @@ def _template_score(posted: Posted, words: Column, rare: Column) -> Column:
     posts = {}
     for word, place in posted.postings:
         posts.setdefault(word, []).append(place)
-    met = F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), F.struct(
+    met = F.transform(words, lambda w, i: F.when(w.isin(*posts), F.struct(
         w.alias("w"), i.alias("i"))))
     offsets = F.array_sort(F.flatten(F.transform(F.filter(met, lambda m: m.isNotNull()), lambda m:
         F.coalesce(*[F.when(m["w"] == word, F.array(*[m["i"] - q for q in places]))
@@ -194,15 +194,9 @@ def scan(docs: DataFrame, frequencies: dict[str, float], doc_id: str = "doc_id",
     frame = frame.withColumn("_possible", F.array(*possible))
     frame = frame.withColumn("_words", F.when(
         F.array_contains("_possible", True), _words(F.col("_text"))))
-    ranked = F.create_map(*[F.lit(x) for w, f in frequencies.items() for x in (w, float(f))])
-    own = F.array_intersect("_words", F.array(*[F.lit(w) for w in frequencies]))
-    frame = frame.withColumn("_rare", F.when(F.col("_words").isNotNull(), F.transform(
-        F.slice(F.sort_array(F.transform(own, lambda w: F.struct(
-            (-F.element_at(ranked, w)).alias("f"), w.alias("w")))), 1, RARE_OF_FILE),
-        lambda s: s["w"])))
     found = [F.when(F.get("_possible", F.lit(i)), F.struct(
         F.lit(t.label).alias("label"),
-        _template_score(t, F.col("_words"), F.col("_rare")).alias("score")))
+        _template_score(t, F.col("_words")).alias("score")))
         for i, t in enumerate(posted)]
     frame = frame.withColumn("_found", F.filter(
         F.array(*found), lambda x: x.isNotNull() & (x["score"] > 0)))
