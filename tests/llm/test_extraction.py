@@ -26,6 +26,21 @@ def test_blocks_of_broken_pages():
     assert texts("<!-- a --><p>b<!-- c -->d</p><!-- open <p>e") == ["bd"]
 
 
+def test_a_head_without_end_tag_hides_nothing():
+    head = "<html><head><meta charset=x><title>T</title><style>p{}</style>"
+    for body in ("<body><p>a<p>b</body></html>", "<p>a<p>b", "<div>a</div>b", "a<p>b", "\n a <p>b",
+                 "<noscript><img src=x>no</noscript><template><p>no</template><body><p>a<p>b"):
+        assert texts(head + body) == texts(head + "</head>" + body) == ["a", "b"], body
+    assert X.main_text(X.trained(), PAGE.replace("</head>", "")) == X.main_text(X.trained(), PAGE)
+    assert [b.path for b in X.blocks(head + "<body><p>a")] == [
+        b.path for b in X.blocks(head + "</head><body><p>a")]
+
+
+def test_the_copyright_word_counts_anywhere_in_a_block():
+    block = X.blocks("<p>" + "some more words here " * 30 + "Copyright of us</p>")[0]
+    assert "sign:copyright" in X.text_features(block)
+
+
 def test_ancestors_and_links():
     block = X.blocks('<div class="side-bar Main"><p id=x>ab <a href=y>cd</a></p></div>')[0]
     assert block.path == (("div", ("side", "bar", "main")), ("p", ("x",)))

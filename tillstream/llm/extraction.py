@@ -11,7 +11,8 @@ parts are known as they are put together. Their number is a parameter, nothing i
 Results: NULL and empty pages have an empty text. White space in a block becomes one space,
 blocks are trimmed, empty ones left out, and main blocks joined by line ends in page order.
 Character references are decoded. Scripts, styles, titles, controls and comments are no blocks.
-Unclosed and misnested tags are tolerated as browsers do for the common cases. Other columns are
+Unclosed and misnested tags are tolerated as browsers do for the common cases; a head without its
+end tag ends before the first tag or text that cannot stand in it. Other columns are
 left out, so clashing names do no harm; repeated rows give repeated results.
 """
 
@@ -39,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head template noscript svg math object select button audio video canvas "
                    "datalist dialog".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style "
+                    "template title".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main menu "
                   "nav ol p pre search section summary table caption thead tbody tfoot tr td th "
@@ -110,6 +113,11 @@ def blocks(html: str | None) -> list[BlockOfText]:
             links -= tag == "a"
         del path[depth:]
 
+    def leave_head() -> None:
+        """Closes a head that is still open before what cannot stand in it."""
+        if path and path[-1][0] == "head":
+            close(len(path) - 1)
+
     def innermost(tags, scope=frozenset()) -> int:
         for i in range(len(path) - 1, -1, -1):
             if path[i][0] in tags:
@@ -120,7 +128,10 @@ def blocks(html: str | None) -> list[BlockOfText]:
 
     position = 0
     while (tag := _TAG.search(html, position)) is not None:
-        add(html[place:tag.start()])
+        if text := html[place:tag.start()]:
+            if text.strip():
+                leave_head()
+            add(text)
         place = position = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         if not name:
@@ -134,6 +145,8 @@ def blocks(html: str | None) -> list[BlockOfText]:
                 close(at)
             continue
         attributes = tag[3] if tag[2] else tag[6] or ""
+        if name not in IN_HEAD:
+            leave_head()
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, position)
             place = position = end.end() if end else len(html)
@@ -151,6 +164,8 @@ def blocks(html: str | None) -> list[BlockOfText]:
             path.append((name, _names(attributes) if "=" in attributes else ()))
             hidden += name in HIDDEN
             links += name == "a"
+    if html[place:].strip():
+        leave_head()
     add(html[place:])
     flush()
     return found
@@ -200,7 +215,7 @@ def text_features(block: BlockOfText) -> tuple[str, ...]:
     out = [f"words:{min(words.bit_length(), 7)}",
            f"links:{0 if density == 0 else 1 if density < 0.3 else 2 if density < 0.8 else 3}",
            f"ends:{bool(_SIGNS.search(text))}"]
-    if "©" in text or "copyright" in text[:200].lower():
+    if "©" in text or "copyright" in text.lower():
         out.append("sign:copyright")
     if words <= 12:
         hints = {_HINT[w] for w in re.findall(r"[a-z]+", text.lower()) if w in _HINT}
