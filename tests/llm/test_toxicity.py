@@ -61,6 +61,26 @@ def test_spelled_and_long_words():
     assert T.chunks("a.b-c!") == ["<a.b-c>", "<abc>"]
 
 
+def test_all_letters_of_the_sample_count(monkeypatch):
+    """A second script in a tenth of the documents, in a dense table and by searching."""
+    data = rows()
+    move = {ord(c): chr(0x430 + i) for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
+    accents = "".join(chr(c) for c in range(0xe0, 0x180) if chr(c).islower())
+    others = [accents[i:i + 12] for i in range(0, 84, 12)]
+    others += [w[::-1] for w in others]
+    words = [[sorted({*T.words_of(t if i % 10 else t.translate(move)), *(() if kind else others)})
+              for i, (_, t, y) in enumerate(data) if y == kind] for kind in (1, 0)]
+    for dense in (T.DENSE, 64 ** 3, 1 << 30):
+        monkeypatch.setattr(T, "DENSE", dense)
+        model = T.train(*words)
+        assert model.alphabet.base > T.LETTERS and len(model.alphabet.letters) < model.alphabet.base
+        clean = model.decide([w.translate(move) for w in CLEAN] + CLEAN)
+        found = model.decide([w.translate(move) for w in BAD] + BAD)
+        assert found.min() > clean.max() + 0.25
+        first = found if dense == 1 << 21 else first
+        assert np.allclose(found, first)
+
+
 def test_gapped_and_inserted_letters_are_tolerated():
     data = rows()
     words = [[sorted(set(T.words_of(t))) for _, t, y in data if y == kind] for kind in (1, 0)]

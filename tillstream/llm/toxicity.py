@@ -50,7 +50,8 @@ CERTAIN = 2.0  # values beyond twice the machine's margin say no more
 DISGUISED_SHARE = 0.08  # of toxic documents hold a word that is learned in disguises as well
 SEED = 7
 CACHE_WORDS = 150_000
-LETTERS = 64  # kinds of letters told apart; others only widen gaps
+LETTERS = 64  # least number that letters are coded by; more letters raise it
+DENSE = 1 << 21  # triple codes up to this number are looked up in a dense table
 
 TOP = 5  # strongest distinct words that decide about a document
 EDGES = "<>"  # stand for the start and the end of a word, and count as letters
@@ -84,8 +85,11 @@ def _triples(length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Alphabet:
+    """All letters told apart; others, which stand in no labelled document, only widen gaps."""
+
     def __init__(self, letters: str):
-        self.letters = letters[:LETTERS - 1]
+        self.letters = letters
+        self.base = max(LETTERS, len(letters) + 1)
         self._table = None
 
     @property
@@ -97,7 +101,7 @@ class Alphabet:
         return self._table
 
     def __getstate__(self):
-        return {"letters": self.letters, "_table": None}
+        return {"letters": self.letters, "base": self.base, "_table": None}
 
     def features(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For words of one length at a time: their places, triple codes and normed weights.
@@ -118,7 +122,7 @@ class Alphabet:
                 codes = self.table[np.frombuffer("".join(words[i] for i in chosen).encode(
                     "utf-32-le", "surrogatepass"), np.uint32)].reshape(len(chosen), length)
                 three = codes[:, at]
-                code = (three[:, :, 0] * LETTERS + three[:, :, 1]) * LETTERS + three[:, :, 2]
+                code = (three[:, :, 0] * self.base + three[:, :, 1]) * self.base + three[:, :, 2]
                 weight = np.where((three > 0).all(2), weights[None, :], 0.0)
                 order = np.argsort(code, axis=1, kind="stable")
                 code = np.take_along_axis(code, order, 1)
@@ -134,6 +138,27 @@ class Alphabet:
                 yield np.array(chosen), code, weight / np.where(norm > 0, norm, 1)
 
 
+class Triples:
+    """Values by triple code, 0 for other codes: a dense table while codes are few, and a search
+    in the sorted codes otherwise."""
+
+    def __init__(self, codes: np.ndarray, values: np.ndarray, base: int):
+        self.codes = self.values = None
+        if base ** 3 <= DENSE:
+            self.values = np.zeros(base ** 3, values.dtype)
+            self.values[codes] = values
+        else:
+            self.codes, self.values = codes, values
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        if self.codes is None:
+            return self.values[code]
+        if not len(self.codes):
+            return np.zeros(code.shape, self.values.dtype)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.values[at], 0)
+
+
 def chunks(word: str) -> list[str]:
     """The forms a word is looked at in: as it stands, and its letters alone where other signs
     stand between them; long forms in overlapping chunks."""
@@ -162,7 +187,7 @@ def disguised(word: str, pick: random.Random) -> list[str]:
 @dataclass
 class Model:
     alphabet: Alphabet
-    triples: np.ndarray  # the machine's weight of each triple
+    triples: Triples  # the machine's weight of each triple
     bias: float
     curves: np.ndarray  # of two logistic curves: a weight per document feature, and a constant
 
@@ -230,7 +255,7 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
                 if letter.isalnum():
                     letters[letter] += n
     alphabet = Alphabet(EDGES + "".join(l for l, _ in sorted(
-        letters.items(), key=lambda x: (-x[1], x[0]))[:LETTERS - 1 - len(EDGES)]))
+        letters.items(), key=lambda x: (-x[1], x[0]))))
     vocabulary = sorted(set(in_toxic) | set(in_clean))
     rate = {}
     for word in vocabulary:
@@ -253,8 +278,8 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
              for place, codes, weights in zip(places, code, weight)]
     seen = np.unique(np.concatenate([codes[weights > 0] for _, codes, weights in found]
                                     or [np.zeros(0, np.int64)]))
-    row = np.zeros(LETTERS ** 3, np.int64)  # row 0 is that of triples no landmark has
-    row[seen] = np.arange(len(seen)) + 1
+    # Row 0 is that of triples no landmark has.
+    row = Triples(seen, np.arange(len(seen)) + 1, alphabet.base)
     table = np.zeros((len(seen) + 1, len(marks)))
     for place, codes, weights in found:
         table[row[codes], place] += weights
@@ -277,7 +302,8 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
 
     often = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     negative = dict.fromkeys(often[:8000])
-    model = Model(alphabet, np.zeros(LETTERS ** 3), -1.0, np.zeros((2, TOP + 1)))
+    model = Model(alphabet, Triples(seen, np.zeros(len(seen)), alphabet.base), -1.0,
+                  np.zeros((2, TOP + 1)))
     for round_ in range(ROUNDS):
         positive: Counter = Counter()
         for words in witness:
@@ -301,8 +327,7 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
         weight[side] *= len(weight) / (2 * max(weight[side].sum(), 1e-9))
         weight[~side] *= len(weight) / (2 * max(weight[~side].sum(), 1e-9))
         w = _newton(mapped(words), target, weight, "svm", 1 / COST)
-        triples = np.zeros(LETTERS ** 3)
-        triples[seen] = table[1:] @ (whiten @ w[:-1])
+        triples = Triples(seen, table[1:] @ (whiten @ w[:-1]), alphabet.base)
         model = Model(alphabet, triples, float(w[-1]), np.zeros((2, TOP + 1)))
         if round_ + 1 < ROUNDS:
             known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
