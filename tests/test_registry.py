@@ -1,4 +1,5 @@
-"""Every registered query against its SQL, on the smallest data set."""
+"""Every query of the core against its SQL, on the smallest data set. Those of the optional part
+are tested with it."""
 
 import math
 from decimal import Decimal
@@ -7,12 +8,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from tillstream.plans import oracle, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = registry.all_queries()
+SQL = oracle.all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +50,10 @@ def test_query_equals_sql(spark, duck, name):
         columns, expected.fetchall())
 
 
+def test_entry_points_hold_every_query():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(SQL) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_points.entry(spark).count() > 0
