@@ -1,0 +1,115 @@
+"""Measures against plain counting; the model against direct computation and labels."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tillstream.llm import common, quality, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute(text):
+    text = text or ""
+    words = [w for w in re.split("[ \t-\r]+", text) if w]
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+    lines = text.split("\n")
+    dups = sum(bool(re.search("[^ \t-\r]", line)) and line in lines[:i]
+               for i, line in enumerate(lines))
+    return {"n_words": len(words), "word_chars": sum(map(len, words)),
+            "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dups,
+            "n_repeat_words": len(inside), "base_failed": (
+                len(words) < 50 or 100 * len(inside) > 50 * len(words))}
+
+
+def test_measures_equal_brute_force():
+    rng = random.Random(1)
+    texts = [None, "", " \n\t", "a", "a b", "a b c a b c", "x " * 500, "a\x0bb\x85c\xa0d e\x1ff",
+             "one\ntwo\none\n one\n\n\n", "a b a b a b a b", "é ß\r\n日本 😀 | #*$%&<>"]
+    texts += ["".join(rng.choice("ab c\n#é") for _ in range(rng.randint(0, 300)))
+              for _ in range(300)]
+    for text in texts:
+        found = dict(zip(quality.MEASURES, quality.measure(None if text is None else text.encode())))
+        expected = brute(text)
+        assert {k: found[k] for k in expected if k in found} == {
+            k: v for k, v in expected.items() if k in found}, text
+
+
+def test_repeated_words_of_many_different_ones():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(3000)}".encode() for _ in range(20_000)]
+    words += words[100:4000]
+    seen = {}
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i:i + 3]), []).append(i)
+    inside = {i + k for places in seen.values() if len(places) > 1 for i in places for k in range(3)}
+    assert quality._repeated(words) == len(inside)
+
+
+def test_judge_on_odd_rows(spark, clashing):
+    rows = {(r.doc_id, r.n_words): r for r in quality.judge(clashing).collect()}
+    assert quality.judge(clashing).count() == clashing.count()
+    for source in clashing.select("doc_id", "text").collect():
+        expected = brute(source.text if len(source.text or "") < 1000 else None)
+        if len(source.text or "") < 1000:
+            row = rows[source.doc_id, expected["n_words"]]
+            assert row.base_failed and not row.kept
+    kept = quality.keep_good(clashing)
+    assert kept.columns == clashing.columns
+    assert quality.judge(clashing.limit(0)).collect() == []
+    assert quality.keep_good(clashing.limit(0)).collect() == []
+
+
+def test_model_finds_accuracies_of_simulated_rules():
+    rng = np.random.default_rng(4)
+    right, counts = [0.95, 0.9, 0.8, 0.7, 0.9, 0.6], {}
+    for _ in range(30_000):
+        truth = rng.random() < 0.75
+        pattern = "".join(
+            "0" if rng.random() < 0.3 else "-+"[int(truth if rng.random() < r else not truth)]
+            for r in right)
+        counts[pattern] = counts.get(pattern, 0) + 1
+    model = quality.estimate(counts, len(right))
+    assert model.good == pytest.approx(0.75, abs=0.02)
+    assert model.right == pytest.approx(right, abs=0.03)
+    assert quality.estimate({}, 2) == quality.Model(0.7, (0.8, 0.8))
+
+
+def test_posterior_equals_the_product_of_votes(spark):
+    docs = common.table(spark, SF, "documents")
+    measured = quality.signals(docs).cache()
+    model = quality.fit(measured)
+    scored = quality.posterior(measured, model).withColumn("one", F.lit(1)).select(
+        "score", quality._pattern(quality.RULES).alias("p")).distinct().collect()
+    assert len(scored) > 5
+    for row in scored:
+        good, bad = model.good, 1 - model.good
+        for sign, right in zip(row.p, model.right):
+            good *= {"+": right, "-": 1 - right, "0": 1}[sign]
+            bad *= {"+": 1 - right, "-": right, "0": 1}[sign]
+        assert row.score == pytest.approx(good / (good + bad), rel=1e-9)
+    assert sum(quality.patterns(measured).toPandas().n) == docs.count()
+
+
+def test_whole_table_against_labels_it_never_saw(spark):
+    judged = queries.op13_quality(spark, SF)
+    rows = judged.join(common.table(spark, SF, "labels"), "doc_id").where(
+        ~F.col("base_failed")).groupBy("quality", "kept").count().collect()
+    count = {(r["quality"], r.kept): r["count"] for r in rows}
+    assert count.get((1, False), 0) <= 0.01 * count[1, True]
+    assert count.get((0, True), 0) <= 0.1 * count[0, False]
+
+
+def test_one_missed_rule_does_not_drop_a_text(spark, documents):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    good = [" ".join(word() for _ in range(150)) for _ in range(40)]
+    junk = [" ".join(word() + "###" for _ in range(150)) for _ in range(8)]
+    loud = good[0].upper()
+    table = documents(*enumerate([*good, *junk, loud]))
+    kept = {r.doc_id for r in quality.judge(table).where("kept").collect()}
+    assert kept == set(range(40)) | {48}

@@ -1,0 +1,113 @@
+"""Spelling variants against plain edit distances and plain counting."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+
+from tillstream.llm import variants
+
+
+def edit_one(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    if len(a) > len(b):
+        a, b = b, a
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def brute_counts(rows):
+    found = Counter()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for doc, text, *_ in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            if h % 199 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            found[run] += 1
+    return {w: n for w, n in found.items() if len(w) >= 6}
+
+
+def brute_groups(counts):
+    rows = {}
+    for word, n in counts.items():
+        near = [(-m, w) for w, m in counts.items() if edit_one(word, w)]
+        form = min(near)[1] if near and -min(near)[0] >= 5 * n else None
+        rows[word] = (form, n, len(near), counts[form] if form else None)
+
+    def root(word):
+        return root(rows[word][0]) if rows[word][0] else word
+
+    return sorted((w, f, root(w), n, k, m) for w, (f, n, k, m) in rows.items())
+
+
+def grouped(table):
+    return sorted(tuple(r) for r in table.select(
+        "word", "form", "root", "n", "n_near", "form_n").collect())
+
+
+def edits_of(rng, word, letters="abcdeäß"):
+    at = rng.randrange(len(word) + 1)
+    kind = rng.randrange(3)
+    return word[:at] + ("" if kind == 1 else rng.choice(letters)) + word[at + (kind > 0):]
+
+
+@pytest.mark.parametrize("hot", [1000, 3, 0])
+def test_groups_equal_brute_force(spark, hot):
+    rng = random.Random(hot)
+    words = {}
+    for _ in range(60):
+        word = "".join(rng.choice("abcdeä") for _ in range(rng.randint(6, 9)))
+        for _ in range(8):
+            words[word] = rng.choice((5, 6, 30, 31, 200, 1200, 1200, 9000))
+            word = edits_of(rng, word)
+            if len(word) < 6:
+                break
+    # Anagrams, one letter repeated, words longer than any hash window, and equal counts.
+    words |= {"abcdef": 50, "fedcba": 50, "abcdeg": 10, "aaaaaa": 7, "aaaaaaa": 7, "aaaaaaaa": 99,
+              "x" * 300: 5, "x" * 301: 25, "x" * 150 + "y" + "x" * 150: 6, "éééééé": 5}
+    table = spark.createDataFrame(list(words.items()), "word string, n long").repartition(3)
+    assert grouped(variants.group(table, hot=hot)) == brute_groups(words)
+
+
+def test_signatures_meet_for_every_edit():
+    rng = random.Random(3)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcé") for _ in range(rng.randint(6, 12)))
+        other = edits_of(rng, word, "abcdé")
+        if not edit_one(word, other):
+            continue
+        long, short = sorted((word, other), key=len, reverse=True)
+        k = variants.SIGNATURES
+        mine = variants.signatures(long)[:k]
+        theirs = variants.signatures(short)
+        assert set(mine) & set(theirs[:k] if len(long) == len(short) else theirs[k:])
+        gaps = set(variants.gaps(long, False).tolist())
+        assert gaps & set(variants.gaps(short, len(long) > len(short)).tolist())
+
+
+def test_counts_equal_brute_force_on_odd_rows(spark, clashing, odd_documents):
+    rows = [tuple(r) for r in odd_documents.collect()]
+    found = {r.word: r.n for r in variants.word_counts(clashing).collect()}
+    assert found == brute_counts(rows)
+
+
+def test_misspellings_and_flushes(spark, documents, monkeypatch):
+    monkeypatch.setattr(variants, "COUNT_FLUSH", 10)
+    text = "Straße ÉCOLE ÀÉÎÕÜ× Apples oranges Bananas_cherry x1grapes2 don't"
+    rows = [(i, text) for i in range(1500)]
+    found = {r.word: r.n for r in variants.word_counts(documents(*rows)).collect()}
+    assert found == brute_counts(rows)
+    assert sum(n < 30 for n in found.values()) > 5  # some occurrences lost a letter
+    expected = {w: n for w, n in brute_counts(rows).items() if n >= 5}
+    assert grouped(variants.variants(documents(*rows))) == brute_groups(expected)
+
+
+def test_empty_table_and_no_words(spark, documents):
+    assert variants.variants(documents()).collect() == []
+    assert variants.variants(documents((1, "a b c"), (2, None))).collect() == []

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillstream.llm import (
-    bpe, common, contamination, extraction, langid, licenses, line_dedup, pii, simhash, toxicity,
-    winnowing)
+    alignment, bpe, common, contamination, extraction, langid, licenses, line_dedup, pii, quality,
+    simhash, toxicity, variants, winnowing)
 
 HELD_OUT_LANGUAGE = 4  # documents whose crc32 is 2 modulo this are not learned from
 HELD_OUT_TOXIC = 5  # every document whose crc32 is 0 modulo this is not learned from
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return alignment.compare(docs, alignment.load(
+        docs, tokenizer_path(), tokenizer_path("piece_bpe_32k.model")))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(common.table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(common.table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_language": op2_language,
@@ -88,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_variants": op12_variants,
+    "op13_quality": op13_quality,
 }
 
 SQL: dict[str, str] = {
