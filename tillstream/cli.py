@@ -5,7 +5,14 @@
     metrics   order topic -> result topic
     changes   order topic -> table of changed totals
     store     order topic -> keyed table
+    best      order topic -> top lists, kept up incrementally
+    trend     order topic -> sales trend, late lines apart
+    correct-trend   late lines -> their windows of the trend
+    check     order topic -> kept and rejected messages, with reasons
+    sketch    result topic -> sketches of the customers' mean order values
     compact   keyed table -> keyed table without outdated rows
+    compact-totals  changed totals -> current totals
+    create-table    keyed table -> catalog table that SQL can query
     land      order topic -> documents
     feed      result topic -> feed, errors and recent messages
     export    result topic -> CSV
@@ -24,6 +31,7 @@ from urllib.parse import urlparse
 from pyspark.sql import SparkSession
 
 from tillstream.operators import readside
+from tillstream.operators.metrics import METRICS
 from tillstream.operators.prepare import prepare
 from tillstream.schema import EXACT_MONEY, RESULT_SCHEMA
 from tillstream.session import build_session
@@ -73,10 +81,20 @@ def _parser() -> argparse.ArgumentParser:
     command("metrics", "orders", "results", streaming=True).add_argument(
         "--per-metric", action="store_true", help="a query per metric instead of one for all")
     command("changes", "orders", "path", streaming=True)
+    for name in ("best", "check"):
+        command(name, "orders", "path", streaming=True)
+    command("trend", "orders", "path", streaming=True).add_argument(
+        "--lateness", default="1 day", help="how long windows stay open")
+    command("sketch", "results", "path", streaming=True)
+    command("correct-trend", "path")
     command("compact", "table", "out")
+    command("compact-totals", "path", "out")
+    command("create-table", "table", "name")
     command("store", "orders", "table", streaming=True).add_argument("--key", default="order_id")
-    command("land", "orders", "path", streaming=True)
-    command("feed", "results", "path", streaming=True)
+    command("land", "orders", "path", streaming=True).add_argument(
+        "--variant", action="store_true", help="documents of any shape, read by path")
+    command("feed", "results", "path", streaming=True).add_argument(
+        "--repeats-within", default="1 day", help="how long to remember messages, to take each once")
     command("export", "results", "out")
     return parser
 
@@ -96,12 +114,18 @@ def main(arguments: list[str] | None = None) -> None:
         _topic(options.orders).append(rows.select(payload.alias("value")))
     elif options.command == "compact":
         sinks.compact_orders(spark, options.table, options.out)
+    elif options.command == "correct-trend":
+        sinks.restate_trend(spark, options.path, METRICS["sales_trend"])
+    elif options.command == "compact-totals":
+        sinks.compact_totals(spark, options.path, options.out)
+    elif options.command == "create-table":
+        sinks.create_orders_table(spark, options.name, options.table)
     else:
         topic = _topic(options.results, results=True)
         messages = topic.replay(spark)
-        rows = (readside.all_result_rows(messages) if isinstance(topic, FolderTopic)
-                else readside.without_repeats(messages))
-        write_csv(readside.flat_results(rows), options.out)
+        if not isinstance(topic, FolderTopic):  # a broker keeps what was sent twice
+            messages = readside.unrepeated(messages)
+        write_csv(readside.flat_results(readside.all_result_rows(messages)), options.out)
 
 
 def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
@@ -110,9 +134,13 @@ def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
         options.limit, options.partitions)
     if options.exact_money:
         run = replace(run, money=EXACT_MONEY)
-    if options.command == "feed":
+    if options.command == "sketch":
         results = _topic(options.results, True, options.starting, options.source_option)
-        queries = [jobs.start_feed(spark, results, options.path, run, RESULT_SCHEMA)]
+        queries = [jobs.start_sketches(spark, results, options.path, run)]
+    elif options.command == "feed":
+        results = _topic(options.results, True, options.starting, options.source_option)
+        queries = [jobs.start_feed(spark, results, options.path, run, RESULT_SCHEMA,
+                                   repeats_within=options.repeats_within)]
     else:
         orders = _topic(options.orders, False, options.starting, options.source_option)
         if options.command == "metrics":
@@ -123,12 +151,28 @@ def _stream(spark: SparkSession, options: argparse.Namespace) -> None:
             queries = [jobs.start_metric_changes(spark, orders, options.path, run)]
         elif options.command == "store":
             queries = [jobs.start_upsert(spark, orders, options.table, run, options.key)]
+        elif options.command == "best":
+            queries = [jobs.start_best(spark, orders, f"{options.path}/{name}", run, name)
+                       for name, metric in METRICS.items() if metric.top_by]
+        elif options.command == "trend":
+            queries = [jobs.start_trend(spark, orders, options.path, run, options.lateness)]
+        elif options.command == "check":
+            queries = [jobs.start_checked(spark, orders, options.path, run)]
         else:
-            queries = [jobs.start_landing(spark, orders, options.path, run)]
+            land = jobs.start_variant_landing if options.variant else jobs.start_landing
+            queries = [land(spark, orders, options.path, run)]
+    # Folders of totals, whose readers take those of the run that has caught up.
+    totals = []
+    if options.command == "changes":
+        totals = [options.path]
+    elif options.command == "best":
+        totals = [f"{options.path}/{query.name}/totals" for query in queries]
     if options.live:
-        jobs.run_until_any_ends(spark, queries)
-    else:
-        jobs.finish(queries)
+        jobs.run_until_any_ends(spark, queries, totals)
+        return
+    jobs.finish(queries)
+    for query, path in zip(queries, totals):
+        jobs.finish_changes(spark, query, path)
 
 
 if __name__ == "__main__":

@@ -56,17 +56,35 @@ def upsert(lines: DataFrame, key: str = "order_id", order: list[str] | None = No
     return to_families(latest, key)
 
 
-def create_keyed_table(spark: SparkSession, name: str, path: str) -> None:
-    """Register the keyed table over the folder the upsert job writes: a view with one current
-    row per key, the one that came last in the topic. The folder is looked at anew whenever the
-    view is read, so new batches are there at once; no effect if the view is there."""
-    families = ", ".join(
+def _families_ddl() -> str:
+    return ", ".join(
         f"{wanted} STRUCT<" + ", ".join(
             f"{field}: STRING" for field, _, family in ORDER_FIELDS if family == wanted
         ) + ">"
         for wanted in FAMILIES
     )
-    layout = (f"row_key STRING, {families}, position STRUCT<timestamp: TIMESTAMP, "
+
+
+def create_lookup(spark: SparkSession, name: str, path: str, buckets: int) -> None:
+    """Register `name(key)`, a table function that gives the current row of one key. The key's
+    bucket follows from the key alone, so only that bucket's folders are opened; a filter on the
+    table of `create_keyed_table` would read all of them."""
+    names = ", ".join(FAMILIES)
+    spark.sql(
+        f"CREATE OR REPLACE FUNCTION {name}(wanted STRING) RETURNS TABLE(row_key STRING, "
+        f"{_families_ddl()}) RETURN SELECT row_key, "
+        + ", ".join(f"newest.{family}" for family in FAMILIES)
+        + f" FROM (SELECT row_key, max(struct(position, {names})) AS newest FROM parquet.`{path}` "
+        f"WHERE bucket = CAST(pmod(xxhash64(wanted), {buckets}) AS INT) AND row_key = wanted "
+        "GROUP BY row_key)"
+    )
+
+
+def create_keyed_table(spark: SparkSession, name: str, path: str) -> None:
+    """Register the keyed table over the folder the upsert job writes: a view with one current
+    row per key, the one that came last in the topic. The folder is looked at anew whenever the
+    view is read, so new batches are there at once; no effect if the view is there."""
+    layout = (f"row_key STRING, {_families_ddl()}, position STRUCT<timestamp: TIMESTAMP, "
               "partition: INT, offset: BIGINT>, stored_at TIMESTAMP")
     # A table without rows gives an empty folder the layout of the log.
     empty = spark.createDataFrame([], layout).withColumns({

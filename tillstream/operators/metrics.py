@@ -226,12 +226,19 @@ def result_messages(
     rows_by_metric: dict[str, DataFrame], epoch_id: int, run_id: str = ""
 ) -> DataFrame:
     """Metric tables as JSON messages in `value`, next to metric, run_id and epoch_id. NULL
-    fields are left out of the JSON. All messages of a snapshot have one publish time."""
+    fields are left out of the JSON. All messages of a snapshot have one publish time.
+
+    A message's id is made of run, epoch, metric and the key of its row, not of its measures: sums
+    of doubles may come out differently when a batch runs again, and are the same message."""
     messages = []
     for name, rows in rows_by_metric.items():
-        body = labelled(METRICS[name], rows).withColumns({
+        metric = METRICS[name]
+        keys = [F.col("window.start")] if metric.per_window else []
+        body = labelled(metric, rows).withColumns({
             "run_id": F.lit(run_id), "epoch_id": F.lit(epoch_id).cast("long"),
-            "published_at": F.current_timestamp()})
+            "published_at": F.current_timestamp(),
+            "message_id": F.md5(F.to_json(F.struct(
+                F.lit(run_id), F.lit(epoch_id), F.lit(name), *keys, metric.key)).cast("binary"))})
         messages.append(body.select(
             "metric", "run_id", "epoch_id", F.to_json(F.struct("*")).alias("value")))
     return union_of(messages)

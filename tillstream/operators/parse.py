@@ -98,6 +98,32 @@ def parse_orders(
     return lines.withColumn("timestamp", event_time(F.col("date_"), accept_date_only))
 
 
+def as_variants(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Messages as `document`, a variant of all their fields, and `raw`, the text of those that
+    are no JSON object (`document` is NULL for them)."""
+    text = F.col("value").cast("string")
+    parsed = messages.select(text.alias("raw"), F.try_parse_json(text).alias("document"), *keep)
+    is_object = F.coalesce(F.startswith(
+        F.schema_of_variant("document"), F.lit("OBJECT")), F.lit(False))
+    return parsed.select(
+        F.when(is_object, F.col("document")).alias("document"),
+        F.when(~is_object, F.col("raw")).alias("raw"), *keep)
+
+
+def variant_lines(
+    documents: DataFrame, money: T.DataType | None = None, fields: Sequence[str] = FIELD_NAMES,
+    keep: Sequence[str] = (),
+) -> DataFrame:
+    """Typed order lines like those of `parse_orders`, read by path from stored variants: no
+    text is parsed, and fields that are not asked for are passed over."""
+    wire = documents.select(*[
+        F.try_variant_get("document", f"$.{name}", "string").alias(name) for name in fields], *keep)
+    lines = with_types(wire, money, keep)
+    if "date_" not in fields:
+        return lines
+    return lines.withColumn("timestamp", event_time(F.col("date_")))
+
+
 def malformed_messages(messages: DataFrame) -> DataFrame:
     """Quarantine: the messages that are no JSON object, with their text in `malformed`."""
     marked = T.StructType(WIRE_SCHEMA.fields + [T.StructField("_malformed", T.StringType())])

@@ -36,6 +36,29 @@ def prepare(sales: DataFrame, products: DataFrame, key: str = "product_id") -> D
     result as after it (the join is inner) and sends less through the shuffle. Columns found
     on both sides besides the key get the suffixes _x and _y.
     """
+    left, right = _sides(sales, products, key)
+    return left.join(right, "__key", "inner").drop("__key")
+
+
+def prepare_streams(
+    sales: DataFrame, products: DataFrame, wait: str, key: str = "product_id"
+) -> DataFrame:
+    """`prepare` on two streams. Products stay in the state, as a later sale may name them;
+    a sale stays there until its product has come, but no longer than `wait` (None came: it is
+    left out, like a sale without a product in `prepare`).
+
+    Both clocks are the time of reading, which never goes back, so no row is late."""
+    left, right = _sides(sales, products, key)
+    left = left.withColumn("__read", F.current_timestamp()).withWatermark("__read", "0 seconds")
+    right = right.withColumnRenamed("__key", "__product").withColumn(
+        "__came", F.current_timestamp()).withWatermark("__came", "0 seconds")
+    met = (F.col("__key") == F.col("__product")) & (
+        F.col("__came") <= F.col("__read") + F.expr(f"INTERVAL {wait}"))
+    return left.join(right, met, "inner").drop("__key", "__product", "__read", "__came")
+
+
+def _sides(sales: DataFrame, products: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Complete rows of both inputs, with what they meet by in `__key`."""
     left = _complete_rows(sales)
     right = _complete_rows(products)
     shared = (set(left.columns) & set(right.columns)) - {key}
@@ -47,7 +70,7 @@ def prepare(sales: DataFrame, products: DataFrame, key: str = "product_id") -> D
         _join_value(column(key)).alias("__key"),
         *[column(c).alias(c + "_y" if c in shared else c) for c in right.columns if c != key],
     )
-    return left.join(right, "__key", "inner").drop("__key")
+    return left, right
 
 
 def with_types(

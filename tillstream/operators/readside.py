@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tillstream.functions.fields import metric_label
 from tillstream.operators import keyed
-from tillstream.schema import ENVELOPE, RESULT_SCHEMA, TOP_N
+from tillstream.schema import ENVELOPE, RESULT_SCHEMA, TOP_N, TOPIC_SCHEMA
 from tillstream.sources.topics import ARRIVAL
 
 HISTOGRAM_BINS = 20  # fixed value
@@ -53,37 +53,51 @@ def _struct_of(variant_schema: str) -> T.StructType:
     if not variant_schema.startswith("OBJECT<") or variant_schema == "OBJECT<>":
         return T.StructType()
     ddl = re.sub(r"\b(VARIANT|VOID)\b(?=[,>])", "STRING", variant_schema)
-    return T._parse_datatype_string(ddl.replace("OBJECT<", "STRUCT<"))
+    return T.DataType.fromDDL(ddl.replace("OBJECT<", "STRUCT<"))
 
 
 def _fields_of(messages: DataFrame, schema: T.StructType) -> DataFrame:
-    in_body = [f for f in schema if f.name not in messages.columns or f.name == "value"]
+    """The fields of the messages' bodies, but for those that a split log has as folders. The
+    topic's own columns are not fields: a message may have a field named like one."""
+    folders = set(messages.columns) - set(TOPIC_SCHEMA.names)
+    in_body = [f for f in schema if f.name not in folders]
     body = F.from_json(F.col("value").cast("string"), T.StructType(in_body))
     rows = messages.withColumn("__data", body) if in_body else messages
-    inside = {f.name for f in in_body}
     return rows.select(*[
-        F.col("__data").getField(f.name).alias(f.name) if f.name in inside else F.col(f.name)
+        F.col(f.name) if f.name in folders else F.col("__data").getField(f.name).alias(f.name)
         for f in schema
     ]).withColumn("metric", metric_label(F.col("metric")))
 
 
-# What a row of a metric is about. Two messages of one snapshot with the same values here are
-# the same message, sent twice.
-_KEYS = ("l1_category", "city_name", "brand_name", "product_name", "dim_customer_key", "window")
+def identity() -> Column:
+    """What tells a message of a topic from all others, however often it is there.
+
+    That is the id its sender gave it; else, if a run and an epoch are named, these and all other
+    fields but the publish time, whatever they are and in any order. A message without them
+    belongs to no batch that could run twice, so its place in the topic tells it.
+    """
+    text = F.col("value").cast("string")
+    fields = F.from_json(text, T.MapType(T.StringType(), T.StringType()))
+    told = F.sort_array(F.map_entries(F.map_filter(fields, lambda k, _: k != "published_at")))
+    in_batch = fields["run_id"].isNotNull() & fields["epoch_id"].isNotNull()
+    return F.coalesce(
+        F.concat(F.lit("id "), fields["message_id"]),
+        F.when(in_batch, F.concat(F.lit("body "), F.sha2(F.to_json(told), 256))),
+        F.concat_ws(" ", F.lit("at"), *[F.col(name).cast("string") for name in ARRIVAL]))
+
+
+def unrepeated(messages: DataFrame) -> DataFrame:
+    """The messages of an append-only log, in which a batch that ran twice left its messages
+    twice: of each the one that came last. Nothing is assumed about their fields."""
+    marked = messages.withColumn("__identity", identity()).withColumn(
+        "__position", F.struct(*ARRIVAL))
+    last = keyed.latest_per_key(marked, ["__identity"], ["__position"])
+    return last.select(*messages.columns)
 
 
 def without_repeats(messages: DataFrame, fields: Sequence[str] = ()) -> DataFrame:
-    """`result_rows` of an append-only log, in which a batch that ran twice left its messages
-    twice: of every metric, run, epoch and key the message that came last."""
-    place = "__position"
-    placed = messages.withColumn(place, F.struct(*ARRIVAL))
-    keys = ["metric", "run_id", "epoch_id", *_KEYS]
-    wanted = list(dict.fromkeys([*ENVELOPE, *(fields or RESULT_SCHEMA.names)]))
-    schema = T.StructType([RESULT_SCHEMA[n] for n in dict.fromkeys([*wanted, *_KEYS])])
-    body = F.from_json(F.col("value").cast("string"), schema)
-    rows = placed.select(body.alias("__data"), place).select("__data.*", place).withColumn(
-        "metric", metric_label(F.col("metric")))
-    return keyed.latest_per_key(rows, keys, [place]).select(*wanted)
+    """`result_rows` of an append-only log."""
+    return result_rows(unrepeated(messages), fields)
 
 
 def feed_rows(messages: DataFrame, schema: T.StructType = RESULT_SCHEMA) -> DataFrame:

@@ -129,6 +129,8 @@ def _typed(name: str) -> str:
 
 _TYPED_FIELDS = ", ".join(_typed(name) for name in FIELD_NAMES)
 _TEXT_FIELDS = ", ".join(f"CAST({name} AS VARCHAR) AS {name}" for name in FIELD_NAMES)
+# Fields as the text of a message; the values are compared before.
+_SENT_FIELDS = ", ".join(f"CAST({name} AS VARCHAR) AS {name}" for name in FIELD_NAMES)
 _ORDER_BY_FIELDS = ", ".join(f"{name} DESC NULLS LAST" for name in FIELD_NAMES)
 _JSON = "json_object(" + ", ".join(
     f"'{name}', CAST({name} AS VARCHAR)" for name in FIELD_NAMES) + ")"
@@ -173,7 +175,14 @@ _EVENT_LINES = (
     "(SELECT event_type AS l1_category, ts, CAST(value AS DECIMAL(18,2)) AS price FROM events)"
 )
 
-_HISTOGRAM = f"""
+def _all_values(mode: str) -> str:
+    """The mean order values a histogram is of: one per customer, or one per message."""
+    return _aov(mode) if mode == "latest" else (
+        "SELECT average_order_value FROM results WHERE metric = 'aov_by_customer'")
+
+
+def _histogram(mode: str) -> str:
+    return f"""
 SELECT bin, count(*) AS customers,
        round(any_value(low) + (bin - 1) * any_value(width), 6) AS bin_start,
        round(CASE WHEN any_value(low) = any_value(high) THEN any_value(high)
@@ -183,10 +192,10 @@ FROM (
          CAST(CASE WHEN low = high THEN 1
                    ELSE least(20, floor((average_order_value - low) / width) + 1) END
               AS INTEGER) AS bin
-  FROM ({_aov('latest')}),
+  FROM ({_all_values(mode)}),
        (SELECT min(average_order_value) AS low, max(average_order_value) AS high,
                (max(average_order_value) - min(average_order_value)) / 20 AS width
-        FROM ({_aov('latest')}))
+        FROM ({_all_values(mode)}))
   WHERE average_order_value IS NOT NULL
 ) GROUP BY bin
 """
@@ -241,7 +250,7 @@ def all_sql() -> dict[str, str]:
             f"GROUP BY product_name {_top('product_name', 'count')}"),
         "dash_aov": _with_results(_aov("latest")),
         "dash_aov_cumulative": _with_results(_aov("cumulative")),
-        "aov_histogram": _with_results(_HISTOGRAM),
+        "aov_histogram": _with_results(_histogram("latest")),
         "category_share": _with_results(
             "SELECT l1_category, total_sales, "
             "round(total_sales / nullif(sum(total_sales) OVER (), 0), 9) AS share FROM results "
@@ -305,6 +314,49 @@ def all_sql() -> dict[str, str]:
             "WHERE metric = 'discount_by_brand' AND brand_name IS NOT NULL "
             "GROUP BY brand_name"),
     }
+    purchases = "FROM events WHERE event_type = 'purchase'"
+    sql |= {
+        "replay_repeated_unknown_metrics": (
+            "SELECT 'purchases_by_event' AS metric, event_id, value, 't' || user_id AS topic, "
+            f"CAST(event_id % 7 AS BIGINT) AS partition, user_id AS offset, event_type AS key {purchases}"),
+        "prep_sales_stream": sql["prep_sales"],
+        "top_brands_best_stream": sql["top_brands"],
+        "top_products_best_stream": sql["top_products"],
+        "sales_trend_corrected_stream": sql["sales_trend"],
+        "reject_reasons": (
+            "SELECT reason, count(*) AS rows FROM (SELECT unnest(['read', CASE WHEN event_type = "
+            "'error' THEN 'not_json' WHEN event_type <> 'purchase' THEN 'no_key' WHEN user_id % 10 "
+            "= 0 THEN 'unread:unit_selling_price' ELSE 'kept' END]) AS reason FROM events) "
+            "GROUP BY reason"),
+        "incomplete_sales": _with_lines(
+            "SELECT reason, count(*) AS rows FROM (SELECT unnest(['read', CASE WHEN "
+            "total_discount_amount = 0 THEN 'missing:total_discount_amount' ELSE 'kept' END]) "
+            "AS reason FROM order_lines) GROUP BY reason"),
+        "aov_histogram_sketch": _with_results(
+            f"SELECT *, true AS close FROM ({_histogram('cumulative')})"),
+        "replay_repeated_errors":
+            "SELECT 'e' || event_id AS error FROM events WHERE event_type = 'error'",
+        "result_feed_deduplicated_stream": _with_lines(_stacked(_METRIC_NAMES)),
+        "recent_state_stream": sql["recent_messages_stream"],
+        "keyed_source_sink_stream": _with_lines(stored),
+        "throttled_feed_stream": (
+            "SELECT CAST(count(*) AS BIGINT) AS messages, true AS within_limit FROM events "
+            "WHERE (event_type = 'error' AND props IS NOT NULL) "
+            "OR event_type NOT IN ('error', 'signup', '')"),
+        "land_variant_orders": sql["parse_orders"],
+        "totals_during_rerun_stream": _with_lines(_stacked(_METRIC_NAMES)),
+        "compacted_totals_stream": _with_lines(_stacked(_METRIC_NAMES)),
+        "lines_per_order_bucketed": _with_lines(
+            "SELECT row_key, city_name, lines, quantity FROM "
+            f"({_last_line_per_order('city_name', '(SELECT ' + _TEXT_FIELDS + ' FROM order_lines)')}) "
+            "JOIN (SELECT CAST(order_id AS VARCHAR) AS row_key, count(*) AS lines, "
+            "CAST(sum(procured_quantity) AS BIGINT) AS quantity FROM order_lines GROUP BY order_id) "
+            "USING (row_key)"),
+        "keyed_table_restated": _with_lines(_last_line_per_order(_SENT_FIELDS, "order_lines")),
+        "keyed_table_lookup": _with_lines(
+            f"SELECT * FROM ({_last_line_per_order(_SENT_FIELDS, 'order_lines')}) WHERE row_key = "
+            "(SELECT CAST(max(l_orderkey) AS VARCHAR) FROM lineitem)"),
+    }
     sql |= {f"{name}_changes_stream": _with_lines(_metric(name)) for name in _METRIC_NAMES}
     for suffix, mode in (("", "latest"), ("_cumulative", "cumulative")):
         sql |= {

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.operators import keyed, metrics, parse, prepare, readside, recent
+from tillstream.operators import (
+    keyed, metrics, parse, prepare, readside, recent, rejects, sketches,
+)
 from tillstream.plans import staging
 from tillstream.schema import EXACT_MONEY, FIELD_NAMES
 from tillstream.session import work_folder
 from tillstream.sources import star
 from tillstream.sources.csv_files import read_csv
 from tillstream.sources.topics import FolderTopic, newest_snapshots, order_payload
-from tillstream.streaming import sinks
+from tillstream.streaming import keyed_source, recent_state, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 MODES = {"": "latest", "_cumulative": "cumulative"}
@@ -113,6 +115,12 @@ def prep_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(prepare.with_types(rows, EXACT_MONEY))
 
 
+def prep_sales_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from files that arrived one after another."""
+    rows = spark.read.parquet(staging.prepared_stream(spark, sf_dir))
+    return _plain(prepare.with_types(rows, EXACT_MONEY))
+
+
 def publish_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = staging.order_topic(spark, sf_dir).replay(spark)
     return messages.select(F.col("value").cast("string").alias("value"))
@@ -171,6 +179,48 @@ def keyed_table_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name).select("row_key", *keyed.family_fields())
 
 
+def _restated_table(spark: SparkSession, sf_dir: str) -> str:
+    path = staging.restated_orders(spark, sf_dir)
+    name = "restated_" + path.split("/")[-2].rsplit("-", 1)[-1]
+    sinks.create_orders_table(spark, name, path)
+    return name
+
+
+def keyed_table_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered table over a folder that is not compacted and holds every order twice."""
+    return spark.table(_restated_table(spark, sf_dir)).select("row_key", *keyed.family_fields())
+
+
+def keyed_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One order of that table, by SQL: only its bucket is opened."""
+    name = _restated_table(spark, sf_dir)
+    key = star.table(spark, sf_dir, "lineitem").agg(F.max("l_orderkey")).first()[0]
+    found = spark.sql(f"SELECT * FROM {name}_of('{key}')")
+    return found.select("row_key", *keyed.family_fields())
+
+
+def keyed_source_sink_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed table from the sink that commits batches."""
+    rows = keyed_source.committed_rows(spark, staging.keyed_source(spark, sf_dir))
+    table = sinks.latest_orders(rows, order_by=list(FIELD_NAMES))
+    return table.select("row_key", *keyed.family_fields())
+
+
+def lines_per_order_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the number and quantity of their lines, joined where both tables lie."""
+    orders, lines = (spark.table(name) for name in staging.bucketed_orders(spark, sf_dir))
+    counted = lines.groupBy("row_key").agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("procured_quantity").alias("quantity"))
+    return orders.hint("merge").join(counted, "row_key").select(
+        "row_key", F.col("metadata.city_name").alias("city_name"), "lines", "quantity")
+
+
+def land_variant_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed variants read by path."""
+    documents = spark.read.parquet(staging.landed_variants(spark, sf_dir))
+    return _plain(parse.variant_lines(documents, EXACT_MONEY))
+
+
 def order_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order line in the layout of the keyed table, shown as family_field columns."""
     table = keyed.to_families(star.order_lines(spark, sf_dir))
@@ -203,7 +253,7 @@ def _of_metric(
 
 def _told(rows: DataFrame) -> DataFrame:
     """Without what differs from run to run."""
-    return _plain(rows.drop("error", "run_id", "published_at"))
+    return _plain(rows.drop("error", "run_id", "published_at", "message_id"))
 
 
 def replay_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +267,24 @@ def replay_unknown_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metric", "event_id", "customer", F.col("details.amount").cast("double").alias("amount"))
 
 
+def replay_repeated_unknown_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a metric that no job knows, sent twice, each read once. Their fields are named
+    like columns of the topic."""
+    rows = _foreign(spark, sf_dir).where("metric IS NOT NULL")
+    return rows.select("metric", "event_id", "value", "topic",
+                       F.col("partition").cast("long").alias("partition"),
+                       F.col("offset").cast("long").alias("offset"), "key")
+
+
+def replay_repeated_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _foreign(spark, sf_dir).where(readside.is_error()).select("error")
+
+
+def _foreign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = staging.foreign_results(spark, sf_dir).replay(spark)
+    return readside.all_result_rows(readside.unrepeated(messages))
+
+
 def malformed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = parse.malformed_messages(staging.mixed_topic(spark, sf_dir).replay(spark))
     return messages.select("malformed")
@@ -230,6 +298,33 @@ def non_numeric_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unpivot([], list(unread), "field", "non_numeric").where("non_numeric > 0")
 
 
+def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages read, kept and rejected by reason, from the job that splits them."""
+    judged = spark.read.parquet(staging.checked_messages(spark, sf_dir))
+    return rejects.reason_counts(judged)
+
+
+def incomplete_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells without a value in the raw sales, by column."""
+    rows = read_csv(spark, f"{staging.raw_files(spark, sf_dir)}/sales")
+    needed = [name for name in rows.columns if not name.startswith("Unnamed")]
+    return rejects.reason_counts(rejects.judge_cells(rows, needed))
+
+
+def aov_histogram_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins of the customers' mean order values over all snapshots, from merged sketches, next to
+    whether each is as close to the exact count as sketches promise."""
+    merged = sketches.merge(spark.read.parquet(staging.aov_sketches(spark, sf_dir)))
+    close = sketches.histogram(merged).withColumnRenamed("customers", "about")
+    rows = _of_metric(spark, sf_dir, "aov_by_customer", "cumulative", "average_order_value")
+    exact = readside.histogram(rows, "average_order_value")
+    bound = 2 * sketches.RANK_ERROR * merged.select(F.sum("n")).scalar() + 1
+    both = exact.join(close.select("bin", "about"), "bin", "left")
+    return both.select(
+        "bin", "customers", *[F.round(name, 6).alias(name) for name in ("bin_start", "bin_end")],
+        (F.abs(F.coalesce("about", F.lit(0)) - F.col("customers")) <= bound).alias("close"))
+
+
 def publish_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a CSV file as messages; blank cells are empty texts."""
     rows = read_csv(spark, f"{staging.raw_files(spark, sf_dir)}/products")
@@ -254,7 +349,8 @@ def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def export_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The replayed results as CSV, read back."""
-    rows = readside.flat_results(_results(spark, sf_dir).drop("error", "run_id", "published_at"))
+    rows = readside.flat_results(_results(spark, sf_dir).drop(
+        "error", "run_id", "published_at", "message_id"))
     path = staging.exported_results(spark, sf_dir, rows)
     return _plain(read_csv(spark, path).select(*[
         F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema
@@ -359,6 +455,59 @@ def result_feed_repeated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _told(readside.without_repeats(messages).drop("epoch_id"))
 
 
+def totals_during_rerun_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics from changed totals, while a new run is still catching up."""
+    return _picked(sinks.current_totals(spark, staging.totals_during_rerun(spark, sf_dir)))
+
+
+def compacted_totals_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics from totals that were compacted and then went on."""
+    return _picked(sinks.current_totals(spark, staging.compacted_totals(spark, sf_dir)))
+
+
+def _picked(totals: DataFrame) -> DataFrame:
+    return _plain(metrics.union_of([
+        metrics.labelled(metric, metrics.pick(totals, metric)) for metric in metrics.ALL]))
+
+
+def result_feed_deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of a log that holds its last snapshot twice."""
+    rows = spark.read.parquet(f"{staging.repeated_feed(spark, sf_dir)}/feed")
+    return _told(rows.drop("epoch_id", "message_run_id", "batch_id", "stored_at", "position"))
+
+
+def recent_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last messages per metric, kept as state of a stream over repeated messages."""
+    rows = recent_state.stored_last_messages(
+        spark, staging.recent_lists(spark, sf_dir), staging.FEED_SCHEMA)
+    return rows.select("metric", "event_id", "user_id", "value")
+
+
+def throttled_feed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of a throttled topic, and whether each batch kept to the limit."""
+    path, limit = staging.throttled_batches(spark, sf_dir)
+    rows = spark.read.parquet(f"{path}/feed").select("batch_id")
+    rows = rows.union(spark.read.parquet(f"{path}/errors").select("batch_id"))
+    sizes = rows.groupBy("batch_id").agg(F.count(F.lit(1)).alias("messages"))
+    return sizes.agg(F.sum("messages").alias("messages"),
+                     (F.max("messages") <= limit).alias("within_limit"))
+
+
+def _best_query(name: str) -> Query:
+    """A top list that was kept up incrementally."""
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = staging.best_lists(spark, sf_dir, name)
+        return _plain(sinks.current_best(spark, path, metrics.METRICS[name]))
+
+    return query
+
+
+def sales_trend_corrected_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend of lines half of which were late, with corrections."""
+    path = staging.trend_with_late_lines(spark, sf_dir)
+    return _plain(sinks.stored_trend(spark, path, metrics.METRICS["sales_trend"]))
+
+
 def _changes_query(name: str) -> Query:
     """A metric from the totals that each batch changed."""
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -434,6 +583,25 @@ def all_queries() -> dict[str, Query]:
         "non_numeric_measures": non_numeric_measures,
         "publish_csv_rows": publish_csv_rows,
         "dash_brands_without_measure": dash_brands_without_measure,
+        "replay_repeated_unknown_metrics": replay_repeated_unknown_metrics,
+        "replay_repeated_errors": replay_repeated_errors,
+        "prep_sales_stream": prep_sales_stream,
+        "top_brands_best_stream": _best_query("top_brands"),
+        "top_products_best_stream": _best_query("top_products"),
+        "sales_trend_corrected_stream": sales_trend_corrected_stream,
+        "reject_reasons": reject_reasons,
+        "incomplete_sales": incomplete_sales,
+        "aov_histogram_sketch": aov_histogram_sketch,
+        "result_feed_deduplicated_stream": result_feed_deduplicated_stream,
+        "recent_state_stream": recent_state_stream,
+        "keyed_source_sink_stream": keyed_source_sink_stream,
+        "throttled_feed_stream": throttled_feed_stream,
+        "land_variant_orders": land_variant_orders,
+        "totals_during_rerun_stream": totals_during_rerun_stream,
+        "compacted_totals_stream": compacted_totals_stream,
+        "lines_per_order_bucketed": lines_per_order_bucketed,
+        "keyed_table_restated": keyed_table_restated,
+        "keyed_table_lookup": keyed_table_lookup,
     }
     for suffix, mode in MODES.items():
         registered |= {

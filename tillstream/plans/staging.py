@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstream.operators import readside
-from tillstream.schema import EXACT_MONEY, FIELD_NAMES, RESULT_TOPIC
+from tillstream.operators import keyed, readside
+from tillstream.operators.metrics import METRICS
+from tillstream.schema import EXACT_MONEY, FIELD_NAMES, RESULT_SCHEMA, RESULT_TOPIC
 from tillstream.session import work_folder
 from tillstream.sources import star
-from tillstream.sources.csv_files import write_csv
+from tillstream.sources.csv_files import read_csv, write_csv
 from tillstream.sources.topics import (
     FolderTopic, newest_snapshots, order_folder, order_payload, result_folder,
 )
@@ -103,6 +104,22 @@ def raw_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "raw_files", make)
 
 
+def prepared_stream(spark: SparkSession, sf_dir: str) -> str:
+    """Order rows prepared as their files arrived: all sales with the products of even numbers
+    first, then the other products, for which their sales had to wait."""
+
+    def make(path: str) -> None:
+        raw = raw_files(spark, sf_dir)
+        products = read_csv(spark, f"{raw}/products")
+        even = F.coalesce(F.col("product_id").cast("long") % 2 == 0, F.lit(True))
+        for part in (even, ~even):
+            write_csv(products.where(part), f"{path}/products", "append")
+            jobs.finish([jobs.start_preparation(
+                spark, f"{raw}/sales", f"{path}/products", f"{path}/rows", _drain(spark, path))])
+
+    return f"{_once(spark, sf_dir, 'preparation_job', make)}/rows"
+
+
 # Topics --------------------------------------------------------------------------------
 
 def order_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
@@ -218,6 +235,55 @@ def repeated_results(spark: SparkSession, sf_dir: str) -> FolderTopic:
     return FolderTopic(_once(spark, sf_dir, "repeated_results", make), RESULT_TOPIC)
 
 
+def best_lists(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder of a top list that was kept up over the two deliveries."""
+    path = _two_runs(spark, sf_dir, f"{name}_best_job", lambda orders, path: jobs.start_best(
+        spark, orders, f"{path}/best", _drain(spark, path), name))
+    return f"{path}/best"
+
+
+def trend_with_late_lines(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the trend of events that arrive in the wrong order, the later half of the time
+    first, so that the other half is late; corrected once between and once at the end."""
+
+    def make(path: str) -> None:
+        events = order_folder(f"{path}/events")
+        lines = star.event_lines(spark, sf_dir)
+        time = F.unix_seconds("timestamp")
+        low, high = lines.agg(F.min(time), F.max(time)).first()
+        middle = ((low or 0) + (high or 0)) // 2
+        first, quarter = time >= middle, time >= (3 * (low or 0) + (high or 0)) // 4
+        for part in (first, ~first & quarter, ~first & ~quarter):
+            _publish(events, lines.where(part).drop("timestamp"))
+            jobs.finish([jobs.start_trend(
+                spark, events, f"{path}/trend", _drain(spark, path), "1 hour")])
+            sinks.restate_trend(spark, f"{path}/trend", METRICS["sales_trend"])
+
+    return f"{_once(spark, sf_dir, 'late_trend_job', make)}/trend"
+
+
+def foreign_results(spark: SparkSession, sf_dir: str) -> FolderTopic:
+    """An append-only log with messages that no job of this package sent, each batch sent twice:
+    a metric keyed by a field of its own, errors, and fields named like columns of a topic. The
+    run that sent them is named, but they have no message id."""
+
+    def make(path: str) -> None:
+        kind = F.col("event_type")
+        envelope = [F.lit("other").alias("run_id"), F.lit(3).alias("epoch_id")]
+        events = star.table(spark, sf_dir, "events")
+        metric = events.where(kind == "purchase").select(F.to_json(F.struct(
+            F.lit("purchases_by_event").alias("metric"), *envelope, "event_id", "value",
+            F.concat(F.lit("t"), F.col("user_id")).alias("topic"),
+            (F.col("event_id") % 7).alias("partition"), F.col("user_id").alias("offset"),
+            kind.alias("key"))).alias("value"))
+        errors = events.where(kind == "error").select(F.to_json(F.struct(
+            *envelope, F.concat(F.lit("e"), F.col("event_id")).alias("error"))).alias("value"))
+        for _ in range(2):
+            FolderTopic(path, RESULT_TOPIC).append(metric.union(errors))
+
+    return FolderTopic(_once(spark, sf_dir, "foreign_results", make), RESULT_TOPIC)
+
+
 def mixed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
     """Events as messages of several makers: purchases are orders with a price, with a price in
     words for every tenth user, errors are plain text, and the others JSON of fields unknown to
@@ -240,6 +306,26 @@ def mixed_topic(spark: SparkSession, sf_dir: str) -> FolderTopic:
     return order_folder(_once(spark, sf_dir, "mixed_topic", make))
 
 
+def checked_messages(spark: SparkSession, sf_dir: str) -> str:
+    """Messages of several makers, kept or rejected."""
+
+    def make(path: str) -> None:
+        jobs.finish([jobs.start_checked(
+            spark, mixed_topic(spark, sf_dir), f"{path}/checked", _drain(spark, path, 8))])
+
+    return f"{_once(spark, sf_dir, 'checked_job', make)}/checked"
+
+
+def aov_sketches(spark: SparkSession, sf_dir: str) -> str:
+    """Sketches of the customers' mean order values, one per snapshot of the one-query job."""
+
+    def make(path: str) -> None:
+        jobs.finish([jobs.start_sketches(
+            spark, one_pass_results(spark, sf_dir), f"{path}/sketches", _drain(spark, path))])
+
+    return f"{_once(spark, sf_dir, 'sketch_job', make)}/sketches"
+
+
 def keyed_orders(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the keyed table after the upsert job has taken all order lines. The last
     line of an order is the one with the highest field values, so that SQL can tell it too."""
@@ -271,6 +357,111 @@ def compacted_orders(spark: SparkSession, sf_dir: str) -> str:
         spark, keyed_orders_after_new_checkpoint(spark, sf_dir), path, list(FIELD_NAMES)))
 
 
+def restated_orders(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the keyed table, as the upsert job leaves it, after every order was sent twice:
+    first with a city that is not known, in a second delivery as it is."""
+
+    def make(path: str) -> None:
+        orders = order_folder(f"{path}/orders")
+        table = keyed.upsert(star.order_lines(spark, sf_dir)).select(*keyed.family_fields())
+        for lines in (table.withColumn("city_name", F.lit("unknown")), table):
+            _publish(orders, lines)
+            jobs.finish([jobs.start_upsert(
+                spark, orders, f"{path}/table", _drain(spark, path, 8))])
+
+    return f"{_once(spark, sf_dir, 'restated_orders', make)}/table"
+
+
+def keyed_source(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the keyed table that the sink with commits filled, in two runs."""
+
+    def make(path: str) -> None:
+        orders = order_folder(f"{path}/orders")
+        for messages in _deliveries(spark, sf_dir):
+            orders.append(messages)
+            jobs.finish([jobs.start_keyed_source(
+                spark, orders, f"{path}/table", _drain(spark, path, 8))])
+
+    return f"{_once(spark, sf_dir, 'keyed_source_job', make)}/table"
+
+
+def bucketed_orders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Names of two catalog tables, orders and order lines, in buckets of the order."""
+
+    def make(path: str) -> None:
+        name = path.rsplit("-", 1)[-1]
+        orders = sinks.latest_orders(
+            spark.read.parquet(keyed_orders(spark, sf_dir)), list(FIELD_NAMES))
+        sinks.save_bucketed(orders.drop("position", "bucket"), f"orders_{name}", f"{path}/orders")
+        lines = star.order_lines(spark, sf_dir, "order_id", "procured_quantity").select(
+            F.col("order_id").cast("string").alias("row_key"), "procured_quantity")
+        sinks.save_bucketed(lines, f"lines_{name}", f"{path}/lines")
+
+    name = _once(spark, sf_dir, "bucketed", make).rsplit("-", 1)[-1]
+    return f"orders_{name}", f"lines_{name}"
+
+
+def landed_variants(spark: SparkSession, sf_dir: str) -> str:
+    def make(path: str) -> None:
+        jobs.finish([jobs.start_variant_landing(
+            spark, order_topic(spark, sf_dir), f"{path}/documents", _drain(spark, path, 8))])
+
+    return f"{_once(spark, sf_dir, 'variant_landing_job', make)}/documents"
+
+
+PER_FILE = 500
+
+
+def throttled_batches(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """Folder of the feed of a topic with `PER_FILE` messages per file at most, drained at no
+    more than a limit of messages per batch, and that limit."""
+    cores = spark.sparkContext.defaultParallelism
+    limit = 4 * PER_FILE * cores
+
+    def make(path: str) -> None:
+        topic = FolderTopic(f"{path}/topic", RESULT_TOPIC, per_file=PER_FILE)
+        topic.append(feed_rows(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")))
+        run = jobs.Run(f"{path}/checkpoints", jobs.DRAIN, limit, partitions=cores)
+        jobs.finish([jobs.start_feed(
+            spark, topic, f"{path}/feed", run, FEED_SCHEMA, order=["event_id"])])
+
+    return f"{_once(spark, sf_dir, 'throttled_job', make)}/feed", limit
+
+
+def totals_during_rerun(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the changed totals while they are made anew: one run has read both deliveries
+    and caught up, a second one with a checkpoint of its own has read the first only."""
+
+    def make(path: str) -> None:
+        first, second = _deliveries(spark, sf_dir)
+        orders = order_folder(f"{path}/orders")
+        for messages in (first, second):
+            orders.append(messages)
+        jobs.finish_changes(spark, jobs.start_metric_changes(
+            spark, orders, f"{path}/totals", _drain(spark, f"{path}/old")), f"{path}/totals")
+        part = order_folder(f"{path}/part")
+        part.append(first)
+        jobs.finish([jobs.start_metric_changes(
+            spark, part, f"{path}/totals", _drain(spark, f"{path}/new"))])
+
+    return f"{_once(spark, sf_dir, 'rerun_changes_job', make)}/totals"
+
+
+def compacted_totals(spark: SparkSession, sf_dir: str) -> str:
+    """The changed totals of two deliveries: the first compacted, the second added behind it."""
+
+    def make(path: str) -> None:
+        orders = order_folder(f"{path}/orders")
+        for n, messages in enumerate(_deliveries(spark, sf_dir)):
+            orders.append(messages)
+            jobs.finish_changes(spark, jobs.start_metric_changes(
+                spark, orders, f"{path}/totals{n}", _drain(spark, path)), f"{path}/totals{n}")
+            if not n:
+                sinks.compact_totals(spark, f"{path}/totals0", f"{path}/totals1")
+
+    return f"{_once(spark, sf_dir, 'compact_totals_job', make)}/totals1"
+
+
 def landed_orders(spark: SparkSession, sf_dir: str) -> str:
     def make(path: str) -> None:
         jobs.finish([jobs.start_landing(
@@ -309,5 +500,40 @@ def feed(spark: SparkSession, sf_dir: str) -> str:
     return f"{_once(spark, sf_dir, 'feed_job', make)}/feed"
 
 
+def repeated_feed(spark: SparkSession, sf_dir: str) -> str:
+    """The feed of an append-only log in which the last snapshot was sent again between two runs
+    of the job."""
+
+    def make(path: str) -> None:
+        results = one_pass_results(spark, sf_dir)
+        messages = results.replay(spark)
+        last = messages.where(readside.is_newest(messages, newest_snapshots(results, spark)))
+        log = FolderTopic(f"{path}/log", RESULT_TOPIC)
+        for _ in range(2):
+            log.append(last)
+            jobs.finish([jobs.start_feed(
+                spark, log, f"{path}/feed", _drain(spark, path, 8), RESULT_SCHEMA)])
+
+    return f"{_once(spark, sf_dir, 'repeated_feed_job', make)}/feed"
+
+
+def recent_lists(spark: SparkSession, sf_dir: str) -> str:
+    """The last messages as state, of the events in two deliveries, each sent twice."""
+
+    def make(path: str) -> None:
+        rows = feed_rows(spark, sf_dir)
+        topic = FolderTopic(f"{path}/topic", RESULT_TOPIC)
+        middle = rows.agg(((F.min("event_id") + F.max("event_id")) / 2)).scalar()
+        body = F.to_json(F.struct("*", F.col("event_id").cast("string").alias("message_id")))
+        late = F.coalesce(F.col("event_id") >= middle, F.lit(False))
+        for part in (~late, late):
+            for _ in range(2):
+                topic.append(rows.where(part).select(body.alias("value")))
+            jobs.finish([jobs.start_recent(
+                spark, topic, f"{path}/recent", _drain(spark, path), FEED_SCHEMA, ["event_id"])])
+
+    return f"{_once(spark, sf_dir, 'recent_job', make)}/recent"
+
+
 def exported_results(spark: SparkSession, sf_dir: str, rows: DataFrame) -> str:
     return _once(spark, sf_dir, "export", lambda path: write_csv(rows, path))

@@ -87,8 +87,9 @@ TOPIC_SCHEMA = T.StructType([
 ORDER_TOPIC, RESULT_TOPIC = "ecommerce", "eda_results"
 
 # The envelope of a result message: what it tells, which run of a job published it, as which
-# snapshot and when.
-ENVELOPE = ("metric", "run_id", "epoch_id", "published_at")
+# snapshot and when, and what tells it from all other messages. A message that is sent again keeps
+# its id.
+ENVELOPE = ("metric", "run_id", "epoch_id", "published_at", "message_id")
 
 # Every field a result message of the jobs can carry; `metric` tells which ones are set.
 RESULT_SCHEMA = T.StructType([
@@ -96,6 +97,7 @@ RESULT_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("epoch_id", T.LongType()),
     T.StructField("published_at", T.TimestampType()),
+    T.StructField("message_id", T.StringType()),
     T.StructField("l1_category", T.StringType()),
     T.StructField("city_name", T.StringType()),
     T.StructField("brand_name", T.StringType()),

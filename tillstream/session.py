@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +38,23 @@ def build_session(app: str, master: str | None = None, **settings: str) -> Spark
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), f"{package.name}-package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder path that every executor can reach.
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 # A quote inside a quoted cell is written twice, and blanks around a cell belong to it.
 _FORMAT = {
@@ -23,7 +26,13 @@ def read_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFr
     ).csv(path)
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def stream_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Files as they arrive, read like those of `read_csv`. All have the given columns."""
+    layout = T.StructType([T.StructField(name, T.StringType()) for name in columns])
+    return spark.readStream.schema(layout).options(**_FORMAT, nullValue="\u0000").csv(path)
+
+
+def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """A folder of CSV files, each with a header; NULL becomes a blank cell, an empty text a
     quoted one."""
-    rows.write.mode("overwrite").options(**_FORMAT, emptyValue='""').csv(path)
+    rows.write.mode(mode).options(**_FORMAT, emptyValue='""').csv(path)

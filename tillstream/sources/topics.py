@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,11 +34,13 @@ def order_payload(lines: DataFrame, blank: str | None = None) -> Column:
 @dataclass(frozen=True)
 class FolderTopic:
     """Messages as Parquet files. `split_by` names columns that become folder levels, so a
-    reader that filters on them opens only the matching folders."""
+    reader that filters on them opens only the matching folders. `per_file` caps the messages of
+    a file; readers of a topic that was published so can be throttled by messages."""
 
     path: str
     name: str
     split_by: tuple[tuple[str, T.DataType], ...] = ()
+    per_file: int | None = None
 
     def _schema(self) -> T.StructType:
         levels = [T.StructField(name, kind) for name, kind in self.split_by]
@@ -59,7 +61,7 @@ class FolderTopic:
 
     def append(self, rows: DataFrame) -> None:
         """Add one message per row of `rows` (a `value` column, plus the split columns)."""
-        writer = self._messages(rows).write.mode("append")
+        writer = self._sized(self._messages(rows).write.mode("append"))
         if self.split_by:
             writer = writer.partitionBy(*[name for name, _ in self.split_by])
         writer.parquet(self.path)
@@ -68,21 +70,27 @@ class FolderTopic:
         """Like append, but folders that `rows` falls into are written anew, so a batch
         that runs twice leaves its messages once."""
         (
-            self._messages(rows).write.mode("overwrite")
+            self._sized(self._messages(rows).write.mode("overwrite"))
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*[name for name, _ in self.split_by])
             .parquet(self.path)
         )
 
+    def _sized(self, writer: DataFrameWriter) -> DataFrameWriter:
+        return writer.option("maxRecordsPerFile", self.per_file) if self.per_file else writer
+
     def replay(self, spark: SparkSession) -> DataFrame:
         """All messages there are now, as a table."""
         return spark.read.schema(self._schema()).parquet(self.path)
 
     def stream(self, spark: SparkSession, limit: int | None = None) -> DataFrame:
-        """Messages as they arrive; `limit` caps the files taken per batch."""
+        """Messages as they arrive; `limit` caps the messages taken per batch if the topic has
+        a number of messages per file, else the files."""
         reader = spark.readStream.schema(self._schema())
         if limit:
-            reader = reader.option("maxFilesPerTrigger", limit)
+            if self.per_file and limit < self.per_file:
+                raise ValueError(f"files hold up to {self.per_file} messages: no batch of {limit}")
+            reader = reader.option("maxFilesPerTrigger", limit // (self.per_file or 1))
         return reader.parquet(self.path)
 
 
@@ -144,8 +152,8 @@ def result_folder(path: str) -> FolderTopic:
     )
 
 
-def order_folder(path: str) -> FolderTopic:
-    return FolderTopic(path, ORDER_TOPIC)
+def order_folder(path: str, per_file: int | None = None) -> FolderTopic:
+    return FolderTopic(path, ORDER_TOPIC, per_file=per_file)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillstream.functions.fields import event_time
-from tillstream.operators import metrics, readside
+from tillstream.operators import metrics, readside, rejects, sketches
 from tillstream.operators.keyed import has_key
-from tillstream.operators.parse import parse_orders, unread_numbers, wire_lines
-from tillstream.operators.prepare import with_types
+from tillstream.operators import keyed
+from tillstream.operators.parse import (
+    as_variants, parse_orders, unread_numbers, wire_lines,
+)
+from tillstream.operators.prepare import prepare_streams, with_types
 from tillstream.session import SETTINGS
+from tillstream.sources.csv_files import read_csv, stream_csv
 from tillstream.sources.topics import ARRIVAL, Topic
-from tillstream.streaming import sinks
+from tillstream.streaming import keyed_source, recent_state, sinks
 
 DRAIN = {"availableNow": True}
 LIVE = {"processingTime": "2 seconds"}
@@ -120,8 +124,12 @@ def start_metric_changes(
     """All metrics as totals of which each batch stores only the keys that its lines changed.
 
     What is written grows with the new lines, not with the customers and windows so far. Read
-    it with `sinks.current_totals` and `metrics.pick`, which ranks and divides; batches older
-    than the newest one of each key may be removed or compacted at any time."""
+    it with `sinks.current_totals` and `metrics.pick`, which ranks and divides;
+    `sinks.compact_totals` folds the batches of a run into one.
+
+    A run with a new checkpoint reads the topic anew and has smaller totals until it has caught
+    up. `finish_changes` and `run_until_any_ends` record when it has, and from then on, not
+    before, its totals are the current ones."""
     totals = metrics.compute_all(_lines(spark, orders, run, metrics.fields_of()))
     return _start(totals, "update", sinks.rows_sink(path, "key_set"), run, "metric_changes")
 
@@ -142,6 +150,39 @@ def start_bounded_trend(
     return _start(trend, "update", sinks.rows_sink(path), run, "bounded_trend")
 
 
+def start_trend(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+    lateness: str,
+) -> StreamingQuery:
+    """The sales trend without state, whose late lines are kept: `sinks.restate_trend` adds them
+    to their closed windows, and `sinks.stored_trend` reads the windows. Lines without an event
+    time have no window; the progress reports count them."""
+    metric = metrics.METRICS["sales_trend"]
+    lines = _lines(spark, orders, run, metric.fields).observe(
+        "trend_input", F.count_if(F.col("timestamp").isNull()).alias("without_time"))
+    timed = lines.where(F.col("timestamp").isNotNull())
+    return _start(timed, "append", sinks.trend_sink(path, metric, lateness), run, "trend")
+
+
+def start_best(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+    name: str,
+) -> StreamingQuery:
+    """A top list that is kept up incrementally: exact, but a batch writes and ranks only what it
+    changed. Read it with `sinks.current_best`."""
+    metric = metrics.METRICS[name]
+    if not metric.top_by:
+        raise ValueError(f"{name} is no top list")
+    totals = metric.totals(_lines(spark, orders, run, metric.fields))
+    return _start(totals, "update", sinks.best_sink(path, metric), run, name)
+
+
 def start_upsert(
     spark: SparkSession,
     orders: Topic,
@@ -166,6 +207,120 @@ def start_upsert(
     return _start(lines, "append", write, run, "upsert_orders")
 
 
+def start_preparation(
+    spark: SparkSession,
+    sales: str,
+    products: str,
+    path: str,
+    run: Run,
+    wait: str = "30 days",
+) -> StreamingQuery:
+    """Raw sales and product files to complete order rows as the files arrive, in any order. Both
+    folders must hold a file when the job first starts: their headers name the columns."""
+    own = _own_session(spark, run)
+    # In a batch without files of one side the planner takes other columns for never NULL, and the
+    # check of the state's layout would refuse that difference.
+    own.conf.set("spark.sql.streaming.stateStore.stateSchemaCheck", "false")
+    sides = [stream_csv(own, folder, read_csv(own, folder).columns) for folder in (sales, products)]
+    return (
+        prepare_streams(*sides, wait).writeStream.outputMode("append").queryName("prepare")
+        .format("parquet")
+        .option("checkpointLocation", f"{run.checkpoint}/prepare")
+        .trigger(**run.trigger).start(path)
+    )
+
+
+def start_checked(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+    key: str | None = "order_id",
+) -> StreamingQuery:
+    """Messages into `verdict=kept` and `verdict=rejected`, the latter with all reasons, in one
+    pass. Rejected ones keep their text, so that they can be mended and sent again."""
+    messages = orders.stream(_own_session(spark, run), run.limit)
+    judged = rejects.judge_messages(
+        messages.withColumn("position", F.struct(*ARRIVAL)), key, money=run.money,
+        keep=("position",)).withColumn("verdict", rejects.verdict())
+    return _start(judged, "append", sinks.rows_sink(path, "verdict"), run, "checked")
+
+
+def start_sketches(
+    spark: SparkSession,
+    results: Topic,
+    path: str,
+    run: Run,
+    metric: str = "aov_by_customer",
+    measure: str = "average_order_value",
+) -> StreamingQuery:
+    """A sketch of a measure's distribution per snapshot of a metric. A snapshot that comes in two
+    batches has two, which merge like any others."""
+    messages = results.stream(_own_session(spark, run), run.limit)
+    rows = readside.result_rows(messages, [measure]).where(F.col("metric") == metric).select(
+        "run_id", "epoch_id", measure)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        found = sketches.sketch(batch, ["run_id", "epoch_id"], measure).withColumnRenamed(
+            "run_id", "result_run")
+        store(found, batch_id)
+
+    store = sinks.rows_sink(path)
+    return _start(rows, "append", write, run, "sketches")
+
+
+def start_keyed_source(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+    key: str = "order_id",
+) -> StreamingQuery:
+    """Orders into the keyed table through the sink of `keyed_source`, which commits or aborts
+    each batch as a whole. No batch callback: tasks write what they hold, without a shuffle, and
+    reading keeps the last row of each key (`committed_rows`, `sinks.latest_orders`)."""
+    # In the caller's session, which knows the sink; there is no shuffle to have settings of its own.
+    keyed_source.register(spark)
+    messages = orders.stream(spark, run.limit).withColumn("position", F.struct(*ARRIVAL))
+    lines = wire_lines(messages, ("position",)).observe(
+        "upsert_input",
+        F.count("*").alias("lines"),
+        F.count_if(~has_key(key)).alias("without_key"),
+    )
+    rows = keyed.to_families(lines.where(has_key(key)), key, "position")
+    checkpoint = f"{run.checkpoint}/keyed_source"
+    return (
+        rows.writeStream.outputMode("append").queryName("keyed_source")
+        .format(keyed_source.NAME)
+        .option("path", path).option("run", keyed_source.run_name(checkpoint))
+        .option("checkpointLocation", checkpoint)
+        .trigger(**run.trigger).start()
+    )
+
+
+def start_variant_landing(
+    spark: SparkSession,
+    orders: Topic,
+    path: str,
+    run: Run,
+) -> StreamingQuery:
+    """Every message as a document of any shape: parsed once, on landing, into a variant that
+    is read by path (`parse.variant_lines`). No field is left out, as no schema is closed; `raw`
+    holds the text of messages that are no JSON, and is NULL for the others."""
+    messages = orders.stream(_own_session(spark, run), run.limit).withColumn(
+        "source", F.struct("topic", *ARRIVAL))
+    documents = as_variants(messages, ("source",)).withColumn(
+        "ingested_at", F.current_timestamp()).observe(
+        "landed", F.count("*").alias("messages"), F.count("raw").alias("malformed"))
+    return (
+        documents.writeStream.outputMode("append").queryName("land_variants")
+        .format("parquet")
+        .option("checkpointLocation", f"{run.checkpoint}/land_variants")
+        .trigger(**run.trigger)
+        .start(path)
+    )
+
+
 def start_landing(
     spark: SparkSession,
     orders: Topic,
@@ -199,6 +354,43 @@ def start_landing(
     )
 
 
+def _once_each(messages: DataFrame, within: str) -> DataFrame:
+    """The messages without repeats. The state holds what was read during the last `within`.
+
+    The clock is the time of reading, kept with each batch: unlike the time a message was sent
+    it never goes back, so no message is taken for a late one and lost."""
+    read = messages.withColumns({
+        "__identity": readside.identity(), "__read_at": F.current_timestamp()})
+    return read.withWatermark("__read_at", within).dropDuplicatesWithinWatermark(
+        ["__identity"]).select(*messages.columns)
+
+
+def start_recent(
+    spark: SparkSession,
+    results: Topic,
+    path: str,
+    run: Run,
+    schema: T.StructType,
+    order: list[str] | None = None,
+    repeats_within: str | None = "1 day",
+    expire_ms: int | None = None,
+) -> StreamingQuery:
+    """The last messages of every metric, kept as state of the stream. A batch stores the lists
+    it changed; read them with `recent_state.stored_last_messages`. A list that gets no message
+    for `expire_ms` leaves the state and is filled anew by the next one."""
+    own = _own_session(spark, run)
+    if expire_ms:  # a clock would keep a draining run going on batches without data for ever
+        own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    messages = results.stream(own, run.limit)
+    if repeats_within:
+        messages = _once_each(messages, repeats_within)
+    rows = readside.feed_rows(messages, schema)
+    wanted = rows.where(readside.has_metric() & ~readside.is_error())
+    lists = recent_state.last_messages(
+        wanted, "metric", order or ["position"], expire_ms=expire_ms)
+    return _start(lists, "append", sinks.rows_sink(path), run, "recent")
+
+
 def start_feed(
     spark: SparkSession,
     results: Topic,
@@ -206,12 +398,20 @@ def start_feed(
     run: Run,
     schema: T.StructType,
     order: list[str] | None = None,
+    repeats_within: str | None = "1 day",
 ) -> StreamingQuery:
     """The live feed of result messages: `feed` takes every message with a metric, `errors`
     the error messages, and `recent` holds the last messages of every metric. Messages with
     neither metric nor error are left out. `order` tells which messages are the last ones;
-    by default the order of arrival. One query reads the topic and writes all three."""
-    rows = readside.feed_rows(results.stream(_own_session(spark, run), run.limit), schema)
+    by default the order of arrival. One query reads the topic and writes all three. The run that
+    a message names is in `message_run_id`, next to `run_id`, the run that stored it.
+
+    A message that the log holds twice is taken once, if it is read again within
+    `repeats_within`; None turns that off."""
+    messages = results.stream(_own_session(spark, run), run.limit)
+    if repeats_within:
+        messages = _once_each(messages, repeats_within)
+    rows = sinks.beside_own(readside.feed_rows(messages, schema))
     rows = rows.observe(
         "feed_input", F.count("*").alias("messages"),
         F.count_if(readside.is_error()).alias("errors"),
@@ -225,11 +425,33 @@ def finish(queries: list[StreamingQuery]) -> None:
         query.awaitTermination()
 
 
-def run_until_any_ends(spark: SparkSession, queries: list[StreamingQuery]) -> None:
-    """Keep live queries running; when the first one ends or fails, so does the job."""
+def finish_changes(spark: SparkSession, query: StreamingQuery, path: str) -> None:
+    """Wait until a draining `start_metric_changes` has stopped. It has then read all there was
+    when it started, so its totals become the current ones."""
+    query.awaitTermination()
+    sinks.hand_over(spark, path, str(query.id))
+
+
+def _has_caught_up(query: StreamingQuery) -> bool:
+    """Has a live query been through some data and found no more?"""
+    progress = query.lastProgress
+    waiting = query.status["isDataAvailable"] or query.status["isTriggerActive"]
+    return progress is not None and not waiting
+
+
+def run_until_any_ends(
+    spark: SparkSession, queries: list[StreamingQuery], totals: list[str] | None = None
+) -> None:
+    """Keep live queries running; when the first one ends or fails, so does the job. `totals` are
+    the folders of the queries if these keep totals, which become the current ones once their
+    query has caught up with the topic."""
+    behind = list(zip(queries, totals or []))
     try:
         while all(query.isActive for query in queries):
             queries[0].awaitTermination(1)
+            for query, path in [pair for pair in behind if _has_caught_up(pair[0])]:
+                sinks.hand_over(spark, path, str(query.id))
+                behind.remove((query, path))
     finally:
         for query in queries:
             query.stop()

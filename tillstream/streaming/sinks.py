@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstream.operators import keyed, metrics, readside, recent
+from tillstream.schema import TOP_N, TREND_MINUTES
 from tillstream.sources.topics import Topic, exists, note_snapshot, snapshots
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -68,6 +69,16 @@ def one_pass_sink(topic: Topic, wanted: tuple[metrics.Metric, ...] = metrics.ALL
     )
 
 
+# What the sinks add to rows.
+OWN_COLUMNS = ("run_id", "batch_id", "stored_at")
+
+
+def beside_own(rows: DataFrame) -> DataFrame:
+    """Fields named like a column of the sinks, as those of result messages are, get the prefix
+    `message_`: both are kept."""
+    return rows.withColumnsRenamed({name: f"message_{name}" for name in OWN_COLUMNS})
+
+
 def rows_sink(path: str, split_by: str | None = None) -> BatchWriter:
     """The rows of each batch in a folder of their own, `run_id=.../batch_id=...`, with the
     time they were stored at; below that, if asked, a folder per value of a column."""
@@ -86,15 +97,166 @@ def rows_sink(path: str, split_by: str | None = None) -> BatchWriter:
 
 # Changed totals ------------------------------------------------------------------------
 
+# A run with a new checkpoint starts from nothing. Its totals count only once it has caught up,
+# which is recorded here, a hidden folder with one small file per run that did.
+_GENERATIONS = "_generations"
+_GENERATION_SCHEMA = "run string, since timestamp"
+
+
+def hand_over(spark: SparkSession, path: str, run: str) -> None:
+    """From now on the totals of this run are the current ones. A run takes over once: neither
+    a restart of it nor an older run that is still alive takes over again."""
+    place = f"{path}/{_GENERATIONS}/{run}"
+    if exists(spark, path) and not exists(spark, f"{place}/_SUCCESS"):
+        spark.createDataFrame([(run, None)], _GENERATION_SCHEMA).select(
+            "run", F.current_timestamp().alias("since")).coalesce(1).write.mode(
+            "overwrite").parquet(place)
+
+
+def current_run(spark: SparkSession, path: str) -> str | None:
+    """The run that took over last; before any did, the one that stored first. None if nothing
+    is stored. The driver gets one row."""
+    if exists(spark, f"{path}/{_GENERATIONS}"):
+        taken = spark.read.schema(_GENERATION_SCHEMA).option("recursiveFileLookup", "true").parquet(
+            f"{path}/{_GENERATIONS}")
+        last = taken.agg(F.max_by("run", F.struct("since", "run")).alias("run")).first().run
+        if last is not None:
+            return last
+    if not exists(spark, path):
+        return None
+    return spark.read.parquet(path).agg(F.min_by(
+        "run_id", F.struct("stored_at", "run_id")).alias("run")).first().run
+
+
 def current_totals(spark: SparkSession, path: str) -> DataFrame:
     """The totals that changed batches (`rows_sink` of `compute_all` in update mode) add up to:
-    of every key the row of its last batch, in the run that stored last."""
+    of every key the row of its last batch, in the current run."""
     changes = spark.read.parquet(path)
-    last_run = changes.agg(F.max_by("run_id", "stored_at")).scalar()
-    rows = changes.where(F.col("run_id") == last_run).drop("run_id", "stored_at")
+    run = F.lit(current_run(spark, path))
+    rows = changes.where(F.col("run_id") == run).drop("run_id", "stored_at")
     return keyed.latest_per_key(rows, ["key_set", "window_start", "key"], ["batch_id"])
 
 
+def compact_totals(spark: SparkSession, path: str, new_path: str) -> None:
+    """The current totals in a new folder, without the rows that later batches replaced.
+
+    Run it between two runs of the job and give the job the new folder. The totals lie there as
+    the last batch of the same run, so a job that goes on with its checkpoint adds its batches
+    behind them."""
+    run = current_run(spark, path)
+    last = spark.read.parquet(path).where(F.col("run_id") == F.lit(run)).agg(
+        F.max("batch_id").alias("last")).first().last
+    (
+        current_totals(spark, path).drop("batch_id")
+        .withColumn("stored_at", F.current_timestamp())
+        .hint("rebalance", "key_set")
+        .write.mode("overwrite").partitionBy("key_set")
+        .parquet(f"{new_path}/run_id={run}/batch_id={last}")
+    )
+    hand_over(spark, new_path, run)
+
+
+# Top lists -----------------------------------------------------------------------------
+
+def best_sink(path: str, metric: metrics.Metric, buckets: int | None = None) -> BatchWriter:
+    """A top list kept up from the totals that each batch changed.
+
+    Totals lie in buckets of keys. A batch stores the totals it changed and ranks again only the
+    buckets these fall into; the list of a bucket is no longer than the top list. The other
+    buckets' lists stay as they are, and reading puts all lists together."""
+    buckets = buckets or BUCKETS
+    store = rows_sink(f"{path}/totals", "bucket")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, run = batch.sparkSession, run_id(batch)
+        store(batch.withColumn("bucket", bucket_of(F.coalesce(
+            F.col(metric.key).cast("string"), F.lit("")), buckets)), batch_id)
+        stored = spark.read.option("basePath", f"{path}/totals").parquet(
+            f"{path}/totals/run_id={run}").where(F.col("batch_id") <= batch_id)
+        changed = [row.bucket for row in stored.where(F.col("batch_id") == batch_id).select(
+            "bucket").distinct().collect()]  # at most as many as there are buckets
+        totals = keyed.latest_per_key(
+            stored.where(F.col("bucket").isin(changed)).drop("run_id", "stored_at"),
+            ["bucket", metric.key], ["batch_id"]).drop("batch_id")
+        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(
+            F.desc(metric.top_by), F.asc(metric.key)))
+        best = totals.withColumn("__rank", rank).where(F.col("__rank") <= TOP_N).drop("__rank")
+        best.write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{path}/best/run_id={run}/batch_id={batch_id}")
+
+    return write
+
+
+def current_best(spark: SparkSession, path: str, metric: metrics.Metric) -> DataFrame:
+    """The top list as it stands, from the newest list of every bucket, in the current run."""
+    lists = spark.read.parquet(f"{path}/best").where(
+        F.col("run_id") == F.lit(current_run(spark, f"{path}/totals")))
+    newest = lists.groupBy("bucket").agg(F.max("batch_id").alias("batch_id"))
+    return metric.finish(lists.join(newest, ["bucket", "batch_id"], "left_semi"))
+
+
+# A trend that closes -------------------------------------------------------------------
+
+_CLOSED = "_closed"
+_CLOSED_SCHEMA = "batch long, closed timestamp"
+
+
+def trend_sink(path: str, metric: metrics.Metric, lateness: str) -> BatchWriter:
+    """Windows close `lateness` after the latest event time of the batches before. Lines of open
+    windows are added up per batch, with no state in between; lines of closed ones are late and
+    kept as they are. A batch that runs again meets the same windows closed."""
+    trend, late = rows_sink(f"{path}/trend"), rows_sink(f"{path}/late")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, place = batch.sparkSession, f"{path}/{_CLOSED}/{run_id(batch)}"
+        closed = None
+        if exists(spark, place):
+            closed = spark.read.schema(_CLOSED_SCHEMA).parquet(place).where(
+                F.col("batch") < batch_id).agg(F.max("closed").alias("x")).first().x
+        lines = batch.persist()
+        try:
+            end = F.window("timestamp", f"{TREND_MINUTES} minutes")["end"]
+            is_late = F.coalesce(end <= F.lit(closed).cast("timestamp"), F.lit(False))
+            trend(metric.totals(lines.where(~is_late)), batch_id)
+            late(lines.where(is_late), batch_id)
+            spark.range(1).select(F.lit(batch_id).cast("long").alias("batch")).join(
+                lines.agg(F.greatest(F.max("timestamp") - F.expr(f"INTERVAL {lateness}"), F.lit(
+                    closed).cast("timestamp")).alias("closed"))).coalesce(1).write.mode(
+                "overwrite").parquet(f"{place}/batch={batch_id}")
+        finally:
+            lines.unpersist()
+
+    return write
+
+
+def restate_trend(spark: SparkSession, path: str, metric: metrics.Metric) -> None:
+    """Adds the late lines that have come since the last correction to their closed windows."""
+    if not exists(spark, f"{path}/late"):
+        return
+    late, done = spark.read.parquet(f"{path}/late"), f"{path}/corrections"
+    if exists(spark, done):
+        corrected = spark.read.parquet(done).select("run_id", F.col("upto").cast("long").alias(
+            "upto")).groupBy("run_id").agg(F.max("upto").alias("upto"))
+        late = late.join(corrected, "run_id", "left").where(
+            F.col("upto").isNull() | (F.col("batch_id") > F.col("upto"))).drop("upto")
+    # One value per run of the job.
+    for run, upto in late.groupBy("run_id").agg(F.max("batch_id")).collect():
+        mine = late.where((F.col("run_id") == run) & (F.col("batch_id") <= upto))
+        metric.totals(mine).write.mode("overwrite").parquet(f"{done}/run_id={run}/upto={upto}")
+
+
+def stored_trend(
+    spark: SparkSession, path: str, metric: metrics.Metric, corrected: bool = True
+) -> DataFrame:
+    """The windows as they stand, with corrections or without."""
+    columns = ["window", metric.key, *[m.name for m in metric.measures]]
+    parts = spark.read.parquet(f"{path}/trend").select(*columns)
+    if corrected and exists(spark, f"{path}/corrections"):
+        parts = parts.union(spark.read.parquet(f"{path}/corrections").select(*columns))
+    return parts.groupBy("window", metric.key).agg(
+        *[F.sum(m.name).alias(m.name) for m in metric.measures])
+
+
 # The keyed table -----------------------------------------------------------------------
 
 BUCKETS = 16
@@ -165,6 +327,27 @@ def compact_orders(
     )
 
 
+def create_orders_table(spark: SparkSession, name: str, path: str) -> None:
+    """Register what the upsert job writes for SQL: the table `name` with one current row per
+    key, and the table function `name_of(key)`, which opens one bucket. Does nothing if both are
+    there; the folder may be empty, compacted or not."""
+    keyed.create_keyed_table(spark, name, path)
+    keyed.create_lookup(spark, f"{name}_of", path, BUCKETS)
+
+
+def save_bucketed(
+    rows: DataFrame, name: str, path: str, key: str = "row_key", buckets: int = BUCKETS
+) -> None:
+    """Rows as a catalog table in buckets of a key, sorted within. Tables bucketed alike are
+    joined and grouped by the key where they lie, without a shuffle. Every task gets whole
+    buckets, so a bucket is one file; a key that holds a large part of the rows belongs into a
+    table by another key."""
+    (
+        rows.repartition(buckets, key).write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    )
+
+
 # The feed ------------------------------------------------------------------------------
 
 def recent_sink(
