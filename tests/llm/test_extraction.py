@@ -41,6 +41,105 @@ def test_the_copyright_word_counts_anywhere_in_a_block():
     assert "sign:copyright" in X.text_features(block)
 
 
+@pytest.mark.parametrize("page", [
+    "<div>x" * 100_000, "<div>" * 100_000 + "x" + "</div>" * 100_000, "<a " * 100_000,
+    '<a "' * 100_001, "<p " + "<b '\"> " * 100_001, "<ul><li>x" * 50_000, "<b>" * 100_000 + "</i>" * 100_000,
+    "<![CDATA[x" * 50_000, "<!" * 100_000, "<script>" * 100_000, "<table><tr><td>" * 50_000,
+    '<div class="a b">' * 100_000 + "x", "<" * 200_000], ids=lambda page: page[:12])
+def test_deep_and_broken_pages_take_linear_time(page):
+    import time
+    start = time.process_time()
+    X.main_text(X.trained(), page)
+    assert time.process_time() - start < 8
+
+
+def test_text_that_is_shown_is_kept():
+    assert texts("<p>Let <math><mi>x</mi></math> be.</p>") == ["Let x be."]
+    assert texts("<p>a <object>b</object> <audio>c</audio> <canvas>d</canvas></p>") == ["a b c d"]
+    block = X.blocks("<p><a href=/x/>abc</a> d")[0]
+    assert (block.text, block.linked) == ("abc d", 3)
+    assert texts("<p><a name='x'/>a</p><br/>b<div />c") == ["a", "b", "c"]
+
+
+def test_names_of_several_languages_and_humps():
+    block = X.blocks('<div class="leserKommentare fußzeile-2">x</div>')[0]
+    assert block.path == (("div", ("leser", "kommentare", "fußzeile")),)
+    assert {"hint:talk", "hint:bottom"} <= block.node.features
+    assert "hint:unknown" in X.blocks('<div class="xqz">x</div>')[0].node.features
+
+
+def test_place_to_the_box_of_most_prose():
+    page = X.blocks("<body><div>menu</div><div><p>One two.</p><div>three</div><p>Four five.</p>"
+                    "</div>six<div>seven</div></body>")
+    assert [p for (p,) in X.place_features(page)] == [
+        "box:before", "box:in", "box:inside", "box:in", "box:after", "box:after"]
+    assert X.place_features(X.blocks("<p>no prose")) == [("box:nowhere",)]
+
+
+# Pages written by hand: (page, main text). Names in several languages, some that say nothing.
+ARTICLE_DE = ["Die Brücke wird gesperrt", "Ab Montag ist die alte Brücke für sechs Wochen gesperrt.",
+              "Der Verkehr wird über die Nordstraße geleitet, teilte die Stadt mit.",
+              "Fußgänger können weiter passieren."]
+ARTICLE_FR = ["Le marché change de place", "Le marché du samedi aura lieu sur la place de la gare.",
+              "Les travaux doivent durer jusqu'en juin, selon la mairie.",
+              "Les commerçants sont plutôt contents."]
+ARTICLE_ES = ["La biblioteca abre los domingos", "Desde mayo la biblioteca abre también los domingos.",
+              "El horario será de diez a dos, dijo la directora.", "La entrada es libre."]
+ARTICLE_EN = ["How the mill was saved", "For thirty years nobody thought the mill could be repaired.",
+              "Then a group of neighbours began to meet every week.",
+              "This spring the wheel turned again."]
+
+
+def _p(lines):
+    return f"<h1>{lines[0]}</h1>" + "".join(f"<p>{line}</p>" for line in lines[1:])
+
+
+def _links(*names):
+    return "<ul>" + "".join(f"<li><a href=#>{n}</a></li>" for n in names) + "</ul>"
+
+
+HAND = [
+    (f'<div class="navigation">{_links("Start", "Politik", "Sport")}</div><div class="beitrag">'
+     f'{_p(ARTICLE_DE)}</div><div class="kommentare"><h3>Kommentare</h3><div class="kommentar"><p>'
+     "Endlich passiert da etwas.</p></div><div class=kommentar><p>Und wer zahlt das alles?</p></div>"
+     '</div><div class="fuss">Alle Rechte vorbehalten. Impressum</div>', ARTICLE_DE),
+    (f'<div id="entete"><a href=/>Le Journal</a></div><div id="corps">{_p(ARTICLE_FR)}</div>'
+     '<div id="commentaires"><p>Enfin une bonne nouvelle pour la ville.</p></div>'
+     "<div id=pied>Tous droits réservés.</div>", ARTICLE_FR),
+    (f'<nav>{_links("Inicio", "Cultura")}</nav><main>{_p(ARTICLE_ES)}</main>'
+     '<section class="comentarios"><p>Ya era hora de que abriera.</p></section>'
+     '<footer>© El Diario</footer>', ARTICLE_ES),
+    (f'<div class="zx1">{_links("Home", "News", "Sport", "Weather")}</div><div class="qq7">'
+     f'{_p(ARTICLE_EN)}</div><div class="kk3"><a href=#>One</a> <a href=#>Two</a></div>', ARTICLE_EN),
+    (f'<header><h2>Valley News</h2></header><article>{_p(ARTICLE_EN)}</article>'
+     f'<aside><h4>More</h4>{_links("A story", "Another story")}</aside>', ARTICLE_EN),
+    (f'<div id=cookieNotice><p>Wir verwenden Cookies. Bitte stimmen Sie zu.</p><button>OK</button>'
+     f'</div><article class=artikel>{_p(ARTICLE_DE)}</article>', ARTICLE_DE),
+    (f'<div class="publicidad"><p>Compre ahora y ahorre mucho.</p></div><div class="contenido">'
+     f"{_p(ARTICLE_ES)}</div>", ARTICLE_ES),
+    (f'<table><tr><td class="menu">{_links("Un", "Deux")}</td><td class="contenu">'
+     f"{_p(ARTICLE_FR)}</td></tr></table>", ARTICLE_FR),
+    (f'<main><article>{_p(ARTICLE_EN)}</article><form><p>Get our letter every week.</p>'
+     "<label>Mail</label><input></form></main>", ARTICLE_EN),
+    (f'<div class="werbung">Jetzt neu im Handel.</div><section class="inhalt">{_p(ARTICLE_DE)}'
+     "</section><div class=teilen><a href=#>Teilen</a></div>", ARTICLE_DE),
+    (f'<article>{_p(ARTICLE_ES)}</article><div class="suscripcion"><p>Reciba el boletín cada día.'
+     "</p></div><footer><p>Aviso legal</p></footer>", ARTICLE_ES),
+    (f'<div class="seitenleiste"><h3>Weitere</h3>{_links("Rathaus", "Schule")}</div>'
+     f'<div class="haupttext">{_p(ARTICLE_DE)}</div>', ARTICLE_DE),
+]
+
+
+def test_pages_written_by_hand():
+    right = found = wanted = 0
+    for page, lines in HAND:
+        got = X.main_text(X.trained(), f"<html><body>{page}</body></html>").split("\n")
+        right += len(set(got) & set(lines))
+        found += len([g for g in got if g])
+        wanted += len(lines)
+    assert 2 * right / (found + wanted) > 0.95, (right, found, wanted)
+
+
 def test_ancestors_and_links():
     block = X.blocks('<div class="side-bar Main"><p id=x>ab <a href=y>cd</a></p></div>')[0]
     assert block.path == (("div", ("side", "bar", "main")), ("p", ("x",)))

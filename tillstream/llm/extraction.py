@@ -2,8 +2,10 @@
 
 A page is read into its leaf blocks: stretches of text between block elements, each with the
 open elements around it. The field labels the blocks as main text or not, from the tags, classes
-and ids of the ancestors, from the text (length, links, sentence ends, telling words) and from
-the label of the block before; Viterbi finds the best labels of a page.
+and ids of the ancestors, from the text (length, links, sentence ends, telling words), from where
+a block lies to the box that holds most of the page's prose, and from the label of the block
+before; Viterbi finds the best labels of a page. Names are known in several languages; of a name
+that is not known only that it is there counts, so that the place and the text decide.
 
 The field is trained here, on labelled pages in many layouts that `labelled_pages` writes: their
 parts are known as they are put together. Their number is a parameter, nothing is downloaded.
@@ -12,7 +14,8 @@ Results: NULL and empty pages have an empty text. White space in a block becomes
 blocks are trimmed, empty ones left out, and main blocks joined by line ends in page order.
 Character references are decoded. Scripts, styles, titles, controls and comments are no blocks.
 Unclosed and misnested tags are tolerated as browsers do for the common cases; a head without its
-end tag ends before the first tag or text that cannot stand in it. Other columns are
+end tag ends before the first tag or text that cannot stand in it. A page is read in time linear in
+its length, however deep its elements nest and whatever it leaves open. Other columns are
 left out, so clashing names do no harm; repeated rows give repeated results.
 """
 
@@ -21,7 +24,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 from html import unescape
 
@@ -38,8 +41,7 @@ SEED = 11
 # Element names of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head template noscript svg math object select button audio video canvas "
-                   "datalist dialog".split())
+HIDDEN = frozenset("head template noscript svg select button datalist dialog".split())
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style "
                     "template title".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details div dl dt fieldset "
@@ -52,159 +54,338 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"},
           "td": {"table"}, "th": {"table"}, "tbody": {"table"}}
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)",
                     re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+_HUMP = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])")
+_PART = re.compile(r"[^\W\d_]+")
+# A slash that belongs to an address without quotes closes nothing.
+_CLOSED = re.compile(r"(?:^|[\s\"'])/$")
+
+
+class Node:
+    """An open element: what it and the elements around it say, made once for each."""
+
+    __slots__ = ("around", "tag", "names", "features", "box", "start", "end", "prose", "place")
+
+    def __init__(self, around: "Node | None", tag: str, names: tuple[str, ...], place: int):
+        self.around, self.tag, self.names, self.place = around, tag, names, place
+        self.features = path_features(around.features if around else NO_FEATURES, tag, names)
+        # The nearest element that holds whole parts of a page, not one paragraph or cell.
+        self.box = self if tag in BOXES or around is None else around.box
+        self.start, self.end, self.prose = 0, 0, 0  # numbers of the first block, and behind it
+
+    @property
+    def path(self) -> tuple:
+        """(tag, names) from the outermost element in."""
+        out, node = [], self
+        while node.around is not None:
+            out.append((node.tag, node.names))
+            node = node.around
+        return tuple(reversed(out))
+
+
+# Elements that hold whole parts of a page.
+BOXES = frozenset("html body address article aside div details dialog form header footer main menu "
+                  "nav search section td center fieldset".split())
 
 
 @dataclass
 class BlockOfText:
-    path: tuple  # of (tag, names) from the outermost element in
+    node: Node  # the innermost open element
     text: str
     linked: int  # characters inside links
 
+    @property
+    def path(self) -> tuple:
+        return self.node.path
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     out = []
     for _, value in _NAMED.findall(attributes):
-        out.extend(p.lower() for p in _PART.findall(value))
-    return tuple(dict.fromkeys(p for p in out if not p.isdigit()))
+        out.extend(p.lower() for p in _PART.findall(_HUMP.sub(" ", value)))
+    return tuple(dict.fromkeys(out))
 
 
-def blocks(html: str | None) -> list[BlockOfText]:
-    """The leaf blocks of a page in order."""
-    html = html or ""
-    found: list[BlockOfText] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
-    parts: list[str] = []
-    linked = hidden = links = 0
-    place = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
+@dataclass
+class _Tag:
+    start: int
+    end: int
+    name: str = ""  # empty for comments and declarations
+    closes: bool = False
+    attributes: str = ""
+    data: str = ""  # text of a CDATA section
+
+
+def _tags(html: str) -> Iterator[_Tag | None]:
+    """The tags of a page. The caller sends where to go on, or None for the end of the last tag.
+
+    Every character is looked at a bounded number of times: what has been searched for in vain is
+    not searched for again, and after one tag whose quotes never end, quotes count for nothing.
+    """
+    position, quotes, ends = 0, True, {}
+
+    def find(what: str, start: int) -> int:
+        if what not in ends:
+            at = html.find(what, start)
+            if at >= 0:
+                return at
+            ends[what] = True
+        return -1
+
+    def tag_end(start: int) -> int:
+        """Where the tag's `>` is; -1 if there is none."""
+        nonlocal quotes
+        at = start
+        while quotes:
+            mark = _MARK.search(html, at)
+            if mark is None:
+                quotes = False
+            elif mark[0] == ">":
+                return mark.start()
+            else:
+                close = find(mark[0], mark.end())
+                if close < 0:
+                    quotes = False
+                at = close + 1
+        return find(">", start)
+
+    while (start := find("<", position)) >= 0:
+        following = html[start + 1:start + 2]
+        tag = None
+        if following in ("!", "?"):
+            if html.startswith("<!--", start):
+                end = find("-->", start + 4)
+                tag = _Tag(start, end + 3 if end >= 0 else len(html))
+            elif html.startswith("<![CDATA[", start):
+                end = find("]]>", start + 9)
+                tag = _Tag(start, end + 3 if end >= 0 else len(html),
+                           data=html[start + 9:end if end >= 0 else len(html)])
+            elif (end := find(">", start)) >= 0:
+                tag = _Tag(start, end + 1)
+        else:
+            closes = following == "/"
+            name = _NAME.match(html, start + 1 + closes)
+            if name is not None and (end := tag_end(name.end())) >= 0:
+                tag = _Tag(start, end + 1, name[0].lower(), closes, html[name.end():end])
+        if tag is None:
+            position = start + 1
+        else:
+            sent = yield tag
+            position = tag.end if sent is None else sent
+
+
+class _Reader:
+    """The open elements of a page, by place and by name."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.root = Node(None, "", (), -1)
+        self.open: list[Node] = [self.root]
+        self.places: dict[str, list[int]] = {}  # where elements of a name are open, in order
+        self.found: list[BlockOfText] = []
+        self.parts: list[str] = []
+        self.linked = self.hidden = self.links = 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
             if text:
-                found.append(BlockOfText(tuple(path), text, linked))
-            parts.clear()
-            linked = 0
+                self.found.append(BlockOfText(self.open[-1], text, self.linked))
+            self.parts.clear()
+            self.linked = 0
 
-    def add(text: str) -> None:
-        nonlocal linked
-        if hidden or not text:
+    def add(self, text: str) -> None:
+        if self.hidden or not text:
             return
         if "&" in text:
             text = unescape(text)
-        parts.append(text)
-        if links:
-            linked += len(text.strip())
-
-    def close(depth: int) -> None:
+        self.parts.append(text)
+        if self.links:
+            self.linked += len(text.strip())
+
+    def enter(self, name: str, attributes: str) -> None:
+        node = Node(self.open[-1], name, _names(attributes) if "=" in attributes else (),
+                    len(self.open))
+        node.start = len(self.found)
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(node)
+        self.hidden += name in HIDDEN
+        self.links += name == "a"
+
+    def close(self, depth: int) -> None:
         """Closes the elements from `depth` on."""
-        nonlocal hidden, links
-        if any(tag in BLOCK for tag, _ in path[depth:]):
-            flush()
-        for tag, _ in path[depth:]:
-            hidden -= tag in HIDDEN
-            links -= tag == "a"
-        del path[depth:]
-
-    def leave_head() -> None:
+        if any(node.tag in BLOCK for node in self.open[depth:]):
+            self.flush()
+        for node in self.open[depth:]:
+            node.end = len(self.found)
+            self.hidden -= node.tag in HIDDEN
+            self.links -= node.tag == "a"
+            self.places[node.tag].pop()
+        del self.open[depth:]
+
+    def innermost(self, tags, scope=frozenset()) -> int:
+        """The place of the innermost open element of `tags`, unless one of `scope` is nearer."""
+        last = lambda names: max((self.places[n][-1] for n in names
+                                  if self.places.get(n)), default=-1)
+        at = last(tags)
+        return at if at > last(scope) else -1
+
+    def leave_head(self) -> None:
         """Closes a head that is still open before what cannot stand in it."""
-        if path and path[-1][0] == "head":
-            close(len(path) - 1)
-
-    def innermost(tags, scope=frozenset()) -> int:
-        for i in range(len(path) - 1, -1, -1):
-            if path[i][0] in tags:
-                return i
-            if path[i][0] in scope:
-                break
-        return -1
-
-    position = 0
-    while (tag := _TAG.search(html, position)) is not None:
-        if text := html[place:tag.start()]:
-            if text.strip():
-                leave_head()
-            add(text)
-        place = position = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            if tag[0].startswith("<![CDATA["):
-                add(tag[0][9:].removesuffix("]]>"))
-            continue
-        if tag[1] or tag[4]:  # an end tag
-            if name == "br":
-                parts.append("\n")
-            elif (at := innermost({name})) >= 0:
-                close(at)
-            continue
-        attributes = tag[3] if tag[2] else tag[6] or ""
-        if name not in IN_HEAD:
-            leave_head()
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, position)
-            place = position = end.end() if end else len(html)
-            continue
+        if self.open[-1].tag == "head":
+            self.close(len(self.open) - 1)
+
+    def read(self) -> list[BlockOfText]:
+        html, place = self.html, 0
+        ends: dict[str, re.Pattern] = {}
+        tags = _tags(html)
+        tag = next(tags, None)
+        while tag is not None:
+            if text := html[place:tag.start]:
+                if text.strip():
+                    self.leave_head()
+                self.add(text)
+            place = tag.end
+            name, resume = tag.name, None
+            if not name:
+                self.add(tag.data)
+            elif tag.closes:
+                if name == "br":
+                    self.parts.append("\n")
+                elif (at := self.innermost({name})) >= 0:
+                    self.close(at)
+            else:
+                if name not in IN_HEAD:
+                    self.leave_head()
+                if name in RAW:
+                    if name not in ends:
+                        ends[name] = re.compile(rf"</{name}\b[^>]*>?", re.I)
+                    end = ends[name].search(html, place)
+                    place = resume = end.end() if end else len(html)
+                else:
+                    self.start(name, tag.attributes)
+            try:
+                tag = tags.send(resume)
+            except StopIteration:
+                tag = None
+        if html[place:].strip():
+            self.leave_head()
+        self.add(html[place:])
+        self.flush()
+        for node in self.open:
+            node.end = len(self.found)
+        for block in self.found:
+            if block.linked * 2 < len(block.text) and _SIGNS.search(block.text):
+                block.node.box.prose += len(block.text)
+        return self.found
+
+    def start(self, name: str, attributes: str) -> None:
         if name in BLOCK:
-            if (at := innermost({"p"}, {"table", "td", "th", "li"})) >= 0 and name not in (
-                    "html", "body"):
-                close(at)
-            for depth in iter(lambda: innermost(CLOSES.get(name, ()), SCOPES.get(name, ())), -1):
-                close(depth)
-            flush()
+            if name not in ("html", "body") and (
+                    at := self.innermost({"p"}, {"table", "td", "th", "li"})) >= 0:
+                self.close(at)
+            while (at := self.innermost(CLOSES.get(name, ()), SCOPES.get(name, ()))) >= 0:
+                self.close(at)
+            self.flush()
         if name == "br":
-            parts.append("\n")
-        elif name not in VOID and not attributes.endswith("/"):
-            path.append((name, _names(attributes) if "=" in attributes else ()))
-            hidden += name in HIDDEN
-            links += name == "a"
-    if html[place:].strip():
-        leave_head()
-    add(html[place:])
-    flush()
-    return found
+            self.parts.append("\n")
+        elif name not in VOID and not _CLOSED.search(attributes):
+            self.enter(name, attributes)
+
+
+def blocks(html: str | None) -> list[BlockOfText]:
+    """The leaf blocks of a page in order."""
+    return _Reader(html or "").read()
 
 
 # --- features ----------------------------------------------------------------------------------
 
-# Words that tell about a part of a page when they stand in a class, an id or a short text.
+# Words that tell about a part of a page when they stand in a class, an id or a short text, in
+# English, German, French, Spanish, Italian, Portuguese and Dutch.
 HINTS = {
-    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs",
-    "top": "header masthead topbar top logo brand site tagline branding",
-    "bottom": "footer bottom copyright colophon legal imprint",
-    "side": "sidebar side aside widget related recommended popular trending more rail teaser",
-    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promoted banner adsense",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay disclaimer privacy",
-    "form": "form newsletter subscribe signup login register search input contact subscription",
-    "talk": "comment comments reply replies discussion respond disqus thread reviews",
-    "share": "share sharing social follow meta tags tag byline author date print",
-    "main": "content article post entry story main text body page single blog news",
+    "menu": "nav navbar navigation menu breadcrumb breadcrumbs toc pagination pager tabs menü menue "
+            "hauptmenü navi brotkrumen navegación navegacion navegação navigazione sommaire índice "
+            "navigatie kruimelpad",
+    "top": "header masthead topbar top logo brand site tagline branding kopf kopfzeile seitenkopf "
+           "entête entete cabecera encabezado testata intestazione cabeçalho cabecalho koptekst",
+    "bottom": "footer bottom copyright colophon legal imprint fuss fuß fusszeile fußzeile impressum "
+              "pied mentions pie aviso rodapé rodape piè voettekst colofon",
+    "side": "sidebar side aside widget related recommended popular trending more rail teaser "
+            "seitenleiste randspalte seitenspalte latérale laterale lateral barra ähnliche weitere "
+            "verwandte relacionados relacionadas correlati zijbalk gerelateerd associés",
+    "ad": "ad ads advert adverts advertisement sponsor sponsored promo promoted banner adsense "
+          "werbung anzeige anzeigen reklame publicité publicite pub publicidad anuncio anuncios "
+          "pubblicità pubblicita sponsorisé patrocinado publicidade reclame advertentie",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay disclaimer privacy "
+              "hinweis hinweise datenschutz einwilligung zustimmung avis consentement "
+              "confidentialité privacidad consentimiento avviso privacidade melding",
+    "form": "form newsletter subscribe signup login register search input contact subscription "
+            "formular anmeldung anmelden suche kontakt rundbrief formulaire inscription recherche "
+            "formulario suscripción suscripcion buscar iscrizione modulo cerca inscrição pesquisa "
+            "aanmelden zoeken",
+    "talk": "comment comments reply replies discussion respond disqus thread reviews kommentar "
+            "kommentare kommentarbereich antworten leserbriefe meinungen diskussion commentaire "
+            "commentaires réactions comentario comentarios opiniones comentário comentários commenti "
+            "commento reacties reactie opmerkingen",
+    "share": "share sharing social follow meta tags tag byline author date print teilen folgen autor "
+             "schlagworte partager suivre auteur compartir seguir condividi seguici partilhar delen "
+             "volgen",
+    "main": "content article post entry story main text body page single blog news inhalt beitrag "
+            "artikel haupttext nachricht meldung contenu corps texte contenido artículo articulo "
+            "texto noticia contenuto articolo testo conteúdo artigo bericht inhoud tekst",
 }
 _HINT = {word: hint for hint, words in HINTS.items() for word in words.split()}
-_SIGNS = re.compile(r"[.!?…。][\"'”»)]*$")
-
-
-def path_features(path: tuple) -> tuple[str, ...]:
-    """What the ancestors say: their tags, the last tag, their names and what these hint at."""
-    out = {f"in:{tag}" for tag, _ in path}
-    block = next((tag for tag, _ in reversed(path) if tag in BLOCK), "none")
-    out.add(f"last:{block}")
-    deepest = None
-    for tag, names in path:
-        for name in names:
-            if name in _HINT:
-                out.add(f"hint:{_HINT[name]}")
-                deepest = _HINT[name]
-        if tag in ("nav", "header", "footer", "aside", "form", "article", "main"):
-            deepest = tag
-    out.add(f"deepest:{deepest}")
-    return tuple(sorted(out))
+_SIGNS = re.compile(r"[.!?…。！？]['\"’”»)」]*$")
+_RIGHTS = re.compile(r"©|copyright|all rights reserved|alle rechte vorbehalten|tous droits réservés|"
+                     r"todos los derechos|tutti i diritti|todos os direitos|alle rechten", re.I)
+NO_FEATURES = frozenset({"last:none", "deepest:None"})
+
+
+def path_features(around: frozenset, tag: str, names: tuple[str, ...]) -> frozenset:
+    """What an element and those around it say: their tags, the last block's tag, their names
+    and what these hint at. `around` is what the next element outwards says."""
+    hints = [_HINT[name] for name in names if name in _HINT]
+    out = {f"in:{tag}", *[f"hint:{hint}" for hint in hints]}
+    if names and not hints:
+        out.add("hint:unknown")
+    replaced = set()
+    if tag in BLOCK:
+        replaced.add("last:")
+        out.add(f"last:{tag}")
+    deepest = hints[-1] if hints else None
+    if tag in ("nav", "header", "footer", "aside", "form", "article", "main"):
+        deepest = tag
+    if deepest is not None:
+        replaced.add("deepest:")
+        out.add(f"deepest:{deepest}")
+    if out <= around:
+        return around
+    return frozenset(f for f in around if f[:f.index(":") + 1] not in replaced) | out
+
+
+def place_features(page: list[BlockOfText]) -> list[tuple[str, ...]]:
+    """Where each block lies to the box with most prose: in it, in a box inside or around it, or
+    elsewhere, before or after."""
+    boxes = {id(b.node.box): b.node.box for b in page}
+    main = max(boxes.values(), key=lambda box: box.prose, default=None)
+    out = []
+    for number, block in enumerate(page):
+        box = block.node.box
+        if not main.prose:
+            where = "nowhere"
+        elif box is main:
+            where = "in"
+        elif box.start >= main.start and box.end <= main.end and box.place > main.place:
+            where = "inside"
+        elif number < main.start:
+            where = "before"
+        else:
+            where = "after" if number >= main.end else "around"
+        out.append((f"box:{where}",))
+    return out
 
 
 def text_features(block: BlockOfText) -> tuple[str, ...]:
@@ -215,10 +396,10 @@ def text_features(block: BlockOfText) -> tuple[str, ...]:
     out = [f"words:{min(words.bit_length(), 7)}",
            f"links:{0 if density == 0 else 1 if density < 0.3 else 2 if density < 0.8 else 3}",
            f"ends:{bool(_SIGNS.search(text))}"]
-    if "©" in text or "copyright" in text.lower():
+    if _RIGHTS.search(text):
         out.append("sign:copyright")
     if words <= 12:
-        hints = {_HINT[w] for w in re.findall(r"[a-z]+", text.lower()) if w in _HINT}
+        hints = {_HINT[w] for w in _PART.findall(text.lower()) if w in _HINT}
         out.extend(f"says:{h}" for h in hints if h not in ("main", "top"))
     return tuple(out)
 
@@ -232,21 +413,16 @@ class Chain:
     weights: dict[str, float]
     moves: np.ndarray  # [label before, label], 1 is main text
     first: np.ndarray
-    _paths: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {"weights": self.weights, "moves": self.moves, "first": self.first, "_paths": {}}
 
     def values(self, page: list[BlockOfText]) -> list[float]:
-        out = []
-        for block in page:
-            value = self._paths.get(block.path)
-            if value is None:
-                if len(self._paths) > 100_000:
-                    self._paths.clear()
-                value = sum(self.weights.get(f, 0.0) for f in path_features(block.path))
-                self._paths[block.path] = value
-            out.append(value + sum(self.weights.get(f, 0.0) for f in text_features(block)))
+        out, known = [], {}
+        for block, place in zip(page, place_features(page)):
+            said = block.node.features
+            if said not in known:
+                # In one order, so that equal pages have equal sums.
+                known[said] = sum(self.weights.get(f, 0.0) for f in sorted(said))
+            out.append(known[said] + sum(
+                self.weights.get(f, 0.0) for f in (*place, *text_features(block))))
         return out
 
     def label(self, page: list[BlockOfText]) -> list[bool]:
@@ -277,9 +453,9 @@ def train(pages: list[tuple[list[BlockOfText], list[bool]]], epochs: int = EPOCH
     mask = np.zeros((len(pages), length), bool)
     truth = np.zeros((len(pages), length), np.int64)
     for i, (page, labels) in enumerate(pages):
-        for j, (block, label) in enumerate(zip(page, labels)):
+        for j, (block, label, place) in enumerate(zip(page, labels, place_features(page))):
             mask[i, j], truth[i, j] = True, int(label)
-            for f in (*path_features(block.path), *text_features(block)):
+            for f in (*sorted(block.node.features), *place, *text_features(block)):
                 rows.append(i * length + j)
                 ids.append(features.setdefault(f, len(features)))
     rows, ids = np.array(rows), np.array(ids)
@@ -346,7 +522,9 @@ class _Writer:
         pick = self.random
         words = HINTS[hint].split()
         name = pick.choice(words)
-        if pick.random() < 0.4:
+        if pick.random() < 0.2:  # a name that nobody knows
+            name = self.words(1, 1)
+        elif pick.random() < 0.4:
             name += pick.choice(["-", "_", " "]) + pick.choice(
                 ["box", "wrap", "inner", "area", "list", "block", pick.choice(words)])
         style = pick.random()
@@ -491,7 +669,7 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED
                     on = False
             text = " ".join(block.text.replace(_ON, "").replace(_OFF, "").split())
             if text:
-                page.append(BlockOfText(block.path, text, min(block.linked, len(text))))
+                page.append(BlockOfText(block.node, text, min(block.linked, len(text))))
                 labels.append(switched)
         if page:
             yield page, labels
