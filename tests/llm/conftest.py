@@ -33,7 +33,8 @@ def clashing(odd_documents):
 
     table = odd_documents
     for name in ("bits", "key", "ids", "decoded", "spans", "score", "host", "line", "page", "row",
-                 "fingerprint", "n_words", "items", "toxic", "words", "_range", "_text"):
+                 "fingerprint", "n_words", "items", "toxic", "words", "_range", "_text", "_site",
+                 "_site_lines", "site", "lines"):
         table = table.withColumn(name, F.lit("clash"))
     return table
 

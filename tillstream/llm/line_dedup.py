@@ -9,7 +9,8 @@ meets in one place.
 
 Results: a NULL text stays NULL and is no page; an empty text stays empty. Lines are compared
 without surrounding spaces; blank lines are kept and never counted. NULL hosts are one site.
-Repeated rows are copies of one page. All other columns of the input stay as they are.
+Repeated rows are copies of one page. An empty table stays empty. All other columns of the input
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,16 +57,18 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     # Written first, so that the planner knows its size: it is broadcast only if small, and
     # joined by shuffle, with hot hosts split at run time, otherwise.
     found = common.written(boilerplate(docs, host, text, max_ratio, min_pages), "boilerplate")
-    found = found.select(F.col("host").alias("_site"), F.col("lines").alias("_site_lines"))
-    both = docs.join(found, F.col(host).eqNullSafe(F.col("_site")), "left")
+    # Names that no column of the documents has.
+    site, listed = (name + "_" * (max(map(len, docs.columns)) + 1) for name in ("site", "lines"))
+    found = found.select(F.col("host").alias(site), F.col("lines").alias(listed))
+    both = docs.join(found, F.col(f"`{host}`").eqNullSafe(F.col(site)), "left")
     every = F.split(F.col(text), "\n", -1)
     kept = F.filter(every, lambda line: (F.trim(line) == "") | ~F.array_contains(
-        F.col("_site_lines"), F.xxhash64(F.trim(line))))
-    cleaned = F.when(F.col("_site_lines").isNull(), F.col(text)).otherwise(
+        F.col(listed), F.xxhash64(F.trim(line))))
+    cleaned = F.when(F.col(listed).isNull(), F.col(text)).otherwise(
         F.array_join(kept, "\n"))
     columns = [cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns]
     if dropped:
-        gone = F.when(F.col("_site_lines").isNull(), F.lit(0)).otherwise(
+        gone = F.when(F.col(listed).isNull(), F.lit(0)).otherwise(
             F.size(every) - F.size(kept))
         columns.append(F.coalesce(F.when(F.col(text).isNotNull(), gone), F.lit(0)).alias(dropped))
     return both.select(*columns)
