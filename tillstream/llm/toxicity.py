@@ -8,8 +8,10 @@ are its tokens between white space and runs of single characters spelled out ("i
 Landmarks are words of labelled documents. Every word is mapped to its kernel values with them,
 whitened by the landmarks' own kernel (Nyström), and a linear support vector machine separates
 the words. Labels belong to documents, so each toxic document contributes its most suspicious
-word, first by how much more often it stands in toxic documents, then by the machine itself; all
-words of clean documents are negative. A document scores as its strongest word, through a
+word, first by how much more often it stands in toxic documents, then by the machine itself. Of the
+words of clean documents the `COMMON_CLEAN` most common are negative, and in every further round
+the `HARD_CLEAN` that the machine finds most suspicious. A long word is learned and looked at in
+all its parts. A document scores as its strongest word, through a
 logistic curve fitted to labelled documents. As the kernel is a sum over letter triples, the
 trained machine is one weight per triple, and scoring needs no pairs of words.
 
@@ -18,7 +20,9 @@ the id and read whole. Everything else covers all rows and whole texts.
 
 Results: NULL and empty texts score as documents without words. Labels that are NULL are
 ignored; an id labelled more than once is toxic if any of its labels is. Without labels of both
-kinds every score is 0. Only `text` decides a score; other columns are left alone.
+kinds every score is 0. Ties are broken by the words themselves. Repeated rows count again in
+training and get equal scores; an empty table gives no rows. Only `text` decides a score; other
+columns are left alone.
 """
 
 from __future__ import annotations
@@ -45,6 +49,8 @@ CHUNK = 16  # longer words are taken in overlapping chunks of this length
 ROUNDS = 3
 WITNESSES = 4  # words of a toxic document that are taken for toxic ones in training
 LIFT = 3.0  # times as often in toxic as in clean documents stands a word that may be toxic
+COMMON_CLEAN = 8000  # words of clean documents that are negative in every round
+HARD_CLEAN = 3000  # and that are added after each round, the most suspicious ones
 COST = 4.0
 CERTAIN = 2.0  # values beyond twice the machine's margin say no more
 DISGUISED_SHARE = 0.08  # of toxic documents hold a word that is learned in disguises as well
@@ -272,8 +278,9 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
     picked = [w for w, _ in sorted(explains.items(), key=lambda x: (-x[1], x[0]))]
     ordinary = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))
                 if rate[w] < 2]
-    marks = list(dict.fromkeys(chunks(w)[0] for w in picked[:landmarks * 3 // 4]
-                               + ordinary[:landmarks // 4]))
+    parts = [c for words, most in ((picked, landmarks * 3 // 4), (ordinary, landmarks // 4))
+             for c in list(dict.fromkeys(c for w in words[:most] for c in chunks(w)))[:most]]
+    marks = list(dict.fromkeys(parts))
     found = [(place, codes, weights) for places, code, weight in alphabet.features(marks)
              for place, codes, weights in zip(places, code, weight)]
     seen = np.unique(np.concatenate([codes[weights > 0] for _, codes, weights in found]
@@ -287,9 +294,9 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
     values, vectors = np.linalg.eigh(table.T @ table)
     whiten = vectors / np.sqrt(np.maximum(values, 1e-4))[None, :] @ vectors.T
 
-    def mapped(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), len(marks)))
-        for places, code, weight in alphabet.features([chunks(w)[0] for w in words]):
+    def mapped(forms: list[str]) -> np.ndarray:
+        out = np.zeros((len(forms), len(marks)))
+        for places, code, weight in alphabet.features(forms):
             for start in range(0, len(places), 512):
                 part = slice(start, start + 512)
                 rows = row[code[part]]
@@ -301,7 +308,7 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
         return out @ whiten
 
     often = sorted(in_clean, key=lambda w: (-in_clean[w], w))
-    negative = dict.fromkeys(often[:8000])
+    negative = dict.fromkeys(often[:COMMON_CLEAN])
     model = Model(alphabet, Triples(seen, np.zeros(len(seen)), alphabet.base), -1.0,
                   np.zeros((2, TOP + 1)))
     for round_ in range(ROUNDS):
@@ -319,21 +326,24 @@ def train(toxic: list[list[str]], clean: list[list[str]], toxic_weight: float =
                 for form in disguised(bare, pick):
                     if form not in in_clean:
                         positive[form] += n / 4
-        words = list(positive) + list(negative)
-        target = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        weight = np.array([*positive.values(), *(in_clean[w] ** 0.5 for w in negative)])
+        # Any part of an insult may be the telling one; no part of a clean word may be suspicious.
+        learned = [(c, 1.0, n / len(chunks(w))) for w, n in positive.items() for c in chunks(w)]
+        learned += [(c, -1.0, in_clean[w] ** 0.5) for w in negative for c in chunks(w)]
+        forms = [form for form, _, _ in learned]
+        target, weight = (np.array([row[i] for row in learned]) for i in (1, 2))
         # A word on both sides counts on each; both sides weigh the same in all.
         side = target > 0
         weight[side] *= len(weight) / (2 * max(weight[side].sum(), 1e-9))
         weight[~side] *= len(weight) / (2 * max(weight[~side].sum(), 1e-9))
-        w = _newton(mapped(words), target, weight, "svm", 1 / COST)
+        w = _newton(mapped(forms), target, weight, "svm", 1 / COST)
         triples = Triples(seen, table[1:] @ (whiten @ w[:-1]), alphabet.base)
         model = Model(alphabet, triples, float(w[-1]), np.zeros((2, TOP + 1)))
         if round_ + 1 < ROUNDS:
             known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
             witness = [sorted(words, key=lambda w: (-known[w], w))[:WITNESSES]
                        for words in toxic]
-            negative.update(dict.fromkeys(sorted(in_clean, key=lambda w: (-known[w], w))[:3000]))
+            negative.update(dict.fromkeys(sorted(in_clean, key=lambda w: (-known[w], w))[
+                :HARD_CLEAN]))
     known = dict(zip(vocabulary, model.decide(vocabulary).tolist()))
     features = np.array([model.document([known[w] for w in words]) for words in toxic + clean])
     target = np.array([1.0] * len(toxic) + [-1.0] * len(clean))
