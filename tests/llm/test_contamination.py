@@ -98,3 +98,20 @@ def test_clashing_columns_and_empty_tables(clashing, items):
     assert kept.columns == clashing.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(
         ["3", "None", "4", "5", "6", "7", "8", "9"])
+
+
+def test_a_benchmark_of_many_blocks_keeps_one_broadcast(spark, documents, items, monkeypatch):
+    from pyspark.core.broadcast import Broadcast
+
+    text = [" ".join(f"w{(7 * i + k) % 90}" for k in range(20)) for i in range(50)]
+    bench = items(*enumerate(text))
+    docs = documents(*[(i, f"start {text[i % 50]} end {text[(i * 3) % 50]}") for i in range(60)],
+                     (60, None), (61, "nothing here"), (61, "nothing here"))
+    dropped = []
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, destroy=Broadcast.destroy: (
+        dropped.append(self), destroy(self)))
+    one = sorted(map(tuple, C.hits(docs, bench).collect()), key=str)
+    assert not dropped
+    found = C.hits(docs, bench, block_words=1)
+    assert len(dropped) == 50
+    assert sorted(map(tuple, found.collect()), key=str) == one

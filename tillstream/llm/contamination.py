@@ -7,9 +7,9 @@ kept, the last one of equals. Equal windows keep the same k-gram, so every share
 up in the join of the fingerprints of documents and benchmark. Each hit is extended to the
 windows around it, which are looked up among the benchmark's windows and compared word by word.
 
-The benchmark is taken in blocks of at most `block_words` words, each broadcast, so a task holds
-one bounded block whatever the benchmark's size; documents pass through the blocks one after the
-other and are never shuffled or paired up. A passage that a third of all documents shares is
+The benchmark is taken in blocks of about `block_words` words, each broadcast and dropped again, so
+driver and tasks hold one bounded block whatever the benchmark's size; all documents are searched
+for each block, and with one block they are never shuffled or paired up. A passage that a third of all documents shares is
 found in each of them on its own.
 
 Results: NULL and empty texts have no words and are never hit; items without words match
@@ -19,7 +19,9 @@ id and text are left out, so clashing names do no harm; repeated rows give repea
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,21 +200,64 @@ def hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
          window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text, n_words, n_hit, hit_words, items) per document: the number of words and of
     words that lie in an occurrence of a window, those words as a bit string (NULL if none), and
-    the sorted ids, as strings, of the items found."""
+    the sorted ids, as strings, of the items found.
+
+    A benchmark of one block is searched in one pass. A larger one is searched block by block: the
+    driver and the tasks hold one block at a time, and of each pass only the documents with hits
+    are kept, by number, and put together at the end."""
     spark = docs.sparkSession
+    context = spark.sparkContext
     kind = docs.schema[doc_id].dataType.simpleString()
-    shape = ("doc " + kind + ", text string, n_words long, n_hit long, hit_words binary,"
-             " items array<string>")
-    frame = docs.select(
-        F.col(doc_id).alias("doc"), F.col(text).alias("text"), F.lit(0).cast("long").alias(
-            "n_words"), F.lit(0).cast("long").alias("n_hit"),
-        F.lit(None).cast("binary").alias("hit_words"),
-        F.array().cast("array<string>").alias("items"))
-    passes = [spark.sparkContext.broadcast(b) for b in blocks(
-        benchmark, block_words=block_words, window=window)] or [None]
-    for block in passes:
-        frame = common.mapped(frame, _search(block), shape)
-    return frame.withColumnRenamed("doc", doc_id)
+    frame = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
+    found = blocks(benchmark, block_words=block_words, window=window)
+    first, second = next(found, None), next(found, None)
+    if second is None:
+        shared = context.broadcast(first) if first else None
+        return _searched(frame, shared, f"doc {kind}").withColumnRenamed("doc", doc_id)
+
+    # Numbers stand in a written table, so they hold when a task runs again.
+    whole = common.written(frame.withColumn("number", F.monotonically_increasing_id()),
+                           "contamination-documents")
+    texts = whole.select(F.col("number").alias("doc"), "text")
+    counts, parts = None, []
+    for block in itertools.chain((first, second), found):
+        shared = context.broadcast(block)
+        searched = _searched(texts, shared, "doc long").drop("text")
+        if counts is None:  # words are counted in the first pass
+            searched = counts = common.written(searched, "contamination-pass")
+        parts.append(common.written(searched.where("n_hit > 0").select(
+            "doc", "hit_words", "items"), "contamination-hits"))
+        shared.destroy()
+    union = functools.reduce(DataFrame.unionByName, parts)
+    merged = union.groupBy("doc").agg(
+        F.collect_list("hit_words").alias("bits"), F.array_sort(F.array_distinct(F.flatten(
+            F.collect_list("items")))).alias("items"))
+
+    def together(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in row])
+                    for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([int(np.bitwise_count(b).sum()) for b in bits], pa.int64()),
+                 pa.array([b.tobytes() for b in bits], pa.binary()), batch.column(2)],
+                names=["number", "n_hit", "hit_words", "items"])
+
+    merged = common.mapped(merged.select("doc", "bits", "items"), together,
+                           "number long, n_hit long, hit_words binary, items array<string>")
+    words = counts.select(F.col("doc").alias("number"), "n_words")
+    return whole.join(words, "number").join(merged, "number", "left").select(
+        F.col("doc").alias(doc_id), "text", "n_words", F.coalesce("n_hit", F.lit(0)).cast(
+            "long").alias("n_hit"), "hit_words",
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _searched(frame: DataFrame, block, doc: str) -> DataFrame:
+    """One pass over (doc, text) with one block."""
+    return common.mapped(frame.select(
+        "doc", "text", F.lit(0).cast("long").alias("n_words"),
+        F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("binary").alias("hit_words"),
+        F.array().cast("array<string>").alias("items")), _search(block),
+        f"{doc}, text string, n_words long, n_hit long, hit_words binary, items array<string>")
 
 
 def _search(block):
