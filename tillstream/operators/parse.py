@@ -54,20 +54,25 @@ _WHOLE, _FRACTIONS = ("BIGINT",), ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 
 
 def _strict_lines(messages: DataFrame, fields: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Fields with the type they have in JSON: a number only if it is one there, a text only
-    if it is one. Read without errors, which quoted numbers would raise one by one."""
+    """Numbers only where JSON has a number. The JSON reader takes every number field as a
+    variant, whatever it is, so that quoted numbers raise no errors; one look at its kind tells
+    whether it is read any further."""
+    typed = strict_schema()
+    layout = T.StructType([
+        typed[name] if isinstance(typed[name].dataType, T.StringType)
+        else T.StructField(name, T.VariantType()) for name in fields])
     body = messages.select(
-        F.try_parse_json(F.col("value").cast("string")).alias("data"), *keep)
+        F.from_json(F.col("value").cast("string"), layout).alias("data"), *keep
+    ).select("data.*", *keep)
 
     def read(name: str) -> Column:
-        to = strict_schema()[name].dataType
-        value = F.try_variant_get("data", f"$.{name}", to.simpleString())
-        kind = F.schema_of_variant(F.try_variant_get("data", f"$.{name}", "variant"))
+        to = typed[name].dataType
         if isinstance(to, T.StringType):
-            return value.alias(name)
+            return F.col(name)
+        kind = F.schema_of_variant(name)
         kinds = _WHOLE if isinstance(to, T.IntegralType) else _FRACTIONS
         number = reduce(or_, [F.startswith(kind, F.lit(k)) for k in kinds])
-        return F.when(number, value).alias(name)
+        return F.when(number, F.try_variant_get(name, "$", to.simpleString())).alias(name)
 
     return body.select(*[read(name) for name in fields], *keep)
 
