@@ -184,6 +184,6 @@ def test_whole_table_has_bounded_pairs(spark):
     assert opened.by_word
     pairs = alignment.pair_counts(alignment.aligned(docs, tools)).collect()
     for row in pairs:
-        a = opened.bytes_a[row.pair >> alignment.SHIFT]
-        b = opened.bytes_b[row.pair & (1 << alignment.SHIFT) - 1]
+        a = opened.bytes_a[row.pair >> tools.shift]
+        b = opened.bytes_b[row.pair & (1 << tools.shift) - 1]
         assert a.endswith(b) or b.endswith(a)

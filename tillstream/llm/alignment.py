@@ -37,10 +37,11 @@ from tillstream.llm import bpe, common
 
 BLOCK_BYTES = 1 << 18  # bytes of rows that are multiplied at a time
 SLICE_BYTES = 1_500_000  # bytes of texts that are cut into words at a time
-CACHE_WORDS = 400_000  # words a worker remembers; beyond that it starts anew
+TOGETHER = 100  # words that are encoded as one text
+CACHE_WORDS = 200_000  # words a worker remembers; beyond that it starts anew
 LONGEST_WORD = 256  # letters; longer words are not remembered
 BLANK = "▁"  # fixed value: how the second vocabulary writes a space
-SHIFT = 32  # an id pair is one number: first id << SHIFT | second id
+ROWS = 500  # documents whose links are looked up at a time
 
 
 # Sparse matrices -------------------------------------------------------------------------
@@ -175,11 +176,13 @@ class Tools:
     vocabulary: object  # a broadcast `bpe.Vocabulary` without special strings
     model: object  # the broadcast bytes of the second model
     name: str
+    shift: int  # an id pair is one number: first id << shift | second id
+    kind: str  # the type of that number
 
     def open(self) -> "OpenTools":
         if self.name not in _open:
             _open.clear()
-            _open[self.name] = OpenTools(self.vocabulary.value, self.model.value)
+            _open[self.name] = OpenTools(self.vocabulary.value, self.model.value, self.shift)
         return _open[self.name]
 
 
@@ -188,11 +191,34 @@ _open: dict[str, "OpenTools"] = {}
 
 def load(docs: DataFrame, byte_path: str, piece_path: str) -> Tools:
     context = docs.sparkSession.sparkContext
-    vocabulary = replace(bpe.load_vocabulary(byte_path), special={})
+    vocabulary = bpe.load_vocabulary(byte_path)
+    for i in vocabulary.special.values():
+        vocabulary.tokens[i] = b""  # no text becomes one
+    vocabulary = replace(vocabulary, special={})
     with open(piece_path, "rb") as source:
         model = source.read()
+    import sentencepiece
+
+    shift = len(sentencepiece.SentencePieceProcessor(model_proto=model)).bit_length()
+    kind = "int" if len(vocabulary.tokens).bit_length() + shift < 32 else "long"
     return Tools(context.broadcast(vocabulary), context.broadcast(model),
-                 f"{context.applicationId} {byte_path} {piece_path}")
+                 f"{context.applicationId} {byte_path} {piece_path}", shift, kind)
+
+
+# Texts of letters that every version of Unicode in use knows, and no mark for a blank.
+_USUAL = re.compile("[\0-\u052f]*")
+
+
+def _ranked(vocabulary: bpe.Vocabulary):
+    """The first vocabulary for a library that wants ids in the order of merges; None if they are
+    not. It takes letters for letters by another version of Unicode, so it gets usual texts only."""
+    import tiktoken
+
+    merged = [i for _, i in sorted(vocabulary.merges.values())]
+    if merged != sorted(merged):
+        return None
+    return tiktoken.Encoding("ranked", pat_str=bpe.SPLIT, special_tokens={}, mergeable_ranks={
+        token: i for i, token in enumerate(vocabulary.tokens) if token})
 
 
 def piece_bytes(processor) -> list[bytes]:
@@ -203,10 +229,13 @@ def piece_bytes(processor) -> list[bytes]:
 
 
 class OpenTools:
-    def __init__(self, vocabulary: bpe.Vocabulary, model: bytes):
+    def __init__(self, vocabulary: bpe.Vocabulary, model: bytes, shift: int):
         import sentencepiece
 
+        self.shift = shift
+
         self.codec = bpe.OpenCodec(vocabulary, bpe.compile_lexicon({}))
+        self.ranked = _ranked(vocabulary)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.bytes_a, self.bytes_b = vocabulary.tokens, piece_bytes(self.pieces)
         self.lengths_a = np.array(list(map(len, self.bytes_a)), np.int64)
@@ -224,24 +253,50 @@ class OpenTools:
     def encode(self, blocks: list[str]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Ids of both tokenizers for texts that start with a space."""
         first = [np.frombuffer(ids, "<u4").astype(np.int64) for ids in self.codec.encode(blocks)]
+        self.codec.known.clear()
         return first, self.pieces.encode([block[1:] for block in blocks], num_threads=1)
 
-    def learn(self, blocks: list[str]) -> "Words":
-        """What alignment finds in each block, made for all of them side by side."""
+    def _one_by_one(self, blocks: list[str]) -> tuple[np.ndarray, ...]:
         first, second = self.encode(blocks)
         whole = np.array([
-            bool(block) and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == block.encode()
+            b"".join(map(self.bytes_a.__getitem__, a.tolist())) == block.encode()
             and b"".join(map(self.bytes_b.__getitem__, b)) == block.encode()
             for block, a, b in zip(blocks, first, second)], np.bool_)
         first = [a if ok else a[:0] for a, ok in zip(first, whole)]
         second = [b if ok else [] for b, ok in zip(second, whole)]
-        a_starts, b_starts = (_starts(np.array([len(ids) for ids in side], np.int64))
-                              for side in (first, second))
+        n_a, n_b = (np.fromiter(map(len, side), np.int64, len(blocks)) for side in (first, second))
         a_ids = np.concatenate([np.zeros(0, np.int64), *first])
-        b_ids = np.array([i for ids in second for i in ids], np.int64)
+        return whole, n_a, n_b, a_ids, np.array([i for ids in second for i in ids], np.int64)
+
+    def _together(self, blocks: list[str]) -> tuple[np.ndarray, ...] | None:
+        """The same of many words as one text, in which they stay apart; None if either side
+        does not give the text back."""
+        texts = ["".join(blocks[i:i + TOGETHER]) for i in range(0, len(blocks), TOGETHER)]
+        raw = "".join(texts).encode()
+        ends = np.cumsum([len(block.encode()) for block in blocks])
+        first = map(self.ranked.encode_ordinary, texts)
+        second = self.pieces.encode([text[1:] for text in texts], num_threads=1)
+        sides = [np.array([i for ids in side for i in ids], np.int64) for side in (first, second)]
+        counts = []
+        for ids, tokens, lengths in zip(sides, (self.bytes_a, self.bytes_b),
+                                        (self.lengths_a, self.lengths_b)):
+            if b"".join(map(tokens.__getitem__, ids.tolist())) != raw:
+                return None
+            counts.append(np.diff(np.searchsorted(np.cumsum(lengths[ids]), ends, "right"),
+                                  prepend=0))
+        return np.ones(len(blocks), np.bool_), *counts, *sides
+
+    def learn(self, blocks: list[str]) -> "Words":
+        """What alignment finds in each block, made for all of them side by side."""
+        tokens = None
+        if self.by_word and self.ranked is not None and len(blocks) > 1 and all(
+                _USUAL.fullmatch(b) and not b[-1].isspace() for b in blocks):
+            tokens = self._together(blocks)
+        whole, n_a, n_b, a_ids, b_ids = tokens or self._one_by_one(blocks)
+        a_starts, b_starts = _starts(n_a), _starts(n_b)
         found = align(self.lengths_a[a_ids], self.lengths_b[b_ids])
         row, column = found.ends_together()
-        pairs = a_ids[row] << SHIFT | b_ids[column]
+        pairs = a_ids[row] << self.shift | b_ids[column]
         pair_starts = np.searchsorted(row, a_starts)
         # Where each group starts on either side, and from that the order of its text.
         a_first = np.searchsorted(found.a_groups, np.arange(found.n_groups + 1))
@@ -262,8 +317,7 @@ class OpenTools:
         n_groups = np.zeros(len(blocks), np.int64)
         filled = np.flatnonzero(whole)
         n_groups[filled] = np.diff(groups[filled] + 1, prepend=0)
-        return Words(whole, np.diff(a_starts), np.diff(b_starts), n_groups, texts, pairs,
-                     pair_starts)
+        return Words(whole, n_a, n_b, n_groups, texts, pairs, pair_starts)
 
     def blocks(self, text: str) -> list[str]:
         """A space and the text, cut before every blank that does not follow a blank."""
@@ -310,19 +364,23 @@ class Words:
             setattr(self, name, np.concatenate([getattr(self, name), getattr(more, name)]))
 
 
-COLUMNS = "n_a long, n_b long, n_groups long, groups string, pairs array<long>"
+COLUMNS = "n_a long, n_b long, n_groups long, groups string"
 
 
-def _align_texts(tools: OpenTools, texts: list[str | None]) -> list[pa.Array]:
-    """`COLUMNS` of each text."""
+def _align_texts(tools: OpenTools, texts: list[str | None], kind: pa.DataType) -> list[pa.Array]:
+    """`COLUMNS` and the id pairs of each text."""
     cut = [tools.blocks(text) if text else [] for text in texts]
     if len(tools.words.texts) > CACHE_WORDS:
         tools.words = Words()
     known = tools.words
     new = set().union(*cut).difference(known.places)
-    short = sorted(block for block in new if len(block) <= LONGEST_WORD)
-    if short:
-        known.add(short, tools.learn(short))
+    usual, rare = [], []
+    for block in new:
+        if len(block) <= LONGEST_WORD:
+            (usual if _USUAL.fullmatch(block) and not block[-1].isspace() else rare).append(block)
+    for short in (usual, rare):
+        if short:
+            known.add(short, tools.learn(short))
     out = ([], [], [], [], [])
     for blocks in cut:
         long = sorted({block for block in blocks if len(block) > LONGEST_WORD})
@@ -343,7 +401,7 @@ def _align_texts(tools: OpenTools, texts: list[str | None]) -> list[pa.Array]:
     lengths = np.fromiter(map(len, out[4]), np.int64, len(out[4]))
     flat = np.concatenate([np.zeros(0, np.int64), *out[4]])
     return [*[pa.array(column, pa.int64()) for column in out[:3]], pa.array(out[3], pa.string()),
-            pa.ListArray.from_arrays(pa.array(_starts(lengths), pa.int32()), pa.array(flat))]
+            pa.ListArray.from_arrays(pa.array(_starts(lengths), pa.int32()), pa.array(flat, kind))]
 
 
 def aligned(docs: DataFrame, tools: Tools, doc_id: str = "doc_id", text: str = "text"
@@ -356,11 +414,13 @@ def aligned(docs: DataFrame, tools: Tools, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             for a, b, texts in common.slices(batch.column(1), SLICE_BYTES):
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[a:b], *_align_texts(opened, texts)],
+                    [batch.column(0)[a:b], *_align_texts(opened, texts, number)],
                     names=[doc_id, "n_a", "n_b", "n_groups", "groups", "pairs"])
 
+    number = pa.int32() if tools.kind == "int" else pa.int64()
     kind = docs.schema[doc_id].dataType.simpleString()
-    return common.mapped(docs.select(doc_id, text), step, f"`{doc_id}` {kind}, {COLUMNS}")
+    return common.mapped(docs.select(doc_id, text), step,
+                         f"`{doc_id}` {kind}, {COLUMNS}, pairs array<{tools.kind}>")
 
 
 KINDS = ("end", "overlap", "group")
@@ -421,23 +481,27 @@ def compare(docs: DataFrame, tools: Tools, doc_id: str = "doc_id", text: str = "
         F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256"),
         "pairs"), "alignments")
     counts = pair_counts(found).toArrow().sort_by("pair")  # bounded by the vocabularies
-    pair, n = counts["pair"].to_numpy(), counts["n"].to_numpy()
-    highest = np.zeros(int((pair & (1 << SHIFT) - 1).max(initial=0)) + 1, np.int64)
-    np.maximum.at(highest, pair & (1 << SHIFT) - 1, n)
-    best = n == highest[pair & (1 << SHIFT) - 1]
+    pair, n = counts["pair"].to_numpy().astype(np.int64), counts["n"].to_numpy()
+    second = pair & (1 << tools.shift) - 1
+    highest = np.zeros(int(second.max(initial=0)) + 1, np.int64)
+    np.maximum.at(highest, second, n)
     arrays = common.ShippedArrays(docs.sparkSession, {
-        "pair": pair.astype(np.int64), "n": n.astype(np.int64), "best": best.astype(np.int64)})
+        "pair": pair.astype(np.int32 if tools.kind == "int" else np.int64),
+        "n": n.astype(np.int64), "best": (n == highest[second]).astype(np.int64)})
 
     def step(batches) -> Iterator[pa.RecordBatch]:
+        _open.clear()  # the words that this worker remembers from aligning
         known = arrays.open()
         for batch in batches:
-            lists = batch.column("pairs")
-            at = np.searchsorted(known["pair"], lists.flatten().to_numpy())
-            ends = _starts(np.diff(lists.offsets.to_numpy()))
-            sums = [np.diff(_starts(known[name][at])[ends]) for name in ("best", "n")]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(name) for name in head], pa.array(np.diff(ends)),
-                 *map(pa.array, sums)], names=[*head, "n_links", "n_best", "count_sum"])
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                lists = part.column("pairs")
+                at = np.searchsorted(known["pair"], lists.flatten().to_numpy())
+                ends = _starts(lists.value_lengths().to_numpy())
+                sums = [np.diff(_starts(known[name][at])[ends]) for name in ("best", "n")]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(name) for name in head], pa.array(np.diff(ends)),
+                     *map(pa.array, sums)], names=[*head, "n_links", "n_best", "count_sum"])
 
     head = ("id", "n_a", "n_b", "n_groups", "groups_sha256")
     kinds = [f"{name} {found.schema[name].dataType.simpleString()}" for name in head]
