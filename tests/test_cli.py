@@ -3,6 +3,7 @@
 import pytest
 
 from tillstream import cli
+from tillstream.operators.metrics import METRICS
 from tillstream.schema import FIELD_NAMES
 from tillstream.sources.csv_files import read_csv
 from tillstream.sources.topics import KafkaTopic
@@ -54,6 +55,42 @@ def test_from_files_to_results(spark, tmp_path, rows):
     assert spark.read.parquet(at("feed/feed")).count() == exported.count()
 
 
+def test_commands_for_upkeep(spark, tmp_path, rows):
+    from tillstream.sources.topics import order_folder
+
+    at = lambda name: str(tmp_path / name)
+    order_folder(at("orders")).append(spark.createDataFrame([
+        ('{"order_id":"1","brand_name":"b","dim_customer_key":"1","unit_selling_price":"2",'
+         '"l1_category":"a","date_":"2022-04-01 10:00:00"}',), ("not json",)], "value string"))
+
+    def run(command, streaming=True, *more, **options):
+        given = [word for name, value in options.items() for word in (f"--{name}", value)]
+        if streaming:
+            given += ["--checkpoint", at(f"cp-{command}"), "--partitions", "2"]
+        cli.main([command, *given, *more])
+
+    run("check", orders=at("orders"), path=at("checked"))
+    assert rows(spark.read.parquet(at("checked")).select("verdict")) == [("kept",), ("rejected",)]
+    run("best", orders=at("orders"), path=at("best"))
+    best = sinks.current_best(spark, at("best/top_brands"), METRICS["top_brands"])
+    assert rows(best) == [("b", 1), (None, 0)]
+    run("trend", orders=at("orders"), path=at("trend"), lateness="1 hour")
+    run("correct-trend", False, path=at("trend"))
+    assert rows(sinks.stored_trend(spark, at("trend"), METRICS["sales_trend"]).select("sales")) == [(2.0,)]
+    run("land", True, "--variant", orders=at("orders"), path=at("documents"))
+    assert spark.read.parquet(at("documents")).where("raw = 'not json'").count() == 1
+    run("changes", orders=at("orders"), path=at("totals"))
+    run("compact-totals", False, path=at("totals"), out=at("compacted"))
+    assert rows(sinks.current_totals(spark, at("compacted"))) == rows(
+        sinks.current_totals(spark, at("totals")))
+    run("store", orders=at("orders"), table=at("table"))
+    run("create-table", False, table=at("table"), name="cli_orders")
+    assert rows(spark.sql("SELECT row_key FROM cli_orders_of('1')")) == [("1",)]
+    run("metrics", orders=at("orders"), results=at("results"))
+    run("sketch", results=at("results"), path=at("sketches"))
+    assert spark.read.parquet(at("sketches")).select("n").collect() == [(1,)]
+
+
 def test_topic_addresses():
     topic = cli._topic("kafka://broker:9092/ecommerce")
     assert topic == KafkaTopic("broker:9092", "ecommerce", "earliest")
