@@ -81,3 +81,38 @@ def test_nothing_learned_clashing_columns_and_empty_table(clashing):
     got = langid.identify(clashing, None).collect()
     assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
     assert langid.identify(clashing.limit(0), langid.fit(clashing)).count() == 0
+
+
+def plain_grams(text):
+    """All n-grams of a text as strings: of each word with a space on either side."""
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+    return [f" {w} "[i:i + n] for w in words if w for n in langid.ORDERS
+            for i in range(len(w) + 3 - n)]
+
+
+def test_masks_counts_and_decision_equal_plain_sets(documents):
+    docs, rows = corpus(documents, 240)
+    number = {lang: sum(r[2] == lang for r in rows) for lang in WORDS}
+    share = {}
+    for lang in WORDS:
+        seen = [set(plain_grams(text)) for _, text, other in rows if other == lang]
+        for gram in set().union(*seen):
+            n = sum(gram in s for s in seen)
+            if n >= 2 and n / number[lang] >= langid.MIN_SHARE:
+                share.setdefault(gram, {})[lang] = n / number[lang]
+    sets = {lang: {g for g, s in share.items() if s.get(lang, 0) >= langid.MIN_RELATIVE * max(
+        s.values()) and lang in s} for lang in WORDS}
+    texts = [text for _, text, _ in rows] + [
+        None, "", "12 !", "house Haus maison", "the das la", "x", "WASSER water", "où drüben over"]
+    model = langid.fit(docs)
+    names, scores = model.predict(texts)
+    for text, name, score in zip(texts, names, scores):
+        grams = plain_grams(text)
+        counts = {lang: sum(g in sets[lang] for g in grams) for lang in sorted(WORDS)}
+        if not any(c.isalpha() for c in text or ""):
+            assert (name, score) == ("und", 0.0)
+            continue
+        # Equal counts are told apart by the languages' chance hits.
+        assert counts[name] == max(counts.values()), text
+        assert abs(score - (counts[name] / sum(counts.values()) if any(
+            counts.values()) else 0.0)) < 1e-3, text

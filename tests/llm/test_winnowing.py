@@ -81,3 +81,22 @@ def test_query_on_odd_rows(spark, odd_documents, write):
 def test_clashing_columns_and_empty_table(clashing):
     assert W.compare(clashing.limit(0)).count() == 0
     assert W.compare(clashing).count() == clashing.count()
+
+
+def test_likeness_equals_that_of_plain_sets(spark, documents):
+    pick = random.Random(8)
+    some = lambda n: " ".join(pick.choice("abcdefghijkl") for _ in range(n))
+    long = some(300)
+    texts = ["", None, some(3), long, long, long[:400] + some(40), some(120), "same " * 90, "x"]
+    docs = documents(*enumerate(texts))
+    edited = []
+    for i, text in enumerate(texts):
+        text, other = text or "", texts[(i + 1) % len(texts)] or ""
+        edited.append(text[:len(text) - len(text) // 4] + other[:len(text) // 4])
+    own, changed = ({i: {h for h, _ in x} for i, x in kept(spark, t).items()} for t in (
+        [t or "" for t in texts], edited))
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for row in W.compare(docs).collect():
+        i = row.doc_id
+        assert row.near_edited == pytest.approx(like(own[i], changed[i])), i
+        assert row.near_next == pytest.approx(like(own[i], own[(i + 1) % len(texts)])), i
