@@ -1,9 +1,10 @@
 """Personal data: patterns propose spans, checksums confirm them, context adjusts the score.
 
 E-mail addresses, network addresses, card numbers (Luhn) and international phone numbers are the
-base kinds. On top of them come bank account numbers (mod 97), national phone numbers and
-social security numbers; those stay only if their score, raised by words close before the span,
-reaches `min_score`. All of it is SQL functions: the text is split at a pattern's matches, and
+base kinds. On top of them come bank account numbers (mod 97), national phone numbers, social
+security numbers, values assigned to names that say secret (`token = "..."`) and keys in the form
+that known services issue; those stay only if their score, raised or lowered by words close before
+the span, reaches `min_score`. Base spans stay whatever their score, which `spans` tells. All of it is SQL functions: the text is split at a pattern's matches, and
 the lengths of pieces and matches add up to the places of the spans.
 
 Patterns take a stretch of letters or digits whole or not at all (possessive quantifiers, and no
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from tillstream.llm.arrays import let, running_sums
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "iban", "tel", "ssn")
+KINDS = (*BASE_KINDS, "iban", "tel", "ssn", "secret", "key")
 MIN_SCORE = 0.5
 CONTEXT_CHARS = 40  # looked at before a span, back to the span before it of the same kind
 CONTEXT_GAIN = 0.3
+CONTEXT_LOSS = 0.3
 
 _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
@@ -42,16 +44,33 @@ PATTERNS = {
              r"(?:\x20?[A-Z0-9]{1,3}+)?(?![A-Za-z0-9])"),
     "tel": r"(?<![0-9A-Za-z+.(-])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9A-Za-z.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z.-])",
+    # A name, a sign that assigns, and the value up to the next blank or quote.
+    "secret": (r"(?i)(?<![A-Za-z0-9])(?:api[_-]?key|access[_-]?key|client[_-]?secret|secret|token|"
+               r"passwor[dt]|passwd|pwd|contraseña|mot de passe|kennwort)(?![A-Za-z0-9])[\"']?"
+               r"\x20{0,2}[:=]\x20{0,2}[\"']?[^\s\"',;<>]{6,}+"),
+    # How the keys of widely used services start, and their letters.
+    "key": (r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}+|gh[opsu]_[A-Za-z0-9]{36}+|"
+            r"xox[abprs]-[A-Za-z0-9-]{10,}+|sk-[A-Za-z0-9_-]{20,}+|"
+            r"eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{5,}+)(?![A-Za-z0-9])"),
 }
 # Of these signs a text must contain one for a pattern to be worth trying.
-MARKS = {"email": "@", "ip": ".", "phone": "+", "tel": "-.", "ssn": "-"}
+MARKS = {"email": "@", "ip": ".", "phone": "+", "tel": "-.", "ssn": "-", "secret": "=:",
+         "key": ("AKIA", "gh", "xox", "sk-", "eyJ")}
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.9, "phone": 0.7, "iban": 0.95, "tel": 0.5,
-          "ssn": 0.3}
+          "ssn": 0.3, "secret": 0.7, "key": 0.9}
 CONTEXT = {
     "email": "mail|contact|write", "ip": r"\bip\b|address|host|server",
     "card": "card|visa|credit|payment", "phone": r"phone|call|\btel|fax|mobile",
     "iban": "iban|account|bank|konto", "tel": r"phone|call|\btel|fax|mobile",
-    "ssn": "ssn|social security|insurance",
+    "ssn": "ssn|social security|insurance", "secret": "login|config|user|auth|export",
+    "key": "key|token|secret|auth",
+}
+# Words that make a span less likely: numbers of things, made-up values.
+AGAINST = {
+    "email": "example", "ip": r"version|release|\bv\b", "card": "isbn|serial|tracking",
+    "phone": "isbn|order|invoice", "iban": "example|serial", "tel": "isbn|order|invoice|article|serial",
+    "ssn": "isbn|order|invoice|article|serial|part", "secret": "example|placeholder|dummy|fake",
+    "key": "example|placeholder|dummy|fake",
 }
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -92,6 +111,8 @@ def _valid(kind: str, match: Column) -> Column:
         return F.length(_digits(match)).between(10, 15)
     if kind == "iban":
         return mod97(F.regexp_replace(match, " ", ""))
+    if kind == "secret":  # a plain word behind the sign is no secret
+        return F.rlike(match, F.lit(r"[:=][^:=]*[0-9!$%&*+/?@^_~-]"))
     return F.lit(True)
 
 
@@ -112,9 +133,11 @@ def _spans_of(kind: str, text: Column, min_score: float) -> Column:
                 F.lit(kind).alias("kind"),
                 (F.get(starts, i) + F.length(m)).alias("end"),
                 m.alias("value"),
-                F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(F.rlike(
-                    F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS))), F.lit(CONTEXT[kind])),
-                    F.lit(CONTEXT_GAIN)).otherwise(0.0)).alias("score")))))
+                let(F.lower(F.right(F.get(gaps, i), F.lit(CONTEXT_CHARS))), lambda before: F.greatest(
+                    F.lit(0.0), F.least(F.lit(1.0), F.lit(SCORES[kind]) + F.when(
+                        F.rlike(before, F.lit(CONTEXT[kind])), CONTEXT_GAIN).otherwise(0.0) - F.when(
+                        F.rlike(before, F.lit(AGAINST[kind])), CONTEXT_LOSS).otherwise(0.0)))).alias(
+                    "score")))))
 
     def kept(span: Column) -> Column:
         ok = _valid(kind, span["value"])
