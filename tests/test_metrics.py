@@ -106,6 +106,8 @@ def test_messages_leave_null_keys_out(lines, rows):
     found = [(m, run, epoch, json.loads(value)) for m, run, epoch, value in rows(sent)]
     times = {value.pop("published_at") for *_, value in found}
     assert len(times) == 1
+    ids = {value.pop("message_id") for *_, value in found}
+    assert len(ids) == 2  # every message has its own
     envelope = {"metric": "top_brands", "run_id": "r", "epoch_id": 3}
     assert [value for *_, value in found] == [
         {"brand_count": 0, **envelope}, {"brand_name": "b", "brand_count": 1, **envelope}]
