@@ -8,19 +8,24 @@ third of all messages keeps several tasks busy; reading puts the slices together
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tillstream.operators import recent
-from tillstream.session import ship_package
 
 SLICES = 8
 
+# The processor is sent whole, not by its module's name: Spark also loads it in a worker beside the
+# driver, which gets no files of the application and need not find this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class LastMessages(StatefulProcessor):
     """The last `size` messages of a key and slice, as (order columns, body)."""
@@ -72,7 +77,6 @@ def last_messages(
     """(key, slice, o0, o1, ..., body) on a stream, in append mode: after each batch the whole
     lists of the keys and slices that it changed. `body` is the row as JSON. A list that got no
     message for `expire_ms` leaves the state."""
-    ship_package(rows.sparkSession)
     numbers = _numbers(order, rows)
     names = [f"o{i}" for i in range(len(numbers))]
     marked = rows.select(
