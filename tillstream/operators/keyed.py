@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstream.schema import FAMILIES, FIELD_NAMES, ORDER_FIELDS
 from tillstream.sources.topics import exists
@@ -51,9 +52,13 @@ def upsert(lines: DataFrame, key: str = "order_id", order: list[str] | None = No
 
     `order` says which line of an order comes last; by default the values of all fields,
     which is the same on every run."""
-    marked = lines.where(has_key(key)).withColumn("row_key", F.col(key).cast("string"))
-    latest = latest_per_key(marked, ["row_key"], order or list(FIELD_NAMES))
-    return to_families(latest, key)
+    order, wanted = order or list(FIELD_NAMES), lines.where(has_key(key))
+    if isinstance(lines.schema[key].dataType, (T.IntegralType, T.StringType)):
+        # By the key itself, so lines that lie by it already, after a join, stay where they are.
+        others = [name for name in order if name != key]
+        return to_families(latest_per_key(wanted, [key], others), key)
+    marked = wanted.withColumn("row_key", F.col(key).cast("string"))
+    return to_families(latest_per_key(marked, ["row_key"], order), key)
 
 
 def _families_ddl() -> str:

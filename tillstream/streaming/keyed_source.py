@@ -54,7 +54,7 @@ class KeyedOrdersWriter(DataSourceStreamArrowWriter):
                 if writer is None:
                     system.create_dir(f"{root}/{FILES}", recursive=True)
                     writer = pq.ParquetWriter(f"{root}/{FILES}/{name}", batch.schema,
-                                              filesystem=system)
+                                              compression="zstd", filesystem=system)
                 writer.write_batch(batch)
                 rows += batch.num_rows
         finally:
