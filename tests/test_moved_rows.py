@@ -51,6 +51,33 @@ def test_orders_join_the_lines_last(spark):
     assert "l_orderkey" in last and "c_custkey" not in last
 
 
+def test_lines_move_before_they_take_up_texts(spark):
+    """Lookups that are broadcast are joined where the lines were moved to."""
+    text = plan(star.order_lines(spark, SF))
+    assert text.count("Exchange hashpartitioning(l_orderkey") == 1
+    moved = text[text.index("Exchange hashpartitioning(l_orderkey"):]
+    assert "Join" not in moved[:moved.index("ReadSchema")] and "l_suppkey" in moved
+
+
+@pytest.mark.parametrize("limit, order", [
+    (-1, ["l_orderkey", "l_suppkey", "l_partkey"]), (None, ["l_orderkey", "l_partkey", "l_suppkey"])])
+def test_lookups_that_shuffle_come_before_broadcast_ones(spark, limit, order):
+    """Products alone too large to broadcast join the lines before these have their supplier's
+    name; where suppliers are too, that one name comes before all the products have."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1" if limit is None else str(
+        os.path.getsize(f"{SF}/part.parquet") + limit))
+    try:
+        lines = star.order_lines(spark, SF)
+        text = lines._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    joins = [row for row in text.splitlines() if "Join" in row]
+    assert [key for row in joins for key in order if key in row] == order
+    assert "Repartition" not in text  # products move the lines anyway
+
+
 def test_products_need_no_sales(spark, own_sf):
     assert registry.publish_csv_rows(spark, own_sf).count() == 200
     assert set(made(own_sf)) == {"raw_products"}
