@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tillstream.operators import keyed
 from tillstream.plans import registry, staging
 from tillstream.schema import FIELD_NAMES
-from tillstream.sources import star
+from tillstream.sources import csv_files, star
 from tillstream.streaming import sinks
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,18 @@ def test_an_upsert_batch_moves_rows_once(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "log"))
     assert stored.count() == stored.select("row_key").distinct().count()
     assert stored.inputFiles()[0].endswith(".zstd.parquet")
+
+
+def test_cells_are_read_before_they_move(spark, own_sf):
+    text = registry.prep_sales(spark, own_sf)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = text.split("Join Inner")
+    assert "as decimal(18,4)" in below and "as decimal(18,4)" not in above
+
+
+def test_raw_files_are_packed_in_parts_of_a_task(spark, own_sf, monkeypatch):
+    monkeypatch.setitem(csv_files._PACKED, "maxRecordsPerFile", "2500")
+    files = list(Path(staging.raw_sales(spark, own_sf).removeprefix("file:")).glob("part-*"))
+    assert len(files) >= 3 and all(file.name.endswith(".csv.gz") for file in files)
+    lines = spark.read.parquet(f"{own_sf}/lineitem.parquet").count()
+    found = [csv_files.read_csv(spark, str(file)).count() for file in files]
+    assert sum(found) == lines and max(found) <= 2500

@@ -1,7 +1,9 @@
+from functools import partial
+
 import pytest
 
 from tillstream.operators.prepare import prepare, with_types
-from tillstream.schema import MISSING_TOKENS
+from tillstream.schema import EXACT_MONEY, MISSING_TOKENS
 from tillstream.sources.csv_files import read_csv, write_csv
 
 
@@ -89,3 +91,14 @@ def test_types(files):
     (row,) = with_types(prepare(sales, products)).collect()
     assert row.asDict() == {
         "product_id": 1, "unit": "kg", "procured_quantity": 2, "unit_selling_price": 3.5}
+
+
+def test_cells_read_before_the_join_give_the_same_rows(files, rows):
+    sales, products = files(
+        "product_id,order_id,unit,unit_selling_price,other\n05,1.0,a,2.5,x\n5.0,x,b,3.12345,y\n"
+        "x,3,c,1e2,z\n5,NA,d,1,w\n7,8,e,words,v\n",
+        "product_id,unit,brand_name,l0_category_id\n5,kg,B,1.0\nx,l,C,two\n7,m,D,3\n7,n,D,4\n")
+    after = with_types(prepare(sales, products), EXACT_MONEY)
+    before = prepare(sales, products, read=partial(with_types, money=EXACT_MONEY))
+    assert rows(before.select(*after.columns)) == rows(after) and after.count() == 5
+    assert dict(before.dtypes) == dict(after.dtypes)
