@@ -9,6 +9,7 @@ from test_streams import FIRST, SECOND
 from tillstream.operators import parse, readside
 from tillstream.operators.metrics import METRICS, pick
 from tillstream.schema import EXACT_MONEY
+from tillstream.sources import csv_files
 from tillstream.sources.topics import FolderTopic, order_folder, result_folder
 from tillstream.streaming import jobs, keyed_source, recent_state, sinks
 
@@ -487,6 +488,25 @@ def test_sales_wait_for_their_product(spark, tmp_path, rows):
     assert run() == [("a", "s", "one"), ("b", "s", "two"), ("c", "s", "five"), ("d", "s", "three")]
 
 
+def test_waiting_sales_are_kept_closely_and_whole(spark, tmp_path, rows):
+    odd = ('a "b", c', "back\\slash", "[1]", "{}", "é\u2028\t", " NA ", "null ", "'", "\\u0041", "0")
+    for folder, table in (
+            ("sales", spark.createDataFrame([("5", t, t[::-1]) for t in odd], "product_id string, t string, r string")),
+            ("products", spark.createDataFrame([("5", "tea")], "product_id string, r string"))):
+        csv_files.write_csv(table.coalesce(1), str(tmp_path / folder), packed=True)
+    query = jobs.start_preparation(
+        spark, str(tmp_path / "sales"), str(tmp_path / "products"), str(tmp_path / "rows"),
+        jobs.Run(str(tmp_path / "cp"), jobs.DRAIN, partitions=1))
+    jobs.finish([query])
+    found = spark.read.parquet(str(tmp_path / "rows"))
+    assert found.columns == ["product_id", "t", "r_x", "r_y"]
+    assert rows(found) == sorted((("5", t, t[::-1], "tea") for t in odd), key=repr)
+    assert all(".zstd." in name for name in found.inputFiles())
+    text = query._jsq.explainInternal(False)
+    joined = text[text.index("StreamingSymmetricHashJoin"):]
+    assert "__sale#" in joined and "r_x#" not in joined
+
+
 def test_the_feed_keeps_the_run_a_message_names(spark, log, tmp_path, rows):
     from tillstream.schema import RESULT_SCHEMA
 
