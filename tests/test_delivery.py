@@ -1,6 +1,8 @@
 """Messages that are there twice, runs that start anew, batches that fail: nothing is lost, nothing
 counts double."""
 
+from threading import Barrier
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -488,6 +490,45 @@ def test_sales_wait_for_their_product(spark, tmp_path, rows):
     assert run() == [("a", "s", "one"), ("b", "s", "two"), ("c", "s", "five"), ("d", "s", "three")]
 
 
+def test_writes_of_a_batch_run_side_by_side(spark):
+    context = spark.sparkContext
+    context.setLocalProperty("sql.streaming.queryId", "q")
+    meet, seen = Barrier(3, timeout=60), []
+
+    def write(n):
+        meet.wait()  # never passed if one write had to end before the next
+        seen.append((n, sinks.run_id(spark.range(n))))
+        if n == 1:
+            raise ValueError("lost")
+
+    try:
+        with pytest.raises(ValueError, match="lost"):
+            sinks._at_once(spark.range(1), [lambda n=n: write(n) for n in range(3)])
+    finally:
+        context.setLocalProperty("sql.streaming.queryId", None)
+    assert sorted(seen) == [(0, "q"), (1, "q"), (2, "q")]
+
+
+def test_the_feed_keeps_its_state_on_disk(spark, log, tmp_path):
+    from tillstream.session import STATE_PROVIDER
+
+    topic, send = log
+    send('{"metric":"a","n":1}', '{"error":"e"}')
+    before = spark.conf.get(STATE_PROVIDER)
+    spark.conf.set(STATE_PROVIDER, before.replace("RocksDB", "HDFSBacked"))
+    try:
+        query = jobs.start_feed(spark, topic, str(tmp_path / "feed"), jobs.Run(
+            str(tmp_path / "cp"), jobs.DRAIN, partitions=2), SCHEMA)
+        jobs.finish([query])
+    finally:
+        spark.conf.set(STATE_PROVIDER, before)
+    state = query.recentProgress[0]["stateOperators"][0]
+    assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+    assert state["numRowsTotal"] == 2
+    version = sinks.recent_versions(spark, str(tmp_path / "feed/recent"))[-1]
+    assert (version.slot, version.run_id, version.batch_id) == (0, str(query.id), 0)
+
+
 def test_waiting_sales_are_kept_closely_and_whole(spark, tmp_path, rows):
     odd = ('a "b", c', "back\\slash", "[1]", "{}", "é\u2028\t", " NA ", "null ", "'", "\\u0041", "0")
     for folder, table in (
